@@ -16,7 +16,8 @@ one, for one class of each reach. Equality suffices for the task, so hashes of
 64 bits stand for phrases in the order (core and reach are independent hashes,
 128 bits together); full lexicographic order is never needed.
 
-The order is made by range partitions, so a passage that a third of all texts
+Classes that repeat within one stretch of texts are settled before the shuffle,
+and one of each goes on. The order is made by range partitions, so a passage that a third of all texts
 share is spread evenly. A class at the edge of a partition, whose neighbour is
 out of sight, goes to the window comparison with its neighbour. Texts are
 shuffled once, by a hash of id and text, and that exchange serves all passes.
@@ -34,13 +35,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Roller, slices
 
 LENGTH = 400
-TRIGGER = 12
+TRIGGER = 16
 #: One position in PERIOD is a trigger; a power of two.
 PERIOD = 64
 #: Longer texts are parsed in overlapping pieces; any cut of a class into two is as good.
@@ -97,22 +99,56 @@ def _pieces(col: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray
                 yield raw, np.array([0, len(raw)]), s.first, a
 
 
+def _runs(row: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, end, row) of the longest runs of window starts that some classes make up together."""
+    order = np.lexsort((first, row))
+    row, first, end = row[order], first[order], (first + n)[order]
+    if not len(row):
+        return first, end, row
+    new = np.append(True, (row[1:] != row[:-1]) | (first[1:] > end[:-1]))
+    return first[new], end[np.append(new[1:], True)], row[new]
+
+
 def _classes(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid = batch.column(0).to_numpy(zero_copy_only=False)
             for raw, at, first_row, base in _pieces(batch.column(2), length):
                 core, reach, row, first, n = classes(raw, at, length)
-                if len(core):
-                    yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(reach.view(np.int64)), pa.array(uid[first_row + row]), pa.array((first + base).astype(np.int32)), pa.array(n.astype(np.int32))], ["core", "reach", "uid", "first", "n"])
+                if not len(core):
+                    continue
+                # classes that repeat within these texts are settled here; one of them goes on for all
+                _, lead, which, times = np.unique(reach, return_index=True, return_inverse=True, return_counts=True)
+                known = times[which] > 1
+                on = ~known
+                on[lead] = True
+                a, b, of = _runs(row[known], first[known], n[known])
+                columns = [
+                    np.append(core[on], _REACH.code[of % 256] * (a + of + 1).astype(np.uint64)).view(np.int64),  # settled runs: anywhere in the order
+                    np.append(reach[on], np.zeros(len(a), np.uint64)).view(np.int64),
+                    uid[first_row + np.append(row[on], of)],
+                    (np.append(first[on], a) + base).astype(np.int32),
+                    np.append(n[on], b - a).astype(np.int32),
+                    np.append(np.zeros(on.sum(), bool), np.ones(len(a), bool)),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["core", "reach", "uid", "first", "n", "known"])
 
     return run
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From one range of the order: classes that repeat whole, and those whose windows must be compared."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    names = ["uid", "first", "n", "whole", "compare"]
+    found = []
+    for batch in batches:
+        known = batch.column(5)
+        settled = batch.filter(known)
+        if settled.num_rows:
+            yes = pa.array(np.ones(settled.num_rows, bool))
+            yield pa.RecordBatch.from_arrays([*settled.columns[2:5], yes, pc.invert(yes)], names)
+        found.append(batch.filter(pc.invert(known)))
+    table = pa.Table.from_batches(found) if found else None
+    if not table or not table.num_rows:
         return
     core, reach = table.column(0).to_numpy(), table.column(1).to_numpy()
     same_core = core[1:] == core[:-1]
@@ -126,7 +162,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     several = (reaches > 1)[group] | (group == 0) | (group == group[-1])
     compare = leads & several
     keep = whole | compare
-    yield pa.RecordBatch.from_arrays([*(table.column(i).combine_chunks().filter(pa.array(keep)) for i in (2, 3, 4)), pa.array(whole[keep]), pa.array(compare[keep])], ["uid", "first", "n", "whole", "compare"])
+    yield pa.RecordBatch.from_arrays([*(table.column(i).combine_chunks().filter(pa.array(keep)) for i in (2, 3, 4)), pa.array(whole[keep]), pa.array(compare[keep])], names)
 
 
 def _windows(length: int):
@@ -198,7 +234,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", "text").repartition("uid")
-    found = texts.mapInArrow(_classes(length), "core long, reach long, uid long, first int, n int")
+    found = texts.mapInArrow(_classes(length), "core long, reach long, uid long, first int, n int, known boolean")
     found = found.repartitionByRange(ranges, "core", "reach", "uid", "first").sortWithinPartitions("core", "reach")
     found = found.mapInArrow(_neighbours, "uid long, first int, n int, whole boolean, compare boolean")
     runs = found.groupBy("uid").agg(F.collect_list(F.struct("first", "n", "whole", "compare")).alias("_runs"))
