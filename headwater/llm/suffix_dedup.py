@@ -35,7 +35,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,74 +108,84 @@ def _runs(row: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
     return first[new], end[np.append(new[1:], True)], row[new]
 
 
+def _settled(keys: np.ndarray, order: np.ndarray, row: np.ndarray, first: np.ndarray, n: np.ndarray, uid: np.ndarray) -> pa.RecordBatch:
+    """Settles what repeats among these rows by `keys`: it becomes runs, and one row of each goes on in `order`.
+
+    `spot` packs the first window, the number of windows and whether they are settled
+    into one number, which the shuffle compresses better than three.
+    """
+    _, lead, which, times = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    known = times[which] > 1
+    on = ~known
+    on[lead] = True
+    a, b, of = _runs(row[known], first[known], n[known])
+    columns = [
+        np.append(order[on], _REACH.code[of % 256] * (a + of + 1).astype(np.uint64)).view(np.int64),  # settled runs: anywhere in the order
+        np.append(keys[on], np.zeros(len(a), np.uint64)).view(np.int64),
+        uid[np.append(row[on], of)],
+        np.append(first[on] << 32 | n[on] << 1, a << 32 | (b - a) << 1 | 1),
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["core", "reach", "uid", "spot"])
+
+
+def _unpack(spot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return (spot >> 32).astype(np.int32), (spot >> 1 & 0x7FFFFFFF).astype(np.int32), (spot & 1).astype(bool)
+
+
 def _classes(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid = batch.column(0).to_numpy(zero_copy_only=False)
             for raw, at, first_row, base in _pieces(batch.column(2), length):
                 core, reach, row, first, n = classes(raw, at, length)
-                if not len(core):
-                    continue
-                # classes that repeat within these texts are settled here; one of them goes on for all
-                _, lead, which, times = np.unique(reach, return_index=True, return_inverse=True, return_counts=True)
-                known = times[which] > 1
-                on = ~known
-                on[lead] = True
-                a, b, of = _runs(row[known], first[known], n[known])
-                columns = [
-                    np.append(core[on], _REACH.code[of % 256] * (a + of + 1).astype(np.uint64)).view(np.int64),  # settled runs: anywhere in the order
-                    np.append(reach[on], np.zeros(len(a), np.uint64)).view(np.int64),
-                    uid[first_row + np.append(row[on], of)],
-                    (np.append(first[on], a) + base).astype(np.int32),
-                    np.append(n[on], b - a).astype(np.int32),
-                    np.append(np.zeros(on.sum(), bool), np.ones(len(a), bool)),
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["core", "reach", "uid", "first", "n", "known"])
+                if len(core):
+                    yield _settled(reach, core, row, first + base, n, uid[first_row:])
 
     return run
 
 
+def _sorted_part(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+    """core, reach, uid and spot of a partition."""
+    table = pa.Table.from_batches(list(batches), pa.schema([(c, pa.int64()) for c in ("core", "reach", "uid", "spot")]))
+    return [table.column(i).to_numpy() for i in range(4)]
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From one range of the order: classes that repeat whole, and those whose windows must be compared."""
-    names = ["uid", "first", "n", "whole", "compare"]
-    found = []
-    for batch in batches:
-        known = batch.column(5)
-        settled = batch.filter(known)
-        if settled.num_rows:
-            yes = pa.array(np.ones(settled.num_rows, bool))
-            yield pa.RecordBatch.from_arrays([*settled.columns[2:5], yes, pc.invert(yes)], names)
-        found.append(batch.filter(pc.invert(known)))
-    table = pa.Table.from_batches(found) if found else None
-    if not table or not table.num_rows:
+    core, reach, uid, spot = _sorted_part(batches)
+    if not len(core):
         return
-    core, reach = table.column(0).to_numpy(), table.column(1).to_numpy()
-    same_core = core[1:] == core[:-1]
-    same = same_core & (reach[1:] == reach[:-1])
-    no = np.zeros(1, bool)
-    leads = ~np.append(no, same)  # the first of a run of equal reach
-    whole = np.append(no, same) | np.append(same, no)
-    # cores with a second reach, and the first and last core of the range
-    group = np.append(0, np.cumsum(~same_core))
-    reaches = np.bincount(group, leads)
-    several = (reaches > 1)[group] | (group == 0) | (group == group[-1])
-    compare = leads & several
+    first, n, whole = _unpack(spot)
+    compare = np.zeros(len(core), bool)
+    at = np.flatnonzero(~whole)
+    if len(at):
+        core, reach = core[at], reach[at]
+        same_core = core[1:] == core[:-1]
+        same = same_core & (reach[1:] == reach[:-1])
+        no = np.zeros(1, bool)
+        leads = ~np.append(no, same)  # the first of a run of equal reach
+        whole[at] = np.append(no, same) | np.append(same, no)
+        # cores with a second reach, and the first and last core of the range
+        group = np.append(0, np.cumsum(~same_core))
+        several = (np.bincount(group, leads) > 1)[group] | (group == 0) | (group == group[-1])
+        compare[at] = leads & several
     keep = whole | compare
-    yield pa.RecordBatch.from_arrays([*(table.column(i).combine_chunks().filter(pa.array(keep)) for i in (2, 3, 4)), pa.array(whole[keep]), pa.array(compare[keep])], names)
+    yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (uid, first, n, whole, compare)], ["uid", "first", "n", "whole", "compare"])
 
 
 def _windows(length: int):
-    """Hashes of the windows of the classes to compare."""
+    """Hashes of the windows of the classes to compare, those settled that repeat within a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found, size = [], 0
+            uid = batch.column(0).to_numpy(zero_copy_only=False)
             for i in range(batch.num_rows):
-                found = batch.column(3)[i].values
+                classes_ = batch.column(3)[i].values
                 # rows of one id and text bring their classes once each; one set of them does
-                first, which = np.unique(found.field(0).to_numpy(), return_index=True)
-                n = found.field(1).to_numpy()[which]
+                first, which = np.unique(classes_.field(0).to_numpy(), return_index=True)
+                n = classes_.field(1).to_numpy()[which]
                 raw = np.frombuffer((batch.column(2)[i].as_py() or "").encode(), np.uint8)
-                keys, starts = [], []
                 # by pieces of the text, as in parsing, so that a long text needs no long tables
                 for a in range(0, max(1, len(raw)), PIECE):
                     mine = (first >= a) & (first < a + PIECE)
@@ -184,18 +193,36 @@ def _windows(length: int):
                         continue
                     lo, count = first[mine].astype(np.int64), n[mine].astype(np.int64)
                     at = np.repeat(lo - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
-                    low, high = at.min(), at.max() + length
-                    piece = raw[low:high]
-                    at = at - low
-                    keys.append(_CORE.spans(_CORE.prefix(piece), at, at + length) ^ _REACH.spans(_REACH.prefix(piece), at, at + length))
-                    starts.append(at + low)
-                if keys:
-                    keys, starts = np.concatenate(keys), np.concatenate(starts)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), batch.column(0)[i].as_py())), pa.array(starts.astype(np.int32))], ["window", "uid", "first"])
+                    low = at.min()
+                    piece, at = raw[low : at.max() + length], at - low
+                    keys = _CORE.spans(_CORE.prefix(piece), at, at + length) ^ _REACH.spans(_REACH.prefix(piece), at, at + length)
+                    found.append((keys, np.full(len(keys), i), at + low))
+                    size += len(keys)
+                if size > 500_000:
+                    yield _joint(found, uid)
+                    found, size = [], 0
+            if found:
+                yield _joint(found, uid)
 
     return run
 
 
+def _joint(found: list[tuple[np.ndarray, ...]], uid: np.ndarray) -> pa.RecordBatch:
+    keys, row, first = (np.concatenate(c) for c in zip(*found, strict=True))
+    return _settled(keys, keys, row, first, np.ones(len(keys), np.int64), uid)
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of windows in order, those that have an equal neighbour, and those settled before."""
+    keys, _, uid, spot = _sorted_part(batches)
+    first, n, whole = _unpack(spot)
+    at = np.flatnonzero(~whole)
+    same = keys[at][1:] == keys[at][:-1]
+    no = np.zeros(min(1, len(at)), bool)
+    whole[at] = np.append(no, same) | np.append(same, no)
+    yield pa.RecordBatch.from_arrays([pa.array(c[whole]) for c in (uid, first, n)], ["uid", "first", "n"])
+
+
 def merged(first: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs [start, end) of bytes covered by windows starting in [first, first + n)."""
     order = np.argsort(first, kind="stable")
@@ -234,14 +261,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", "text").repartition("uid")
-    found = texts.mapInArrow(_classes(length), "core long, reach long, uid long, first int, n int, known boolean")
-    found = found.repartitionByRange(ranges, "core", "reach", "uid", "first").sortWithinPartitions("core", "reach")
+    found = texts.mapInArrow(_classes(length), "core long, reach long, uid long, spot long")
+    found = found.repartitionByRange(ranges, "core", "reach", "uid", "spot").sortWithinPartitions("core", "reach")
     found = found.mapInArrow(_neighbours, "uid long, first int, n int, whole boolean, compare boolean")
     runs = found.groupBy("uid").agg(F.collect_list(F.struct("first", "n", "whole", "compare")).alias("_runs"))
     unsure = runs.select(F.col("uid").alias("_uid"), F.transform(F.filter("_runs", lambda r: r["compare"]), lambda r: F.struct(r["first"].alias("first"), r["n"].alias("n"))).alias("_compare")).filter(F.size("_compare") > 0)
-    windows = texts.join(unsure, F.col("uid") == F.col("_uid")).select("uid", "doc_id", "text", "_compare").mapInArrow(_windows(length), "window long, uid long, first int")
-    again = windows.groupBy("window").count().filter("count > 1").select("window")
-    singles = windows.join(again, "window", "left_semi").groupBy("uid").agg(F.collect_set("first").alias("_first")).select(F.col("uid").alias("_uid2"), F.transform("_first", lambda f: F.struct(f.alias("first"), F.lit(1).alias("n"))).alias("_singles"))
+    windows = texts.join(unsure, F.col("uid") == F.col("_uid")).select("uid", "doc_id", "text", "_compare").mapInArrow(_windows(length), "core long, reach long, uid long, spot long")
+    # settled batch by batch, so a window has as many rows as there are batches at most
+    windows = windows.repartition("core").sortWithinPartitions("core").mapInArrow(_repeated, "uid long, first int, n int")
+    singles = windows.groupBy("uid").agg(F.collect_list(F.struct("first", "n")).alias("_singles")).withColumnRenamed("uid", "_uid2")
     certain = runs.select(F.col("uid").alias("_uid"), F.transform(F.filter("_runs", lambda r: r["whole"]), lambda r: F.struct(r["first"].alias("first"), r["n"].alias("n"))).alias("_whole"))
     none = F.array().cast("array<struct<first:int,n:int>>")
     out = texts.join(certain, F.col("uid") == F.col("_uid"), "left").join(singles, F.col("uid") == F.col("_uid2"), "left")
