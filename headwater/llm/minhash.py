@@ -10,11 +10,12 @@
    bits, corrected for chance collisions. Pairs SIGMAS standard errors under the
    threshold go; the others are decided on their full sets.
 4. Links make components. A bucket whose sets are then not all in one component
-   gets a second look: its sets outside the largest component are compared with
-   all its sets of other components, in salted blocks, by signature, and what
-   the estimate keeps is again decided on full sets. Pairs that are already
-   connected need no test. So no link between components is lost in any bucket,
-   and no bucket's pairs are listed.
+   gets a second look: its sets outside the largest component meet all its sets
+   of other components, in salted blocks, by signature. Components that may be
+   linked make clusters, and the full sets of a cluster meet in pairs of blocks
+   of about SIDE sets, by products of indicator matrices. A task returns a forest
+   over components, never pairs, so no link between components is lost and the
+   rows stay linear.
 
 A pair at the threshold of 0.85 misses every bucket with probability 2e-8.
 
@@ -41,7 +42,9 @@ from .components import components
 BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 SIGMAS = 6.0
+#: Signatures of a bucket, and sets of a cluster, that meet in one task.
 BLOCK = 1024
+SIDE = 256
 
 _ROLLER = Roller(404)
 _RNG = np.random.default_rng(4)
@@ -132,20 +135,79 @@ def _likely(least: float):
     return run
 
 
-def _blocks(least: float):
-    """In a block of one bucket: sets outside the largest component against members of other components."""
+class _Forest:
+    """Union-find over component ids, inside one task."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _alike(least: float):
+    """In a block of one bucket: which components may be linked, as a forest over them.
+
+    Sets outside the bucket's largest component meet the block's sets by signature.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        out_ = group[group["outside"]]
-        in_ = group[~group["outside"]]
-        found = []
+        out_, in_ = group[group["outside"]], group[~group["outside"]]
+        forest, found = _Forest(), []
         if len(out_) and len(in_):
             a, b = (np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(-1, HASHES) for x in (out_, in_))
-            ids, others, c, d = out_["id"].to_numpy(), in_["id"].to_numpy(), out_["comp"].to_numpy(), in_["comp"].to_numpy()
+            c, d = out_["comp"].to_numpy(), in_["comp"].to_numpy()
             for i in range(len(a)):
-                hit = (d != c[i]) & (_estimate(a[i], b) >= least)
-                found += [(min(ids[i], x), max(ids[i], x)) for x in others[hit]]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+                for x in np.unique(d[(d != c[i]) & (_estimate(a[i], b) >= least)]).tolist():
+                    if forest.join(int(c[i]), x):
+                        found.append((int(c[i]), x))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def common(a: list[np.ndarray], b: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of all sets of a with all sets of b, by products of indicator matrices."""
+    sizes = [len(x) for x in (*a, *b)]
+    both, column = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(a), len(b)), np.int64)
+    for low in range(0, len(both), width):
+        i, j = np.searchsorted(column, (low, low + width))
+        part = np.zeros((len(sizes), min(width, len(both) - low)), np.float32)
+        part[row[i:j], column[i:j] - low] = 1
+        total += (part[: len(a)] @ part[len(a) :].T).astype(np.int64)  # sums of at most `width` ones are exact
+    return total
+
+
+def _links(percent: int):
+    """In a pair of blocks of one cluster: links between components on full sets, as a forest over them."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        p, q = group["p"].iloc[0], group["q"].iloc[0]
+        left = group[group["block"] == p]
+        right = group[group["block"] == q]
+        forest, found = _Forest(), []
+        if len(left) and len(right):
+            a, b = ([np.frombuffer(x, np.uint64) for x in side["shingles"]] for side in (left, right))
+            both = common(a, b)
+            union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b]) - both
+            c, d = left["comp"].to_numpy(), right["comp"].to_numpy()
+            i, j = np.nonzero((100 * both >= percent * union) & (c[:, None] != d))
+            m, n = left["id"].to_numpy(), right["id"].to_numpy()
+            found = [(m[x], n[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True) if forest.join(int(c[x]), int(d[y]))]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -176,19 +238,37 @@ def _confirm(percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, lower: bool, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     sigs = reps.select("rep", "sig")
     pairs = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-    pairs = stage(pairs.select("a", "b", "sa", "sb").mapInArrow(_likely(cutoff(percent / 100)), "a long, b long"), "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(needed, "doc_id", "left_semi")
-    sets = stage(texts.mapInArrow(_sets(words, lower), "id long, shingles binary"), "sets")
+    pairs = cut(pairs.select("a", "b", "sa", "sb").mapInArrow(_likely(cutoff(percent / 100)), "a long, b long"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    links = cut(both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long").distinct())
-    for table in (pairs, sets):
-        drop_stage(table)
-    return links
+    return cut(both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long").distinct())
+
+
+def _second_look(shared: DataFrame, one: DataFrame, sets: DataFrame, joined: DataFrame, percent: int) -> DataFrame | None:
+    """Links between components that share a bucket but whose sets were not paired with each other; None without any."""
+    member = shared.select("bucket", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
+    parts = member.groupBy("bucket", "comp").count()
+    parts = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"), F.sum("count").alias("n"), F.count("*").alias("k"))
+    # in a bucket of two sets the one pair was tested
+    parts = parts.filter("k > 1 and n > 2").select("bucket", "major", "n")
+    unsure = member.join(parts, "bucket").withColumn("_blocks", F.ceil(F.col("n") / BLOCK).cast("int")).join(one.select("rep", "sig"), "rep")
+    inside = unsure.select("bucket", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int").alias("block"), F.lit(False).alias("outside"), "comp", "sig")
+    outside = unsure.filter("comp <> major").select("bucket", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"), F.lit(True).alias("outside"), "comp", "sig")
+    alike = cut(inside.unionByName(outside).groupBy("bucket", "block").applyInPandas(_alike(cutoff(percent / 100)), "a long, b long").distinct())
+    if not alike.limit(1).count():
+        return None
+    # components that may be linked make clusters; a cluster's sets meet in pairs of bounded blocks
+    clusters = components(alike)
+    clusters = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct()).withColumnsRenamed({"node": "comp", "component": "cluster"})
+    members = one.select("rep").join(joined, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("comp")).join(clusters, "comp")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("_n"))
+    members = members.join(sizes, "cluster").select("cluster", "comp", F.col("rep").alias("id"), F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int").alias("block"), "_n")
+    spread = members.join(sets, "id").select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_other"))
+    spread = spread.select("cluster", F.least("block", "_other").alias("p"), F.greatest("block", "_other").alias("q"), "block", "id", "comp", "shingles")
+    return cut(spread.groupBy("cluster", "p", "q").applyInPandas(_links(percent), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
@@ -206,27 +286,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, lower: b
     hubs = buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("_last")).filter("hub < _last").select("bucket", "hub")
     shared = stage(buckets.join(hubs, "bucket"), "buckets")  # only buckets of two sets or more
     pairs = shared.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _confirmed(pairs, one, docs, words, lower, percent)
-    # rows of one id but different sets stay one document
-    joined = components(links)
-    # --- second look at buckets that are not yet in one component
-    member = shared.select("bucket", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
-    parts = member.groupBy("bucket", "comp").count()
-    parts = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"), F.sum("count").alias("n"), F.count("*").alias("k")).filter("k > 1").select("bucket", "major", "n")
-    # a pair was tested if it is of the hub; buckets of two sets hold no other
-    parts = parts.filter("n > 2")
-    open_ = member.join(parts, "bucket").withColumn("_blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    open_ = cut(open_)
-    if open_.limit(1).count():
-        open_ = open_.join(one.select("rep", "sig"), "rep")
-        inside = open_.select("bucket", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int").alias("block"), F.lit(False).alias("outside"), F.col("rep").alias("id"), "comp", "sig")
-        outside = open_.filter("comp <> major").select("bucket", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"), F.lit(True).alias("outside"), F.col("rep").alias("id"), "comp", "sig")
-        more = inside.unionByName(outside).groupBy("bucket", "block").applyInPandas(_blocks(cutoff(percent / 100)), "a long, b long").distinct()
-        more = more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        more = cut(more)
-        if more.limit(1).count():
-            links = links.unionByName(_confirmed(more, one, docs, words, lower, percent))
-            joined = components(links)
+    needed = shared.select(F.col("rep").alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(needed, "doc_id", "left_semi")
+    sets = stage(texts.mapInArrow(_sets(words, lower), "id long, shingles binary"), "sets")
+    links = _confirmed(pairs, one, sets, percent)
+    joined = cut(components(links))
+    more = _second_look(shared, one, sets, joined, percent)
+    if more is not None:
+        joined = cut(components(links.unionByName(more)))
+    for table in (shared, sets, one):
+        drop_stage(table)
     classes = reps.join(joined, F.col("rep") == F.col("node"), "left").select(F.col("key1").alias("_k1"), F.col("key2").alias("_k2"), F.coalesce("component", "rep").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "key1", "key2").join(classes, (F.col("key1") == F.col("_k1")) & (F.col("key2") == F.col("_k2")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
