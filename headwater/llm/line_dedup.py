@@ -58,21 +58,25 @@ def _candidates(docs: DataFrame, divisor: int, least: int) -> DataFrame:
     return rows.filter(full).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), "uid", "place", F.array_join("lines", "\n").alias("chunk"))
 
 
-def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST) -> DataFrame:
-    """(uid, place) of every occurrence that goes."""
-    found = _candidates(docs, divisor, least).withColumn("key", F.xxhash64("chunk"))
+def repeated_chunks(docs: DataFrame, texts: DataFrame, divisor: int = DIVISOR, least: int = LEAST) -> DataFrame:
+    """(uid, place) of every occurrence that goes; texts: docs with uid, partitioned by it."""
+    found = _candidates(docs, divisor, least).select("doc_id", "uid", "place", F.xxhash64("chunk").alias("key"))
     order = F.struct("doc_id", "uid", "place")
     stays = found.groupBy("key").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first <> last").select("key", "first")
-    again = found.join(stays, "key")
-    kept = again.filter(order == F.col("first")).select("key", F.col("chunk").alias("bytes")).dropDuplicates(["key"])
-    gone = again.filter(order != F.col("first")).join(kept, "key").filter(F.col("chunk") == F.col("bytes"))
-    return gone.select("uid", "place")
+    again = found.join(stays, "key").select("uid", F.struct("place", "key", (order == F.col("first")).alias("stays")).alias("_c"))
+    again = again.groupBy(F.col("uid").alias("_uid")).agg(F.collect_set("_c").alias("_wanted"))
+    # only chunks whose hash repeats bring their bytes
+    rows = with_chunks(texts.join(again, F.col("uid") == F.col("_uid")), divisor)
+    rows = rows.select("uid", F.explode_outer(F.transform("_wanted", lambda c: F.struct(c["place"].alias("place"), c["key"].alias("key"), c["stays"].alias("stays"), F.array_join(F.get("_chunks", c["place"]), "\n").alias("chunk")))).alias("c")).select("uid", "c.*")
+    kept = rows.filter("stays").select("key", F.col("chunk").alias("bytes")).dropDuplicates(["key"])
+    return rows.filter("not stays").join(kept, "key").filter(F.col("chunk") == F.col("bytes")).select("uid", "place")
 
 
 def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST) -> DataFrame:
     """docs with the repeated chunks cut out of text, and n_chunks, n_removed (chunks)."""
-    gone = repeated_chunks(docs, divisor, least).groupBy(F.col("uid").alias("_uid")).agg(F.collect_set("place").alias("_gone"))
-    out = docs.select("*", _uid()).join(gone, F.col("uid") == F.col("_uid"), "left")
+    texts = docs.select("*", _uid()).repartition("uid")  # one exchange for the comparison and the result
+    gone = repeated_chunks(docs, texts, divisor, least).groupBy(F.col("uid").alias("_uid")).agg(F.collect_set("place").alias("_gone"))
+    out = texts.join(gone, F.col("uid") == F.col("_uid"), "left")
     out = with_chunks(out, divisor)
     left = F.filter("_chunks", lambda c, i: ~F.array_contains("_gone", i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(left), "\n"))
