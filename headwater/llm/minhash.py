@@ -11,7 +11,7 @@
    threshold go; the others are decided on their full sets.
 4. Links make components. A bucket whose sets are then not all in one component
    gets a second look: its sets outside the largest component meet all its sets
-   of other components, in salted blocks, by signature. Components that may be
+   of other components, in pairs of salted blocks, by signature. Components that may be
    linked make clusters, and the full sets of a cluster meet in pairs of blocks
    of about SIDE sets, by products of indicator matrices. A task returns a forest
    over components, never pairs, so no link between components is lost and the
@@ -155,7 +155,7 @@ class _Forest:
 
 
 def _alike(least: float):
-    """In a block of one bucket: which components may be linked, as a forest over them.
+    """In a pair of blocks of one bucket: which components may be linked, as a forest over them.
 
     Sets outside the bucket's largest component meet the block's sets by signature.
     """
@@ -251,13 +251,17 @@ def _second_look(shared: DataFrame, one: DataFrame, sets: DataFrame, joined: Dat
     """Links between components that share a bucket but whose sets were not paired with each other; None without any."""
     member = shared.select("bucket", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
     parts = member.groupBy("bucket", "comp").count()
-    parts = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"), F.sum("count").alias("n"), F.count("*").alias("k"))
+    parts = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"), F.sum("count").alias("n"), F.max("count").alias("_most"), F.count("*").alias("k"))
     # in a bucket of two sets the one pair was tested
-    parts = parts.filter("k > 1 and n > 2").select("bucket", "major", "n")
-    unsure = member.join(parts, "bucket").withColumn("_blocks", F.ceil(F.col("n") / BLOCK).cast("int")).join(one.select("rep", "sig"), "rep")
-    inside = unsure.select("bucket", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int").alias("block"), F.lit(False).alias("outside"), "comp", "sig")
-    outside = unsure.filter("comp <> major").select("bucket", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"), F.lit(True).alias("outside"), "comp", "sig")
-    alike = cut(inside.unionByName(outside).groupBy("bucket", "block").applyInPandas(_alike(cutoff(percent / 100)), "a long, b long").distinct())
+    rows = lambda n: F.ceil(n / BLOCK).cast("int")
+    parts = parts.filter("k > 1 and n > 2").select("bucket", "major", rows(F.col("n")).alias("_in"), rows(F.col("n") - F.col("_most")).alias("_out"))
+    unsure = member.join(parts, "bucket").join(one.select("rep", "sig"), "rep")
+    # both sides in blocks, so that a group stays bounded however many sets are outside
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    inside = unsure.select("bucket", own("_in").alias("i"), every("_out").alias("o"), F.lit(False).alias("outside"), "comp", "sig")
+    outside = unsure.filter("comp <> major").select("bucket", every("_in").alias("i"), own("_out").alias("o"), F.lit(True).alias("outside"), "comp", "sig")
+    alike = cut(inside.unionByName(outside).groupBy("bucket", "i", "o").applyInPandas(_alike(cutoff(percent / 100)), "a long, b long").distinct())
     if not alike.limit(1).count():
         return None
     # components that may be linked make clusters; a cluster's sets meet in pairs of bounded blocks
