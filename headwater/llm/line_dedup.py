@@ -14,7 +14,7 @@ Defined cases: a null text stays null and has no chunk; blank lines belong to
 chunks, but a chunk needs `least` lines that are not blank to be removed; rows
 that share id and text are one document and are treated alike; a null id comes
 after all others; an empty table gives an empty result; other columns are kept
-as they are.
+as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -74,14 +74,21 @@ def repeated_chunks(docs: DataFrame, texts: DataFrame, divisor: int = DIVISOR, l
 
 def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST) -> DataFrame:
     """docs with the repeated chunks cut out of text, and n_chunks, n_removed (chunks)."""
-    texts = docs.select("*", _uid()).repartition("uid")  # one exchange for the comparison and the result
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # the other columns ride in a struct, where their names can't clash with those made here
+    riding = [F.struct(*[f"`{c}`" for c in rest]).alias("_rest")] if rest else []
+    texts = docs.select("doc_id", "text", *riding, _uid()).repartition("uid")  # one exchange for the comparison and the result
     gone = repeated_chunks(docs, texts, divisor, least).groupBy(F.col("uid").alias("_uid")).agg(F.collect_set("place").alias("_gone"))
     out = texts.join(gone, F.col("uid") == F.col("_uid"), "left")
     out = with_chunks(out, divisor)
     left = F.filter("_chunks", lambda c, i: ~F.array_contains("_gone", i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(left), "\n"))
-    return out.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns],
+    made = F.struct(
+        text.alias("text"),
         F.coalesce(F.size("_chunks"), F.lit(0)).cast("long").alias("n_chunks"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
+    # a caller's filter on these columns can't be pushed below a generator, where it would spell out all steps for every line
+    out = out.select("doc_id", *["_rest" for _ in riding], F.explode_outer(F.array(made)).alias("_made"))
+    columns = {"doc_id": F.col("doc_id"), "text": F.col("_made")["text"]}
+    return out.select(*[columns.get(c, F.col("_rest")[c]).alias(c) for c in docs.columns], F.col("_made")["n_chunks"].alias("n_chunks"), F.col("_made")["n_removed"].alias("n_removed"))

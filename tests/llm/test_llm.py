@@ -393,6 +393,11 @@ def test_line_dedup(docs, rows, empty):
     assert out(got, "doc_id", "text", "n_chunks", "n_removed") == sorted(want, key=repr)
     assert sum(w[3] for w in want) > 0
     assert line_dedup.dedup_lines(empty).count() == 0
+    assert line_dedup.dedup_lines(docs.select("doc_id", "text")).columns == ["doc_id", "text", "n_chunks", "n_removed"]
+    odd = docs.withColumnsRenamed({"lang": "uid", "source": "_uid", "rank": "_lines"})
+    got = line_dedup.dedup_lines(odd)
+    assert got.columns[:-2] == odd.columns
+    assert out(got, "doc_id", "text", "uid", "_uid") == out(line_dedup.dedup_lines(docs), "doc_id", "text", "lang", "source")
 
 
 # --- 8 ------------------------------------------------------------------------
