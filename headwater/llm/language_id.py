@@ -10,9 +10,12 @@ character. It is rejected if even that exceeds the language's own training
 cross-entropy by more than `SLACK` nats plus `DEVIATIONS` standard errors, both
 moments taken from all training characters.
 
-Bounds: at most MAX_LANGUAGES languages, the most frequent ones, and
-MAX_GRAMS 4-grams of each, the most frequent ones (ties at the cut are left
-out), so the model that is broadcast has a proven size.
+Bounds: at most MAX_LANGUAGES languages, the most frequent ones. While no
+language has over MAX_GRAMS 4-grams the models are broadcast whole. Beyond that
+the probabilities of all orders are tables, made by joins from all counts, and
+only those of about MAX_GRAMS 4-grams of each language are broadcast, to save
+work: the other 4-grams of a text are joined with the tables. The results are the
+same whichever are broadcast.
 
 Defined cases: null text or one without a letter is `und` with score 0 and
 rejected; null lang is never trained on; without any training text all are
@@ -28,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, segment_sum, slices
+from .common import cut, segment_sum, slices, stage
 
 ORDER = 4
 MAX_LANGUAGES = 200
@@ -202,12 +205,79 @@ class Model:
         return out
 
 
-def train(rows: DataFrame, max_grams: int = MAX_GRAMS, max_languages: int = MAX_LANGUAGES) -> Model | None:
+def _suffix(gram: Column, k: int) -> Column:
+    """The last k symbols of a packed gram."""
+    return gram.bitwiseAND((1 << 16 * k) - 1)
+
+
+class Tables:
+    """The same models as tables of probabilities by order, for counts of any size, with a bounded part of them in arrays.
+
+    seen: for each order (gram, _p: language to probability); unseen: for each order (ctx, _b: language to the weight of the
+    lower order). Where a language is in neither map, the weight is 1. keys, rows: some 4-grams and their log-probabilities.
+    """
+
+    def __init__(self, langs: list[str], counts: DataFrame, some: Column):
+        """counts: (i, gram, n), i the place in langs; some: which of these rows are broadcast."""
+        self.langs, self.seen, self.unseen = langs, [], []
+        tables = [counts]
+        for k in range(ORDER - 1, 0, -1):  # types of order k + 1 by their last k symbols
+            tables.insert(0, cut(tables[0].groupBy("i", _suffix(F.col("gram"), k).alias("gram")).agg(F.count("*").alias("n"))))
+        self.base = 1.0 / max(2, tables[0].select("gram").distinct().count())
+        p = None
+        for k, table in enumerate(tables, 1):
+            discounts = [0.5] * len(langs)
+            for i, ones, twos in table.groupBy("i").agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).collect():
+                if ones and twos:
+                    discounts[i] = min(0.95, ones / (ones + 2 * twos))
+            discount = F.element_at(F.array(*[F.lit(d) for d in discounts]), F.col("i") + 1)
+            table = table.withColumn("ctx", F.shiftrightunsigned("gram", 16))
+            back = table.groupBy("i", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+            back = cut(back.select("i", "ctx", "total", (discount * F.col("kinds") / F.col("total")).alias("back")))
+            table, lower = table.join(back, ["i", "ctx"]), F.lit(self.base)
+            if p is not None:
+                table = table.withColumn("low", _suffix(F.col("gram"), k - 1)).join(p.select("i", F.col("gram").alias("low"), F.col("p").alias("lower")), ["i", "low"])
+                lower = F.col("lower")
+            p = cut(table.select("i", "gram", "n", ((F.col("n") - discount) / F.col("total") + F.col("back") * lower).alias("p")))
+            pairs = lambda x: F.map_from_entries(F.collect_list(F.struct("i", x)))
+            self.seen.append(cut(p.groupBy("gram").agg(pairs("p").alias("_p"))))
+            self.unseen.append(cut(back.groupBy("ctx").agg(pairs("back").alias("_b"))))
+        x = -F.log("p")
+        self.mean, self.deviation = np.zeros(len(langs)), np.ones(len(langs))
+        for i, mean in p.groupBy("i").agg(F.sum(x * F.col("n")) / F.sum("n")).collect():
+            self.mean[i] = mean
+        off = x - F.element_at(F.array(*[F.lit(float(m)) for m in self.mean]), F.col("i") + 1)
+        for i, variance in p.groupBy("i").agg(F.sum(off * off * F.col("n")) / F.sum("n")).collect():
+            self.deviation[i] = np.sqrt(variance)
+        own = self.logp(p.filter(some).select("gram").distinct()).toArrow()
+        keys = own.column("gram").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.rows = own.column("logp").combine_chunks().flatten().to_numpy().reshape(-1, len(langs))[order]
+
+    def logp(self, grams: DataFrame) -> DataFrame:
+        """(gram, logp: an array by language) of distinct 4-grams, known or not."""
+        return self._p(grams, ORDER).select("gram", F.transform("_v", lambda v: F.log(v)).alias("logp"))
+
+    def _p(self, grams: DataFrame, k: int) -> DataFrame:
+        out = grams.select("gram", F.shiftrightunsigned("gram", 16).alias("ctx"), _suffix(F.col("gram"), k - 1).alias("low"))
+        out = out.join(self.seen[k - 1], "gram", "left").join(self.unseen[k - 1], "ctx", "left")
+        lower = lambda i: F.lit(self.base)
+        if k > 1:
+            below = self._p(out.select(F.col("low").alias("gram")).distinct(), k - 1)
+            out = out.join(below.select(F.col("gram").alias("low"), F.col("_v").alias("_l")), "low")
+            lower = lambda i: F.get("_l", i)
+        every = F.array(*[F.lit(i) for i in range(len(self.langs))])
+        own = lambda i: F.coalesce(F.try_element_at("_p", i), F.coalesce(F.try_element_at("_b", i), F.lit(1.0)) * lower(i))
+        return out.select("gram", F.transform(every, own).alias("_v"))
+
+
+def train(rows: DataFrame, max_grams: int = MAX_GRAMS, max_languages: int = MAX_LANGUAGES) -> Model | Tables | None:
     """The models of all languages of (lang, text) rows; None without any."""
     rows = rows.filter(F.col("lang").isNotNull())
     counts = rows.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(_count, "lang string, gram long, n long")
     counts = cut(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    # a row for each language and power of two: where to cut so that the model stays in bounds
+    # a row for each language and power of two: whether, or which part of, the models can be broadcast
     sizes: dict[str, dict[int, int]] = {}
     mass: dict[str, int] = {}
     by_size = counts.groupBy("lang", F.floor(F.log2("n")).cast("int").alias("p")).agg(F.count("*").alias("k"), F.sum("n").alias("m"))
@@ -215,55 +285,123 @@ def train(rows: DataFrame, max_grams: int = MAX_GRAMS, max_languages: int = MAX_
     for r in by_size.filter(F.col("lang").isin(top)).collect() if top else []:
         sizes.setdefault(r["lang"], {})[r["p"]] = r["k"]
         mass[r["lang"]] = mass.get(r["lang"], 0) + r["m"]
-    langs, tables = sorted(sizes), []
-    for lang in langs:
-        least, n = 0, 0
-        for p in sorted(sizes[lang], reverse=True):
-            n += sizes[lang][p]
-            if n > max_grams:
-                least = 1 << (p + 1)
+    langs = sorted(sizes)
+    if not langs:
+        return None
+    if all(sum(k.values()) <= max_grams for k in sizes.values()):
+        tables = []
+        for lang in langs:
+            own = counts.filter(F.col("lang") == lang).select("gram", "n").toArrow()
+            tables.append((own.column(0).to_numpy().view(np.uint64), own.column(1).to_numpy()))
+        return Model(langs, tables)
+    some = F.lit(False)
+    for i, lang in enumerate(langs):
+        room = max_grams
+        for p in sorted(sizes[lang], reverse=True):  # the most frequent ones, and of the last power as many as there is room for
+            share = min(1.0, room / sizes[lang][p])
+            some = some | ((F.col("i") == i) & (F.floor(F.log2("n")) == p) & (F.pmod(F.xxhash64("gram"), F.lit(1_000_000)) < int(1_000_000 * share)))
+            room -= sizes[lang][p]
+            if room <= 0:
                 break
-        own = counts.filter((F.col("lang") == lang) & (F.col("n") >= least)).select("gram", "n").toArrow()
-        tables.append((own.column(0).to_numpy().view(np.uint64), own.column(1).to_numpy()))
-    kept = [i for i, t in enumerate(tables) if len(t[0])]
-    return Model([langs[i] for i in kept], [tables[i] for i in kept]) if kept else None
+    places = F.array(*[F.lit(lang) for lang in langs])
+    counts = counts.filter(F.col("lang").isin(langs))
+    return Tables(langs, counts.select((F.array_position(places, F.col("lang")) - 1).cast("int").alias("i"), "gram", "n"), some)
 
 
 PREDICTION = "lang_pred string, score double, cross_entropy double, rejected boolean"
 
 
-def predict(docs: DataFrame, model: Model | None, slack: float = SLACK, deviations: float = DEVIATIONS) -> DataFrame:
+def _verdict(m: Model | Tables, h: np.ndarray, n: np.ndarray, letters: np.ndarray, slack: float, deviations: float) -> list[pa.Array]:
+    """PREDICTION's columns from texts' cross-entropies in each language, scored symbols and letters."""
+    names = np.array([*m.langs, UND], object)
+    b = h.argmin(axis=1)
+    low = h[np.arange(len(b)), b]
+    share = 1 / np.exp(-(h - low[:, None]) * np.minimum(n, EVIDENCE)[:, None]).sum(axis=1)
+    bad = low > m.mean[b] + slack + deviations * m.deviation[b] / np.sqrt(np.maximum(n, 1))
+    none = letters == 0
+    return [pa.array(names[np.where(none, len(m.langs), b)].tolist(), pa.string()), pa.array(np.where(none, 0.0, share)), pa.array(low, mask=none), pa.array(bad | none)]
+
+
+NAMES = ["lang_pred", "score", "cross_entropy", "rejected"]
+
+
+def predict(docs: DataFrame, model: Model | Tables | None, slack: float = SLACK, deviations: float = DEVIATIONS) -> DataFrame:
     """docs' columns other than text, then lang_pred, score, cross_entropy and rejected."""
-    spark = docs.sparkSession
     others = [c for c in docs.columns if c != "text"]
     if model is None:
         return docs.select(*others, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
-    shared = spark.sparkContext.broadcast(model)
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
+    schema = f"{kinds + ', ' if kinds else ''}{PREDICTION}"
+    if isinstance(model, Tables):
+        return _predict_by_join(docs.select(*others, "text"), model, slack, deviations, schema)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        names = np.array([*m.langs, UND], object)
         for batch in batches:
-            best, score, entropy, rejected = [], [], [], []
+            found = []
             for _, _, keys, letters, at in grams(batch.column(len(others))):
                 n = np.diff(at)
                 h = -segment_sum(m.score(keys), at) / np.maximum(n, 1)[:, None]
-                b = h.argmin(axis=1)
-                low = h[np.arange(len(b)), b]
-                share = 1 / np.exp(-(h - low[:, None]) * np.minimum(n, EVIDENCE)[:, None]).sum(axis=1)
-                bad = low > m.mean[b] + slack + deviations * m.deviation[b] / np.sqrt(np.maximum(n, 1))
-                none = letters == 0
-                best.append(np.where(none, len(m.langs), b))
-                score.append(np.where(none, 0.0, share))
-                entropy.append(np.where(none, np.nan, low))
-                rejected.append(bad | none)
-            if not best:
-                continue
-            entropy = np.concatenate(entropy)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(others)], pa.array(names[np.concatenate(best)].tolist(), pa.string()), pa.array(np.concatenate(score)), pa.array(entropy, mask=np.isnan(entropy)), pa.array(np.concatenate(rejected))],
-                [*others, "lang_pred", "score", "cross_entropy", "rejected"],
-            )
+                found.append(_verdict(m, h, n, letters, slack, deviations))
+            if found:
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *[pa.concat_arrays(c) for c in zip(*found, strict=True)]], [*others, *NAMES])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    return docs.select(*others, "text").mapInArrow(run, f"{kinds + ', ' if kinds else ''}{PREDICTION}")
+    return docs.select(*others, "text").mapInArrow(run, schema)
+
+
+class _Part:
+    """What the executors need of Tables."""
+
+    def __init__(self, tables: Tables):
+        self.langs, self.mean, self.deviation, self.keys, self.rows = tables.langs, tables.mean, tables.deviation, tables.keys, tables.rows
+
+
+def _predict_by_join(docs: DataFrame, tables: Tables, slack: float, deviations: float, schema: str) -> DataFrame:
+    """predict() with Tables; docs has text last. Texts' 4-grams that aren't broadcast meet their probabilities in a join."""
+    others, n_langs = docs.columns[:-1], len(tables.langs)
+    shared = docs.sparkSession.sparkContext.broadcast(_Part(tables))
+    made = ["__sums", "__n", "__letters", "__grams", "__times"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            done = []
+            for first, last, keys, letters, at in grams(batch.column(len(others))):
+                place = np.minimum(np.searchsorted(m.keys, keys), max(0, len(m.keys) - 1))
+                hit = m.keys[place] == keys if len(m.keys) else np.zeros(len(keys), bool)
+                logp = np.zeros((len(keys), n_langs))
+                logp[hit] = m.rows[place[hit]]
+                row, left = np.repeat(np.arange(last - first), np.diff(at))[~hit], keys[~hit]
+                order = np.lexsort((left, row))
+                row, left = row[order], left[order]
+                edge = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (left[1:] != left[:-1]))) if len(row) else np.zeros(0, np.int64)
+                offsets = pa.array(np.searchsorted(row[edge], np.arange(last - first + 1)).astype(np.int32))
+                done.append([
+                    pa.ListArray.from_arrays(pa.array((np.arange(last - first + 1) * n_langs).astype(np.int32)), pa.array(segment_sum(logp, at).ravel())),
+                    pa.array(np.diff(at).astype(np.int64)),
+                    pa.array(letters.astype(np.int64)),
+                    pa.ListArray.from_arrays(offsets, pa.array(left[edge].view(np.int64))),
+                    pa.ListArray.from_arrays(offsets, pa.array(np.diff(np.append(edge, len(row))).astype(np.int64))),
+                ])
+            if done:
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *[pa.concat_arrays(c) for c in zip(*done, strict=True)]], [*others, *made])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                sums, n, letters = batch.columns[len(others) :]
+                n = n.to_numpy()
+                h = -sums.flatten().to_numpy().reshape(-1, n_langs) / np.maximum(n, 1)[:, None]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *_verdict(m, h, n, letters.to_numpy(), slack, deviations)], [*others, *NAMES])
+
+    kinds = schema.removesuffix(PREDICTION)
+    # staged, since the rows' numbers must stay the same on both sides of the join
+    scanned = docs.mapInArrow(scan, f"{kinds}__sums array<double>, __n long, __letters long, __grams array<long>, __times array<long>")
+    scanned = stage(scanned.withColumn("__row", F.monotonically_increasing_id()), "language")
+    left = scanned.select("__row", F.explode(F.arrays_zip("__grams", "__times")).alias("_g")).select("__row", F.col("_g.__grams").alias("gram"), F.col("_g.__times").alias("times"))
+    known = tables.logp(left.select("gram").distinct())
+    rest = left.join(known, "gram").groupBy("__row").agg(F.array(*[F.sum(F.col("times") * F.get("logp", F.lit(i))) for i in range(n_langs)]).alias("__rest"))
+    sums = F.when(F.col("__rest").isNull(), F.col("__sums")).otherwise(F.zip_with("__sums", "__rest", lambda a, b: a + b))
+    return scanned.join(rest, "__row", "left").select(*[f"`{c}`" for c in others], sums.alias("__sums"), "__n", "__letters").mapInArrow(judge, schema)

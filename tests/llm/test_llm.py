@@ -166,6 +166,29 @@ def test_language_identification(spark, empty):
     assert language_id.predict(empty.select("doc_id", "text"), model).count() == 0
 
 
+@pytest.mark.parametrize("max_grams", [1, 200])
+def test_language_models_do_not_depend_on_what_is_broadcast(spark, max_grams):
+    rng = random.Random(7)
+    vocabs = {"en": vocabulary(rng, 200, "etaoinshr"), "de": vocabulary(rng, 100, "eniräüst"), "el": vocabulary(rng, 60, "αβγδεικο")}
+    rows = [(i, " ".join(rng.choices(v, k=40)), lang, "s", 0, 1, 2) for i, (lang, v) in enumerate(list(vocabs.items()) * 10)]
+    # a language whose 4-grams occur once each
+    signs = [chr(0x4E00 + i) for i in range(3000)]
+    rows += [(100 + i, "".join(signs[50 * i : 50 * i + 50]), "zh", "s", 0, 1, 2) for i in range(30)]
+    train = spark.createDataFrame(rows, SCHEMA).select("lang", "text")
+    whole, parted = language_id.train(train), language_id.train(train, max_grams=max_grams)
+    assert whole.langs == parted.langs == ["de", "el", "en", "zh"]
+    assert parted.mean == pytest.approx(whole.mean) and parted.deviation == pytest.approx(whole.deviation)
+    test = [(i, t) for i, t, *_ in rows[::7]] + [(900, None), (901, "12 34"), (902, "zzzz qqqq " * 9), (902, "zzzz qqqq " * 9), (903, "".join(signs[1800:1860]))]
+    test += [(None, " ".join(rng.choices(v, k=30))) for v in vocabs.values()]
+    df = spark.createDataFrame(test, "doc_id long, text string")
+    want, got = (sorted(map(tuple, language_id.predict(df, m).collect()), key=lambda r: repr((r[0], r[1], r[4], round(r[3] or 0, 4)))) for m in (whole, parted))
+    assert len(got) == len(test) and {"zh"} <= {r[1] for r in got}
+    for a, b in zip(want, got, strict=True):
+        assert (a[0], a[1], a[4]) == (b[0], b[1], b[4])
+        assert b[2] == pytest.approx(a[2], rel=1e-4, abs=1e-6) and (a[3] is b[3] is None or b[3] == pytest.approx(a[3], rel=1e-5))
+    assert language_id.predict(df.limit(0), parted).count() == 0
+
+
 # --- 2 ------------------------------------------------------------------------
 
 
