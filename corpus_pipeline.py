@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwater.llm import language_id, line_dedup, minhash, mixing, packing
-from headwater.llm.common import id_mod, shared_dir
+from headwater.llm.common import shared_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the models accept, with the language found in lang."""
-    model = language_id.train(docs.filter(id_mod(F.col("doc_id"), 3) != 1).select("lang", "text"))
+    model = language_id.train(docs.select("lang", "text"))
     columns = docs.columns
     # the text rides along under another name, since predict() gives back all columns but text
     found = language_id.predict(docs.withColumn("_text", F.col("text")), model).filter(~F.col("rejected"))

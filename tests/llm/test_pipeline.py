@@ -96,3 +96,12 @@ def test_pipeline(spark, tmp_path, monkeypatch):
         assert p["offset"] == ends.get(p["sequence_id"], 0)
         ends[p["sequence_id"]] = p["offset"] + p["length"]
     assert max(ends.values()) <= 1024
+
+
+def test_languages_are_learned_from_all_labelled_documents(spark):
+    rng = random.Random(9)
+    vocab, other = vocabulary(rng, 200), vocabulary(rng, 200, "αβγδεικο")
+    third = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 == 1]
+    rows = [(i, " ".join(rng.choices(other if i in third else vocab, k=40)), "el" if i in third else "en", "s", 0, 1, 2) for i in range(300)]
+    got = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert fields(got, "doc_id", "lang") == sorted(((r[0], r[2]) for r in rows), key=repr)
