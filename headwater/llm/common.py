@@ -26,10 +26,12 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset and the master is local (tests)."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         own = spark.conf.get("spark.checkpoint.dir", None)
+        if not own and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(own or os.path.join(tempfile.gettempdir(), f"headwater-{uuid.uuid4().hex[:8]}"))
     return sc.getCheckpointDir()
 
@@ -99,6 +101,30 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], value: str | None,
     )
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """Adds, for each (name, column) of sums, the column's sum over all rows before this one in `order`.
+
+    A range sort; one row of totals for each range goes to the driver, as many as there
+    are shuffle partitions, and one task adds up one range.
+    """
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    ordered = cut(ordered.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    totals = ordered.groupBy("_range").agg(*[F.sum(c).alias(c) for c in dict.fromkeys(sums.values())]).collect()
+    kind = {c: df.schema[c].dataType.simpleString() for c in sums.values()}
+    base, rows = {c: 0.0 if k == "double" else 0 for c, k in kind.items()}, []
+    for r in sorted(totals, key=lambda r: r["_range"]):
+        rows.append((r["_range"], *[base[c] for c in base]))
+        base = {c: base[c] + (r[c] or 0) for c in base}
+    before = F.broadcast(spark.createDataFrame(rows, ", ".join(["_range int", *[f"`_base_{c}` {k}" for c, k in kind.items()]])))
+    inside = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    out = ordered.join(before, "_range")
+    for name, c in sums.items():
+        out = out.withColumn(name, F.col(f"_base_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)))
+    return out.drop("_range", "_at", *[f"_base_{c}" for c in base])
+
+
 # --- byte kernels -----------------------------------------------------------
 
 

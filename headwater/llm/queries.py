@@ -130,8 +130,10 @@ n AS (SELECT source, s, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY encode(sou
 o AS (SELECT *, 3 * s / w AS lim, sum(3 * s) OVER (ORDER BY 3 * s / w, source ROWS UNBOUNDED PRECEDING) AS full_, sum(w) OVER (ORDER BY 3 * s / w, source ROWS UNBOUNDED PRECEDING) AS w_full, sum(s) OVER () AS t, sum(w) OVER () AS w_all FROM n),
 c AS (SELECT greatest(max((t - full_ + 3 * s) / (w_all - w_full + w)) FILTER (WHERE (t - full_ + 3 * s) / (w_all - w_full + w) <= lim), 0) AS rate FROM o),
 g AS (SELECT source, s, least(3 * s, w * rate) AS target FROM n, c),
-b AS (SELECT d.*, g.s, g.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2 AS mid
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, s::BIGINT AS source_size, round(target, 6) AS target,
-  (size * ((mid <= target)::INT + (mid + s <= target)::INT + (mid + 2 * s <= target)::INT))::BIGINT AS taken FROM b""",
+b AS (SELECT d.*, g.s, g.target, row_number() OVER () AS r, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2 AS upto
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+q AS (SELECT *, upto / target + p * s / target AS finish FROM b, range(0, 3) AS x(p) WHERE size > 0 AND target > 0),
+v AS (SELECT r, size, coalesce(sum(size) OVER (ORDER BY finish, source NULLS FIRST, k, p, doc_id NULLS FIRST, size, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM q),
+n3 AS (SELECT r, count(*) AS copies FROM v WHERE spent + size / 2 <= (SELECT sum(size) FROM d) GROUP BY r)
+SELECT doc_id, size, s::BIGINT AS source_size, round(target, 6) AS target, (size * coalesce(copies, 0))::BIGINT AS taken FROM b LEFT JOIN n3 USING (r)""",
 }
