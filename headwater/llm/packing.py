@@ -1,19 +1,25 @@
 """Best-fit packing of tokenised documents into sequences of fixed length.
 
-Bulk-synchronous best-fit decreasing. Lengths and gaps are integers of at most
-`capacity`, so the range-sorted documents fall into at most `capacity` runs of
-one length, and the gaps of open sequences into as many runs of one width. A
-round takes the longest run of documents not yet placed and sweeps the sorted
-gaps for its successor, the narrowest that still holds the length; the two runs
-are matched by rank (the i-th document of the run goes to the i-th gap, the rest
-of the longer run waits for the next sweep), the gaps shrink, and so on. The
-rounds see counts by length alone, never documents: a plan of bounded size goes
-to the executors, and every document finds its place there by its own rank.
-Nothing depends on the number of documents but counts and ranks.
+Bulk-synchronous best fit, longest first. Sorted by length, documents fall into
+at most `capacity` runs of one length, and the gaps of open sequences into runs of
+one width; both are rows of one table, which is all that a round sees.
+In a round a sweep passes over documents and gaps from the largest size down. A
+run of documents meets its successor, the narrowest gap not yet taken that holds
+its length; conflicts over gaps are resolved by rank: the i-th documents of the
+run go to the i-th gap, as many side by side as fit, and what is left of the
+longer run goes to the next gaps. The gaps shrink by what they took and take part
+again in the next round. Documents that no gap can hold open sequences, all those
+of over half the capacity and those of nearly the greatest length left; shorter
+ones wait for the gaps these leave. Each round is a step over the table, written
+to the shared folder.
+
+The rounds yield a plan by length and rank, and every document finds its place
+there by its own rank among those of its length. The plan and the table have a
+few entries for each length, whatever the number of documents.
 
 Defined cases: a null or empty text is one piece of the end token alone; a null
 id is an id of its own; repeated rows are packed each; an empty table gives an
-empty result; other columns are ignored.
+empty result; other columns are ignored; ids may have any type.
 """
 
 from __future__ import annotations
@@ -22,7 +28,6 @@ import array
 import base64
 import re
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, shuffle_key, stage
+from .common import cut, ranked, shuffle_key, stage
 
 CAPACITY = 1024
 END = 2
 TOKENIZER = "byte_bpe_50k"
 #: Words kept by a worker's cache; it starts anew when full.
 CACHE = 400_000
+#: Share of the greatest length left from which waiting documents open sequences together.
+NEARLY = 0.8
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
 class Ids(dict):
@@ -93,70 +100,119 @@ def _pieces(name: str, capacity: int, end: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _IDS.get(name) or _IDS.setdefault(name, Ids(name))
         for batch in batches:
-            docs, out = batch.column(0).to_pylist(), ([], [], [], [], [])
-            for i, doc in enumerate(docs):
+            out = ([], [], [], [], [])
+            for i in range(batch.num_rows):
                 raw = ids.encode(batch.column(1)[i].as_py() or "") + last
                 n = len(raw) // 4
                 at, number = 0, 0
                 while at < n:  # the first piece takes the remainder
                     size = (n - at - 1) % capacity + 1 if at == 0 else capacity
-                    for column, x in zip(out, (doc, number, at, size, zlib.crc32(raw[4 * at : 4 * (at + size)])), strict=True):
+                    for column, x in zip(out, (i, number, at, size, zlib.crc32(raw[4 * at : 4 * (at + size)])), strict=True):
                         column.append(x)
                     at, number = at + size, number + 1
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            rest = [pa.array(x, t) for x, t in zip(out[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), *rest], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return cut
 
 
 def tokenize(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """One row for each piece of at most `capacity` ids; only the first piece of a longer document is shorter."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(tokenizer, capacity, end), PIECES)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, capacity, end), f"doc_id {kind}, {PIECES}")
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """Rounds of best fit over counts by length.
+def sweep(docs: list[list[int]], gaps: list[list[int]], capacity: int, used: int) -> tuple[list[tuple[int, ...]], list[list[int]], list[list[int]], int]:
+    """One round over docs [length, rank, n] and gaps [width, sequence, n], from the largest size down.
 
-    Each entry (length, rank, n, sequence, offset, each) places the documents
-    [rank, rank + n) of a length: `each` of them side by side in one sequence, from
-    `sequence` on and `offset` within it. A length splits at most one run of gaps and
-    opens at most two, so the entries are bounded by the capacity, not by documents.
+    Gives the places (length, rank, n, sequence, offset, each), the documents and gaps for
+    the next round and the number of sequences in use. `each` documents lie side by side
+    in a sequence, from `sequence` on and `offset` within it.
     """
-    gaps: list[int] = []  # sorted widths that have runs
-    runs: dict[int, list[tuple[int, int]]] = {}  # width: (first sequence, how many)
-    out, used = [], 0
-
-    def open_gap(width: int, first: int, n: int) -> None:
-        if width > 0 and n > 0:
-            if width not in runs:
-                runs[width] = []
-                insort(gaps, width)
-            runs[width].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            i = bisect_left(gaps, length)
-            if i < len(gaps):
-                width = gaps[i]
-                first, n = runs[width].pop()
-                if not runs[width]:
-                    del runs[width], gaps[i]
-                took = min(left, n)
-                out.append((length, rank, took, first, capacity - width, 1))
-                open_gap(width, first + took, n - took)
-                open_gap(width - length, first, took)
-            else:
-                each = min(left, capacity // length)
-                took = left // each * each
-                out.append((length, rank, took, used, 0, each))
-                open_gap(capacity - each * length, used, took // each)
-                used += took // each
-            rank, left = rank + took, left - took
-    return out
-
-
-def _place(rounds: list[tuple[int, int, int, int, int, int]]):
-    table = np.array(sorted(rounds), np.int64).reshape(-1, 6)
+    gaps = sorted(gaps, reverse=True)
+    places, open_, after, waiting, i = [], [], [], [], 0
+    for length, rank, n in sorted(docs, key=lambda d: (-d[0], d[1])):
+        while i < len(gaps) and gaps[i][0] >= length:  # the last one pushed is the narrowest
+            open_.append(list(gaps[i]))
+            i += 1
+        while n and open_:
+            width, first, k = open_[-1]
+            each = min(n, width // length)
+            took = min(n // each, k)
+            places.append((length, rank, took * each, first, capacity - width, each))
+            after.append([width - each * length, first, took])
+            rank, n = rank + took * each, n - took * each
+            open_[-1][1:] = first + took, k - took
+            if took == k:
+                open_.pop()
+        if n:
+            waiting.append([length, rank, n])
+    after = [g for g in (*after, *open_, *gaps[i:]) if g[0] > 0 and g[2] > 0]
+    widest = max((g[0] for g in after), default=0)
+    longest = max((d[0] for d in waiting if d[0] > widest), default=0)
+    left, gap = [], 0  # gap: of the sequence `used - 1` that takes what doesn't fill one of its own
+    for length, rank, n in waiting:
+        if length <= widest or length < NEARLY * longest and 2 * length <= capacity:
+            left.append([length, rank, n])
+            continue
+        each = capacity // length
+        if took := n // each:
+            if gap:
+                after.append([gap, used - 1, 1])
+            places.append((length, rank, took * each, used, 0, each))
+            after.append([capacity - each * length, used, took])
+            rank, n, used, gap = rank + took * each, n - took * each, used + took, 0
+        while n:
+            if gap < length:
+                if gap:
+                    after.append([gap, used - 1, 1])
+                used, gap = used + 1, capacity
+            k = min(n, gap // length)
+            places.append((length, rank, k, used - 1, capacity - gap, k))
+            rank, n, gap = rank + k, n - k, gap - k * length
+    after = [g for g in (*after, [gap, used - 1, 1]) if g[0] > 0]
+    return places, left, after, used
+
+
+#: kind: 0 gap (a width, b first sequence, n), 1 documents (a length, b first rank, n), 2 place, 3 sequences in use (n).
+_STATE = "kind int, a long, b long, n long, sequence long, offset long, each long"
+
+
+def _swept(capacity: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in b.to_pylist()]
+        of = lambda kind: [[r["a"], r["b"], r["n"]] for r in rows if r["kind"] == kind]
+        used = sum(n for _, _, n in of(3))
+        places, docs, gaps, used = sweep(of(1), of(0), capacity, used)
+        out = [(2, *p) for p in places]
+        for kind, some in ((0, gaps), (1, docs), (3, [[0, 0, used]])):
+            out += [(kind, *r, 0, 0, 0) for r in some]
+        types = (pa.int32(), *[pa.int64()] * 6)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [c.split()[0] for c in _STATE.split(", ")])
+
+    return run
+
+
+def plan(lengths: DataFrame, capacity: int = CAPACITY) -> list[tuple[int, ...]]:
+    """Rounds of best fit over (length, n), one row a length: the entries (length, rank, n, sequence, offset, each).
+
+    The table of a round has at most one row for each length and some for each width.
+    """
+    zero = F.lit(0).cast("long")
+    state = lengths.select(F.lit(1).alias("kind"), F.col("length").cast("long").alias("a"), zero.alias("b"), F.col("n").cast("long").alias("n"), zero.alias("sequence"), zero.alias("offset"), zero.alias("each"))
+    entries = []
+    while True:
+        # the sweep runs in one task; places go to the driver round by round
+        state = cut(state.coalesce(1).mapInArrow(_swept(capacity), _STATE))
+        found = state.filter("kind in (1, 2)").collect()
+        entries += [(r["a"], r["b"], r["n"], r["sequence"], r["offset"], r["each"]) for r in found if r["kind"] == 2]
+        if not any(r["kind"] == 1 for r in found):
+            return entries
+        state = state.filter("kind <> 2")
+
+
+def _place(entries: list[tuple[int, ...]]):
+    table = np.array(sorted(entries), np.int64).reshape(-1, 6)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # lengths are small and ranks below 2**48, so both fit one sortable number
@@ -174,8 +230,8 @@ def _place(rounds: list[tuple[int, int, int, int, int, int]]):
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """Pieces of all documents with the sequence and the offset at which each lies."""
     pieces = stage(tokenize(docs, tokenizer, capacity, end), "pieces")
-    # at most `capacity` rows reach the driver
-    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    entries = plan(pieces.groupBy("length").agg(F.count("*").alias("n")), capacity)
     keyed = pieces.withColumn("_key", shuffle_key(F.concat_ws(",", F.col("doc_id"), F.col("piece")), "pack"))
     placed = ranked(keyed, ["length"], ["_key", "doc_id", "piece", "ids_crc32"], None, "rank").select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    return placed.mapInArrow(_place(plan(counts, capacity)), f"{PIECES}, sequence_id long, offset long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return placed.mapInArrow(_place(entries), f"doc_id {kind}, {PIECES}, sequence_id long, offset long")
