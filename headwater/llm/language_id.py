@@ -6,21 +6,29 @@ sum; all lower orders are continuation counts, which follow from the 4-grams
 alone. The models of all languages share sorted arrays of packed n-grams, with a
 row of log-probabilities for each; a direct table of first probes stands before
 the binary search. A text goes to the language of lowest cross-entropy a
-character. It is rejected if even that exceeds the language's own training
-cross-entropy by more than `SLACK` nats plus `DEVIATIONS` standard errors, both
-moments taken from all training characters.
-
-Bounds: at most MAX_LANGUAGES languages, the most frequent ones. While no
-language has over MAX_GRAMS 4-grams the models are broadcast whole. Beyond that
-the probabilities of all orders are tables, made by joins from all counts, and
-only those of about MAX_GRAMS 4-grams of each language are broadcast, to save
-work: the other 4-grams of a text are joined with the tables. The results are the
-same whichever are broadcast.
+character.
+
+Rejection is calibrated on held-out text: one text in FOLDS, by a hash of the
+text, is left out of a first set of models, and the mean and deviation of its
+characters' cross-entropy in its own language are taken. A prediction is rejected
+if its cross-entropy exceeds that mean by more than `SLACK` nats plus `DEVIATIONS`
+standard errors. Both moments are sums over 4-grams, so no text is read again. The
+models that predict are made from all training texts.
+
+Bounds: no language and no 4-gram is left out. While the models have at most
+MAX_CELLS probabilities (4-grams times languages) they are broadcast whole. Beyond
+that the probabilities of all orders are tables, made by joins from all counts,
+and only those of the most frequent 4-grams of each language, MAX_CELLS again, are
+broadcast, to save work: the other 4-grams of a text are joined with the tables.
+The results are the same whichever are broadcast. A row for each language and
+power of two goes to the driver.
 
 Defined cases: null text or one without a letter is `und` with score 0 and
 rejected; null lang is never trained on; without any training text all are
-`und`; a null id belongs to the training side; empty tables give empty results;
-other columns are ignored.
+`und`; a null id belongs to the training side; a language without held-out text
+takes the moments of its training text; empty tables give empty results; of the
+caller's other columns those named like a column made here give way, the rest are
+kept.
 """
 
 from __future__ import annotations
@@ -37,8 +45,10 @@ from pyspark.sql import functions as F
 from .common import cut, segment_sum, slices, stage
 
 ORDER = 4
-MAX_LANGUAGES = 200
-MAX_GRAMS = 150_000
+#: Probabilities that are broadcast, 4 bytes each.
+MAX_CELLS = 4_000_000
+#: One text of so many calibrates the rejection.
+FOLDS = 8
 SLACK = 0.5
 DEVIATIONS = 6.0
 #: Characters that count as independent in the score.
@@ -87,36 +97,38 @@ def grams(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, n
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, gram, n) summed over a partition; the sums so far are given out when they grow large."""
-    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    """(lang, held, gram, n) summed over a partition; the sums so far are given out when they grow large."""
+    sums: dict[tuple[str, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
     size = 0
 
-    def merged(lang: str) -> tuple[np.ndarray, np.ndarray]:
-        keys, inverse = np.unique(np.concatenate([k for k, _ in held[lang]]), return_inverse=True)
-        return keys, np.bincount(inverse, np.concatenate([n for _, n in held[lang]]), len(keys)).astype(np.int64)
+    def merged(key: tuple[str, bool]) -> tuple[np.ndarray, np.ndarray]:
+        keys, inverse = np.unique(np.concatenate([k for k, _ in sums[key]]), return_inverse=True)
+        return keys, np.bincount(inverse, np.concatenate([n for _, n in sums[key]]), len(keys)).astype(np.int64)
 
     def give() -> Iterator[pa.RecordBatch]:
-        for lang in list(held):
-            keys, n = merged(lang)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
-        held.clear()
+        for lang, held in list(sums):
+            keys, n = merged((lang, held))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array([held] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "held", "gram", "n"])
+        sums.clear()
 
     for batch in batches:
-        langs = np.array(batch.column(0).to_pylist(), object)
-        for first, last, keys, _, at in grams(batch.column(1)):
-            own = np.repeat(np.arange(last - first), np.diff(at))
-            names, code = np.unique(langs[first:last].astype(str), return_inverse=True)
-            for i, lang in enumerate(names):
-                mine = np.sort(keys[code[own] == i] if len(names) > 1 else keys)
+        kinds = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        names = sorted(set(kinds))
+        place = {k: i for i, k in enumerate(names)}
+        code = np.array([place[k] for k in kinds])
+        for first, last, keys, _, at in grams(batch.column(2)):
+            own = code[np.repeat(np.arange(first, last), np.diff(at))]
+            for i in np.unique(code[first:last]).tolist():
+                mine = np.sort(keys[own == i])
                 if not len(mine):
                     continue
                 edge = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
-                held.setdefault(str(lang), []).append((mine[edge], np.diff(np.append(edge, len(mine)))))
+                sums.setdefault(names[i], []).append((mine[edge], np.diff(np.append(edge, len(mine)))))
                 size += len(edge)
             if size > 2_000_000:
-                for lang in list(held):
-                    held[lang] = [merged(lang)]
-                size = sum(len(k) for parts in held.values() for k, _ in parts)
+                for key in list(sums):
+                    sums[key] = [merged(key)]
+                size = sum(len(k) for parts in sums.values() for k, _ in parts)
                 if size > 1_000_000:
                     yield from give()
                     size = 0
@@ -165,16 +177,22 @@ class Model:
             self.contexts.append(ctx_keys)
             self.back.append(np.log(back))
         self.mean, self.deviation = np.zeros(n_langs), np.ones(n_langs)
-        for i, (mine, n) in enumerate(tables[ORDER]):
-            x = -self.logp[ORDER][np.searchsorted(self.keys[ORDER], mine), i]
-            self.mean[i] = np.average(x, weights=n)
-            self.deviation[i] = np.sqrt(np.average((x - self.mean[i]) ** 2, weights=n))
         self.rows = self.logp[ORDER].astype(np.float32)
         self.bits = max(10, int(4 * len(self.keys[ORDER])).bit_length())
         self.first = np.zeros(1 << self.bits, np.int32)
         # written backwards, so that of grams with one probe the first in order stays
         self.first[self._probe(self.keys[ORDER])[::-1]] = np.arange(len(self.keys[ORDER]), dtype=np.int32)[::-1]
 
+        for i, (mine, n) in enumerate(tables[ORDER]):
+            self.calibrate(i, mine, n)
+
+    def calibrate(self, i: int, grams: np.ndarray, n: np.ndarray, source: Model | None = None) -> None:
+        """Takes the moments of a language's cross-entropy a character from these 4-grams, by the models of `source`."""
+        if n.sum() > 0:
+            x = -(source or self).search(grams)[:, i]
+            self.mean[i] = np.average(x, weights=n)
+            self.deviation[i] = np.sqrt(np.average((x - self.mean[i]) ** 2, weights=n))
+
     def _probe(self, keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
 
@@ -217,8 +235,8 @@ class Tables:
     lower order). Where a language is in neither map, the weight is 1. keys, rows: some 4-grams and their log-probabilities.
     """
 
-    def __init__(self, langs: list[str], counts: DataFrame, some: Column):
-        """counts: (i, gram, n), i the place in langs; some: which of these rows are broadcast."""
+    def __init__(self, langs: list[str], counts: DataFrame, some: DataFrame | None):
+        """counts: (i, gram, n), i the place in langs; some: (i, power, share), what part of a language's 4-grams of each power of two of n is broadcast, in millionths; None for nothing, and no moments."""
         self.langs, self.seen, self.unseen = langs, [], []
         tables = [counts]
         for k in range(ORDER - 1, 0, -1):  # types of order k + 1 by their last k symbols
@@ -242,19 +260,25 @@ class Tables:
             pairs = lambda x: F.map_from_entries(F.collect_list(F.struct("i", x)))
             self.seen.append(cut(p.groupBy("gram").agg(pairs("p").alias("_p"))))
             self.unseen.append(cut(back.groupBy("ctx").agg(pairs("back").alias("_b"))))
-        x = -F.log("p")
         self.mean, self.deviation = np.zeros(len(langs)), np.ones(len(langs))
-        for i, mean in p.groupBy("i").agg(F.sum(x * F.col("n")) / F.sum("n")).collect():
-            self.mean[i] = mean
-        off = x - F.element_at(F.array(*[F.lit(float(m)) for m in self.mean]), F.col("i") + 1)
-        for i, variance in p.groupBy("i").agg(F.sum(off * off * F.col("n")) / F.sum("n")).collect():
-            self.deviation[i] = np.sqrt(variance)
-        own = self.logp(p.filter(some).select("gram").distinct()).toArrow()
+        if some is None:
+            return
+        self.calibrate(p.select("i", "n", (-F.log("p")).alias("x")))
+        sized = p.select("i", "gram", F.floor(F.log2("n")).cast("int").alias("power")).join(F.broadcast(some), ["i", "power"])
+        own = self.logp(sized.filter(F.pmod(F.xxhash64("gram"), F.lit(1_000_000)) < F.col("share")).select("gram").distinct()).toArrow()
         keys = own.column("gram").to_numpy().view(np.uint64)
         order = np.argsort(keys)
         self.keys = keys[order]
         self.rows = own.column("logp").combine_chunks().flatten().to_numpy().reshape(-1, len(langs))[order]
 
+    def calibrate(self, scored: DataFrame) -> None:
+        """Takes the moments of each language's cross-entropy from (i, n, x): 4-grams' counts and costs."""
+        for i, mean in scored.groupBy("i").agg(F.sum(F.col("x") * F.col("n")) / F.sum("n")).collect():
+            self.mean[i] = mean
+        off = F.col("x") - F.element_at(F.array(*[F.lit(float(m)) for m in self.mean]), F.col("i") + 1)
+        for i, variance in scored.groupBy("i").agg(F.sum(off * off * F.col("n")) / F.sum("n")).collect():
+            self.deviation[i] = np.sqrt(variance)
+
     def logp(self, grams: DataFrame) -> DataFrame:
         """(gram, logp: an array by language) of distinct 4-grams, known or not."""
         return self._p(grams, ORDER).select("gram", F.transform("_v", lambda v: F.log(v)).alias("logp"))
@@ -272,40 +296,47 @@ class Tables:
         return out.select("gram", F.transform(every, own).alias("_v"))
 
 
-def train(rows: DataFrame, max_grams: int = MAX_GRAMS, max_languages: int = MAX_LANGUAGES) -> Model | Tables | None:
+def train(rows: DataFrame, max_cells: int = MAX_CELLS, folds: int = FOLDS) -> Model | Tables | None:
     """The models of all languages of (lang, text) rows; None without any."""
     rows = rows.filter(F.col("lang").isNotNull())
-    counts = rows.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(_count, "lang string, gram long, n long")
-    counts = cut(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    held = F.pmod(F.xxhash64("text"), F.lit(folds)) == 0
+    counts = rows.select(F.col("lang").cast("string").alias("lang"), held.alias("held"), "text").mapInArrow(_count, "lang string, held boolean, gram long, n long")
+    counts = cut(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("held"), F.col("n")).otherwise(0)).alias("held")))
     # a row for each language and power of two: whether, or which part of, the models can be broadcast
     sizes: dict[str, dict[int, int]] = {}
-    mass: dict[str, int] = {}
-    by_size = counts.groupBy("lang", F.floor(F.log2("n")).cast("int").alias("p")).agg(F.count("*").alias("k"), F.sum("n").alias("m"))
-    top = [r["lang"] for r in by_size.groupBy("lang").agg(F.sum("m").alias("m")).orderBy(F.desc("m"), "lang").limit(max_languages).collect()]
-    for r in by_size.filter(F.col("lang").isin(top)).collect() if top else []:
+    for r in counts.groupBy("lang", F.floor(F.log2("n")).cast("int").alias("p")).agg(F.count("*").alias("k")).collect():
         sizes.setdefault(r["lang"], {})[r["p"]] = r["k"]
-        mass[r["lang"]] = mass.get(r["lang"], 0) + r["m"]
     langs = sorted(sizes)
     if not langs:
         return None
-    if all(sum(k.values()) <= max_grams for k in sizes.values()):
-        tables = []
-        for lang in langs:
-            own = counts.filter(F.col("lang") == lang).select("gram", "n").toArrow()
-            tables.append((own.column(0).to_numpy().view(np.uint64), own.column(1).to_numpy()))
-        return Model(langs, tables)
-    some = F.lit(False)
+    if sum(sum(k.values()) for k in sizes.values()) * len(langs) <= max_cells:
+        own = counts.select("lang", "gram", "n", "held").toArrow()
+        place = pc.index_in(own.column("lang"), pa.array(langs)).to_numpy()
+        gram, n, out = own.column("gram").to_numpy().view(np.uint64), own.column("n").to_numpy(), own.column("held").to_numpy()
+        tables = [(gram[place == i], n[place == i], out[place == i]) for i in range(len(langs))]
+        model = Model(langs, [(g, k) for g, k, _ in tables])
+        first = Model(langs, [(g[k > h], (k - h)[k > h]) for g, k, h in tables])
+        for i, (g, k, h) in enumerate(tables):
+            if (k > h).any():
+                model.calibrate(i, g[h > 0], h[h > 0], first)
+        return model
+    places = F.array(*[F.lit(lang) for lang in langs])
+    counts = cut(counts.select((F.array_position(places, F.col("lang")) - 1).cast("int").alias("i"), "gram", "n", "held"))
+    some = []
     for i, lang in enumerate(langs):
-        room = max_grams
+        room = max_cells // len(langs) ** 2
         for p in sorted(sizes[lang], reverse=True):  # the most frequent ones, and of the last power as many as there is room for
-            share = min(1.0, room / sizes[lang][p])
-            some = some | ((F.col("i") == i) & (F.floor(F.log2("n")) == p) & (F.pmod(F.xxhash64("gram"), F.lit(1_000_000)) < int(1_000_000 * share)))
+            some.append((i, p, int(1_000_000 * min(1.0, room / sizes[lang][p]))))
             room -= sizes[lang][p]
             if room <= 0:
                 break
-    places = F.array(*[F.lit(lang) for lang in langs])
-    counts = counts.filter(F.col("lang").isin(langs))
-    return Tables(langs, counts.select((F.array_position(places, F.col("lang")) - 1).cast("int").alias("i"), "gram", "n"), some)
+    some = rows.sparkSession.createDataFrame(some, "i int, power int, share int")
+    model = Tables(langs, counts.select("i", "gram", "n"), some)
+    left = counts.filter("n > held").select("i", "gram", (F.col("n") - F.col("held")).alias("n"))
+    out = counts.filter("held > 0").join(left.select("i").distinct(), "i", "left_semi").select("i", "gram", F.col("held").alias("n"))
+    scored = out.join(Tables(langs, left, None).logp(out.select("gram").distinct()), "gram")
+    model.calibrate(cut(scored.select("i", "n", (-F.get("logp", F.col("i"))).alias("x"))))
+    return model
 
 
 PREDICTION = "lang_pred string, score double, cross_entropy double, rejected boolean"
@@ -327,13 +358,13 @@ NAMES = ["lang_pred", "score", "cross_entropy", "rejected"]
 
 def predict(docs: DataFrame, model: Model | Tables | None, slack: float = SLACK, deviations: float = DEVIATIONS) -> DataFrame:
     """docs' columns other than text, then lang_pred, score, cross_entropy and rejected."""
-    others = [c for c in docs.columns if c != "text"]
+    others = [c for c in docs.columns if c not in ("text", *NAMES)]
     if model is None:
-        return docs.select(*others, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
+        return docs.select(*[f"`{c}`" for c in others], F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
     schema = f"{kinds + ', ' if kinds else ''}{PREDICTION}"
     if isinstance(model, Tables):
-        return _predict_by_join(docs.select(*others, "text"), model, slack, deviations, schema)
+        return _predict_by_join(docs.select(*[f"`{c}`" for c in others], "text"), model, slack, deviations, schema)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +378,7 @@ def predict(docs: DataFrame, model: Model | Tables | None, slack: float = SLACK,
             if found:
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *[pa.concat_arrays(c) for c in zip(*found, strict=True)]], [*others, *NAMES])
 
-    return docs.select(*others, "text").mapInArrow(run, schema)
+    return docs.select(*[f"`{c}`" for c in others], "text").mapInArrow(run, schema)
 
 
 class _Part:
