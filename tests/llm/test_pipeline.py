@@ -79,8 +79,10 @@ def test_pipeline(spark, tmp_path, monkeypatch):
             n = len(WORD.findall(r["text"]))
             total[r["source"]] = total.get(r["source"], 0) + n
             largest[r["source"]] = max(largest.get(r["source"], 0), n)
+    # rows that share an id are served alike; what the documents at the cut leave or take is shared by target
+    drift = sum(largest.values()) / 2 / sum(sizes.values())
     for s, target in brute_targets(sizes).items():
-        assert abs(taken.get(s, 0) - target) <= 2 * largest[s] + 1  # rows that share an id are served alike
+        assert abs(taken.get(s, 0) - target) <= 2 * largest[s] + drift * target + 1
 
     full = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = []
