@@ -8,9 +8,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.ordering import numbered, tiles
 from .operators import frames, matching, metrics, outliers, patterns, queueing, text
 from .plans import packing
 
@@ -286,24 +287,33 @@ def outlier_set(spark, d):
 _L2 = "sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2)))"
 
 
+def _features(spark, d, image: str = "label"):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias(image), F.col("embedding").alias("feat"))
+
+
 def _sides(spark, d):
-    e = table(spark, d, "embeddings")
-    return [e.filter(F.col("label") % 2 == k).select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("feat")) for k in (0, 1)]
+    """Two images: the features of even and of odd labels."""
+    return [_features(spark, d).filter(F.col("label") % 2 == k) for k in (0, 1)]
+
+
+def _queries(spark, d):
+    """The stated query side: every tenth feature; the index has all."""
+    return _features(spark, d, "frame").filter(F.col("id") % 10 == 0)
 
 
-@query(f"SELECT a.label AS frame, b.label AS image, count(*) AS freq FROM embeddings a, embeddings b WHERE a.label % 2 = 0 AND b.label % 2 = 1 AND {_L2} < 1.3 GROUP BY ALL")
+_COUNTS = f"SELECT a.label AS frame, b.label AS image, count(*) AS freq FROM embeddings a, embeddings b WHERE a.vec_id % 10 = 0 AND {_L2} < 1.3 GROUP BY ALL"
+
+
+@query(_COUNTS)
 def match_threshold(spark, d):
-    a, b = _sides(spark, d)
-    return matching.match_counts(a.withColumnRenamed("label", "frame"), b.withColumnRenamed("label", "image"), 1.3)
+    return matching.match_counts(_queries(spark, d), _features(spark, d, "image"), 1.3)
 
 
-@query(f"""WITH c AS (SELECT a.label AS frame, b.label AS image, count(*) AS freq FROM embeddings a, embeddings b WHERE a.label % 2 = 0 AND b.label % 2 = 1 AND {_L2} < 1.3 GROUP BY ALL),
-s AS (SELECT label AS frame, count(*) AS n FROM embeddings GROUP BY 1)
+@query(f"""WITH c AS ({_COUNTS}), s AS (SELECT label AS frame, count(*) AS n FROM embeddings WHERE vec_id % 10 = 0 GROUP BY 1)
 SELECT frame, string_agg(image::VARCHAR, ',' ORDER BY image) AS images FROM c JOIN s USING (frame) WHERE freq / n > 0.5 GROUP BY frame""")
 def match_images(spark, d):
-    a, b = _sides(spark, d)
-    q = a.withColumnRenamed("label", "frame")
-    return matching.matched_images(matching.match_counts(q, b.withColumnRenamed("label", "image"), 1.3), q, 0.5)
+    q = _queries(spark, d)
+    return matching.matched_images(matching.match_counts(q, _features(spark, d, "image"), 1.3), q, 0.5)
 
 
 def _nearest(q: int) -> str:
@@ -434,8 +444,8 @@ WITH a AS (SELECT o_orderkey AS frame, row_number() OVER (ORDER BY o_orderkey +
 p AS (SELECT frame, pos, max(frame) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 4 PRECEDING) AS passed FROM a)
 SELECT frame, pos AS emitted_at FROM p WHERE passed IS NULL OR frame > passed""")
 def frame_reorder(spark, d):
-    order = Window.orderBy(F.col("frame") + (F.col("frame") * 7919) % 9, "frame")
-    return frames.reorder(_frames(spark, d).select("frame", F.row_number().over(order).cast("long").alias("at")), 4)
+    arrivals = numbered(_frames(spark, d), [F.col("frame") + (F.col("frame") * 7919) % 9, "frame"], "at")
+    return frames.reorder(arrivals.select("frame", (F.col("at") + 1).alias("at")), 4)
 
 
 # --- layouts ----------------------------------------------------------------------
@@ -447,23 +457,31 @@ def _loads(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("task")).agg(F.count("*").alias("load"), F.sum("l_quantity").alias("size"))
 
 
+def _tiled(spark, d, **parts: int):
+    loads = _loads(spark, d)
+    placed = numbered(loads, ["task"], "_i").crossJoin(F.broadcast(loads.agg(F.count("*").alias("_n"))))
+    return placed.select("task", "load", "size", *[tiles(F.col("_i"), F.col("_n"), n).alias(c) for c, n in parts.items()])
+
+
 @query(f"""SELECT max(load) AS most, round(max(load) / avg(load), 9) AS imbalance, min(load) AS least, round(stddev_pop(load), 6) AS dev FROM (
 SELECT part, sum(load)::BIGINT AS load FROM (SELECT load, ntile(8) OVER (ORDER BY task) AS part FROM ({_LOADS})) GROUP BY part)""")
 def pack_variance(spark, d):
-    packs = _loads(spark, d).withColumn("part", F.ntile(8).over(Window.orderBy("task"))).groupBy("part").agg(F.sum("load").alias("load"))
+    packs = _tiled(spark, d, part=8).groupBy("part").agg(F.sum("load").alias("load"))
     return packs.agg(F.max("load").alias("most"), F.round(F.max("load") / F.avg("load"), 9).alias("imbalance"), F.min("load").alias("least"), F.round(F.stddev_pop("load"), 6).alias("dev"))
 
 
 @query(f"""SELECT a, b, round(sum(size), 2) AS stays FROM (SELECT size, ntile(6) OVER (ORDER BY task) AS a, ntile(8) OVER (ORDER BY task) AS b FROM ({_LOADS})) GROUP BY a, b""")
 def pack_overlap(spark, d):
-    order = Window.orderBy("task")
-    both = _loads(spark, d).select("size", F.ntile(6).over(order).alias("a"), F.ntile(8).over(order).alias("b"))
+    both = _tiled(spark, d, a=6, b=8)
     return both.groupBy("a", "b").agg(F.round(F.sum("size"), 2).alias("stays"))
 
 
+#: Suppliers are planned in four scenarios, each of every fourth task: 25 tasks each at the scale of the tests.
+SCENARIOS = 4
+
+
 def _scenarios(spark, d, run, schema):
-    """One group for each of 50 classes of suppliers, planned apart; a class has the suppliers of one remainder."""
-    loads = _loads(spark, d).withColumn("scenario", F.col("task") % 50)
+    loads = _loads(spark, d).withColumn("scenario", F.col("task") % SCENARIOS)
 
     def plan(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("task")
@@ -473,47 +491,99 @@ def _scenarios(spark, d, run, schema):
     return loads.groupBy("scenario").applyInPandas(plan, f"scenario long, {schema}")
 
 
-def _parts(loads):
-    return max(1, min(3, len(loads)))
+def _parts(loads, parts=3):
+    return max(1, min(parts, len(loads)))
+
+
+# tasks of a scenario by place i, with the load and state before them; all layouts of three ranges [0, x), [x, y), [y, n);
+# a scenario of fewer tasks than three has one range less
+_TASKS = f"""t AS (SELECT task % {SCENARIOS} AS scenario, task, load, size, row_number() OVER (PARTITION BY task % {SCENARIOS} ORDER BY task) - 1 AS i,
+count(*) OVER (PARTITION BY task % {SCENARIOS}) AS n FROM ({_LOADS})),
+e AS (SELECT scenario, n, i AS pos, coalesce(sum(load) OVER w, 0) AS l, coalesce(sum(size) OVER w, 0) AS s FROM t WINDOW w AS (PARTITION BY scenario ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  UNION ALL SELECT scenario, max(n), max(n), sum(load), sum(size) FROM t GROUP BY scenario),
+z AS (SELECT scenario, l AS total, s AS state FROM e WHERE pos = n),
+y AS (SELECT a.scenario, a.n, least(a.n, 3) AS k, a.pos AS x, b.pos AS y, a.l AS lx, b.l AS ly, a.s AS sx, b.s AS sy, total, state FROM e a JOIN e b USING (scenario) JOIN z USING (scenario)
+  WHERE CASE WHEN a.n >= 3 THEN 0 < a.pos AND a.pos < b.pos AND b.pos < a.n WHEN a.n = 2 THEN a.pos = 1 AND b.pos = 2 ELSE a.pos = 1 AND b.pos = 1 END)"""
 
 
-@query()
+@query(f"""WITH {_TASKS}
+SELECT scenario::BIGINT AS scenario, round(min((lx - total / k) ** 2 + CASE WHEN k > 1 THEN (ly - lx - total / k) ** 2 ELSE 0 END + CASE WHEN k > 2 THEN (total - ly - total / k) ** 2 ELSE 0 END), 6) AS cost FROM y GROUP BY scenario""")
 def pack_balanced(spark, d):
-    return _scenarios(spark, d, lambda w, s: [(i, n) for i, n in enumerate(packing.balanced(w, _parts(w)))], "part long, length long")
+    def run(w, s):
+        sums = [sum(w[a:b]) for a, b in packing.ranges(packing.balanced(w, _parts(w)))]
+        return [(round(sum((x - sum(w) / len(sums)) ** 2 for x in sums), 6),)]
+
+    return _scenarios(spark, d, run, "cost double")
+
+
+def _overlap(old: tuple[str, str], new: tuple[str, str]) -> str:
+    """State that range old shares with range new, both given by their state before and after."""
+    return f"greatest(0, least({old[1]}, {new[1]}) - greatest({old[0]}, {new[0]}))"
 
 
-@query()
+# the old layout has two even ranges (one, of a scenario of a single or two tasks), cut at state h
+_OLD = f"""h AS (SELECT y.*, CASE WHEN y.n > 2 THEN e.s ELSE state END AS h FROM y JOIN e ON y.scenario = e.scenario AND e.pos = CASE WHEN y.n > 2 THEN (y.n + 1) // 2 ELSE y.n END),
+m AS (SELECT *, {", ".join(f"{_overlap(o, r)} AS o{i}{j}" for i, o in enumerate((("0", "h"), ("h", "state"))) for j, r in enumerate((("0", "sx"), ("sx", "sy"), ("sy", "state"))))} FROM h),
+g AS (SELECT *, greatest({", ".join(f"o0{a} + o1{b}" for a in range(3) for b in range(3) if a != b)}) AS stays FROM m)"""
+
+
+@query(f"""WITH {_TASKS}, {_OLD}, cl AS (SELECT scenario, i, n, sum(least(load, total / least(n, 3) * 1.5)) OVER (PARTITION BY scenario ORDER BY i) AS upto, total / least(n, 3) * 1.5 AS cap FROM t JOIN z USING (scenario)),
+f AS (SELECT g.*, a.upto AS cx, b.upto AS cy, c.upto AS cn, a.cap FROM g JOIN cl a ON g.scenario = a.scenario AND a.i = g.x - 1 JOIN cl b ON g.scenario = b.scenario AND b.i = g.y - 1 JOIN cl c ON g.scenario = c.scenario AND c.i = g.n - 1)
+SELECT scenario::BIGINT AS scenario, round(max(stays) FILTER (WHERE cx <= cap + 1e-9 AND cy - cx <= cap + 1e-9 AND cn - cy <= cap + 1e-9), 4) AS gain FROM f GROUP BY scenario""")
 def pack_dp(spark, d):
     def run(w, s):
         old = packing.even(len(w), max(1, _parts(w) - 1))
         pack, gain = packing.least_move([(old, 1.0)], w, s, _parts(w), 1.5)
-        return [(",".join(map(str, pack)) if pack else None, gain)]
+        return [(round(gain, 4) if pack else None,)]
 
-    return _scenarios(spark, d, run, "pack string, gain double")
+    return _scenarios(spark, d, run, "gain double")
 
 
-@query()
+@query(f"""WITH {_TASKS}, {_OLD} SELECT scenario::BIGINT AS scenario, round(state - stays, 4) AS moved FROM g
+WHERE x = CASE WHEN n >= 3 THEN n // 3 + (n % 3 > 0)::INT ELSE 1 END AND y = CASE WHEN n >= 3 THEN 2 * (n // 3) + least(n % 3, 2) ELSE n END""")
 def match_max(spark, d):
     def run(w, s):
-        old, new = packing.even(len(w), max(1, _parts(w) - 1)), packing.balanced(w, _parts(w))
-        return [(packing.moved(old, new, s), packing.climb(old, w, s, _parts(w), 1.5)[1])]
+        return [(round(packing.moved(packing.even(len(w), max(1, _parts(w) - 1)), packing.even(len(w), _parts(w)), s), 4),)]
+
+    return _scenarios(spark, d, run, "moved double")
 
-    return _scenarios(spark, d, run, "moved double, climbed double")
 
+def _bins(spark, d, run, old, new):
+    """scenario, task, part of a plan from `old` to `new` bins of consecutive tasks; scenarios of fewer tasks than bins keep one bin."""
+    loads = _loads(spark, d).withColumn("scenario", F.col("task") % SCENARIOS)
 
-@query()
+    def plan(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("task")
+        tasks, w, s = group["task"].tolist(), group["load"].astype(float).tolist(), group["size"].astype(float).tolist()
+        bins = [list(range(a, b)) for a, b in packing.ranges(packing.even(len(w), old))]
+        bins = run(bins, w, s, new) if len(w) >= max(old, new) else [list(range(len(w)))]
+        return pd.DataFrame([(int(group["scenario"].iloc[0]), tasks[t], i) for i, b in enumerate(bins) for t in b], columns=["scenario", "task", "part"])
+
+    return loads.groupBy("scenario").applyInPandas(plan, "scenario long, task long, part long")
+
+
+@query(f"""WITH {_TASKS}, b AS (SELECT *, (i >= (n + 1) // 2)::BIGINT AS old, row_number() OVER (PARTITION BY scenario, i >= (n + 1) // 2 ORDER BY size, task) AS r FROM t)
+SELECT scenario::BIGINT AS scenario, task, CASE WHEN n < 3 THEN 0 WHEN r <= n // 3 // 2 + (old < n // 3 % 2)::INT THEN 2 ELSE old END::BIGINT AS part FROM b""")
 def plan_ch(spark, d):
-    def run(w, s):
-        bins = [list(range(a, b)) for a, b in packing.ranges(packing.even(len(w), max(1, _parts(w) - 1)))]
-        return [(i, ",".join(map(str, b))) for i, b in enumerate(packing.rehash(bins, w, _parts(w)))]
+    return _bins(spark, d, lambda bins, w, s, n: packing.rehash(bins, s, n), 2, 3)
+
 
-    return _scenarios(spark, d, run, "part long, tasks string")
+@query(f"""WITH {_TASKS}, b AS (SELECT *, CASE WHEN i < n // 3 + (n % 3 > 0)::INT THEN 0 WHEN i < 2 * (n // 3) + least(n % 3, 2) THEN 1 ELSE 2 END::BIGINT AS old FROM t),
+v AS (SELECT scenario, arg_min(old, (s, old)) AS gone FROM (SELECT scenario, old, round(sum(size), 4) AS s FROM b GROUP BY ALL) GROUP BY scenario),
+q AS (SELECT *, row_number() OVER (PARTITION BY scenario, old ORDER BY task) AS r, count(*) OVER (PARTITION BY scenario, old) AS c FROM b JOIN v USING (scenario))
+SELECT scenario::BIGINT AS scenario, task, CASE WHEN n < 3 THEN 0 WHEN old = gone THEN (r > (c + 1) // 2)::INT ELSE old - (old > gone)::INT END::BIGINT AS part FROM q""")
+def plan_ch_shrink(spark, d):
+    return _bins(spark, d, lambda bins, w, s, n: packing.rehash(bins, s, n), 3, 2)
 
 
-@query()
+# no move from the heaviest to the lightest bin narrows their gap any more; all tasks are still there
+@query(f"WITH {_TASKS} SELECT scenario::BIGINT AS scenario, count(*) AS n_tasks, sum(load)::DOUBLE AS load, least(max(n), 4)::BIGINT AS bins, true AS settled FROM t GROUP BY scenario")
 def plan_flux(spark, d):
     def run(w, s):
-        bins = [list(range(a, b)) for a, b in packing.ranges(packing.even(len(w), _parts(w)))]
-        return [(i, ",".join(map(str, b))) for i, b in enumerate(packing.flux(bins, w))]
+        bins = packing.flux([list(range(a, b)) for a, b in packing.ranges(packing.even(len(w), _parts(w)))], w, _parts(w, 4))
+        sums = sorted((sum(w[t] for t in b), b) for b in bins)
+        gap = sums[-1][0] - sums[0][0]
+        settled = all(abs(gap - 2 * w[t]) >= gap for t in sums[-1][1])
+        return [(sum(map(len, bins)), sum(w[t] for b in bins for t in b), len(bins), settled)]
 
-    return _scenarios(spark, d, run, "part long, tasks string")
+    return _scenarios(spark, d, run, "n_tasks long, load double, bins long, settled boolean")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Colours of overlays, by logo.
+from ..functions.ordering import running
+
+#: Colours of overlays by logo, in the order in which results are expected.
 COLOURS = ("magenta", "yellow", "cyan", "blue", "green", "red", "black")
 
 
@@ -43,9 +45,30 @@ def overlays(frames: DataFrame, found: DataFrame) -> DataFrame:
 def reorder(arrivals: DataFrame, patience: int) -> DataFrame:
     """frame, emitted_at of frames in ascending order; a frame that comes over `patience` places late is dropped.
 
-    arrivals: frame, at (place of arrival). A frame is passed over once a later one has
-    waited `patience` arrivals; it is late if it comes after that.
+    arrivals: frame, at (place of arrival, without gaps). A frame is passed over once a later
+    one has waited `patience` arrivals; it is late if it comes after that. The largest frame
+    so far is a running maximum over ranges of arrivals, looked up `patience` places back.
     """
-    arrivals.createOrReplaceTempView("_arrivals")
-    late = arrivals.sparkSession.sql(f"SELECT frame, at, max(frame) OVER (ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND {patience} PRECEDING) AS passed FROM _arrivals")
+    passed = running(arrivals, ["at"], highs={"_high": "frame"}).select((F.col("at") + patience - 1).alias("at"), F.col("_high").alias("passed"))
+    late = arrivals.join(passed, "at", "left")
     return late.filter("passed IS NULL OR frame > passed").select("frame", F.col("at").alias("emitted_at"))
+
+
+def sample(frames: DataFrame, every: int, first: int = 0) -> DataFrame:
+    """Frames from `first` on that go to the sample stream, with sample_id, their running number."""
+    kept = frames.filter((F.col("frame") >= first) & (F.col("frame") % every == 0))
+    return kept.withColumn("sample_id", F.floor(F.col("frame") / every).cast("long"))
+
+
+def three_way(frames: DataFrame, patches: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Patches and template updates with the frames they belong to, in whatever order the three came.
+
+    frames: frame, image; patches: frame, patch and more; updates: host_frame, host_patch,
+    at, logo, parent and more. The first of repeated frames counts, and the first update of
+    a host patch. Gives (patches with image, updates with image); what has no frame yet is
+    left out.
+    """
+    image = frames.groupBy("frame").agg(F.min("image").alias("image"))
+    rest = [c for c in updates.columns if c not in ("host_frame", "host_patch", "at")]
+    first = updates.groupBy("host_frame", "host_patch").agg(F.min_by(F.struct("at", *rest), F.struct("at", *rest)).alias("_u")).select("host_frame", "host_patch", "_u.*")
+    return patches.join(image, "frame"), first.join(image.withColumnRenamed("frame", "host_frame"), "host_frame")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,14 +12,52 @@ def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
 
 
+#: Rows of either side that meet in one task.
+BLOCK = 2048
+
+
+def in_blocks(queries: DataFrame, index: DataFrame, compare, schema: str, block: int = BLOCK) -> DataFrame:
+    """compare(queries, index) over all pairs of blocks of the two sides, each with `id`.
+
+    The sides are dealt into blocks of about `block` rows by a hash of the id, so a task's
+    memory is bounded however large they are; the pairs of rows never become rows.
+    """
+    n, m = (max(1, -(-side.count() // block)) for side in (queries, index))
+    own = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    # under new identities, since both sides may come from one table
+    queries, index = (side.toDF(*side.columns) for side in (queries, index))
+    a = queries.select("*", own(n).alias("_q"), every(m).alias("_i"))
+    b = index.select("*", every(n).alias("_q"), own(m).alias("_i"))
+    run = lambda x, y: compare(x.reset_index(drop=True), y.reset_index(drop=True))
+    return a.groupBy("_q", "_i").cogroup(b.groupBy("_q", "_i")).applyInPandas(run, schema)
+
+
+def distances(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Euclidean distances of all vectors of a from all of b."""
+    x, y = (np.stack([np.asarray(v, float) for v in side]) for side in (a, b))
+    out = np.empty((len(x), len(y)))
+    for i in range(0, len(x), 64):  # differences, not products: exact for equal vectors
+        out[i : i + 64] = np.sqrt(((x[i : i + 64, None, :] - y[None, :, :]) ** 2).sum(axis=2))
+    return out
+
+
 def match_counts(queries: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
     """frame, image, freq: index entries closer than the threshold (strictly) to a frame's descriptors.
 
-    queries: frame, feat; index: image, feat. The index is the stated side that every query
-    meets; which side is sent is left to the planner's size checks.
+    queries: id, frame, feat; index: id, image, feat.
     """
-    near = queries.select("frame", F.col("feat").alias("_q")).crossJoin(index.select("image", F.col("feat").alias("_i"))).filter(l2(F.col("_q"), F.col("_i")) < threshold)
-    return near.groupBy("frame", "image").agg(F.count("*").alias("freq"))
+
+    def compare(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(x):
+            return pd.DataFrame({"frame": [], "image": [], "freq": []})
+        i, j = np.nonzero(distances(q["feat"], x["feat"]) < threshold)
+        near = pd.DataFrame({"frame": q["frame"].to_numpy()[i], "image": x["image"].to_numpy()[j]})
+        return near.groupby(["frame", "image"]).size().rename("freq").reset_index()
+
+    kinds = f"frame {queries.schema['frame'].dataType.simpleString()}, image {index.schema['image'].dataType.simpleString()}, freq long"
+    found = in_blocks(queries.select("id", "frame", "feat"), index.select("id", "image", "feat"), compare, kinds)
+    return found.groupBy("frame", "image").agg(F.sum("freq").alias("freq"))
 
 
 def matched_images(counts: DataFrame, queries: DataFrame, ratio: float) -> DataFrame:
@@ -27,28 +67,42 @@ def matched_images(counts: DataFrame, queries: DataFrame, ratio: float) -> DataF
     return kept.groupBy("frame").agg(F.array_join(F.transform(F.array_sort(F.collect_list("image")), lambda x: x.cast("string")), ",").alias("images"))
 
 
-def two_nearest(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """id, near, d1, d2: the closest entry of the index and the two least distances; ties by id.
+def two_nearest(queries: DataFrame, index: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """id, near, d1, d2: the closest entry of the index and the two least distances, to 6 digits; ties by id.
 
-    The two least are a bounded aggregate, so no query's candidates are sorted or gathered.
+    Each block of the index gives its two closest, in one pass over the distances. With keys,
+    only rows that share them are compared. Queries that fewer than two entries meet are left out.
     """
-    pairs = queries.select("id", F.col("feat").alias("_q")).crossJoin(index.select(F.col("id").alias("_j"), F.col("feat").alias("_i")))
-    pairs = pairs.select("id", F.struct(F.round(l2(F.col("_q"), F.col("_i")), 6).alias("d"), F.col("_j").alias("near")).alias("_p"))
-    best = pairs.groupBy("id").agg(F.min("_p").alias("_a"))
-    rest = pairs.join(best, "id").filter(F.col("_p") > F.col("_a")).groupBy("id", "_a").agg(F.min("_p").alias("_b"))
-    return rest.select("id", "_a.near", F.col("_a.d").alias("d1"), F.col("_b.d").alias("d2"))
-
 
-def ratio_test(nearest: DataFrame, ratio: float = 0.8) -> DataFrame:
-    """Keeps distinct matches, then those not further than three times the least distance and a twelfth of the largest."""
+    def compare(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(x):
+            x = x.sort_values("id", ignore_index=True)
+            d = np.round(distances(q["feat"], x["feat"]), 6)
+            for k in keys:
+                d[q[k].to_numpy()[:, None] != x[k].to_numpy()[None, :]] = np.inf
+            two = np.argsort(d, axis=1, kind="stable")[:, :2]
+            for i, own in enumerate(two):
+                out += [(*(q[c][i] for c in ("id", *keys)), x["id"][j], d[i, j]) for j in own if np.isfinite(d[i, j])]
+        return pd.DataFrame(out, columns=["id", *keys, "near", "d"])
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = ", ".join([f"id {kind(queries, 'id')}", *[f"`{k}` {kind(queries, k)}" for k in keys], f"near {kind(index, 'id')}", "d double"])
+    found = in_blocks(queries.select("id", "feat", *keys), index.select("id", "feat", *keys), compare, schema)
+    best = found.groupBy("id", *keys).agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "near"))), 1, 2).alias("_b")).filter(F.size("_b") == 2)
+    return best.select("id", *keys, F.col("_b")[0]["near"].alias("near"), F.col("_b")[0]["d"].alias("d1"), F.col("_b")[1]["d"].alias("d2"))
+
+
+def ratio_test(nearest: DataFrame, ratio: float = 0.8, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Keeps distinct matches, then those not further than three times the least distance and a twelfth of the largest (of their keys)."""
     good = nearest.filter(F.col("d1") < ratio * F.col("d2"))
-    span = good.agg((F.min("d1") * 3 + F.max("d1") / 12).alias("_most"))
-    return good.crossJoin(span).filter("d1 <= _most").drop("_most")
+    span = good.groupBy(*keys).agg((F.min("d1") * 3 + F.max("d1") / 12).alias("_most"))
+    return (good.join(span, list(keys)) if keys else good.crossJoin(span)).filter("d1 <= _most").select(nearest.columns)
 
 
-def mutual(forward: DataFrame, backward: DataFrame) -> DataFrame:
-    back = backward.select(F.col("near").alias("id"), F.col("id").alias("near"))
-    return forward.select("id", "near").join(back, ["id", "near"])
+def mutual(forward: DataFrame, backward: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    back = backward.select(F.col("near").alias("id"), F.col("id").alias("near"), *keys)
+    return forward.select("id", "near", *keys).join(back, ["id", "near", *keys])
 
 
 def quadrilateral_ok(x: list[Column], y: list[Column], roi_w: Column, roi_h: Column) -> Column:
@@ -70,3 +124,27 @@ def template_pool(templates: DataFrame, pool: str, priority: str, tie: str, size
     """The `size` templates of highest priority of each pool."""
     w = Window.partitionBy(pool).orderBy(F.desc(priority), tie)
     return templates.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= size)
+
+
+def update_pool(pool: DataFrame, hits: DataFrame, added: DataFrame, size: int) -> DataFrame:
+    """logo, template, priority after an interval: hits raise the priority, new templates start at 0, the lowest beyond `size` go.
+
+    pool: logo, template, priority; hits: logo, template, a row for each detection by it;
+    added: logo, template. Of equal priority the smaller template stays. A template that is
+    in the pool isn't added again.
+    """
+    raised = hits.groupBy("logo", "template").agg(F.count("*").alias("_hits"))
+    old = pool.join(raised, ["logo", "template"], "left").select("logo", "template", (F.col("priority") + F.coalesce("_hits", F.lit(0))).cast("long").alias("priority"))
+    new = added.select("logo", "template").distinct().join(pool.select("logo", "template"), ["logo", "template"], "left_anti").withColumn("priority", F.lit(0).cast("long"))
+    return template_pool(old.unionByName(new), "logo", "priority", "template", size).drop("place")
+
+
+def first_match(tries: DataFrame) -> DataFrame:
+    """patch, logo, template, rect: of the templates that match a patch, the original first, then the one of highest priority; ties by template and rect.
+
+    tries: patch, logo, template, priority (null for the original), rect (null: no match).
+    Patches without a match have nulls.
+    """
+    rank = F.struct(F.col("priority").isNotNull().alias("a"), (-F.coalesce("priority", F.lit(0))).alias("b"), F.col("template").alias("c"), F.col("rect").alias("d"))
+    found = F.min_by(F.struct("template", "rect"), F.when(F.col("rect").isNotNull(), rank))
+    return tries.groupBy("patch", "logo").agg(found.alias("_f")).select("patch", "logo", "_f.template", "_f.rect")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import numbered
+
 
 def moments(value: Column, prefix: str = "") -> list[Column]:
     """The mergeable triple of a value: count, sum, sum of squares."""
@@ -106,6 +108,7 @@ def execution_stats(df: DataFrame, key: Column, cost: str, size: str, order: lis
 def transitions(df: DataFrame, order: str, load: str, edges: list[float]) -> DataFrame:
     """(from_state, to_state, p) between consecutive loads in order; one row for each step, e.g. a day."""
     state = histogram_bucket(F.col(load).cast("double"), edges)
-    steps = df.select(F.lag(state).over(Window.orderBy(order)).alias("from_state"), state.alias("to_state")).filter("from_state is not null")
+    steps = numbered(df.select(order, state.alias("_s")), [order], "_i")
+    steps = steps.select("_i", F.col("_s").alias("from_state")).join(steps.select((F.col("_i") - 1).alias("_i"), F.col("_s").alias("to_state")), "_i")
     counts = steps.groupBy("from_state", "to_state").agg(F.count("*").alias("n"))
     return counts.select("from_state", "to_state", "n", (F.col("n") / F.sum("n").over(Window.partitionBy("from_state"))).alias("p"))

@@ -7,6 +7,8 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import running
+
 
 def unit_vectors(n: int, dim: int, seed: int = 7) -> list[list[float]]:
     """Gaussian directions of length 1."""
@@ -27,18 +29,18 @@ def project(objects: DataFrame, vectors: list[list[float]], vector: str = "vecto
 
 
 def neighbours(projected: DataFrame, distance: float, key: str = "id") -> DataFrame:
-    """pid, key, pv, n: others within `distance` (inclusive) on the projection.
+    """pid, key, pv, n: others within `distance` (inclusive) on the projection; a key has one value on each.
 
-    Values are dealt by cells of one distance; each value also visits the two cells beside
-    its own, so a window inside a cell sees all neighbours and no task holds a projection.
+    Values and the two ends of each value's window are sorted together over ranges; the
+    number of values before an end is a running sum, so no task holds a projection or a
+    dense part of it.
     """
-    cell = F.floor(F.col("pv") / distance)
-    spread = projected.select(key, "pid", "pv", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("_by")).withColumn("_cell", cell + F.col("_by"))
-    spread.createOrReplaceTempView("_cells")
-    counted = spread.sparkSession.sql(f"""
-        SELECT {key}, pid, pv, _by, count(1) OVER (PARTITION BY pid, _cell ORDER BY pv
-          RANGE BETWEEN {distance!r}D PRECEDING AND {distance!r}D FOLLOWING) - 1 AS n FROM _cells""")
-    return counted.filter("_by = 0").select(key, "pid", "pv", "n")
+    ends = ((0, -distance), (1, 0.0), (2, distance))  # a lower end comes before values equal to it, an upper one after
+    spread = F.explode(F.array(*[F.struct(F.lit(k).alias("_kind"), (F.col("pv") + d).alias("_v"), F.lit(int(k == 1)).cast("long").alias("_one")) for k, d in ends])).alias("_e")
+    points = projected.select(key, "pid", "pv", spread).select(key, "pid", "pv", "_e.*")
+    counted = running(points, ["pid", "_v", "_kind"], {"_before": "_one"}).filter("_kind <> 1")
+    at = lambda k: F.max(F.when(F.col("_kind") == k, F.col("_before")))
+    return counted.groupBy(key, "pid", "pv").agg((at(2) - at(0) - 1).alias("n")).select(key, "pid", "pv", "n")
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

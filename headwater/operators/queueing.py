@@ -55,45 +55,62 @@ def ranked_gains(nodes: DataFrame, spare: int, chain: bool = False) -> DataFrame
     return gains.select("comp", "k", "gain", F.row_number().over(Window.orderBy(F.desc("gain"), "comp", "k")).alias("place"))
 
 
-def suggest(nodes: DataFrame, total: int, chain: bool = False) -> DataFrame:
-    """comp, k: the best allocation of `total` servers; k is null where even the minimum doesn't fit."""
+def suggest(nodes: DataFrame, total, chain: bool = False, reach: int | None = None) -> DataFrame:
+    """comp, k: the best allocation of `total` servers; k is null where even the minimum doesn't fit.
+
+    `total` may be a table of one row; then `reach` is how many servers beyond its minimum a
+    node can get.
+    """
     low = minimum(F.col("lam"), F.col("mu"))
-    needed = nodes.agg(F.sum(low).alias("need"))
-    extra = ranked_gains(nodes, total, chain).crossJoin(needed).filter(F.col("place") <= total - F.col("need")).groupBy("comp").agg(F.count("*").alias("extra"))
-    return nodes.select("comp", low.alias("low")).join(extra, "comp", "left").crossJoin(needed).select("comp", F.when(F.col("need") <= total, F.col("low") + F.coalesce("extra", F.lit(0))).cast("long").alias("k"))
+    needed = nodes.agg(F.sum(low).alias("need")).crossJoin(_scalar(nodes, total, "total"))
+    spare = F.col("total") - F.col("need")
+    extra = ranked_gains(nodes, reach or total, chain).crossJoin(needed).filter(F.col("place") <= spare).groupBy("comp").agg(F.count("*").alias("extra"))
+    return nodes.select("comp", low.alias("low")).join(extra, "comp", "left").crossJoin(needed).select("comp", F.when(spare >= 0, F.col("low") + F.coalesce("extra", F.lit(0))).cast("long").alias("k"))
+
+
+def _scalar(nodes: DataFrame, value, name: str) -> DataFrame:
+    """One row with a number, which may be given as a table of one row and column."""
+    return value.toDF(name) if isinstance(value, DataFrame) else nodes.sparkSession.range(1).select(F.lit(value).alias(name))
 
 
-def least_for(nodes: DataFrame, target: float, most: int, factor: float = 1.0, chain: bool = False) -> DataFrame:
+def least_for(nodes: DataFrame, target: float, most, factor=1.0, chain: bool = False, reach: int | None = None) -> DataFrame:
     """comp, k, status: the smallest allocation whose latency times factor is within target seconds.
 
     The latency after n gains is that of the minimum less their running sum. With `most`
     servers in all too few, or the sum of service times above the target, it is INFEASIBLE
-    and k is null.
+    and k is null. `most` (None: no limit) and `factor` may be tables of one row. `reach`
+    servers of each node beyond its minimum are tried, by default `most`; without a limit on
+    `most` the answer is exact unless it needs more than `reach` of one node.
     """
     low = minimum(F.col("lam"), F.col("mu"))
     ratio = F.lit(1.0) if chain else F.col("ratio")
-    base = nodes.agg(F.sum(low).alias("need"), F.sum(sojourn(F.col("lam"), F.col("mu"), low) * ratio).alias("start"), F.sum(ratio / F.col("mu")).alias("bound"))
-    gains = ranked_gains(nodes, most, chain)
+    given = _scalar(nodes, factor, "factor").crossJoin(_scalar(nodes, (1 << 62) if most is None else most, "most"))
+    base = nodes.agg(F.sum(low).alias("need"), F.sum(sojourn(F.col("lam"), F.col("mu"), low) * ratio).alias("start"), F.sum(ratio / F.col("mu")).alias("bound")).crossJoin(given)
+    gains = ranked_gains(nodes, reach or (most if isinstance(most, int) else 200), chain)
     running = gains.select("comp", "place", F.sum("gain").over(Window.orderBy("place")).alias("saved"))
-    reach = running.select("place", "saved").unionByName(nodes.sparkSession.createDataFrame([(0, 0.0)], "place int, saved double")).crossJoin(base)
-    enough = (F.col("start") - F.col("saved")) * factor <= target
-    first = reach.filter(enough & (F.col("bound") * factor < target) & (F.col("need") + F.col("place") <= most)).agg(F.min("place").alias("n"))
+    tried = running.select("place", "saved").unionByName(nodes.sparkSession.createDataFrame([(0, 0.0)], "place int, saved double")).crossJoin(base)
+    enough = (F.col("start") - F.col("saved")) * F.col("factor") <= target
+    first = tried.filter(enough & (F.col("bound") * F.col("factor") < target) & (F.col("need") + F.col("place") <= F.col("most"))).agg(F.min("place").alias("n"))
     extra = running.crossJoin(first).filter("place <= n").groupBy("comp").agg(F.count("*").alias("extra"))
     out = nodes.select("comp", low.alias("low")).join(extra, "comp", "left").crossJoin(first)
     return out.select("comp", F.when(F.col("n").isNotNull(), F.col("low") + F.coalesce("extra", F.lit(0))).cast("long").alias("k"), F.when(F.col("n").isNotNull(), "FEASIBLE").otherwise("INFEASIBLE").alias("status"))
 
 
-def check_optimised(nodes: DataFrame, alloc: DataFrame, real_ms: float, target_ms: float, most: int) -> DataFrame:
+def check_optimised(nodes: DataFrame, alloc: DataFrame, real_ms, target_ms: float, most, reach: int = 200) -> DataFrame:
     """comp, k_now, k_min, k_opt, status, est_ms, ratio: the state of a network against its target.
 
     The model is scaled by how far it underestimates the real latency; the least allocation
-    may use twice `most`. One scalar, the estimate, goes to the driver.
+    may use twice `most`. real_ms and most may be tables of one row, so nothing runs before
+    the whole plan does.
     """
-    est = network_latency(nodes, alloc).first()["latency"]
-    factor = max(1.0, real_ms / (est * 1000)) if est else 1.0
-    least = least_for(nodes, target_ms / 1000, 2 * most, factor).withColumnRenamed("k", "k_min")
-    best = suggest(nodes, most).withColumnRenamed("k", "k_opt")
-    return alloc.withColumnRenamed("k", "k_now").join(least, "comp").join(best, "comp").select("comp", F.col("k_now").cast("long").alias("k_now"), "k_min", "k_opt", "status", F.lit(est * 1000 if est else None).cast("double").alias("est_ms"), F.lit(factor).alias("ratio"))
+    est = network_latency(nodes, alloc).select((F.col("latency") * 1000).alias("est_ms"))
+    scaled = est.crossJoin(_scalar(nodes, real_ms, "real_ms"))
+    scaled = scaled.select("est_ms", F.greatest(F.lit(1.0), F.coalesce(F.try_divide("real_ms", "est_ms"), F.lit(1.0))).alias("ratio"))
+    limit = _scalar(nodes, most, "most")
+    least = least_for(nodes, target_ms / 1000, limit.select(F.col("most") * 2), scaled.select("ratio"), reach=2 * most if isinstance(most, int) else reach)
+    best = suggest(nodes, limit, reach=most if isinstance(most, int) else reach).withColumnRenamed("k", "k_opt")
+    out = alloc.withColumnRenamed("k", "k_now").join(least.withColumnRenamed("k", "k_min"), "comp").join(best, "comp").crossJoin(scaled)
+    return out.select("comp", F.col("k_now").cast("long").alias("k_now"), "k_min", "k_opt", "status", "est_ms", "ratio")
 
 
 def workers(alloc: DataFrame, per_worker: int) -> DataFrame:
