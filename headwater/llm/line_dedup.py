@@ -8,7 +8,9 @@ smallest (doc_id, place) stays; the others go if their bytes equal those of the
 one that stays.
 
 Only chunks whose hash repeats bring their bytes to the comparison, and texts
-move once, to be written anew.
+move once, to be written anew. The rows of the most frequent chunks, a number of
+fixed size, are dealt over many tasks by salt, and what they are joined with is
+repeated for each salt.
 
 Defined cases: a null text stays null and has no chunk; blank lines belong to
 chunks, but a chunk needs `least` lines that are not blank to be removed; rows
@@ -29,8 +31,18 @@ FACTOR, MODULUS = 1_000_003, 2_147_483_647
 LAST_ID = 9223372036854775807
 
 
+#: Most frequent chunks, whose rows are spread over SPREAD tasks each. The rest have less than one in HOT of all rows.
+HOT, SPREAD = 1000, 64
+
+
 def _uid() -> Column:
-    return F.xxhash64("doc_id", "text").alias("uid")
+    """Two independent hashes of a row's id and text."""
+    return F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text", "doc_id").alias("b")).alias("uid")
+
+
+def _key(chunk: Column) -> Column:
+    """112 bits or more of a chunk; equality of bytes is tested after."""
+    return F.struct(F.xxhash64(chunk).alias("a"), (F.crc32(chunk.cast("binary")) * (1 << 31) + F.length(chunk)).alias("b")).alias("key")
 
 
 def line_hash(line: Column) -> Column:
@@ -60,16 +72,23 @@ def _candidates(docs: DataFrame, divisor: int, least: int) -> DataFrame:
 
 def repeated_chunks(docs: DataFrame, texts: DataFrame, divisor: int = DIVISOR, least: int = LEAST) -> DataFrame:
     """(uid, place) of every occurrence that goes; texts: docs with uid, partitioned by it."""
-    found = _candidates(docs, divisor, least).select("doc_id", "uid", "place", F.xxhash64("chunk").alias("key"))
+    found = _candidates(docs, divisor, least).select("doc_id", "uid", "place", _key(F.col("chunk")))
     order = F.struct("doc_id", "uid", "place")
-    stays = found.groupBy("key").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first <> last").select("key", "first")
-    again = found.join(stays, "key").select("uid", F.struct("place", "key", (order == F.col("first")).alias("stays")).alias("_c"))
+    stays = found.groupBy("key").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).filter("first <> last").select("key", "first", "n")
+    # of fixed size, so it can be sent to all
+    hot = stays.orderBy(F.desc("n"), "key").limit(HOT).select(F.col("key").alias("_hot"))
+    spread = lambda df: df.join(F.broadcast(hot), F.col("key") == F.col("_hot"), "left").withColumn("_parts", F.when(F.col("_hot").isNull(), 1).otherwise(SPREAD)).drop("_hot")
+    every = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("salt")
+    own = F.pmod(F.xxhash64("uid"), F.col("_parts")).cast("int").alias("salt")
+    again = spread(found).select("uid", "place", order.alias("_at"), "key", own, "_parts").join(spread(stays).select("key", "first", every), ["key", "salt"])
+    again = again.select("uid", F.struct("place", "key", "salt", "_parts", (F.col("_at") == F.col("first")).alias("stays")).alias("_c"))
     again = again.groupBy(F.col("uid").alias("_uid")).agg(F.collect_set("_c").alias("_wanted"))
     # only chunks whose hash repeats bring their bytes
     rows = with_chunks(texts.join(again, F.col("uid") == F.col("_uid")), divisor)
-    rows = rows.select("uid", F.explode_outer(F.transform("_wanted", lambda c: F.struct(c["place"].alias("place"), c["key"].alias("key"), c["stays"].alias("stays"), F.array_join(F.get("_chunks", c["place"]), "\n").alias("chunk")))).alias("c")).select("uid", "c.*")
-    kept = rows.filter("stays").select("key", F.col("chunk").alias("bytes")).dropDuplicates(["key"])
-    return rows.filter("not stays").join(kept, "key").filter(F.col("chunk") == F.col("bytes")).select("uid", "place")
+    wanted = lambda c: F.struct(*[c[n].alias(n) for n in ("place", "key", "salt", "_parts", "stays")], F.array_join(F.get("_chunks", c["place"]), "\n").alias("chunk"))
+    rows = rows.select("uid", F.explode_outer(F.transform("_wanted", wanted)).alias("c")).select("uid", "c.*")
+    kept = rows.filter("stays").select("key", "_parts", F.col("chunk").alias("bytes")).dropDuplicates(["key"]).select("key", "bytes", every)
+    return rows.filter("not stays").join(kept, ["key", "salt"]).filter(F.col("chunk") == F.col("bytes")).select("uid", "place")
 
 
 def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST) -> DataFrame:
