@@ -1,13 +1,14 @@
 """Near-duplicate detection by b-bit MinHash.
 
 1. Every text becomes its set of distinct word shingles (64-bit hashes), its
-   minima under HASHES permutations, the lowest 8 bits of each minimum as a packed
-   signature, and BANDS keys of ROWS minima each. Texts with one set are collapsed
+   minima under HASHES permutations, the lowest BITS bits of each minimum packed
+   into a signature of 64-bit words, and BANDS keys of ROWS minima each. Texts with one set are collapsed
    to the smallest id by a partial aggregation, whatever their number.
 2. Band candidates: in each bucket every set is paired with the bucket's smallest
    id only, which is an aggregation and a join, never a group in one task.
-3. A pair's similarity is estimated from its signatures: equal bytes counted by
-   bits, corrected for chance collisions. Pairs SIGMAS standard errors under the
+3. A pair's similarity is estimated from its signatures: of the exclusive or, the
+   bits of each minimum are folded into one and counted, and the share of equal
+   minima is corrected for chance collisions. Pairs SIGMAS standard errors under the
    threshold go; the others are decided on their full sets.
 4. Links make components. A bucket whose sets are then not all in one component
    gets a second look: its sets outside the largest component meet all its sets
@@ -22,8 +23,8 @@ A pair at the threshold of 0.85 misses every bucket with probability 2e-8.
 Defined cases: a text without a word (or null) has an empty set and is linked
 with nothing; with fewer words than a shingle its whole sequence is the one
 shingle; a null id is linked with nothing, its component is null and it is kept;
-rows that share an id are one document; an empty table gives an empty result;
-other columns are ignored.
+rows that share an id are one document; ids are whole numbers; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +42,9 @@ from .components import components
 
 BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
+#: Bits kept of each minimum; 64 is a multiple.
+BITS = 4
+WORDS = HASHES * BITS // 64
 SIGMAS = 6.0
 #: Signatures of a bucket, and sets of a cluster, that meet in one task.
 BLOCK = 1024
@@ -100,7 +104,7 @@ def _sketch(words: int, lower: bool):
                     for r in range(ROWS):
                         h = mix(h ^ minima[b * ROWS + r].astype(np.uint64)) + _BAND[b]
                     bands[:, b] = h
-                low = np.ascontiguousarray((minima & 0xFF).astype(np.uint8).T)
+                low = pack(minima.T)
                 sig = [b""] * n
                 for j, i in enumerate(some.tolist()):
                     sig[i] = low[j].tobytes()
@@ -115,22 +119,40 @@ def _sketch(words: int, lower: bool):
     return run
 
 
-def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Collision-corrected similarity of signatures (last axis: HASHES bytes)."""
-    # a byte of the exclusive or is zero where the low 8 bits agree; unrelated minima agree once in 256
-    same = HASHES - np.count_nonzero(a ^ b, axis=-1)
-    return (same / HASHES - 1 / 256) / (1 - 1 / 256)
+def pack(minima: np.ndarray) -> np.ndarray:
+    """The lowest bits of each row's minima, end to end in words."""
+    low = (minima & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(minima), WORDS, 64 // BITS)
+    return np.bitwise_or.reduce(low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)), axis=2)
+
+
+def _signatures(sigs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), np.uint64).reshape(-1, WORDS)
+
+
+def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Collision-corrected similarity of signatures (last axis: words)."""
+    x = a ^ b
+    fold = x.copy()
+    for k in range(1, BITS):
+        fold |= x >> np.uint64(k)
+    ones = np.uint64(sum(1 << i for i in range(0, 64, BITS)))  # the lowest bit of each minimum
+    differ = np.bitwise_count(fold & ones).sum(axis=-1, dtype=np.int64)
+    chance = 1 / (1 << BITS)
+    return (1 - differ / HASHES - chance) / (1 - chance)
 
 
 def cutoff(similarity: float) -> float:
-    return similarity - SIGMAS * np.sqrt(similarity * (1 - similarity) / HASHES)
+    """SIGMAS standard errors of the estimate below a similarity."""
+    chance = 1 / (1 << BITS)
+    same = similarity + (1 - similarity) * chance
+    return similarity - SIGMAS * np.sqrt(same * (1 - same) / HASHES) / (1 - chance)
 
 
 def _likely(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, HASHES) for i in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array(_estimate(a, b) >= least))
+            a, b = (_signatures(batch.column(i).to_pylist()) for i in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array(estimate(a, b) >= least))
 
     return run
 
@@ -164,10 +186,10 @@ def _alike(least: float):
         out_, in_ = group[group["outside"]], group[~group["outside"]]
         forest, found = _Forest(), []
         if len(out_) and len(in_):
-            a, b = (np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(-1, HASHES) for x in (out_, in_))
+            a, b = (_signatures(list(x["sig"])) for x in (out_, in_))
             c, d = out_["comp"].to_numpy(), in_["comp"].to_numpy()
             for i in range(len(a)):
-                for x in np.unique(d[(d != c[i]) & (_estimate(a[i], b) >= least)]).tolist():
+                for x in np.unique(d[(d != c[i]) & (estimate(a[i], b) >= least)]).tolist():
                     if forest.join(int(c[i]), x):
                         found.append((int(c[i]), x))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
