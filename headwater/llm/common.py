@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space: the complement of the contract's word class.
 SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -30,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         own = spark.conf.get("spark.checkpoint.dir", None)
-        if not own and not sc.master.startswith("local"):
+        if not own and sc.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(own or os.path.join(tempfile.gettempdir(), f"headwater-{uuid.uuid4().hex[:8]}"))
     return sc.getCheckpointDir()
@@ -58,6 +59,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def made_schema(docs: DataFrame, others: list[str], made: str) -> StructType:
+    """Some of docs' columns, whatever their names, then those of a list of names and types."""
+    return StructType([*(docs.schema[c] for c in others), *StructType.fromDDL(made).fields])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, segment_sum, slices, stage
+from .common import cut, made_schema, segment_sum, slices, stage
 
 ORDER = 4
 #: Probabilities that are broadcast, 4 bytes each.
@@ -361,10 +361,9 @@ def predict(docs: DataFrame, model: Model | Tables | None, slack: float = SLACK,
     others = [c for c in docs.columns if c not in ("text", *NAMES)]
     if model is None:
         return docs.select(*[f"`{c}`" for c in others], F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    schema = f"{kinds + ', ' if kinds else ''}{PREDICTION}"
+    schema = made_schema(docs, others, PREDICTION)
     if isinstance(model, Tables):
-        return _predict_by_join(docs.select(*[f"`{c}`" for c in others], "text"), model, slack, deviations, schema)
+        return _predict_by_join(docs.select(*[f"`{c}`" for c in others], "text"), model, slack, deviations)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,7 +387,7 @@ class _Part:
         self.langs, self.mean, self.deviation, self.keys, self.rows = tables.langs, tables.mean, tables.deviation, tables.keys, tables.rows
 
 
-def _predict_by_join(docs: DataFrame, tables: Tables, slack: float, deviations: float, schema: str) -> DataFrame:
+def _predict_by_join(docs: DataFrame, tables: Tables, slack: float, deviations: float) -> DataFrame:
     """predict() with Tables; docs has text last. Texts' 4-grams that aren't broadcast meet their probabilities in a join."""
     others, n_langs = docs.columns[:-1], len(tables.langs)
     shared = docs.sparkSession.sparkContext.broadcast(_Part(tables))
@@ -427,12 +426,11 @@ def _predict_by_join(docs: DataFrame, tables: Tables, slack: float, deviations:
                 h = -sums.flatten().to_numpy().reshape(-1, n_langs) / np.maximum(n, 1)[:, None]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *_verdict(m, h, n, letters.to_numpy(), slack, deviations)], [*others, *NAMES])
 
-    kinds = schema.removesuffix(PREDICTION)
     # staged, since the rows' numbers must stay the same on both sides of the join
-    scanned = docs.mapInArrow(scan, f"{kinds}__sums array<double>, __n long, __letters long, __grams array<long>, __times array<long>")
+    scanned = docs.mapInArrow(scan, made_schema(docs, others, "__sums array<double>, __n long, __letters long, __grams array<long>, __times array<long>"))
     scanned = stage(scanned.withColumn("__row", F.monotonically_increasing_id()), "language")
     left = scanned.select("__row", F.explode(F.arrays_zip("__grams", "__times")).alias("_g")).select("__row", F.col("_g.__grams").alias("gram"), F.col("_g.__times").alias("times"))
     known = tables.logp(left.select("gram").distinct())
     rest = left.join(known, "gram").groupBy("__row").agg(F.array(*[F.sum(F.col("times") * F.get("logp", F.lit(i))) for i in range(n_langs)]).alias("__rest"))
     sums = F.when(F.col("__rest").isNull(), F.col("__sums")).otherwise(F.zip_with("__sums", "__rest", lambda a, b: a + b))
-    return scanned.join(rest, "__row", "left").select(*[f"`{c}`" for c in others], sums.alias("__sums"), "__n", "__letters").mapInArrow(judge, schema)
+    return scanned.join(rest, "__row", "left").select(*[f"`{c}`" for c in others], sums.alias("__sums"), "__n", "__letters").mapInArrow(judge, made_schema(docs, others, PREDICTION))

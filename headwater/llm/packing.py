@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ranked, shuffle_key, stage
+from .common import cut, made_schema, ranked, shuffle_key, stage
 
 CAPACITY = 1024
 END = 2
@@ -118,8 +118,7 @@ def _pieces(name: str, capacity: int, end: int):
 
 def tokenize(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """One row for each piece of at most `capacity` ids; only the first piece of a longer document is shorter."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, capacity, end), f"doc_id {kind}, {PIECES}")
+    return docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, capacity, end), made_schema(docs, ["doc_id"], PIECES))
 
 
 def sweep(docs: list[list[int]], gaps: list[list[int]], capacity: int, used: int) -> tuple[list[tuple[int, ...]], list[list[int]], list[list[int]], int]:
@@ -233,5 +232,4 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY,
     entries = plan(pieces.groupBy("length").agg(F.count("*").alias("n")), capacity)
     keyed = pieces.withColumn("_key", shuffle_key(F.concat_ws(",", F.col("doc_id"), F.col("piece")), "pack"))
     placed = ranked(keyed, ["length"], ["_key", "doc_id", "piece", "ids_crc32"], None, "rank").select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return placed.mapInArrow(_place(entries), f"doc_id {kind}, {PIECES}, sequence_id long, offset long")
+    return placed.mapInArrow(_place(entries), made_schema(docs, ["doc_id"], f"{PIECES}, sequence_id long, offset long"))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Roller, cut, shuffle_key, slices, stage, word_spans
+from .common import LOWER, Roller, cut, made_schema, shuffle_key, slices, stage, word_spans
 
 SAMPLE = 25_000
 #: Documents that the prior counts for.
@@ -264,8 +264,7 @@ def _apply(docs: DataFrame, scorer: Scorer, others: list[str], last, columns: st
                 out = last(shared.value.describe(batch.column(len(others))))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *(pa.array(np.ascontiguousarray(c)) for c in out.T)], [*others, *names])
 
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
-    return docs.select(*[f"`{c}`" for c in others], "text").mapInArrow(run, f"{kinds}{columns}")
+    return docs.select(*[f"`{c}`" for c in others], "text").mapInArrow(run, made_schema(docs, others, columns))
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
