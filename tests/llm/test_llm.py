@@ -316,21 +316,26 @@ def test_sweep_takes_the_narrowest_gaps():
 
 
 def test_perspective_rotation(spark):
-    conv = [(1, 0, "ann", "hi"), (1, 1, "bob", "yo <|im_end|>"), (1, 2, "ann", None), (1, 70, "cy", "late"), (2, None, None, "x"), (None, 0, "a", "n"), (1, 0, "ann", "hi")]
-    df = spark.createDataFrame(conv, "conv_id long, turn long, role string, text string")
-    got = chat_format.rotate(df).collect()
+    rng = random.Random(13)
+    conv = [(1, 0, "ann", "hi"), (1, 1, "bob", "yo <|im_end|>"), (1, 2, "ann", None), (1, 70, "cy", "late"), (2, None, None, "x"), (None, 0, "a", "n"), (1, 0, "ann", "hi"), (3, 1, "ann", ""), (3, 2, "bob", "long " * 20000)]
+    # a long conversation with null turns and many turns of one number, over several ranges
+    conv += [(7, rng.choice([None, 5, 5, 6, i]), rng.choice(["ann", "bob"]), f"t{rng.randrange(90)}") for i in range(400)]
+    df = spark.createDataFrame([(*c, 1, "p") for c in conv], "conv_id long, turn long, role string, text string, n int, part string").repartition(3)
+    got = chat_format.rotate(df, turns=8).collect()
     speakers = {(c, r or "unknown") for c, _, r, _ in conv}
-    parts = {(c, 2147483647 if t is None else t // 64) for c, t, _, _ in conv}
-    assert {(r["conv_id"], r["perspective"], r["part"]) for r in got} == {(c, s, p) for c, s in speakers for d, p in parts if c == d}
+    own = {}
+    for c, t, s, x in conv:
+        own.setdefault(c, []).append((t is None, t or 0, s or "unknown", (x or "").replace("<|im_", "<||im_")))
+    parts = {(c, k): sorted(turns)[8 * k : 8 * k + 8] for c, turns in own.items() for k in range(-(-len(turns) // 8))}
+    assert sorted(((r["conv_id"], r["perspective"], r["part"]) for r in got), key=repr) == sorted(((c, s, k) for c, s in speakers for d, k in parts if c == d), key=repr)
     for r in got:
-        turns = sorted((t or 0, s or "unknown", (x or "").replace("<|im_", "<||im_")) for c, t, s, x in conv if c == r["conv_id"] and (2147483647 if t is None else t // 64) == r["part"])
         text, mask = "", []
-        for _, s, x in turns:
+        for *_, s, x in parts[r["conv_id"], r["part"]]:
             text += "<|im_start|>assistant\n" if s == r["perspective"] else f"<|im_start|>user name={s}\n"
             if s == r["perspective"]:
                 mask.append((len(text), len(text) + len(x) + len("<|im_end|>\n")))
             text += f"{x}<|im_end|>\n"
-        assert (r["rendered"], [tuple(m) for m in r["mask"]], r["n_turns"]) == (text, mask, len(turns))
+        assert (r["rendered"], [tuple(m) for m in r["mask"]], r["n_turns"]) == (text, mask, len(parts[r["conv_id"], r["part"]]))
     assert chat_format.rotate(df.limit(0)).count() == 0
 
 
@@ -357,6 +362,35 @@ def test_near_duplicates_match_all_pairs(docs, rows, empty, words, percent):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_similarity_is_estimated_from_bits():
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 1 << 32, (4000, minhash.HASHES), dtype=np.uint32)
+    for similarity in (0.0, 0.5, 0.85, 1.0):
+        b = np.where(rng.random(a.shape) < similarity, a, rng.integers(0, 1 << 32, a.shape, dtype=np.uint32))
+        got = minhash.estimate(minhash.pack(a), minhash.pack(b))
+        want = ((a & 15) == (b & 15)).sum(axis=1) / minhash.HASHES
+        assert got == pytest.approx((want - 1 / 16) / (15 / 16))
+        assert got.mean() == pytest.approx(similarity, abs=0.01)
+        assert (got >= minhash.cutoff(similarity)).all()
+
+
+def test_links_found_of_all_pairs(spark):
+    """Recall against all pairs on the documents table of the tests."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    sets = {d: shingle_set(t, 3) for d, t in rows}
+    by_shingle = {}
+    for d, own in sets.items():
+        for x in own:
+            by_shingle.setdefault(x, []).append(d)
+    near = {(a, b) for ids in by_shingle.values() for a, b in itertools.combinations(sorted(ids), 2)} if max(map(len, by_shingle.values())) < 200 else None
+    pairs = near if near is not None else itertools.combinations(sorted(sets), 2)
+    links = [(a, b) for a, b in pairs if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    comp = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    found = sum(comp[a] == comp[b] for a, b in links)
+    print(f"links within a component: {found} of {len(links)}")
+    assert found == len(links) > 50
+
+
 def test_second_look_links_what_the_hub_misses(spark):
     rng = random.Random(9)
     base = vocabulary(rng, 400)
@@ -409,6 +443,9 @@ def test_quality_rules(spark, docs, rows, empty):
     assert quality_rules.apply_rules(empty).count() == 0
     kept = quality_rules.clean(df, max_docs=2)
     assert kept.columns == df.columns and 0 < kept.count() < len(small)
+    odd = df.withColumnsRenamed({"lang": "uid", "n_chars": "_uid", "rank": "_id", "key1": "kept"})
+    again = quality_rules.clean(odd, max_docs=2)
+    assert again.columns == odd.columns and out(again, "doc_id", "text", "uid") == out(kept.withColumnRenamed("lang", "uid"), "doc_id", "text", "uid")
 
 
 # --- 6 ------------------------------------------------------------------------
@@ -427,36 +464,114 @@ def brute_repeats(texts, length):
     return gone
 
 
-@pytest.mark.parametrize("length", [40, 400])
-def test_suffix_dedup_matches_brute_force(docs, rows, empty, length):
+def brute_passages(texts, words):
+    """Runs of windows of so many words that occur twice, and the words they cover, by text."""
+    spans = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    seen = {}
+    for i, (t, w) in enumerate(zip(texts, spans, strict=True)):
+        for k in range(len(w) - words + 1):
+            seen.setdefault(t[w[k][0] : w[k + words - 1][1]], []).append((i, k))
+    covered = [np.zeros(len(w), bool) for w in spans]
+    for places in seen.values():
+        if len(places) > 1:
+            for i, k in places:
+                covered[i][k : k + words] = True
+    # runs of covered words that no window joins are apart, which can't be seen here unless windows are kept
+    starts = [set() for _ in texts]
+    for places in seen.values():
+        if len(places) > 1:
+            for i, k in places:
+                starts[i].add(k)
+    runs = [sum(1 for k in s if not any(j in s for j in range(k - words, k))) for s in starts]
+    return [(r, int(c.sum())) for r, c in zip(runs, covered, strict=True)]
+
+
+@pytest.mark.parametrize("length,words", [(40, 8), (400, 50)])
+def test_suffix_dedup_matches_brute_force(docs, rows, empty, length, words):
     texts = [(r[1] or "").encode() for r in rows]
-    gone = brute_repeats(texts, length)
+    gone, passages = brute_repeats(texts, length), brute_passages(texts, words)
     want = []
-    for r, t, g in zip(rows, texts, gone, strict=True):
+    for r, t, g, p in zip(rows, texts, gone, passages, strict=True):
         kept = np.frombuffer(t, np.uint8)[~g].tobytes()
-        want.append((r[0], len(t), int(g.sum()), int((np.diff(np.append(0, g.astype(int))) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    assert out(suffix_dedup.remove_repeats(docs, length), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=repr)
+        want.append((r[0], len(t), int(g.sum()), int((np.diff(np.append(0, g.astype(int))) == 1).sum()), hashlib.sha256(kept).hexdigest(), *p))
+    got = suffix_dedup.remove_repeats(docs, length, words=words)
+    assert out(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_words") == sorted(want, key=repr)
     assert suffix_dedup.remove_repeats(empty, length).count() == 0
     full = suffix_dedup.remove_repeats(docs, length, with_text=True)
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in full.select("kept", "kept_sha256").collect())
 
 
-def test_classes_of_long_texts_in_pieces(spark, monkeypatch):
+def test_suffix_dedup_over_many_ranges(spark):
+    """One passage in most texts, many short texts, long runs of one byte; many partitions, so that groups cross their edges."""
+    rng = random.Random(41)
+    vocab = vocabulary(rng, 200)
+    passage = " ".join(rng.choices(vocab, k=90))
+    texts = []
+    for i in range(150):
+        a, b = (" ".join(rng.choices(vocab, k=rng.randint(0, 60))) for _ in range(2))
+        texts.append(a + (passage if i % 3 else passage[: rng.randint(50, 500)]) + b)
+    texts += ["ab" * 900, "ab" * 700, "z" * 600, "z" * 399, "", texts[0], texts[0], texts[1][5:]]
+    gone, passages = brute_repeats([t.encode() for t in texts], 200), brute_passages([t.encode() for t in texts], 20)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9).cache()
+    try:
+        for n in ("1", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = {r["doc_id"]: (r["n_removed"], r["n_passages"], r["passage_words"]) for r in suffix_dedup.remove_repeats(df, 200, words=20).collect()}
+            assert got == {i: (int(g.sum()), *p) for i, (g, p) in enumerate(zip(gone, passages, strict=True))}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_parse_of_long_texts_in_pieces(monkeypatch):
+    """Phrases and classes don't depend on the pieces; every window lies in one class."""
     rng = random.Random(11)
     words = vocabulary(rng, 500)
     shared = " ".join(rng.choices(words, k=150))
-    texts = [" ".join(rng.choices(words, k=700)) + shared + " ".join(rng.choices(words, k=700)) for _ in range(3)] + ["y" * 2000]
+    texts = [" ".join(rng.choices(words, k=700)) + shared + " ".join(rng.choices(words, k=700)) for _ in range(3)] + ["", "y" * 2000, "short"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.append(0, np.cumsum([len(t.encode()) for t in texts]))
+    whole = suffix_dedup.Parse(raw, at)
+    hashes = whole.hashes()
     monkeypatch.setattr(suffix_dedup, "PIECE", 777)
-    col = pa.array(texts)
-    places = {}
-    for row, text in enumerate(texts):
-        for raw, at, first_row, base in suffix_dedup._pieces(col.slice(row, 1), 400):
-            core, reach, _, first, n = suffix_dedup.classes(raw, at, 400)
-            for a, k in zip(first + base, n, strict=True):
-                for x in range(a, a + k):
-                    assert (row, x) not in places
-                    places[row, x] = 1
-    assert len(places) == sum(len(t.encode()) - 399 for t in texts)
+    parts = suffix_dedup.Parse(raw, at)
+    assert (parts.trigger == whole.trigger).all() and (parts.hashes() == hashes).all() and len(whole.trigger) > 100
+    for r, t in enumerate(texts):  # phrases overlap by a trigger and make up the text
+        own = [(int(whole.first[i]), int(whole.last[i])) for i in range(whole.base[r], whole.base[r + 1])]
+        assert own[0][0] == at[r] and own[-1][1] == at[r + 1] and all(b == c + suffix_dedup.TRIGGER for (_, b), (c, _) in zip(own, own[1:], strict=False))
+    row, first, n, f, g = suffix_dedup.byte_windows(whole, 400)
+    places = [(r, x) for r, a, k in zip(row, first, n, strict=True) for x in range(a, a + k)]
+    assert len(set(places)) == len(places) == sum(max(0, len(t.encode()) - 399) for t in texts)
+
+
+def test_dictionary_ranks_follow_the_bytes():
+    """Ranks ascend with the keys and are the same for equal ones; the phrases at the edges are named alike from either side."""
+    import pyspark
+
+    class Here:
+        @staticmethod
+        def get():
+            return Here
+
+        @staticmethod
+        def partitionId():
+            return 3
+
+    keys = sorted(random.Random(3).choices([b"a", b"b", b"c", b"d", b"ee", b"f"], k=40))
+    real, pyspark.TaskContext = pyspark.TaskContext, Here
+    try:
+        for size in (1, 3, 7, 40):
+            batches = [suffix_dedup._batch([pa.array(keys[i : i + size], pa.binary()), np.arange(i, min(40, i + size)), np.zeros(min(40, i + size) - i, np.int32)], "key uid k") for i in range(0, 40, size)]
+            got = {}
+            for b in suffix_dedup._ranks(iter(batches)):
+                got.update(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True))
+            assert len(got) == 40
+            by_key = {k: {got[i] for i in range(40) if keys[i] == k} for k in keys}
+            assert all(len(v) == 1 for v in by_key.values())
+            inner = [by_key[k].pop() for k in sorted(by_key)][1:-1]
+            assert inner == sorted(inner) and all(x >> 40 == 3 for x in inner) and got[0] > 1 << 62 < got[39]
+    finally:
+        pyspark.TaskContext = real
 
 
 # --- 7 ------------------------------------------------------------------------

@@ -100,6 +100,20 @@ def test_pipeline(spark, tmp_path, monkeypatch):
     assert max(ends.values()) <= 1024
 
 
+def test_columns_of_any_name_pass_all_stages(spark):
+    """Extra columns, named like those that the stages make, come through unharmed; an empty table too."""
+    names = ["text_", "lang_pred", "score", "rejected", "n_removed", "n_chunks", "_id", "_uid", "copies", "rank", "a b"]
+    rows = [(*r[:4], r[4], *(f"{r[0]}-{n}" for n in names)) for r in corpus(n=30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[n] == f"{r['doc_id']}-{n}" for r in got for n in names)
+        assert stage(spark, docs.limit(0), "").count() == 0
+    assert corpus_pipeline.pack_sequences(spark, docs.limit(0), "").count() == 0
+
+
 def test_languages_are_learned_from_all_labelled_documents(spark):
     rng = random.Random(9)
     vocab, other = vocabulary(rng, 200), vocabulary(rng, 200, "αβγδεικο")
