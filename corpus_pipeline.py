@@ -2,6 +2,12 @@
 
 Each stage takes all that its predecessor kept. The first four return the columns
 of documents, the last one the packed pieces.
+
+Defined cases: language ID drops null texts and texts without a letter, so later
+stages see none; line dedup drops documents of which only blank lines are left;
+null ids, ties, repeated rows and very long texts are treated as each operator
+states; an empty table gives an empty result. Columns beyond those of documents
+are kept, whatever their names: documents ride through the stages in a struct.
 """
 
 from __future__ import annotations
@@ -15,29 +21,38 @@ from headwater.llm import language_id, line_dedup, minhash, mixing, packing
 from headwater.llm.common import shared_dir
 
 
+def _whole(docs: DataFrame):
+    return F.struct(*[f"`{c}`" for c in docs.columns]).alias("__doc")
+
+
+def _back(out: DataFrame, docs: DataFrame, **new) -> DataFrame:
+    """The columns of docs out of the struct, some of them replaced."""
+    return out.select(*[new.get(c, F.col("__doc")[c]).alias(c) for c in docs.columns])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the models accept, with the language found in lang."""
     model = language_id.train(docs.select("lang", "text"))
-    columns = docs.columns
-    # the text rides along under another name, since predict() gives back all columns but text
-    found = language_id.predict(docs.withColumn("_text", F.col("text")), model).filter(~F.col("rejected"))
-    names = {"lang": F.col("lang_pred"), "text": F.col("_text")}
-    return found.select(*[names.get(c, F.col(c)).alias(c) for c in columns])
+    found = language_id.predict(docs.select(_whole(docs), "text"), model).filter(~F.col("rejected"))
+    return _back(found, docs, lang=F.col("lang_pred"))
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without chunks of lines that stand elsewhere; those with nothing left go."""
-    out = line_dedup.dedup_lines(docs)
-    out = out.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = line_dedup.dedup_lines(docs.select("doc_id", "text", _whole(docs)))
+    same = F.col("n_removed") == 0
+    out = out.filter(same | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(same, F.col("__doc")["n_chars"]).otherwise(F.length("text").cast("long"))
+    return _back(out, docs, **new)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates."""
-    kept = minhash.near_duplicates(docs, words=5, percent=80, lower=True).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = minhash.near_duplicates(docs, words=5, percent=80, lower=True).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
+    out = docs.select(_whole(docs), F.col("doc_id").alias("__of"))
+    return _back(out.join(kept, F.col("__of").eqNullSafe(F.col("__id")), "left_semi"), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
