@@ -15,7 +15,7 @@ Defined cases: a null or empty text has no words and fails the base rules; lines
 without a word are ignored; a null source is a host of its own; a null id counts
 as a document of its own text; rows that share an id and a text are one
 document for the counts and get a row each; an empty table gives an empty result;
-other columns are ignored.
+other columns are ignored, and kept whatever their names by clean().
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP
+from .common import GAP, stage
 
 MIN_WORDS = 10
 WINDOW = 5
@@ -77,7 +77,8 @@ def line_counts(docs: DataFrame) -> DataFrame:
 
 
 def _uid() -> Column:
-    return F.xxhash64("doc_id", "source", "text").alias("uid")
+    """Two independent hashes of a row's id, source and text."""
+    return F.struct(F.xxhash64("doc_id", "source", "text").alias("a"), F.xxhash64("text", "source", "doc_id").alias("b")).alias("uid")
 
 
 def common_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
@@ -91,7 +92,7 @@ def apply_rules(docs: DataFrame, max_docs: int = MAX_DOCS, keep_percent: int = K
     docs = docs.select("doc_id", "source", "text")
     rows = docs.select("doc_id", _uid(), "text")
     base = base_counts(rows).drop("text")
-    lines = line_counts(docs.select(_uid(), "source", "text"))
+    lines = stage(line_counts(docs.select(_uid(), "source", "text")), "lines")  # read twice
     copies = rows.groupBy("uid").count().filter("count > 1").select(F.col("uid").alias("_u"), F.col("count").alias("_copies"))
     common = lines.groupBy(F.col("host").alias("_host"), F.col("line").alias("_line")).agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > max_docs)
     lost = lines.join(common, (F.col("line") == F.col("_line")) & F.col("host").eqNullSafe(F.col("_host")))
@@ -109,12 +110,15 @@ def clean(docs: DataFrame, max_docs: int = MAX_DOCS, keep_percent: int = KEEP_PE
 
     A line is removed by the hash of its normal form; lines are looked up by document.
     """
-    rows = docs.select("*", _uid())
+    # the caller's columns ride in a struct, where their names can't clash with those made here
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_doc"), _uid())
     verdict = apply_rules(docs, max_docs, keep_percent)
     lines = line_counts(docs.select(_uid(), "source", "text"))
     common = common_lines(docs, max_docs).select(F.col("host").alias("_host"), F.col("line").alias("_line"))
     gone = lines.join(common, (F.col("line") == F.col("_line")) & F.col("host").eqNullSafe(F.col("_host"))).groupBy(F.col("uid").alias("_uid")).agg(F.collect_set("line").alias("_gone"))
     kept = verdict.filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    out = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").join(gone, F.col("uid") == F.col("_uid"), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_gone", F.xxhash64(normal_line(x)))), "\n")
-    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+    out = rows.join(kept, F.col("_doc")["doc_id"].eqNullSafe(F.col("_id")), "left_semi").join(gone, F.col("uid") == F.col("_uid"), "left")
+    text = F.col("_doc")["text"]
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_gone", F.xxhash64(normal_line(x)))), "\n")
+    text = F.when(F.col("_gone").isNull(), text).otherwise(left)
+    return out.select(*[(text if c == "text" else F.col("_doc")[c]).alias(c) for c in docs.columns])
