@@ -1,31 +1,37 @@
 """Removal of long repeated byte strings by prefix-free parsing.
 
-Rolling-hash triggers cut every text into phrases that overlap by a trigger, so
-the parse of a string depends on the string alone. All windows of `length` bytes
-with the same first and last trigger inside form a class: they share the phrases
-between the two (the core), and differ only in how far they reach into the
-phrases around it. A class is the meeting of a suffix of one dictionary phrase
-with a run of the parse; a text of n bytes has about 2 n / PERIOD of them.
-
-Classes are brought into one global order by (core, whole reach), each by its
-hash: the parse's order first, the dictionary's second, cut at the depth that
-decides. Neighbours then tell all: if a class's whole reach equals a neighbour's,
-each of its windows repeats; if its core has no equal, none does. What is left
-lies at the ends of repeats, a phrase wide; there the windows are compared one by
-one, for one class of each reach. Equality suffices for the task, so hashes of
-64 bits stand for phrases in the order (core and reach are independent hashes,
-128 bits together); full lexicographic order is never needed.
-
-Classes that repeat within one stretch of texts are settled before the shuffle,
-and one of each goes on. The order is made by range partitions, so a passage that a third of all texts
-share is spread evenly. A class at the edge of a partition, whose neighbour is
-out of sight, goes to the window comparison with its neighbour. Texts are
-shuffled once, by a hash of id and text, and that exchange serves all passes.
+1. Parse. Rolling-hash triggers cut every text into phrases that overlap by a
+   trigger, so the parse of a string depends on the string alone. Phrases of which
+   no second one exists (by hash, sorted over ranges) are set aside: a repeated
+   string holds none of them whole.
+2. Dictionary. The other phrases are sorted by their bytes over ranges; equal
+   neighbours are one phrase, and its place in the order is its rank. The phrase at
+   an edge of a range, whose equals may lie beyond, is named by a hash instead.
+3. Parse order. All windows of `length` bytes with the same first and last trigger
+   inside form a class: they share the phrases between the two (the core) and reach
+   into the phrases before and after. A class is the meeting of a suffix of one
+   dictionary phrase, a run of the parse and a prefix of another phrase. Classes are
+   brought into one order over ranges by the core (the rank of its first phrase,
+   then a hash of the ranks after it, since only equality matters beyond) and by the
+   ranks of the phrases they reach into. Neighbours then tell: equal in all, every
+   window of the class repeats; equal in the core alone, the suffix and the prefix
+   decide; alone, nothing repeats.
+4. What is left lies at the ends of repeats. There windows are compared one by one,
+   by two independent hashes of 64 bits of their bytes, for one class of each reach.
+
+Repeated passages of whole words are found in the same order: their windows are
+PASSAGE words long and begin at words.
+
+Every sorted table is read as a stream with one row of state; ranges split by row, so
+a passage that a third of all texts share spreads evenly. Texts are shuffled once, by
+a number given to each row, so repeated rows stay apart; the rows must come in the
+same order whenever the input is read, as those of a table do.
 
 Defined cases: a null text is empty; texts shorter than `length` lose nothing;
 windows without a trigger are classes of their own; a null id is an id like any;
-rows that repeat in id and text each count as a place where strings start; an
-empty table gives an empty result; other columns are ignored.
+rows that repeat in id and text each count as a place where strings start; a very
+long text is parsed in pieces; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -35,192 +41,393 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Roller, slices
+from .common import Roller, Slice, mix, slices, word_spans
 
 LENGTH = 400
+#: Words of a passage.
+PASSAGE = 50
 TRIGGER = 16
-#: One position in PERIOD is a trigger; a power of two.
-PERIOD = 64
-#: Longer texts are parsed in overlapping pieces; any cut of a class into two is as good.
+#: One position in PERIOD is a trigger.
+PERIOD = 48
+#: Bytes hashed at a time.
 PIECE = 1 << 20
+#: Longer phrases are sorted by their first bytes, a digest and their length.
+WHOLE = 1024
 
 _CORE, _REACH = Roller(61), Roller(62)
+_EDGE = 1 << 62
 
 
-def classes(raw: np.ndarray, at: np.ndarray, length: int, period: int = PERIOD) -> tuple[np.ndarray, ...]:
-    """(core, reach, row, first window, windows) of all classes of some texts that lie end to end."""
-    n = len(raw)
-    core, reach = _CORE.prefix(raw), _REACH.prefix(raw)
-    last = at[1:] - length + 1  # the end of each row's window starts
-    if n < length or not (last > at[:-1]).any():
-        none = np.zeros(0, np.int64)
-        return none.view(np.uint64), none.view(np.uint64), none, none, none
-    shift = np.uint64(64 - (period.bit_length() - 1))
-    trigger = np.flatnonzero(((core[TRIGGER:] - core[:-TRIGGER]) * _CORE.up[: n - TRIGGER + 1]) >> shift == 0)
-    row = np.searchsorted(at, trigger, "right") - 1
-    inside = trigger + TRIGGER <= at[row + 1]
-    trigger, row = trigger[inside], row[inside]
+def span_hashes(roller: Roller, raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the spans [first, last) of raw, sorted by their beginnings, over pieces of it."""
+    out, i = np.zeros(len(first), np.uint64), 0
+    while i < len(first):
+        low = int(first[i])
+        j = max(i + 1, int(np.searchsorted(first, low + PIECE)))
+        high = int(last[i:j].max())
+        prefix = roller.prefix(raw[low:high])
+        out[i:j] = roller.spans(prefix, first[i:j] - low, last[i:j] - low)
+        i = j
+    return out
+
+
+class Parse:
+    """The phrases of some texts that lie end to end.
+
+    trigger, row: places of all triggers, and the rows they lie in. Row r with m triggers has
+    the phrases up to its first trigger, from each trigger to the next, and from its last one:
+    m + 1 in all, each with the trigger at either end. Phrase k + r + 1 begins at trigger k.
+    """
+
+    def __init__(self, raw: np.ndarray, at: np.ndarray, period: int = PERIOD):
+        self.raw, self.at = raw, at
+        found = [np.zeros(0, np.int64)]
+        for low in range(0, max(0, len(raw) - TRIGGER + 1), PIECE):
+            prefix = _CORE.prefix(raw[low : low + PIECE + TRIGGER - 1])
+            n = len(prefix) - TRIGGER
+            h = (prefix[TRIGGER:] - prefix[:-TRIGGER]) * _CORE.up[:n]
+            found.append(np.flatnonzero((h >> np.uint64(32)) < np.uint64((1 << 32) // period)) + low)
+        trigger = np.concatenate(found)
+        row = np.searchsorted(at, trigger, "right") - 1
+        inside = trigger + TRIGGER <= at[row + 1]
+        self.trigger, self.row = trigger[inside], row[inside]
+        rows = len(at) - 1
+        self.base = np.append(0, np.cumsum(np.bincount(self.row, minlength=rows) + 1))  # first phrase of each row
+        self.first = np.empty(self.base[-1], np.int64)
+        self.last = np.empty(self.base[-1], np.int64)
+        self.first[self.base[:-1]] = at[:-1]
+        self.first[np.arange(len(self.trigger)) + self.row + 1] = self.trigger
+        self.last[self.base[1:] - 1] = at[1:]
+        self.last[np.arange(len(self.trigger)) + self.row] = self.trigger + TRIGGER
+        self.of = np.repeat(np.arange(rows), np.diff(self.base))
+        #: 0 between two triggers, 1 up to the first, 2 from the last, 3 without a trigger
+        self.kind = np.zeros(self.base[-1], np.int64)
+        self.kind[self.base[:-1]] += 1
+        self.kind[self.base[1:] - 1] += 2
+
+    def hashes(self) -> np.ndarray:
+        return mix(span_hashes(_CORE, self.raw, self.first, self.last) + self.kind.astype(np.uint64))
+
+    def key(self, p: int) -> bytes:
+        """What phrase p is sorted by."""
+        own, kind = self.raw[self.first[p] : self.last[p]].tobytes(), bytes([self.kind[p]])
+        if len(own) > WHOLE:
+            own = own[:64] + hashlib.sha256(own).digest() + len(own).to_bytes(8, "big") + b"\xff"
+        return own + kind
+
+
+def byte_windows(parse: Parse, length: int) -> tuple[np.ndarray, ...]:
+    """(row, first window, windows, f, g) of the classes of windows of `length` bytes: f and g, the first and the last trigger inside."""
+    at, trigger, of = parse.at, parse.trigger, parse.row
+    end = at[1:] - length + 1  # of each row's window starts
+    some = end > at[:-1]
     # a class begins at a row's start, past a trigger, and where a trigger comes into reach
     past, comes = trigger + 1, trigger + TRIGGER - length
-    first = np.concatenate([at[:-1][last > at[:-1]], past[past < last[row]], comes[(comes > at[row]) & (comes < last[row])]])
-    first = np.unique(first)
+    first = np.unique(np.concatenate([at[:-1][some], past[past < end[of]], comes[(comes > at[of]) & (comes < end[of])]]))
     row = np.searchsorted(at, first, "right") - 1
-    end = np.minimum(np.append(first[1:], n), last[row])
+    n = np.minimum(np.append(first[1:], len(parse.raw)), end[row]) - first
     f, g = np.searchsorted(trigger, first), np.searchsorted(trigger, first + length - TRIGGER, "right") - 1
-    bare = f > g
-    if bare.any():  # no trigger: every window by itself
-        count = (end - first)[bare]
-        own = np.repeat(first[bare] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
-        own_row, own_end = np.repeat(row[bare], count), own + 1
-    else:
-        own = own_row = own_end = np.zeros(0, np.int64)
-    first, end, row, f, g = first[~bare], end[~bare], row[~bare], f[~bare], g[~bare]
-    if len(first):
-        c = _CORE.spans(core, trigger[f], trigger[g] + TRIGGER)
-    else:
-        c = np.zeros(0, np.uint64)
-    c = np.append(c, _CORE.spans(core, own, own + length))
-    first, end, row = np.append(first, own), np.append(end, own_end), np.append(row, own_row)
-    return c, _REACH.spans(reach, first, end - 1 + length), row, first - at[row], end - first
-
-
-def _pieces(col: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
-    """(bytes, row starts, first row, offset in that row) with long rows in pieces that overlap by a window less one."""
-    for s in slices(col, 1 << 18):
-        if len(s.raw) <= PIECE:
-            yield s.raw, s.at, s.first, 0
-        else:
-            for a in range(0, len(s.raw) - length + 1, PIECE):
-                raw = s.raw[a : a + PIECE + length - 1]
-                yield raw, np.array([0, len(raw)]), s.first, a
-
-
-def _runs(row: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, end, row) of the longest runs of window starts that some classes make up together."""
-    order = np.lexsort((first, row))
-    row, first, end = row[order], first[order], (first + n)[order]
-    if not len(row):
-        return first, end, row
-    new = np.append(True, (row[1:] != row[:-1]) | (first[1:] > end[:-1]))
-    return first[new], end[np.append(new[1:], True)], row[new]
-
-
-def _settled(keys: np.ndarray, order: np.ndarray, row: np.ndarray, first: np.ndarray, n: np.ndarray, uid: np.ndarray) -> pa.RecordBatch:
-    """Settles what repeats among these rows by `keys`: it becomes runs, and one row of each goes on in `order`.
-
-    `spot` packs the first window, the number of windows and whether they are settled
-    into one number, which the shuffle compresses better than three.
-    """
-    _, lead, which, times = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-    known = times[which] > 1
-    on = ~known
-    on[lead] = True
-    a, b, of = _runs(row[known], first[known], n[known])
-    columns = [
-        np.append(order[on], _REACH.code[of % 256] * (a + of + 1).astype(np.uint64)).view(np.int64),  # settled runs: anywhere in the order
-        np.append(keys[on], np.zeros(len(a), np.uint64)).view(np.int64),
-        uid[np.append(row[on], of)],
-        np.append(first[on] << 32 | n[on] << 1, a << 32 | (b - a) << 1 | 1),
-    ]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["core", "reach", "uid", "spot"])
+    return row, first - at[row], n, f, g
+
+
+def word_windows(parse: Parse, words: int) -> tuple[np.ndarray, ...]:
+    """The same for windows of `words` words, numbered by the word at which they begin; and the words' begins and ends."""
+    begin, end, at = word_spans(Slice(0, len(parse.at) - 1, parse.raw, parse.at))
+    n = np.maximum(np.diff(at) - words + 1, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    k = np.arange(n.sum()) - np.repeat(np.append(0, np.cumsum(n))[:-1], n)
+    w = k + at[row]
+    f = np.searchsorted(parse.trigger, begin[w])
+    g = np.searchsorted(parse.trigger, end[w + words - 1] - TRIGGER, "right") - 1
+    new = np.append(True, (row[1:] != row[:-1]) | (f[1:] != f[:-1]) | (g[1:] != g[:-1])) if len(row) else np.zeros(0, bool)
+    size = np.diff(np.append(np.flatnonzero(new), len(row)))
+    return row[new], k[new], size, f[new], g[new], begin, end, at
+
+
+def spots(first: np.ndarray, n: np.ndarray, kind: int) -> np.ndarray:
+    """First window, number of windows and kind (0 bytes, 1 words) in one number."""
+    return first.astype(np.int64) << 32 | n.astype(np.int64) << 1 | kind
 
 
 def _unpack(spot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return (spot >> 32).astype(np.int32), (spot >> 1 & 0x7FFFFFFF).astype(np.int32), (spot & 1).astype(bool)
+    return spot >> 32, spot >> 1 & 0x7FFFFFFF, spot & 1
+
+
+def _batch(columns: list, names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if isinstance(c, np.ndarray) and c.dtype == np.uint64 else c) for c in columns], names.split())
 
 
-def _classes(length: int):
+def _phrases(least: int):
+    """(hash, uid, number) of all phrases of texts of at least so many bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uid = batch.column(0).to_numpy(zero_copy_only=False)
-            for raw, at, first_row, base in _pieces(batch.column(2), length):
-                core, reach, row, first, n = classes(raw, at, length)
-                if len(core):
-                    yield _settled(reach, core, row, first + base, n, uid[first_row:])
+            uid = batch.column(0).to_numpy()
+            for s in slices(batch.column(1), 1 << 18):
+                p = Parse(s.raw, s.at)
+                some = (np.diff(s.at) >= least)[p.of]
+                k = (np.arange(len(p.of)) - p.base[p.of]).astype(np.int32)
+                yield _batch([p.hashes()[some], uid[s.first :][p.of[some]], k[some]], "hash uid k")
 
     return run
 
 
-def _sorted_part(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
-    """core, reach, uid and spot of a partition."""
-    table = pa.Table.from_batches(list(batches), pa.schema([(c, pa.int64()) for c in ("core", "reach", "uid", "spot")]))
-    return [table.column(i).to_numpy() for i in range(4)]
+def _neighbours(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, bool, bool]]:
+    """Each batch of a sorted partition, for each row how many of its first `keys` columns equal the row before and the row after
+    (-1 at the partition's edges), and whether it is the first or the last batch."""
+
+    def alike(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        out, still = np.zeros(len(a[0]), np.int64), np.ones(len(a[0]), bool)
+        for x, y in zip(a, b, strict=True):
+            still &= x == y
+            out += still
+        return out
+
+    held, before = None, np.full(1, -1)
+    first = True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            a, b = ([x.column(i).to_numpy() for i in range(keys)] for x in (held, batch))
+            link = alike([x[-1:] for x in a], [x[:1] for x in b])
+            inside = alike([x[1:] for x in a], [x[:-1] for x in a])
+            yield held, np.append(before, inside), np.append(inside, link), first, False
+            first, before = False, link
+        held = batch
+    if held is not None:
+        a = [held.column(i).to_numpy() for i in range(keys)]
+        inside = alike([x[1:] for x in a], [x[:-1] for x in a])
+        yield held, np.append(before, inside), np.append(inside, -1), first, True
+
+
+def _repeated_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, k) of phrases with an equal neighbour in the order of hashes, or at an edge."""
+    for batch, before, after, _, _ in _neighbours(batches, 1):
+        keep = pa.array((before != 0) | (after != 0))
+        yield batch.select([1, 2]).filter(keep)
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[Slice, Parse]]:
+    for s in slices(batch.column(1), 1 << 18):
+        yield s, Parse(s.raw, s.at)
+
+
+def _own(column: pa.Array, s: Slice) -> tuple[np.ndarray, pa.Array]:
+    """Rows of the slice that the entries of a list column belong to, and the entries."""
+    own = column.slice(s.first, s.rows)
+    return np.repeat(np.arange(s.rows), pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False)), own.flatten()
+
+
+def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, uid, k) of the phrases asked for, a list of numbers for each text."""
+    for batch in batches:
+        uid = batch.column(0).to_numpy()
+        for s, p in _texts(batch):
+            row, k = _own(batch.column(2), s)
+            k = k.to_numpy(zero_copy_only=False)
+            if len(k):
+                keys = [p.key(i) for i in (p.base[row] + k).tolist()]
+                yield _batch([pa.array(keys, pa.binary()), uid[s.first :][row], k.astype(np.int32)], "key uid k")
+
+
+def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, k, rank) from one range of the dictionary. The first and the last phrase are named by a hash, since they may go on beyond."""
+    from pyspark import TaskContext
+
+    base, number, last = TaskContext.get().partitionId() << 40, -1, None
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # rows of the phrase that may be the last
+
+    def named(key: bytes) -> int:
+        return _EDGE | int.from_bytes(hashlib.sha256(key).digest()[:7], "big")
+
+    def give(rows: list[tuple[np.ndarray, np.ndarray]], rank: int) -> pa.RecordBatch:
+        uid, k = (np.concatenate(c) for c in zip(*rows, strict=True))
+        return _batch([uid, k, np.full(len(uid), rank, np.int64)], "uid k rank")
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0)
+        uid, k = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        new = np.append(True, np.asarray(pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False), bool))
+        if last is not None and keys[0].as_py() == last:
+            new[0] = False
+        edges = np.append(np.flatnonzero(new), len(keys))
+        if edges[0] > 0:
+            held.append((uid[: edges[0]], k[: edges[0]]))
+        if len(edges) == 1:
+            continue
+        if held:  # that phrase ends here
+            yield give(held, named(last) if number == 0 else base + number)
+        # phrases that begin and end in this batch
+        inner = new.cumsum() - 1 + number + 1
+        a, b = edges[0], edges[-2]
+        if b > a:
+            rank = base + inner[a:b]
+            if number == -1:
+                rank = np.where(inner[a:b] == 0, named(keys[0].as_py()), rank)
+            yield _batch([uid[a:b], k[a:b], rank.astype(np.int64)], "uid k rank")
+        number += len(edges) - 1
+        held, last = [(uid[b:], k[b:])], keys[b].as_py()
+    if held:
+        yield give(held, named(last))
+
+
+def _classes(length: int, words: int):
+    """(head, rest, left, right, uid, spot) of the classes whose core repeats as far as single phrases tell."""
+    factor = np.uint64(0x9FB21C651E98DF25)
+
+    def rows(p: Parse, rank: np.ndarray, row, first, n, f, g, kind, begin, end) -> list[np.ndarray]:
+        """begin, end: bytes of a window by row and number."""
+        salt = np.uint64(kind) * factor
+        unknown = np.append(0, np.cumsum(rank < 0))
+        # phrases [a, b) lie whole in the window
+        a, b = f + row + 1, g + row + 1
+        kept = np.flatnonzero(g >= f)
+        kept = kept[(g[kept] == f[kept]) | (unknown[b[kept]] == unknown[a[kept]])]
+        a, b = a[kept], b[kept]
+        # hash of the ranks of a core: sum of mixed ranks times powers, from prefix sums
+        _CORE.grow(len(rank) + 1)
+        prefix = np.zeros(len(rank) + 1, np.uint64)
+        np.cumsum(mix(rank.astype(np.uint64) + np.uint64(1)) * _CORE.down[: len(rank)], out=prefix[1:])
+        rest = mix((prefix[b] - prefix[a]) * _CORE.up[a] + (b - a).astype(np.uint64) * factor)
+        head = rank[a] if len(a) else np.zeros(0, np.int64)
+        one = np.flatnonzero(a == b)  # the core is one trigger
+        if len(one):
+            t = p.trigger[f[kept[one]]]
+            order = np.argsort(t, kind="stable")
+            h = np.empty(len(one), np.uint64)
+            h[order] = span_hashes(_REACH, p.raw, t[order], t[order] + TRIGGER)
+            head[one], rest[one] = -1, mix(h)
+        out = [head, rest ^ salt, rank[a - 1], rank[b], row[kept], spots(first[kept], n[kept], kind)]
+        bare = np.flatnonzero(g < f)
+        if len(bare):  # no trigger inside: every window by itself
+            count = n[bare]
+            x = np.repeat(first[bare] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
+            r = np.repeat(row[bare], count)
+            low, high = begin(r, x), end(r, x)
+            order = np.argsort(low, kind="stable")
+            h = np.empty((2, len(x)), np.uint64)
+            for i, roller in enumerate((_CORE, _REACH)):
+                h[i, order] = span_hashes(roller, p.raw, low[order], high[order])
+            zero = np.zeros(len(x), np.int64)
+            more = [h[0].view(np.int64), h[1] ^ salt, zero, zero, r, spots(x, np.ones(len(x), np.int64), kind)]
+            out = [np.concatenate([o, m]) for o, m in zip(out, more, strict=True)]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uid = batch.column(0).to_numpy()
+            for s, p in _texts(batch):
+                row, entries = _own(batch.column(2), s)
+                rank = np.full(p.base[-1], -1, np.int64)
+                if len(row):
+                    rank[p.base[row] + entries.field(0).to_numpy()] = entries.field(1).to_numpy()
+                found = [rows(p, rank, *byte_windows(p, length), 0, lambda r, x, p=p: p.at[r] + x, lambda r, x, p=p: p.at[r] + x + length)]
+                *own, begin, end, at = word_windows(p, words)
+                found.append(rows(p, rank, *own, 1, lambda r, x, b=begin, at=at: b[at[r] + x], lambda r, x, e=end, at=at: e[at[r] + x + words - 1]))
+                head, rest, left, right, of, spot = (np.concatenate(c) for c in zip(*found, strict=True))
+                if len(head):
+                    yield _batch([head, rest, left, right, uid[s.first :][of], spot], "head rest left right uid spot")
+
+    return run
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From one range of the order: classes that repeat whole, and those whose windows must be compared."""
-    core, reach, uid, spot = _sorted_part(batches)
-    if not len(core):
-        return
-    first, n, whole = _unpack(spot)
-    compare = np.zeros(len(core), bool)
-    at = np.flatnonzero(~whole)
-    if len(at):
-        core, reach = core[at], reach[at]
-        same_core = core[1:] == core[:-1]
-        same = same_core & (reach[1:] == reach[:-1])
-        no = np.zeros(1, bool)
-        leads = ~np.append(no, same)  # the first of a run of equal reach
-        whole[at] = np.append(no, same) | np.append(same, no)
-        # cores with a second reach, and the first and last core of the range
-        group = np.append(0, np.cumsum(~same_core))
-        several = (np.bincount(group, leads) > 1)[group] | (group == 0) | (group == group[-1])
-        compare[at] = leads & several
-    keep = whole | compare
-    yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (uid, first, n, whole, compare)], ["uid", "first", "n", "whole", "compare"])
-
-
-def _windows(length: int):
-    """Hashes of the windows of the classes to compare, those settled that repeat within a batch."""
+    held = None  # the first class of a core of which no second reach has come yet
+
+    def asked(row: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        return _batch([*row, np.array([False]), np.array([True])], "uid spot whole compare")
+
+    for batch, before, after, _, _ in _neighbours(batches, 4):
+        left, right, uid, spot = (batch.column(i).to_numpy() for i in (2, 3, 4, 5))
+        known = (left >= 0) & (right >= 0)
+        lead = ~(known & (before == 4))  # the first of its reach
+        whole = ~lead | known & (after == 4)
+        compare = lead & (before != 0) & (before != 1)  # not the first of its core, or that can't be seen
+        leads = np.flatnonzero(lead)
+        if held is not None and len(leads):
+            if before[leads[0]] >= 2:
+                yield asked(held)
+            held = None
+        # the first of a core is compared if the next reach is of the same core
+        opens = lead & ~compare
+        compare[leads[:-1]] |= opens[leads[:-1]] & (before[leads[1:]] >= 2)
+        if len(leads) and opens[leads[-1]]:
+            held = uid[leads[-1] : leads[-1] + 1], spot[leads[-1] : leads[-1] + 1]
+        keep = whole | compare
+        if keep.any():
+            yield _batch([uid[keep], spot[keep], whole[keep], compare[keep]], "uid spot whole compare")
+    if held is not None:  # its core may go on beyond the range
+        yield asked(held)
+
+
+def _windows(length: int, words: int):
+    """Hashes of the windows of the classes to compare; those that repeat within a stretch of texts are settled, and one of each goes on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
         for batch in batches:
-            found, size = [], 0
-            uid = batch.column(0).to_numpy(zero_copy_only=False)
-            for i in range(batch.num_rows):
-                classes_ = batch.column(3)[i].values
-                # rows of one id and text bring their classes once each; one set of them does
-                first, which = np.unique(classes_.field(0).to_numpy(), return_index=True)
-                n = classes_.field(1).to_numpy()[which]
-                raw = np.frombuffer((batch.column(2)[i].as_py() or "").encode(), np.uint8)
-                # by pieces of the text, as in parsing, so that a long text needs no long tables
-                for a in range(0, max(1, len(raw)), PIECE):
-                    mine = (first >= a) & (first < a + PIECE)
-                    if not mine.any():
+            uid = batch.column(0).to_numpy()
+            for s in slices(batch.column(1), 1 << 18):
+                row, entries = _own(batch.column(2), s)
+                first, n, kind = _unpack(entries.to_numpy(zero_copy_only=False))
+                begin, end, at = word_spans(s)
+                for which in (0, 1):
+                    mine = kind == which
+                    count = n[mine]
+                    if not len(count):
                         continue
-                    lo, count = first[mine].astype(np.int64), n[mine].astype(np.int64)
-                    at = np.repeat(lo - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
-                    low = at.min()
-                    piece, at = raw[low : at.max() + length], at - low
-                    keys = _CORE.spans(_CORE.prefix(piece), at, at + length) ^ _REACH.spans(_REACH.prefix(piece), at, at + length)
-                    found.append((keys, np.full(len(keys), i), at + low))
-                    size += len(keys)
-                if size > 500_000:
-                    yield _joint(found, uid)
-                    found, size = [], 0
-            if found:
-                yield _joint(found, uid)
+                    r = np.repeat(row[mine], count)
+                    x = np.repeat(first[mine] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
+                    a, b = (s.at[r] + x, s.at[r] + x + length) if which == 0 else (begin[at[r] + x], end[at[r] + x + words - 1])
+                    order = np.argsort(a, kind="stable")
+                    r, x, a, b = r[order], x[order], a[order], b[order]
+                    found.append((mix(span_hashes(_CORE, s.raw, a, b) + np.uint64(which)), mix(span_hashes(_REACH, s.raw, a, b)), uid[s.first :][r], spots(x, np.ones(len(x), np.int64), which)))
+                    size += len(x)
+                    if size > 500_000:
+                        yield _settled(found)
+                        found, size = [], 0
+        if found:
+            yield _settled(found)
 
     return run
 
 
-def _joint(found: list[tuple[np.ndarray, ...]], uid: np.ndarray) -> pa.RecordBatch:
-    keys, row, first = (np.concatenate(c) for c in zip(*found, strict=True))
-    return _settled(keys, keys, row, first, np.ones(len(keys), np.int64), uid)
-
-
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of windows in order, those that have an equal neighbour, and those settled before."""
-    keys, _, uid, spot = _sorted_part(batches)
-    first, n, whole = _unpack(spot)
-    at = np.flatnonzero(~whole)
-    same = keys[at][1:] == keys[at][:-1]
-    no = np.zeros(min(1, len(at)), bool)
-    whole[at] = np.append(no, same) | np.append(same, no)
-    yield pa.RecordBatch.from_arrays([pa.array(c[whole]) for c in (uid, first, n)], ["uid", "first", "n"])
+def _settled(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Windows that repeat here become runs, which lie anywhere in the order; one of each, and all others, ask for equals elsewhere."""
+    h1, h2, uid, spot = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((h2, h1))
+    h1, h2, uid, spot = h1[order], h2[order], uid[order], spot[order]
+    same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+    again = np.append(False, same)
+    repeats = again | np.append(same, False)
+    known_uid, (first, _, kind) = uid[repeats], _unpack(spot[repeats])
+    order = np.lexsort((first, kind, known_uid))
+    known_uid, first, kind = known_uid[order], first[order], kind[order]
+    new = np.append(True, (known_uid[1:] != known_uid[:-1]) | (kind[1:] != kind[:-1]) | (first[1:] > first[:-1] + 1)) if len(first) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    n = first[np.append(at[1:], len(first)) - 1] - first[at] + 1 if len(at) else first
+    runs = [known_uid[at], spots(first[at], n, 0) | kind[at]]
+    anywhere = mix(known_uid[at].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + first[at].astype(np.uint64))
+    asks = ~again
+    return _batch([
+        np.append(h1[asks], anywhere), np.append(h2[asks], np.zeros(len(at), np.uint64)), np.append(uid[asks], runs[0]), np.append(spot[asks], runs[1]),
+        np.append(np.zeros(asks.sum(), bool), np.ones(len(at), bool)),
+    ], "h1 h2 uid spot known")
+
+
+def _equal_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted windows, those that have an equal neighbour, and the runs known before."""
+    for batch, before, after, _, _ in _neighbours(batches, 2):
+        keep = pc.or_(batch.column(4), pa.array((before == 2) | (after == 2)))
+        yield batch.select([2, 3]).filter(keep)
 
 
 def merged(first: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -232,47 +439,61 @@ def merged(first: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, n
     return a[new], b[np.append(new[1:], True)]
 
 
-def _remove(length: int, with_text: bool):
+def _remove(length: int, words: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
                 raw, found = (batch.column(2)[i].as_py() or "").encode(), batch.column(3)[i].values
                 if found is None or not len(found):
-                    out.append((len(raw), 0, 0, raw, []))
+                    out.append((len(raw), 0, 0, raw, [], 0, 0))
                     continue
-                a, b = merged(found.field(0).to_numpy(), found.field(1).to_numpy(), length)
-                kept = b"".join(raw[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True))
-                out.append((len(raw), int((b - a).sum()), len(a), kept, [{"first": x, "last": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)]))
-            size, removed, spans, kept, runs = zip(*out, strict=True) if out else ((),) * 5
-            columns = [batch.column(1), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                first, n, kind = _unpack(found.to_numpy())
+                a, b = (merged(first[kind == 0], n[kind == 0], length)) if (kind == 0).any() else (np.zeros(0, np.int64),) * 2
+                x, y = (merged(first[kind == 1], n[kind == 1], words)) if (kind == 1).any() else (np.zeros(0, np.int64),) * 2
+                kept = b"".join(raw[p:q] for p, q in zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True))
+                out.append((len(raw), int((b - a).sum()), len(a), kept, [{"first": p, "last": q} for p, q in zip(a.tolist(), b.tolist(), strict=True)], len(x), int((y - x).sum())))
+            size, removed, runs, kept, where, passages, covered = zip(*out, strict=True) if out else ((),) * 7
+            long = lambda x: pa.array(x, pa.int64())
+            columns = [batch.column(1), long(size), long(removed), long(runs), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), long(passages), long(covered)]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_words"]
             if with_text:
-                columns += [pa.array(runs, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(kept, pa.binary())]
+                columns += [pa.array(where, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(kept, pa.binary())]
                 names += ["spans", "kept"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds the spans and the remaining bytes."""
-    spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _by_text(rows: DataFrame, entry, name: str) -> DataFrame:
+    """A row for each text with the list of its entries."""
+    return rows.groupBy(F.col("uid").alias(f"_{name}")).agg(F.collect_list(entry).alias(name))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False, words: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; n_passages and passage_words, the runs of at least `words` words that stand
+    elsewhere too and their words; with_text adds the spans and the remaining bytes."""
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", "text").repartition("uid")
-    found = texts.mapInArrow(_classes(length), "core long, reach long, uid long, spot long")
-    found = found.repartitionByRange(ranges, "core", "reach", "uid", "spot").sortWithinPartitions("core", "reach")
-    found = found.mapInArrow(_neighbours, "uid long, first int, n int, whole boolean, compare boolean")
-    runs = found.groupBy("uid").agg(F.collect_list(F.struct("first", "n", "whole", "compare")).alias("_runs"))
-    unsure = runs.select(F.col("uid").alias("_uid"), F.transform(F.filter("_runs", lambda r: r["compare"]), lambda r: F.struct(r["first"].alias("first"), r["n"].alias("n"))).alias("_compare")).filter(F.size("_compare") > 0)
-    windows = texts.join(unsure, F.col("uid") == F.col("_uid")).select("uid", "doc_id", "text", "_compare").mapInArrow(_windows(length), "core long, reach long, uid long, spot long")
-    # settled batch by batch, so a window has as many rows as there are batches at most
-    windows = windows.repartition("core").sortWithinPartitions("core").mapInArrow(_repeated, "uid long, first int, n int")
-    singles = windows.groupBy("uid").agg(F.collect_list(F.struct("first", "n")).alias("_singles")).withColumnRenamed("uid", "_uid2")
-    certain = runs.select(F.col("uid").alias("_uid"), F.transform(F.filter("_runs", lambda r: r["whole"]), lambda r: F.struct(r["first"].alias("first"), r["n"].alias("n"))).alias("_whole"))
-    none = F.array().cast("array<struct<first:int,n:int>>")
-    out = texts.join(certain, F.col("uid") == F.col("_uid"), "left").join(singles, F.col("uid") == F.col("_uid2"), "left")
-    out = out.select("uid", "doc_id", "text", F.concat(F.coalesce("_whole", none), F.coalesce("_singles", none)).alias("_runs"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("uid"), "text", "doc_id")
+    texts = numbered.repartition("uid")
+    ordered = lambda df, *keys: df.repartitionByRange(ranges, *keys, "uid", *[c for c in df.columns if c in ("k", "spot")]).sortWithinPartitions(*keys)
+    phrases = ordered(numbered.select("uid", "text").mapInArrow(_phrases(min(length, 2 * words - 1)), "hash long, uid long, k int"), "hash").mapInArrow(_repeated_phrases, "uid long, k int")
+    asked = _by_text(phrases, "k", "asked")
+    keys = texts.join(asked, F.col("uid") == F.col("_asked")).select("uid", "text", "asked").mapInArrow(_dictionary, "key binary, uid long, k int")
+    ranks = _by_text(ordered(keys, "key").mapInArrow(_ranks, "uid long, k int, rank long"), F.struct("k", "rank"), "ranks")
+    classes = texts.join(ranks, F.col("uid") == F.col("_ranks"), "left").select("uid", "text", "ranks").mapInArrow(_classes(length, words), "head long, rest long, left long, right long, uid long, spot long")
+    judged = ordered(classes, "head", "rest", "left", "right").mapInArrow(_judged, "uid long, spot long, whole boolean, compare boolean")
+    runs = _by_text(judged, F.struct("spot", "whole", "compare"), "runs")
+    pick = lambda which: F.transform(F.filter("runs", lambda r: r[which]), lambda r: r["spot"])
+    unsure = runs.select(F.col("_runs").alias("_unsure"), pick("compare").alias("unsure")).filter(F.size("unsure") > 0)
+    windows = texts.join(unsure, F.col("uid") == F.col("_unsure")).select("uid", "text", "unsure").mapInArrow(_windows(length, words), "h1 long, h2 long, uid long, spot long, known boolean")
+    # a window asks once for each stretch of texts, so one that many texts share has few rows
+    equal = windows.repartition("h1", "h2").sortWithinPartitions("h1", "h2").mapInArrow(_equal_windows, "uid long, spot long")
+    singles = _by_text(equal, "spot", "singles")
+    certain = runs.select(F.col("_runs").alias("_certain"), pick("whole").alias("certain"))
+    out = texts.join(certain, F.col("uid") == F.col("_certain"), "left").join(singles, F.col("uid") == F.col("_singles"), "left")
+    none = F.array().cast("array<bigint>")
+    out = out.select("uid", "doc_id", "text", F.concat(F.coalesce("certain", none), F.coalesce("singles", none)).alias("_found"))
     more = ", spans array<struct<first:long,last:long>>, kept binary" if with_text else ""
-    return out.mapInArrow(_remove(length, with_text), f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}")
+    return out.mapInArrow(_remove(length, words, with_text), f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_words long{more}")
