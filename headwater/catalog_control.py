@@ -73,6 +73,12 @@ def moments_rollup(spark, d):
     return _rounded(out, avg=6, var=4, scv=6).select("event_type", "cnt", "avg", "var", "scv")
 
 
+@query("SELECT greatest((epoch_us(ts) // 1000 - 1704067200000) // 30000 - 1, 0) AS step, event_type, count(*) AS cnt FROM events GROUP BY ALL")
+def optimise_steps(spark, d):
+    millis = F.unix_millis(F.col("ts").cast("timestamp"))
+    return table(spark, d, "events").groupBy(control.optimise_step(millis, 1_704_067_200_000, Scheduling().interval_s).alias("step"), "event_type").agg(F.count("*").alias("cnt"))
+
+
 @query("SELECT sum(l_extendedprice)::DOUBLE AS total, round(avg(l_extendedprice), 6) AS mean, max(l_extendedprice) AS most FROM lineitem")
 def task_costs(spark, d):
     return _rounded(control.task_costs(table(spark, d, "lineitem"), "l_extendedprice"), mean=6)

@@ -82,6 +82,11 @@ def last_intervals(results: DataFrame, n: int, ignore: int = 0) -> DataFrame:
     return merged.crossJoin(F.broadcast(seen)).filter("_full").drop("_full")
 
 
+def optimise_step(millis: Column, start_ms: int, interval_s: int) -> Column:
+    """The optimisation step that a measurement goes into: one every interval, the first after two intervals, which takes both."""
+    return F.greatest(F.floor((millis - start_ms) / (interval_s * 1000)) - 1, F.lit(0)).cast("long")
+
+
 def executors_by_component(executors: DataFrame) -> DataFrame:
     """comp, k: the current allocation; executors: component, executor, start_task, end_task."""
     return executors.groupBy(F.col("component").alias("comp")).agg(F.count("*").alias("k"))
