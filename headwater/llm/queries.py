@@ -72,8 +72,8 @@ _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_formatting": """
 WITH t AS (
-  SELECT conv_id, coalesce(floor(turn / 64), 2147483647)::BIGINT AS part, coalesce(turn, 0)::BIGINT AS turn,
-    coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|im_', '<||im_') AS text FROM conversations),
+  SELECT *, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) - 1) // 64)::BIGINT AS part
+  FROM (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|im_', '<||im_') AS text FROM conversations)),
 s AS (SELECT DISTINCT conv_id, role AS perspective FROM t),
 p AS (
   SELECT t.conv_id, s.perspective, t.part, t.turn, t.role, t.text, t.role = s.perspective AS own,
@@ -81,10 +81,10 @@ p AS (
     t.text || '<|im_end|>' || chr(10) AS body
   FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
 o AS (
-  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, role, text
+  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS LAST, role, text
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM p)
 SELECT conv_id, perspective, part, count(*)::BIGINT AS n_turns,
-  string_agg(head || body, '' ORDER BY turn, role, text) AS rendered,
+  string_agg(head || body, '' ORDER BY turn NULLS LAST, role, text) AS rendered,
   coalesce(string_agg((pos + length(head))::VARCHAR || '-' || (pos + length(head) + length(body))::VARCHAR, ',' ORDER BY pos) FILTER (WHERE own), '') AS mask,
   coalesce(sum(length(body)) FILTER (WHERE own), 0)::BIGINT AS n_masked
 FROM o GROUP BY conv_id, perspective, part""",
