@@ -229,6 +229,16 @@ def test_rejection_is_calibrated_on_held_out_text(spark):
     assert parted.deviation == pytest.approx(whole.deviation)
 
 
+def test_held_out_languages(spark):
+    """Held-out accuracy of the query on 1,000 documents."""
+    sf = "/root/testdata/sf0.01"
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    got = [r for r in queries.op1_language_id(spark, sf).collect() if r["held_out"] and lang[r["doc_id"]] and r["lang_pred"] != "und"]
+    right = sum(r["lang_pred"] == lang[r["doc_id"]] for r in got) / len(got)
+    print(f"held-out accuracy {right:.4f} of {len(got)}, rejected {sum(r['rejected'] for r in got)}")
+    assert right >= 0.97 and sum(r["rejected"] for r in got) <= 0.03 * len(got)
+
+
 def test_language_columns_may_clash(spark):
     df = spark.createDataFrame([("en", "some words of a text", 1, 2, "k")], "lang string, text string, score int, rejected int, doc_id string")
     got = language_id.predict(df, language_id.train(df.select("lang", "text"))).first()
@@ -658,6 +668,24 @@ def test_png_filters_and_checksums():
     assert media.cosine_hash(want.tobytes()) != media.cosine_hash(want[::-1].tobytes())
 
 
+def test_cosine_hash_is_a_direct_transform():
+    """Signs of the lowest coefficients by the double sum over a grid of area means."""
+    rng = np.random.default_rng(4)
+    for height in (32, 7, 75):
+        payload = rng.integers(0, 256, height * 192, dtype=np.uint8)
+        rows = payload.reshape(height, 32, 6).sum(axis=2).astype(float)
+        grid = np.zeros((32, 32))
+        for i in range(32):  # each cell holds the rows between two edges, those cut by an edge in part
+            for y in range(height):
+                share = max(0.0, min(y + 1, (i + 1) * height / 32) - max(y, i * height / 32))
+                grid[i] += rows[y] * share * 32 / height
+        low = np.array([[sum(grid[y, x] * np.cos(np.pi / 32 * (y + 0.5) * u) * np.cos(np.pi / 32 * (x + 0.5) * v) for y in range(32) for x in range(32)) for v in range(8)] for u in range(8)])
+        low[0, 0] = 0
+        want = "".join(str(int(b)) for b in (low > np.median(low)).ravel())
+        got = bin(int(media.cosine_hash(payload.tobytes()), 16))[2:].zfill(64)
+        assert sum(a != b for a, b in zip(got, want, strict=True)) <= 2  # those at the median may fall either way
+
+
 # --- 9 ------------------------------------------------------------------------
 
 
