@@ -1,5 +1,6 @@
 """The corpus pipeline end to end: what each stage got and gave, against brute force."""
 
+import os
 import random
 import zlib
 
@@ -100,6 +101,18 @@ def test_pipeline(spark, tmp_path, monkeypatch):
     assert max(ends.values()) <= 1024
 
 
+def test_a_run_leaves_only_its_result(spark, tmp_path):
+    from headwater.llm.common import shared_dir
+
+    spark.createDataFrame(corpus(n=30), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    left = [x for x in set(os.listdir(folder)) - before if not x.startswith("rdd-") and "-" in x]
+    made = [x for x in left if x.startswith("pipeline-")]
+    assert left == made and [os.listdir(f"{folder}/{x}") for x in made] == [["4"]]
+
+
 def test_columns_of_any_name_pass_all_stages(spark):
     """Extra columns, named like those that the stages make, come through unharmed; an empty table too."""
     names = ["text_", "lang_pred", "score", "rejected", "n_removed", "n_chunks", "_id", "_uid", "copies", "rank", "a b"]
