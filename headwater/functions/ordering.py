@@ -21,6 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back, for small tables that a plan uses many times."""
+    path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def running(df: DataFrame, order: list, sums: dict[str, str] | None = None, highs: dict[str, str] | None = None) -> DataFrame:
     """Adds the sum (`sums`: name to column) or the largest value (`highs`) of a column over all rows before this one in `order`.
 

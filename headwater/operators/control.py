@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Registry, Scheduling
+from ..functions.ordering import staged
 from . import queueing
 
 QUEUES = ("send", "recv")
@@ -143,9 +144,11 @@ CALCULATORS = Registry("calculator")
 
 
 def _calculate(results: DataFrame, alloc: DataFrame, sources: list[str], most: int, settings: Scheduling, chain: bool) -> DataFrame:
-    merged = last_intervals(results, settings.history, settings.ignore)
+    # a row for each component, which the model's plan uses many times over
+    merged = staged(last_intervals(results, settings.history, settings.ignore))
+    alloc = staged(alloc)
     source = source_node(merged, alloc, sources, settings.sample_rate, settings.send_factor, mean_of_all=chain)
-    nodes = service_nodes(merged, alloc, sources, source, chain)
+    nodes = staged(service_nodes(merged, alloc, sources, source, chain))
     held = alloc.agg(F.coalesce(F.sum(F.when(F.col("comp").isin(sources), F.col("k"))), F.lit(0)).alias("held"))
     limit = held.select((F.lit(most) - F.col("held")).cast("long").alias("most"))
     return queueing.check_optimised(nodes, alloc.filter(~F.col("comp").isin(sources)), source.select("real_ms"), settings.qos_ms, limit)
