@@ -8,10 +8,12 @@ never puts a whole key into one task.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,20 +39,47 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_SCOPES: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def staged_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes the tables staged within it, and the paths added to what it gives, at its end, when their result must have been written."""
+    own: list[str] = []
+    _SCOPES.append(own)
+    try:
+        yield own
+    finally:
+        _SCOPES.remove(own)
+        for path in own:
+            _delete(spark, path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as parquet into the shared folder and read it back, which cuts its lineage durably."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_stage(df: DataFrame) -> None:
     """Remove the files of a staged table that nothing reads any more."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
     for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, f)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of steps whose results are written: it only sees what the driver's collectors find unused."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def cut(df: DataFrame) -> DataFrame:
