@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import staged
+
 
 def utilisation(lam: Column, mu: Column, k: Column) -> Column:
     return F.when((mu > 0) & (k > 0), lam / (mu * k)).otherwise(F.lit(float("inf")))
@@ -55,16 +57,17 @@ def ranked_gains(nodes: DataFrame, spare: int, chain: bool = False) -> DataFrame
     return gains.select("comp", "k", "gain", F.row_number().over(Window.orderBy(F.desc("gain"), "comp", "k")).alias("place"))
 
 
-def suggest(nodes: DataFrame, total, chain: bool = False, reach: int | None = None) -> DataFrame:
+def suggest(nodes: DataFrame, total, chain: bool = False, reach: int | None = None, gains: DataFrame | None = None) -> DataFrame:
     """comp, k: the best allocation of `total` servers; k is null where even the minimum doesn't fit.
 
     `total` may be a table of one row; then `reach` is how many servers beyond its minimum a
-    node can get.
+    node can get. gains: those of ranked_gains(), if they are at hand.
     """
     low = minimum(F.col("lam"), F.col("mu"))
     needed = nodes.agg(F.sum(low).alias("need")).crossJoin(_scalar(nodes, total, "total"))
     spare = F.col("total") - F.col("need")
-    extra = ranked_gains(nodes, reach or total, chain).crossJoin(needed).filter(F.col("place") <= spare).groupBy("comp").agg(F.count("*").alias("extra"))
+    gains = ranked_gains(nodes, reach or total, chain) if gains is None else gains
+    extra = gains.crossJoin(needed).filter(F.col("place") <= spare).groupBy("comp").agg(F.count("*").alias("extra"))
     return nodes.select("comp", low.alias("low")).join(extra, "comp", "left").crossJoin(needed).select("comp", F.when(spare >= 0, F.col("low") + F.coalesce("extra", F.lit(0))).cast("long").alias("k"))
 
 
@@ -73,7 +76,7 @@ def _scalar(nodes: DataFrame, value, name: str) -> DataFrame:
     return value.toDF(name) if isinstance(value, DataFrame) else nodes.sparkSession.range(1).select(F.lit(value).alias(name))
 
 
-def least_for(nodes: DataFrame, target: float, most, factor=1.0, chain: bool = False, reach: int | None = None) -> DataFrame:
+def least_for(nodes: DataFrame, target: float, most, factor=1.0, chain: bool = False, reach: int | None = None, gains: DataFrame | None = None) -> DataFrame:
     """comp, k, status: the smallest allocation whose latency times factor is within target seconds.
 
     The latency after n gains is that of the minimum less their running sum. With `most`
@@ -86,7 +89,7 @@ def least_for(nodes: DataFrame, target: float, most, factor=1.0, chain: bool = F
     ratio = F.lit(1.0) if chain else F.col("ratio")
     given = _scalar(nodes, factor, "factor").crossJoin(_scalar(nodes, (1 << 62) if most is None else most, "most"))
     base = nodes.agg(F.sum(low).alias("need"), F.sum(sojourn(F.col("lam"), F.col("mu"), low) * ratio).alias("start"), F.sum(ratio / F.col("mu")).alias("bound")).crossJoin(given)
-    gains = ranked_gains(nodes, reach or (most if isinstance(most, int) else 200), chain)
+    gains = ranked_gains(nodes, reach or (most if isinstance(most, int) else 200), chain) if gains is None else gains
     running = gains.select("comp", "place", F.sum("gain").over(Window.orderBy("place")).alias("saved"))
     tried = running.select("place", "saved").unionByName(nodes.sparkSession.createDataFrame([(0, 0.0)], "place int, saved double")).crossJoin(base)
     enough = (F.col("start") - F.col("saved")) * F.col("factor") <= target
@@ -100,15 +103,17 @@ def check_optimised(nodes: DataFrame, alloc: DataFrame, real_ms, target_ms: floa
     """comp, k_now, k_min, k_opt, status, est_ms, ratio: the state of a network against its target.
 
     The model is scaled by how far it underestimates the real latency; the least allocation
-    may use twice `most`. real_ms and most may be tables of one row, so nothing runs before
-    the whole plan does.
+    may use twice `most`. real_ms and most may be tables of one row. The nodes and their
+    ranked gains, a few rows for each component, are written once, as both allocations use them.
     """
+    nodes = staged(nodes)
+    gains = staged(ranked_gains(nodes, 2 * most if isinstance(most, int) else reach))
     est = network_latency(nodes, alloc).select((F.col("latency") * 1000).alias("est_ms"))
     scaled = est.crossJoin(_scalar(nodes, real_ms, "real_ms"))
     scaled = scaled.select("est_ms", F.greatest(F.lit(1.0), F.coalesce(F.try_divide("real_ms", "est_ms"), F.lit(1.0))).alias("ratio"))
     limit = _scalar(nodes, most, "most")
-    least = least_for(nodes, target_ms / 1000, limit.select(F.col("most") * 2), scaled.select("ratio"), reach=2 * most if isinstance(most, int) else reach)
-    best = suggest(nodes, limit, reach=most if isinstance(most, int) else reach).withColumnRenamed("k", "k_opt")
+    least = least_for(nodes, target_ms / 1000, limit.select(F.col("most") * 2), scaled.select("ratio"), gains=gains)
+    best = suggest(nodes, limit, gains=gains).withColumnRenamed("k", "k_opt")
     out = alloc.withColumnRenamed("k", "k_now").join(least.withColumnRenamed("k", "k_min"), "comp").join(best, "comp").crossJoin(scaled)
     return out.select("comp", F.col("k_now").cast("long").alias("k_now"), "k_min", "k_opt", "status", "est_ms", "ratio")
 
