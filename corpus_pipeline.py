@@ -18,16 +18,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwater.llm import language_id, line_dedup, minhash, mixing, packing
-from headwater.llm.common import shared_dir
+from headwater.llm.common import shared_dir, staged_scope
 
 
-def _whole(docs: DataFrame):
-    return F.struct(*[f"`{c}`" for c in docs.columns]).alias("__doc")
+def _whole(docs: DataFrame, *apart: str):
+    """The columns of docs in a struct, but for those that travel apart; without any, a number."""
+    if not set(docs.columns) - set(apart):
+        return F.lit(0).alias("__doc")
+    return F.struct(*[f"`{c}`" for c in docs.columns if c not in apart]).alias("__doc")
 
 
-def _back(out: DataFrame, docs: DataFrame, **new) -> DataFrame:
+def _back(out: DataFrame, docs: DataFrame, **apart) -> DataFrame:
     """The columns of docs out of the struct, some of them replaced."""
-    return out.select(*[new.get(c, F.col("__doc")[c]).alias(c) for c in docs.columns])
+    return out.select(*[(apart[c] if c in apart else F.col("__doc")[c]).alias(c) for c in docs.columns])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +42,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without chunks of lines that stand elsewhere; those with nothing left go."""
-    out = line_dedup.dedup_lines(docs.select("doc_id", "text", _whole(docs)))
+    out = line_dedup.dedup_lines(docs.select("doc_id", "text", _whole(docs, "doc_id", "text")))
     same = F.col("n_removed") == 0
     out = out.filter(same | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    new = {"text": F.col("text")}
+    new = {"doc_id": F.col("doc_id"), "text": F.col("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(same, F.col("__doc")["n_chars"]).otherwise(F.length("text").cast("long"))
     return _back(out, docs, **new)
@@ -78,10 +81,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as parquet in the shared folder and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written as parquet in the shared folder and read by the next.
+
+    What a stage has staged, and its input, are removed once its output is written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
-        docs = spark.read.parquet(f"{base}/{i}")
+        with staged_scope(spark) as done:
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
+            docs = spark.read.parquet(f"{base}/{i}")
+            if before is not None:
+                done.append(before)
+        before = f"{base}/{i}"
     return docs
