@@ -11,6 +11,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -77,9 +78,15 @@ def drop_stage(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of steps whose results are written: it only sees what the driver's collectors find unused."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark's cleaner remove the shuffle files of steps whose results are written.
+
+    The cleaner only sees what the driver's two collectors find unused, one after the other, and
+    works in threads of its own: hence a second round and a short wait.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1.0)
 
 
 def cut(df: DataFrame) -> DataFrame:

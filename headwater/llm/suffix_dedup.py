@@ -1,12 +1,13 @@
 """Removal of long repeated byte strings by prefix-free parsing.
 
 1. Parse. Rolling-hash triggers cut every text into phrases that overlap by a
-   trigger, so the parse of a string depends on the string alone. Phrases of which
-   no second one exists (by hash, sorted over ranges) are set aside: a repeated
-   string holds none of them whole.
-2. Dictionary. The other phrases are sorted by their bytes over ranges; equal
-   neighbours are one phrase, and its place in the order is its rank. The phrase at
-   an edge of a range, whose equals may lie beyond, is named by a hash instead.
+   trigger, so the parse of a string depends on the string alone.
+2. Dictionary. Phrases are sorted over ranges by their first bytes and, where these
+   are equal, by two independent hashes of 64 bits of the whole, since only equality
+   matters beyond. Equal neighbours are one phrase, and its place in the order is its
+   rank; phrases without a second one have none, and a repeated string holds none of
+   them whole. The phrase at an edge of a range, whose equals may lie beyond, is named
+   by a digest instead.
 3. Parse order. All windows of `length` bytes with the same first and last trigger
    inside form a class: they share the phrases between the two (the core) and reach
    into the phrases before and after. A class is the meeting of a suffix of one
@@ -15,9 +16,12 @@
    then a hash of the ranks after it, since only equality matters beyond) and by the
    ranks of the phrases they reach into. Neighbours then tell: equal in all, every
    window of the class repeats; equal in the core alone, the suffix and the prefix
-   decide; alone, nothing repeats.
+   decide; alone, nothing repeats. Windows that hold no phrase whole are classed by
+   denser triggers, with hashes of the bytes in place of ranks; those without any that
+   repeat within a stretch of texts, as in runs of one byte, are settled before the sort.
 4. What is left lies at the ends of repeats. There windows are compared one by one,
-   by two independent hashes of 64 bits of their bytes, for one class of each reach.
+   by two independent hashes of their bytes, of 64 and 32 bits, for one class of each
+   reach.
 
 Repeated passages of whole words are found in the same order: their windows are
 PASSAGE words long and begin at words.
@@ -28,7 +32,8 @@ a number given to each row, so repeated rows stay apart; the rows must come in t
 same order whenever the input is read, as those of a table do.
 
 Defined cases: a null text is empty; texts shorter than `length` lose nothing;
-windows without a trigger are classes of their own; a null id is an id like any;
+windows with one trigger at most are classed by a denser set of triggers, those
+without any by themselves; a null id is an id like any;
 rows that repeat in id and text each count as a place where strings start; a very
 long text is parsed in pieces; an empty table gives an empty result; other columns
 are ignored.
@@ -45,21 +50,25 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Roller, Slice, mix, slices, word_spans
+from .common import Roller, Slice, drop_stage, made_schema, mix, release, slices, stage, word_spans
 
 LENGTH = 400
 #: Words of a passage.
 PASSAGE = 50
 TRIGGER = 16
 #: One position in PERIOD is a trigger.
-PERIOD = 48
+PERIOD = 64
+#: The same for windows that hold one trigger at most.
+DENSE = 24
 #: Bytes hashed at a time.
 PIECE = 1 << 20
-#: Longer phrases are sorted by their first bytes, a digest and their length.
-WHOLE = 1024
+#: Bytes of a phrase that it is sorted by before its hashes.
+HEAD = 8
 
 _CORE, _REACH = Roller(61), Roller(62)
 _EDGE = 1 << 62
+#: In place of a rank: a run of windows known to repeat.
+SETTLED = -2
 
 
 def span_hashes(roller: Roller, raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -75,6 +84,20 @@ def span_hashes(roller: Roller, raw: np.ndarray, first: np.ndarray, last: np.nda
     return out
 
 
+def find_triggers(roller: Roller, raw: np.ndarray, at: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all triggers and the rows they lie in."""
+    found = [np.zeros(0, np.int64)]
+    for low in range(0, max(0, len(raw) - TRIGGER + 1), PIECE):
+        prefix = roller.prefix(raw[low : low + PIECE + TRIGGER - 1])
+        n = len(prefix) - TRIGGER
+        h = (prefix[TRIGGER:] - prefix[:-TRIGGER]) * roller.up[:n]
+        found.append(np.flatnonzero((h >> np.uint64(32)) < np.uint64((1 << 32) // period)) + low)
+    trigger = np.concatenate(found)
+    row = np.searchsorted(at, trigger, "right") - 1
+    inside = trigger + TRIGGER <= at[row + 1]
+    return trigger[inside], row[inside]
+
+
 class Parse:
     """The phrases of some texts that lie end to end.
 
@@ -85,16 +108,7 @@ class Parse:
 
     def __init__(self, raw: np.ndarray, at: np.ndarray, period: int = PERIOD):
         self.raw, self.at = raw, at
-        found = [np.zeros(0, np.int64)]
-        for low in range(0, max(0, len(raw) - TRIGGER + 1), PIECE):
-            prefix = _CORE.prefix(raw[low : low + PIECE + TRIGGER - 1])
-            n = len(prefix) - TRIGGER
-            h = (prefix[TRIGGER:] - prefix[:-TRIGGER]) * _CORE.up[:n]
-            found.append(np.flatnonzero((h >> np.uint64(32)) < np.uint64((1 << 32) // period)) + low)
-        trigger = np.concatenate(found)
-        row = np.searchsorted(at, trigger, "right") - 1
-        inside = trigger + TRIGGER <= at[row + 1]
-        self.trigger, self.row = trigger[inside], row[inside]
+        self.trigger, self.row = find_triggers(_CORE, raw, at, period)
         rows = len(at) - 1
         self.base = np.append(0, np.cumsum(np.bincount(self.row, minlength=rows) + 1))  # first phrase of each row
         self.first = np.empty(self.base[-1], np.int64)
@@ -109,15 +123,14 @@ class Parse:
         self.kind[self.base[:-1]] += 1
         self.kind[self.base[1:] - 1] += 2
 
-    def hashes(self) -> np.ndarray:
-        return mix(span_hashes(_CORE, self.raw, self.first, self.last) + self.kind.astype(np.uint64))
-
-    def key(self, p: int) -> bytes:
-        """What phrase p is sorted by."""
-        own, kind = self.raw[self.first[p] : self.last[p]].tobytes(), bytes([self.kind[p]])
-        if len(own) > WHOLE:
-            own = own[:64] + hashlib.sha256(own).digest() + len(own).to_bytes(8, "big") + b"\xff"
-        return own + kind
+    def keys(self) -> np.ndarray:
+        """What the phrases are sorted by: a row of bytes each."""
+        at = self.first[:, None] + np.arange(HEAD)
+        inside = at < self.last[:, None]
+        head = np.where(inside, self.raw[np.minimum(at, max(0, len(self.raw) - 1))], 0) if len(self.raw) else np.zeros(at.shape)
+        kind = self.kind.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+        hashes = [mix(span_hashes(r, self.raw, self.first, self.last) + kind).astype(">u8").view(np.uint8).reshape(-1, 8) for r in (_CORE, _REACH)]
+        return np.concatenate([head.astype(np.uint8), *hashes], axis=1)
 
 
 def byte_windows(parse: Parse, length: int) -> tuple[np.ndarray, ...]:
@@ -161,8 +174,8 @@ def _batch(columns: list, names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if isinstance(c, np.ndarray) and c.dtype == np.uint64 else c) for c in columns], names.split())
 
 
-def _phrases(least: int):
-    """(hash, uid, number) of all phrases of texts of at least so many bytes."""
+def _dictionary(least: int):
+    """(key, uid, number) of all phrases of texts of at least so many bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,14 +184,17 @@ def _phrases(least: int):
                 p = Parse(s.raw, s.at)
                 some = (np.diff(s.at) >= least)[p.of]
                 k = (np.arange(len(p.of)) - p.base[p.of]).astype(np.int32)
-                yield _batch([p.hashes()[some], uid[s.first :][p.of[some]], k[some]], "hash uid k")
+                keys = np.ascontiguousarray(p.keys()[some])
+                offsets = np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]
+                keys = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer(keys)])
+                yield _batch([keys, uid[s.first :][p.of[some]], k[some]], "key uid k")
 
     return run
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, bool, bool]]:
-    """Each batch of a sorted partition, for each row how many of its first `keys` columns equal the row before and the row after
-    (-1 at the partition's edges), and whether it is the first or the last batch."""
+def _neighbours(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Each batch of a sorted partition, and for each row how many of its first `keys` columns equal the row before and the row
+    after, -1 at the partition's edges."""
 
     def alike(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         out, still = np.zeros(len(a[0]), np.int64), np.ones(len(a[0]), bool)
@@ -188,7 +204,6 @@ def _neighbours(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[
         return out
 
     held, before = None, np.full(1, -1)
-    first = True
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -196,20 +211,13 @@ def _neighbours(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[
             a, b = ([x.column(i).to_numpy() for i in range(keys)] for x in (held, batch))
             link = alike([x[-1:] for x in a], [x[:1] for x in b])
             inside = alike([x[1:] for x in a], [x[:-1] for x in a])
-            yield held, np.append(before, inside), np.append(inside, link), first, False
-            first, before = False, link
+            yield held, np.append(before, inside), np.append(inside, link)
+            before = link
         held = batch
     if held is not None:
         a = [held.column(i).to_numpy() for i in range(keys)]
         inside = alike([x[1:] for x in a], [x[:-1] for x in a])
-        yield held, np.append(before, inside), np.append(inside, -1), first, True
-
-
-def _repeated_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uid, k) of phrases with an equal neighbour in the order of hashes, or at an edge."""
-    for batch, before, after, _, _ in _neighbours(batches, 1):
-        keep = pa.array((before != 0) | (after != 0))
-        yield batch.select([1, 2]).filter(keep)
+        yield held, np.append(before, inside), np.append(inside, -1)
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[Slice, Parse]]:
@@ -223,20 +231,8 @@ def _own(column: pa.Array, s: Slice) -> tuple[np.ndarray, pa.Array]:
     return np.repeat(np.arange(s.rows), pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False)), own.flatten()
 
 
-def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, uid, k) of the phrases asked for, a list of numbers for each text."""
-    for batch in batches:
-        uid = batch.column(0).to_numpy()
-        for s, p in _texts(batch):
-            row, k = _own(batch.column(2), s)
-            k = k.to_numpy(zero_copy_only=False)
-            if len(k):
-                keys = [p.key(i) for i in (p.base[row] + k).tolist()]
-                yield _batch([pa.array(keys, pa.binary()), uid[s.first :][row], k.astype(np.int32)], "key uid k")
-
-
 def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uid, k, rank) from one range of the dictionary. The first and the last phrase are named by a hash, since they may go on beyond."""
+    """(uid, k, rank) of phrases that have equals, from one range of the dictionary. The first and the last are named by a digest, since they may go on beyond."""
     from pyspark import TaskContext
 
     base, number, last = TaskContext.get().partitionId() << 40, -1, None
@@ -262,7 +258,7 @@ def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append((uid[: edges[0]], k[: edges[0]]))
         if len(edges) == 1:
             continue
-        if held:  # that phrase ends here
+        if held and (number == 0 or sum(len(x) for x, _ in held) > 1):  # that phrase ends here
             yield give(held, named(last) if number == 0 else base + number)
         # phrases that begin and end in this batch
         inner = new.cumsum() - 1 + number + 1
@@ -271,25 +267,70 @@ def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rank = base + inner[a:b]
             if number == -1:
                 rank = np.where(inner[a:b] == 0, named(keys[0].as_py()), rank)
-            yield _batch([uid[a:b], k[a:b], rank.astype(np.int64)], "uid k rank")
+            keep = np.repeat(np.diff(edges[:-1]) > 1, np.diff(edges[:-1])) | (rank >= _EDGE)
+            yield _batch([uid[a:b][keep], k[a:b][keep], rank.astype(np.int64)[keep]], "uid k rank")
         number += len(edges) - 1
         held, last = [(uid[b:], k[b:])], keys[b].as_py()
     if held:
         yield give(held, named(last))
 
 
+class Dense:
+    """Classes parted by a denser set of triggers, the others included."""
+
+    def __init__(self, p: Parse, row: np.ndarray, first: np.ndarray, n: np.ndarray, begin, end):
+        self.p, self.row, self.first, self.n, self.begin, self.end = p, row, first, n, begin, end
+        self.trigger = np.zeros(0, np.int64)
+
+    def __call__(self, which: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, first window, windows, f, g) of the parts of some classes, by first and last trigger inside."""
+        more, _ = find_triggers(_REACH, self.p.raw, self.p.at, DENSE)
+        self.trigger = np.union1d(self.p.trigger, more)
+        n = self.n[which]
+        row = np.repeat(self.row[which], n)
+        x = np.repeat(self.first[which] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        f = np.searchsorted(self.trigger, self.begin(row, x))
+        g = np.searchsorted(self.trigger, self.end(row, x) - TRIGGER, "right") - 1
+        new = np.append(True, (row[1:] != row[:-1]) | (x[1:] != x[:-1] + 1) | (f[1:] != f[:-1]) | (g[1:] != g[:-1]))
+        at = np.flatnonzero(new)
+        return row[at], x[at], np.diff(np.append(at, len(row))), f[at], g[at]
+
+
+def _same(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of pairs of hashes, and in that order which equal the one before, and which equal a neighbour."""
+    order = np.lexsort((h2, h1))
+    same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+    again = np.append(np.zeros(min(1, len(order)), bool), same)
+    return order, again, again | np.append(same, np.zeros(min(1, len(order)), bool))
+
+
+def _joined(row: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, n) of the runs of consecutive windows."""
+    order = np.lexsort((first, row))
+    row, first = row[order], first[order]
+    at = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (first[1:] > first[:-1] + 1))) if len(row) else np.zeros(0, np.int64)
+    return row[at], first[at], np.diff(np.append(at, len(row)))
+
+
 def _classes(length: int, words: int):
     """(head, rest, left, right, uid, spot) of the classes whose core repeats as far as single phrases tell."""
     factor = np.uint64(0x9FB21C651E98DF25)
 
-    def rows(p: Parse, rank: np.ndarray, row, first, n, f, g, kind, begin, end) -> list[np.ndarray]:
-        """begin, end: bytes of a window by row and number."""
+    def hashed(raw: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Two hashes of each span."""
+        order, out = np.argsort(low, kind="stable"), np.empty((2, len(low)), np.uint64)
+        for i, roller in enumerate((_CORE, _REACH)):
+            out[i, order] = mix(span_hashes(roller, raw, low[order], high[order]))
+        return out
+
+    def rows(p: Parse, rank: np.ndarray, row, first, n, f, g, kind, begin, end, dense) -> list[np.ndarray]:
+        """begin, end: bytes of a window by row and number; dense: parts some classes by denser triggers."""
         salt = np.uint64(kind) * factor
         unknown = np.append(0, np.cumsum(rank < 0))
         # phrases [a, b) lie whole in the window
         a, b = f + row + 1, g + row + 1
-        kept = np.flatnonzero(g >= f)
-        kept = kept[(g[kept] == f[kept]) | (unknown[b[kept]] == unknown[a[kept]])]
+        kept = np.flatnonzero(g > f)
+        kept = kept[unknown[b[kept]] == unknown[a[kept]]]
         a, b = a[kept], b[kept]
         # hash of the ranks of a core: sum of mixed ranks times powers, from prefix sums
         _CORE.grow(len(rank) + 1)
@@ -297,27 +338,33 @@ def _classes(length: int, words: int):
         np.cumsum(mix(rank.astype(np.uint64) + np.uint64(1)) * _CORE.down[: len(rank)], out=prefix[1:])
         rest = mix((prefix[b] - prefix[a]) * _CORE.up[a] + (b - a).astype(np.uint64) * factor)
         head = rank[a] if len(a) else np.zeros(0, np.int64)
-        one = np.flatnonzero(a == b)  # the core is one trigger
-        if len(one):
-            t = p.trigger[f[kept[one]]]
-            order = np.argsort(t, kind="stable")
-            h = np.empty(len(one), np.uint64)
-            h[order] = span_hashes(_REACH, p.raw, t[order], t[order] + TRIGGER)
-            head[one], rest[one] = -1, mix(h)
         out = [head, rest ^ salt, rank[a - 1], rank[b], row[kept], spots(first[kept], n[kept], kind)]
+        few = np.flatnonzero(g <= f)
+        if not len(few):
+            return out
+        row, first, n, f, g = dense(few)
+        some = np.flatnonzero(g >= f)
+        if len(some):
+            r, x, count = row[some], first[some], n[some]
+            spans = (dense.trigger[f[some]], dense.trigger[g[some]] + TRIGGER), (begin(r, x), end(r, x + count - 1))
+            h = [hashed(p.raw, *span) for span in spans]
+            positive = [(v >> np.uint64(2)).view(np.int64) for v in h[1]]
+            more = [h[0][0].view(np.int64), h[0][1] ^ salt, *positive, r, spots(x, count, kind)]
+            out = [np.concatenate(c) for c in zip(out, more, strict=True)]
         bare = np.flatnonzero(g < f)
         if len(bare):  # no trigger inside: every window by itself
             count = n[bare]
             x = np.repeat(first[bare] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
             r = np.repeat(row[bare], count)
-            low, high = begin(r, x), end(r, x)
-            order = np.argsort(low, kind="stable")
-            h = np.empty((2, len(x)), np.uint64)
-            for i, roller in enumerate((_CORE, _REACH)):
-                h[i, order] = span_hashes(roller, p.raw, low[order], high[order])
-            zero = np.zeros(len(x), np.int64)
-            more = [h[0].view(np.int64), h[1] ^ salt, zero, zero, r, spots(x, np.ones(len(x), np.int64), kind)]
-            out = [np.concatenate([o, m]) for o, m in zip(out, more, strict=True)]
+            h = hashed(p.raw, begin(r, x), end(r, x))
+            first_, again, repeats = _same(h[0], h[1])
+            lone = first_[~again]
+            zero = np.zeros(len(lone), np.int64)
+            more = [h[0][lone].view(np.int64), (h[1] ^ salt)[lone], zero, zero, r[lone], spots(x[lone], np.ones(len(lone), np.int64), kind)]
+            own, low, count = _joined(r[first_[repeats]], x[first_[repeats]])
+            anywhere = mix(own.astype(np.uint64) * factor + low.astype(np.uint64)).view(np.int64)
+            done = [anywhere, np.zeros(len(own), np.uint64), np.full(len(own), SETTLED), np.full(len(own), SETTLED), own, spots(low, count, kind)]
+            out = [np.concatenate(c) for c in zip(out, more, done, strict=True)]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,9 +375,12 @@ def _classes(length: int, words: int):
                 rank = np.full(p.base[-1], -1, np.int64)
                 if len(row):
                     rank[p.base[row] + entries.field(0).to_numpy()] = entries.field(1).to_numpy()
-                found = [rows(p, rank, *byte_windows(p, length), 0, lambda r, x, p=p: p.at[r] + x, lambda r, x, p=p: p.at[r] + x + length)]
+                low, high = (lambda r, x, p=p: p.at[r] + x), (lambda r, x, p=p: p.at[r] + x + length)
+                own = byte_windows(p, length)
+                found = [rows(p, rank, *own, 0, low, high, Dense(p, *own[:3], low, high))]
                 *own, begin, end, at = word_windows(p, words)
-                found.append(rows(p, rank, *own, 1, lambda r, x, b=begin, at=at: b[at[r] + x], lambda r, x, e=end, at=at: e[at[r] + x + words - 1]))
+                low, high = (lambda r, x, b=begin, at=at: b[at[r] + x]), (lambda r, x, e=end, at=at: e[at[r] + x + words - 1])
+                found.append(rows(p, rank, *own, 1, low, high, Dense(p, *own[:3], low, high)))
                 head, rest, left, right, of, spot = (np.concatenate(c) for c in zip(*found, strict=True))
                 if len(head):
                     yield _batch([head, rest, left, right, uid[s.first :][of], spot], "head rest left right uid spot")
@@ -345,10 +395,10 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def asked(row: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
         return _batch([*row, np.array([False]), np.array([True])], "uid spot whole compare")
 
-    for batch, before, after, _, _ in _neighbours(batches, 4):
+    for batch, before, after in _neighbours(batches, 4):
         left, right, uid, spot = (batch.column(i).to_numpy() for i in (2, 3, 4, 5))
-        known = (left >= 0) & (right >= 0)
-        lead = ~(known & (before == 4))  # the first of its reach
+        known, settled = (left >= 0) & (right >= 0), left == SETTLED
+        lead = ~(known & (before == 4)) & ~settled  # the first of its reach
         whole = ~lead | known & (after == 4)
         compare = lead & (before != 0) & (before != 1)  # not the first of its core, or that can't be seen
         leads = np.flatnonzero(lead)
@@ -389,7 +439,7 @@ def _windows(length: int, words: int):
                     a, b = (s.at[r] + x, s.at[r] + x + length) if which == 0 else (begin[at[r] + x], end[at[r] + x + words - 1])
                     order = np.argsort(a, kind="stable")
                     r, x, a, b = r[order], x[order], a[order], b[order]
-                    found.append((mix(span_hashes(_CORE, s.raw, a, b) + np.uint64(which)), mix(span_hashes(_REACH, s.raw, a, b)), uid[s.first :][r], spots(x, np.ones(len(x), np.int64), which)))
+                    found.append((mix(span_hashes(_CORE, s.raw, a, b) + np.uint64(which)), (mix(span_hashes(_REACH, s.raw, a, b)) >> np.uint64(32)).astype(np.uint32).view(np.int32), uid[s.first :][r], spots(x, np.ones(len(x), np.int64), which)))
                     size += len(x)
                     if size > 500_000:
                         yield _settled(found)
@@ -403,29 +453,21 @@ def _windows(length: int, words: int):
 def _settled(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     """Windows that repeat here become runs, which lie anywhere in the order; one of each, and all others, ask for equals elsewhere."""
     h1, h2, uid, spot = (np.concatenate(c) for c in zip(*found, strict=True))
-    order = np.lexsort((h2, h1))
-    h1, h2, uid, spot = h1[order], h2[order], uid[order], spot[order]
-    same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-    again = np.append(False, same)
-    repeats = again | np.append(same, False)
-    known_uid, (first, _, kind) = uid[repeats], _unpack(spot[repeats])
-    order = np.lexsort((first, kind, known_uid))
-    known_uid, first, kind = known_uid[order], first[order], kind[order]
-    new = np.append(True, (known_uid[1:] != known_uid[:-1]) | (kind[1:] != kind[:-1]) | (first[1:] > first[:-1] + 1)) if len(first) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    n = first[np.append(at[1:], len(first)) - 1] - first[at] + 1 if len(at) else first
-    runs = [known_uid[at], spots(first[at], n, 0) | kind[at]]
-    anywhere = mix(known_uid[at].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + first[at].astype(np.uint64))
-    asks = ~again
-    return _batch([
-        np.append(h1[asks], anywhere), np.append(h2[asks], np.zeros(len(at), np.uint64)), np.append(uid[asks], runs[0]), np.append(spot[asks], runs[1]),
-        np.append(np.zeros(asks.sum(), bool), np.ones(len(at), bool)),
-    ], "h1 h2 uid spot known")
+    order, again, repeats = _same(h1, h2)
+    asks, known = order[~again], order[repeats]
+    first, _, kind = _unpack(spot[known])
+    columns = [[h1[asks]], [h2[asks]], [uid[asks]], [spot[asks]], [np.zeros(len(asks), bool)]]
+    for which in (0, 1):
+        own, low, n = _joined(uid[known][kind == which], first[kind == which])
+        anywhere = mix(own.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + low.astype(np.uint64))
+        for c, x in zip(columns, (anywhere, np.zeros(len(own), np.int32), own, spots(low, n, which), np.ones(len(own), bool)), strict=True):
+            c.append(x)
+    return _batch([np.concatenate(c) for c in columns], "h1 h2 uid spot known")
 
 
 def _equal_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of sorted windows, those that have an equal neighbour, and the runs known before."""
-    for batch, before, after, _, _ in _neighbours(batches, 2):
+    for batch, before, after in _neighbours(batches, 2):
         keep = pc.or_(batch.column(4), pa.array((before == 2) | (after == 2)))
         yield batch.select([2, 3]).filter(keep)
 
@@ -470,30 +512,53 @@ def _by_text(rows: DataFrame, entry, name: str) -> DataFrame:
     return rows.groupBy(F.col("uid").alias(f"_{name}")).agg(F.collect_list(entry).alias(name))
 
 
+def _ordered(df: DataFrame, *keys: str) -> DataFrame:
+    """Sorted over ranges, which are split by row, so that equal keys may lie in several."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(ranges, *keys, "uid", *[c for c in df.columns if c in ("k", "spot")]).sortWithinPartitions(*keys)
+
+
+def _ranked(numbered: DataFrame, length: int, words: int) -> DataFrame:
+    """(_ranks, ranks): the ranks of each text's phrases that have equals."""
+    keys = numbered.select("uid", "text").mapInArrow(_dictionary(min(length, 2 * words - 1)), "key binary, uid long, k int")
+    ranks = _ordered(keys, "key").mapInArrow(_ranks, "uid long, k int, rank long")
+    return stage(_by_text(ranks, F.struct("k", "rank"), "ranks"), "ranks")
+
+
+def _judged_runs(numbered: DataFrame, ranks: DataFrame, length: int, words: int) -> DataFrame:
+    """(_runs, certain, unsure): each text's classes that repeat whole, and those to compare."""
+    texts = numbered.select("uid", "text").join(ranks, F.col("uid") == F.col("_ranks"), "left")
+    classes = texts.select("uid", "text", "ranks").mapInArrow(_classes(length, words), "head long, rest long, left long, right long, uid long, spot long")
+    judged = _ordered(classes, "head", "rest", "left", "right").mapInArrow(_judged, "uid long, spot long, whole boolean, compare boolean")
+    pick = lambda which: F.transform(F.filter("runs", lambda r: r[which]), lambda r: r["spot"])
+    return stage(_by_text(judged, F.struct("spot", "whole", "compare"), "runs").select("_runs", pick("whole").alias("certain"), pick("compare").alias("unsure")), "runs")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False, words: int = PASSAGE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; n_passages and passage_words, the runs of at least `words` words that stand
-    elsewhere too and their words; with_text adds the spans and the remaining bytes."""
-    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    elsewhere too and their words; with_text adds the spans and the remaining bytes.
+
+    Ranks and classes are steps of their own, written to the shared folder, so that the disk
+    that each needs for its shuffles is free again before the next.
+    """
     numbered = docs.select(F.monotonically_increasing_id().alias("uid"), "text", "doc_id")
+    ranks = _ranked(numbered, length, words)
+    release(docs.sparkSession)
+    runs = _judged_runs(numbered, ranks, length, words)
+    drop_stage(ranks)
+    release(docs.sparkSession)
     texts = numbered.repartition("uid")
-    ordered = lambda df, *keys: df.repartitionByRange(ranges, *keys, "uid", *[c for c in df.columns if c in ("k", "spot")]).sortWithinPartitions(*keys)
-    phrases = ordered(numbered.select("uid", "text").mapInArrow(_phrases(min(length, 2 * words - 1)), "hash long, uid long, k int"), "hash").mapInArrow(_repeated_phrases, "uid long, k int")
-    asked = _by_text(phrases, "k", "asked")
-    keys = texts.join(asked, F.col("uid") == F.col("_asked")).select("uid", "text", "asked").mapInArrow(_dictionary, "key binary, uid long, k int")
-    ranks = _by_text(ordered(keys, "key").mapInArrow(_ranks, "uid long, k int, rank long"), F.struct("k", "rank"), "ranks")
-    classes = texts.join(ranks, F.col("uid") == F.col("_ranks"), "left").select("uid", "text", "ranks").mapInArrow(_classes(length, words), "head long, rest long, left long, right long, uid long, spot long")
-    judged = ordered(classes, "head", "rest", "left", "right").mapInArrow(_judged, "uid long, spot long, whole boolean, compare boolean")
-    runs = _by_text(judged, F.struct("spot", "whole", "compare"), "runs")
-    pick = lambda which: F.transform(F.filter("runs", lambda r: r[which]), lambda r: r["spot"])
-    unsure = runs.select(F.col("_runs").alias("_unsure"), pick("compare").alias("unsure")).filter(F.size("unsure") > 0)
-    windows = texts.join(unsure, F.col("uid") == F.col("_unsure")).select("uid", "text", "unsure").mapInArrow(_windows(length, words), "h1 long, h2 long, uid long, spot long, known boolean")
+    unsure = runs.filter(F.size("unsure") > 0).select(F.col("_runs").alias("_unsure"), "unsure")
+    # with doc_id, so that one exchange of the texts serves here and below
+    windows = texts.join(unsure, F.col("uid") == F.col("_unsure")).select("uid", "text", "unsure", "doc_id").mapInArrow(_windows(length, words), "h1 long, h2 int, uid long, spot long, known boolean")
     # a window asks once for each stretch of texts, so one that many texts share has few rows
     equal = windows.repartition("h1", "h2").sortWithinPartitions("h1", "h2").mapInArrow(_equal_windows, "uid long, spot long")
     singles = _by_text(equal, "spot", "singles")
-    certain = runs.select(F.col("_runs").alias("_certain"), pick("whole").alias("certain"))
+    certain = runs.select(F.col("_runs").alias("_certain"), "certain")
     out = texts.join(certain, F.col("uid") == F.col("_certain"), "left").join(singles, F.col("uid") == F.col("_singles"), "left")
     none = F.array().cast("array<bigint>")
     out = out.select("uid", "doc_id", "text", F.concat(F.coalesce("certain", none), F.coalesce("singles", none)).alias("_found"))
-    more = ", spans array<struct<first:long,last:long>>, kept binary" if with_text else ""
-    return out.mapInArrow(_remove(length, words, with_text), f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_words long{more}")
+    made = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_words long"
+    if with_text:
+        made += ", spans array<struct<first:long,last:long>>, kept binary"
+    return out.mapInArrow(_remove(length, words, with_text), made_schema(docs, ["doc_id"], made))
