@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, line_dedup, media, minhash, mixing, packing, quality_rules, suffix_dedup, toxicity
+from . import alignment, chat_format, language_id, line_dedup, media, minhash, mixing, packing, quality_rules, suffix_dedup, toxicity
 from .common import documents, id_mod
 
 
@@ -62,9 +62,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "passages", "share")
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_best_fit_packing, op3_chat_formatting, op4_minhash_near_dedup, op5_quality_rules, op6_suffix_array_dedup, op7_line_dedup, op8_media_columns, op9_source_mixing, op10_toxicity)
+    for f in (op1_language_id, op2_best_fit_packing, op3_chat_formatting, op4_minhash_near_dedup, op5_quality_rules, op6_suffix_array_dedup, op7_line_dedup, op8_media_columns, op9_source_mixing, op10_toxicity, op13_tokenizer_alignment)
 }
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
