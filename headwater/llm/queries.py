@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat_format, language_id, line_dedup, media, minhash, mixing, packing, quality_rules, suffix_dedup, toxicity
+from . import alignment, chat_format, language_id, lexical, line_dedup, media, minhash, mixing, packing, quality_rules, suffix_dedup, toxicity
 from .common import documents, id_mod
 
 
@@ -62,17 +62,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "passages", "share")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return lexical.search(lexical.build(documents(spark, sf_dir)), items, top=20)
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned_documents(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_best_fit_packing, op3_chat_formatting, op4_minhash_near_dedup, op5_quality_rules, op6_suffix_array_dedup, op7_line_dedup, op8_media_columns, op9_source_mixing, op10_toxicity, op13_tokenizer_alignment)
+    for f in (op1_language_id, op2_best_fit_packing, op3_chat_formatting, op4_minhash_near_dedup, op5_quality_rules, op6_suffix_array_dedup, op7_line_dedup, op8_media_columns, op9_source_mixing, op10_toxicity, op12_lexical_search, op13_tokenizer_alignment)
 }
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_formatting": """
 WITH t AS (
@@ -140,4 +147,16 @@ q AS (SELECT *, upto / target + p * s / target AS finish FROM b, range(0, 3) AS
 v AS (SELECT r, size, coalesce(sum(size) OVER (ORDER BY finish, source NULLS FIRST, k, p, doc_id NULLS FIRST, size, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM q),
 n3 AS (SELECT r, count(*) AS copies FROM v WHERE spent + size / 2 <= (SELECT sum(size) FROM d) GROUP BY r)
 SELECT doc_id, size, s::BIGINT AS source_size, round(target, 6) AS target, (size * coalesce(copies, 0))::BIGINT AS taken FROM b LEFT JOIN n3 USING (r)""",
+    "op12_lexical_search": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, """ + _TERMS + r""" AS t FROM documents),
+i AS (SELECT row_number() OVER () AS q, item_id, """ + _TERMS + r""" AS t FROM benchmark),
+g AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS total FROM d WHERE len(t) > 0),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+a AS (SELECT q, item_id, term, count(*) * floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS weight
+  FROM (SELECT q, item_id, unnest(t) AS term FROM i) JOIN df USING (term), g GROUP BY q, item_id, term, n_docs, df),
+s AS (SELECT q, item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // total))))::BIGINT AS score
+  FROM a JOIN tf USING (term), g GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20""",
 }
