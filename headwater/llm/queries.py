@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat_format, language_id, lexical, line_dedup, media, minhash, mixing, packing, quality_rules, suffix_dedup, toxicity
+from . import alignment, chat_format, language_id, lexical, line_dedup, media, minhash, mixing, packing, pii, quality_rules, suffix_dedup, toxicity
 from .common import documents, id_mod
 
 
@@ -62,6 +62,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "passages", "share")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.personal_data(documents(spark, sf_dir)))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return lexical.search(lexical.build(documents(spark, sf_dir)), items, top=20)
@@ -73,7 +77,7 @@ def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_best_fit_packing, op3_chat_formatting, op4_minhash_near_dedup, op5_quality_rules, op6_suffix_array_dedup, op7_line_dedup, op8_media_columns, op9_source_mixing, op10_toxicity, op12_lexical_search, op13_tokenizer_alignment)
+    for f in (op1_language_id, op2_best_fit_packing, op3_chat_formatting, op4_minhash_near_dedup, op5_quality_rules, op6_suffix_array_dedup, op7_line_dedup, op8_media_columns, op9_source_mixing, op10_toxicity, op11_pii, op12_lexical_search, op13_tokenizer_alignment)
 }
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -159,4 +163,37 @@ s AS (SELECT q, item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * t
   FROM a JOIN tf USING (term), g GROUP BY ALL)
 SELECT item_id, (row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score
 FROM s WHERE score > 0 QUALIFY rank <= 20""",
+    "op11_pii": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+f AS (
+  SELECT r, 0 AS k, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS m, string_split_regex(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS g FROM d
+  UNION ALL SELECT r, 1, regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'), string_split_regex(text, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') FROM d
+  UNION ALL SELECT r, 2, regexp_extract_all(text, '[0-9](?:[ -]?[0-9])+'), string_split_regex(text, '[0-9](?:[ -]?[0-9])+') FROM d
+  UNION ALL SELECT r, 3, regexp_extract_all(text, '\+[0-9][ ().0-9-]+[0-9]'), string_split_regex(text, '\+[0-9][ ().0-9-]+[0-9]') FROM d),
+u AS (SELECT r, k, unnest(m) AS m, unnest(g[1:len(m)]) AS g, unnest(range(len(m))) AS i FROM f WHERE len(m) > 0),
+s AS (SELECT r, k, m, regexp_replace(m, '[^0-9]', '', 'g') AS digits,
+  sum(length(g) + length(m)) OVER (PARTITION BY r, k ORDER BY i) - length(m) AS a, sum(length(g) + length(m)) OVER (PARTITION BY r, k ORDER BY i) AS b FROM u),
+base AS (
+  SELECT r, k, a::INT AS a, b::INT AS b, k || ':' || CASE k WHEN 0 THEN lower(m) WHEN 1 THEN m ELSE digits END AS value FROM s WHERE CASE k WHEN 0 THEN true
+    WHEN 1 THEN len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR lpad(ltrim(x, '0'), 3, '0') > '255')) = 0
+    WHEN 2 THEN length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(length(digits)), lambda i:
+      CASE WHEN i % 2 = 0 THEN digits[length(digits) - i]::INT WHEN digits[length(digits) - i]::INT > 4 THEN 2 * digits[length(digits) - i]::INT - 9 ELSE 2 * digits[length(digits) - i]::INT END)) % 10 = 0
+    ELSE length(digits) BETWEEN 9 AND 15 END),
+n AS (SELECT count(*) AS n FROM d),
+e AS (SELECT value, count(DISTINCT r) AS held FROM base JOIN d USING (r), n GROUP BY value, n HAVING count(DISTINCT text) >= 5 AND count(DISTINCT r) * 64 <= n),
+w AS (SELECT r, value, held, text, side, CASE side WHEN 0 THEN greatest(a - 128, 0) ELSE b END AS first, CASE side WHEN 0 THEN a ELSE least(b + 128, length(text)) END AS last
+  FROM base JOIN e USING (value) JOIN d USING (r), range(2) AS x(side)),
+t AS (SELECT *, unnest(string_split_regex(substring(text, first + 1, last - first), '[\t\n\x0B\f\r ]')) AS word, unnest(range(len(string_split_regex(substring(text, first + 1, last - first), '[\t\n\x0B\f\r ]')))) AS i FROM (SELECT *, row_number() OVER () AS wid FROM w)),
+l AS (SELECT *, first + coalesce(sum(length(word) + 1) OVER (PARTITION BY wid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, regexp_extract(word, '^(\p{L}{3,})[.,;:!?)]*$', 1) AS letters FROM t),
+near AS (SELECT r, text, value, held, a::INT AS a, (a + length(letters))::INT AS b, lower(letters) AS term FROM l
+  WHERE letters <> '' AND (a > first OR first = 0) AND (a + length(letters) < last OR last = length(text))),
+pairs AS (SELECT value, held, term, count(DISTINCT r) AS both_ FROM near GROUP BY ALL HAVING count(DISTINCT text) >= 5),
+df AS (SELECT term, count(DISTINCT r) AS holding FROM (SELECT r, regexp_extract(unnest(string_split_regex(lower(text), '[\t\n\x0B\f\r ]')), '^(\p{L}{3,})[.,;:!?)]*$', 1) AS term FROM d) WHERE term IN (SELECT term FROM pairs) GROUP BY term),
+told AS (SELECT value, term FROM pairs JOIN df USING (term), n WHERE log2(both_ * n::DOUBLE / (held * holding)) >= 6 AND log2(both_ * n::DOUBLE / (held * holding)) >= 0.8 * log2(n::DOUBLE / held)),
+every AS (SELECT r, k, a, b FROM base UNION ALL SELECT DISTINCT r, 4, a, b FROM near JOIN told USING (value, term)),
+o AS (SELECT r, string_agg(['email', 'ip', 'card', 'phone', 'term'][k + 1] || ':' || a || ':' || b, ',' ORDER BY a, k, b) AS spans,
+  string_agg(['email', 'ip', 'card', 'phone'][k + 1] || ':' || a || ':' || b, ',' ORDER BY a, k, b) FILTER (WHERE k < 4) AS base,
+  count(*) FILTER (WHERE k = 0) AS n0, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k = 2) AS n2, count(*) FILTER (WHERE k = 3) AS n3 FROM every GROUP BY r)
+SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_email, coalesce(n1, 0)::BIGINT AS n_ip, coalesce(n2, 0)::BIGINT AS n_card, coalesce(n3, 0)::BIGINT AS n_phone,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o USING (r)""",
 }
