@@ -211,8 +211,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: A prime: two different texts of n bytes have one hash for n of this many bases at most.
+PRIME = (1 << 61) - 1
+_P, _P_BITS = np.uint64(PRIME), np.uint64(61)
+_30, _31 = np.uint64(30), np.uint64(31)
+_LOW30, _LOW31 = np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x mod PRIME."""
+    x = (x & _P) + (x >> _P_BITS)
+    return np.where(x >= _P, x - _P, x)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b mod PRIME, for numbers below it."""
+    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return _folded(a1 * b1 * np.uint64(2) + (middle >> _30) + ((middle & _LOW30) << _31) + a0 * b0)
+
+
 class Roller:
-    """Polynomial hash mod 2**64 over random byte codes: any substring's hash from prefix sums.
+    """Polynomial hash modulo a prime over random codes: any substring's hash from prefix sums.
 
     prefix[j] sums code[c_k] * base**-k for k < j, so (prefix[j] - prefix[i]) * base**i
     depends on the bytes of [i, j) alone.
@@ -220,26 +240,39 @@ class Roller:
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
-        self.code = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = int(rng.integers(1 << 40, 1 << 62)) * 8 + 5
+        self.code = rng.integers(1, PRIME, 256, dtype=np.uint64)
+        self.base = int(rng.integers(1 << 40, PRIME))
         self.up = self.down = np.ones(1, np.uint64)
 
     def grow(self, n: int) -> None:
         if len(self.up) < n:
             n = 1 << max(16, (n - 1).bit_length())
-            for name, b in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
-                powers = np.full(n, b & (1 << 64) - 1, np.uint64)
-                powers[0] = 1
-                setattr(self, name, np.cumprod(powers, dtype=np.uint64))
+            for name, b in (("up", self.base), ("down", pow(self.base, -1, PRIME))):
+                powers, made = np.ones(n, np.uint64), 1
+                while made < n:
+                    powers[made : 2 * made] = product(powers[:made], np.uint64(pow(b, made, PRIME)))
+                    made *= 2
+                setattr(self, name, powers)
 
     def prefix(self, raw: np.ndarray) -> np.ndarray:
-        self.grow(len(raw) + 1)
-        out = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(self.code[raw] * self.down[: len(raw)], out=out[1:])
+        return self.sums(self.code[raw])
+
+    def sums(self, codes: np.ndarray) -> np.ndarray:
+        """The prefix sums of codes below PRIME."""
+        n = len(codes)
+        self.grow(n + 1)
+        terms, out = product(codes, self.down[:n]), np.zeros(n + 1, np.uint64)
+        high, low = np.cumsum(terms >> _31, dtype=np.uint64), np.cumsum(terms & _LOW31, dtype=np.uint64)
+        out[1:] = _folded((high >> _30) + ((high & _LOW30) << _31) + low)
         return out
 
     def spans(self, prefix: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return mix((prefix[j] - prefix[i]) * self.up[i])
+        return mix(product(_folded(prefix[j] + (_P - prefix[i])), self.up[i]))
+
+    def rolling(self, prefix: np.ndarray, width: int) -> np.ndarray:
+        """The hashes of all spans of a width."""
+        n = len(prefix) - width
+        return mix(product(_folded(prefix[width:] + (_P - prefix[:n])), self.up[:n]))
 
 
 _IS_SPACE = np.zeros(256, bool)

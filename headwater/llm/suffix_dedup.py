@@ -89,8 +89,7 @@ def find_triggers(roller: Roller, raw: np.ndarray, at: np.ndarray, period: int)
     found = [np.zeros(0, np.int64)]
     for low in range(0, max(0, len(raw) - TRIGGER + 1), PIECE):
         prefix = roller.prefix(raw[low : low + PIECE + TRIGGER - 1])
-        n = len(prefix) - TRIGGER
-        h = (prefix[TRIGGER:] - prefix[:-TRIGGER]) * roller.up[:n]
+        h = roller.rolling(prefix, TRIGGER)
         found.append(np.flatnonzero((h >> np.uint64(32)) < np.uint64((1 << 32) // period)) + low)
     trigger = np.concatenate(found)
     row = np.searchsorted(at, trigger, "right") - 1
@@ -332,11 +331,9 @@ def _classes(length: int, words: int):
         kept = np.flatnonzero(g > f)
         kept = kept[unknown[b[kept]] == unknown[a[kept]]]
         a, b = a[kept], b[kept]
-        # hash of the ranks of a core: sum of mixed ranks times powers, from prefix sums
-        _CORE.grow(len(rank) + 1)
-        prefix = np.zeros(len(rank) + 1, np.uint64)
-        np.cumsum(mix(rank.astype(np.uint64) + np.uint64(1)) * _CORE.down[: len(rank)], out=prefix[1:])
-        rest = mix((prefix[b] - prefix[a]) * _CORE.up[a] + (b - a).astype(np.uint64) * factor)
+        # hash of the ranks of a core, from prefix sums of mixed ranks
+        prefix = _CORE.sums(mix(rank.astype(np.uint64) + np.uint64(1)) >> np.uint64(4))
+        rest = mix(_CORE.spans(prefix, a, b) + (b - a).astype(np.uint64) * factor)
         head = rank[a] if len(a) else np.zeros(0, np.int64)
         out = [head, rest ^ salt, rank[a - 1], rank[b], row[kept], spots(first[kept], n[kept], kind)]
         few = np.flatnonzero(g <= f)
