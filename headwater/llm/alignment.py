@@ -5,14 +5,13 @@
    the ids and the byte offsets at which the tokens end.
 2. The rest is higher-order functions: array_intersect of the end arrays gives the
    offsets at which both end. Opened over bytes by array_repeat, an end array tells the token
-   that ends at an offset, so transform and sequence cut both id arrays into groups in time linear
-   in the text; aggregate counts the links.
-3. A group links each of its A tokens with each of its B tokens. A group of many
-   tokens is first tallied by id, so what a row keeps grows with the distinct ids of a group.
-4. An id pair's count is one aggregation over the distinct pairs of each row. Counts
-   go back to the links: those of the pairs that hold over 1/HEAVY of all by broadcast, which
-   are fewer than HEAVY rows whatever the corpus, the others by a join in which no
-   key has a larger share than that.
+   that ends at an offset, so both id arrays are cut into groups in time linear in
+   the text, and aggregate counts the links. A row's groups are tallied by a sort of their hashes.
+3. An id pair's count is one aggregation over the distinct pairs of each row, which
+   transform makes from its distinct groups.
+4. Counts go back to the distinct groups of the corpus, then the groups' sums to the rows.
+   In both joins the keys that hold over 1/HEAVY of all go by broadcast; they are
+   fewer than HEAVY whatever the corpus, and no other key has a larger share than that.
 
 Defined cases: texts that are null or empty, or whose tokens' bytes differ from the
 text's for A or B, have no tokens: zeros, and an empty groups column; each row is a document, repeated rows and
@@ -21,6 +20,10 @@ null ids too; an empty table gives an empty result; other columns are ignored, i
 
 from __future__ import annotations
 
+import array
+import base64
+import itertools
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -30,52 +33,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import made_schema, stage
-from .packing import CACHE, Ids
 
 TOKENIZER_A = "byte_bpe_50k"
 TOKENIZER_B = "piece_bpe_32k"
-#: Pairs with more than this part of all counts are joined by broadcast.
+#: Keys with over this part of all that a table counts are joined by broadcast.
 HEAVY = 8192
-#: Links of a group from which its ids are tallied first.
-TALLY = 64
+#: Texts that are encoded together, and words that a worker keeps.
+ROWS = 256
+CACHE = 200_000
 
 TOKENS = "a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
 
 
-class PlainIds(Ids):
-    """Ids of a byte-level BPE; the strings of special tokens are plain text."""
+def _byte_letters() -> dict[str, int]:
+    """The letter by which a byte-level vocabulary writes each byte: itself where it is visible Latin, else the next of those from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+class BytePairs:
+    """A byte-level BPE; the strings of special tokens are plain text."""
 
     def __init__(self, name: str):
-        super().__init__(name)
-        vocabulary = self.full.get_vocab(with_added_tokens=False)
+        import public_tokenizers
+        import tiktoken
+
+        with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
         letters = _byte_letters()
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
         for piece, i in vocabulary.items():
             self.bytes[i] = bytes(letters[c] for c in piece if c in letters)
+        self.sizes = np.array([len(b) for b in self.bytes], np.int32)
+        self.encode = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.fast(text), np.uint32).tobytes()
+        return np.array(self.encode(f" {text}"), np.uint32).tobytes()
 
-    def spaced(self, text: str) -> bytes:
-        return self.encode(f" {text}")
+    def words(self, words: list[str]) -> list[bytes]:
+        """Encodes all words in one text: each begins a token at its space, so they can be told apart by their bytes."""
+        ids = np.array(self.encode("".join([f" {w}" for w in words])), np.uint32)
+        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) + 1 for w in words])) + 1
+        raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[i:j] for i, j in itertools.pairwise(at)]
 
 
-def _byte_letters() -> dict[str, int]:
-    """The letter by which a byte-level vocabulary writes each byte: itself where it is visible Latin, else the next of those from U+0100."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+class Pieces:
+    """A piece BPE, which puts a space before each text.
 
-
-class Pieces(dict):
-    """Ids of spaces and a word by a piece model that puts a space before each text, as little-endian unsigned 32-bit bytes.
-
-    No piece of the model goes on over a space after another character, so a text can be encoded
-    in runs of spaces with the word after them; else the whole text is.
+    If no piece of the model goes on over a space after another character, a text can be encoded in words.
     """
 
-    runs = re.compile(" +[^ ]*")
-
     def __init__(self, name: str):
         import public_tokenizers
         import sentencepiece
@@ -83,51 +94,63 @@ class Pieces(dict):
         self.model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(f"{name}.model"))
         pieces = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else b"" if self.model.is_control(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.sizes = np.array([len(b) for b in self.bytes], np.int32)
         self.apart = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.space = np.array([self.model.piece_to_id("▁")], np.uint32).tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, num_threads=1), np.uint32).tobytes()
 
-    def __missing__(self, run: str) -> bytes:
-        ids = self.whole(run[1:]) if len(run) > 1 else self.space
-        if len(run) < 40:
-            if len(self) >= CACHE:
-                self.clear()
-            self[run] = ids
-        return ids
+    def words(self, words: list[str]) -> list[bytes]:
+        return [array.array("I", x).tobytes() for x in self.model.encode(words, num_threads=1)]
+
 
-    def spaced(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.runs.findall(f" {text}"))) if self.apart else self.whole(text)
+class Both:
+    """Ids of both tokenizers for texts, as little-endian unsigned 32-bit bytes; words are kept in a cache, which starts anew when full."""
 
+    #: A space with white space, or nothing, on both sides: words can't be encoded apart there.
+    bound = re.compile(r"(?:^|\s) (?:\s|\Z)|^\s|\s\Z")
 
-_MADE: dict[str, tuple] = {}
+    def __init__(self, a: str, b: str):
+        self.own = BytePairs(a), Pieces(b)
+        self.kept: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
 
+    def __call__(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
+        apart = [t.split(" ") if t and self.own[1].apart and not self.bound.search(t) else [] for t in texts]
+        if len(self.kept[0]) > CACHE:
+            for kept in self.kept:
+                kept.clear()
+        new = [w for w in dict.fromkeys(itertools.chain(*apart)) if w not in self.kept[0]]
+        for encoder, kept in zip(self.own, self.kept, strict=True):
+            kept.update(zip(new, encoder.words(new), strict=True)) if new else None
+        for text, words in zip(texts, apart, strict=True):
+            if words:
+                yield tuple(b"".join(map(kept.__getitem__, words)) for kept in self.kept)
+            else:
+                yield tuple(encoder.whole(text) if text else b"" for encoder in self.own)
 
-def _encoder(kind: Callable, name: str) -> tuple:
-    """An encoder, the bytes of its tokens and their numbers, made once in a worker."""
-    if name not in _MADE:
-        own = kind(name)
-        _MADE[name] = own, own.bytes, np.array([len(b) for b in own.bytes], np.int32)
-    return _MADE[name]
+
+_BOTH: dict[tuple[str, str], Both] = {}
 
 
 def _tokens(a: str, b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = _encoder(PlainIds, a), _encoder(Pieces, b)
+        both = _BOTH.get((a, b)) or _BOTH.setdefault((a, b), Both(a, b))
         none = np.zeros(0, np.int32)
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[], [], [], []]
-            for text in batch.column(1).to_pylist():
-                raw, found = f" {text}".encode(), []
-                for encoder, of, sizes in both if text else ():
-                    ids = np.frombuffer(encoder.spaced(text), np.uint32)
-                    if b"".join(map(of.__getitem__, ids.tolist())) == raw:
-                        found += [ids.view(np.int32), np.cumsum(sizes[ids], dtype=np.int32)]
-                for column, x in zip(columns, found if len(found) == 4 else [none] * 4, strict=True):
-                    column.append(x)
-            arrays = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.array(np.concatenate([none, *c]))) for c in columns]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                texts = part.column(1).to_pylist()
+                columns: list[list[np.ndarray]] = [[], [], [], []]
+                for text, coded in zip(texts, both(texts), strict=True):
+                    raw, found = f" {text}".encode(), []
+                    for encoder, ids in zip(both.own, coded, strict=True):
+                        ids = np.frombuffer(ids, np.uint32)
+                        if len(ids) and b"".join(map(encoder.bytes.__getitem__, ids.tolist())) == raw:
+                            found += [ids.view(np.int32), np.cumsum(encoder.sizes[ids], dtype=np.int32)]
+                    for column, x in zip(columns, found if len(found) == 4 else [none] * 4, strict=True):
+                        column.append(x)
+                arrays = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.array(np.concatenate([none, *c]))) for c in columns]
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
 
     return run
 
@@ -152,90 +175,116 @@ def _last(ends: Column, common: Column) -> Column:
     return _let(_by_byte(ends), lambda of: F.transform(common, lambda e: F.get(of, e - 1)))
 
 
-def _cut(ids: Column, last: Column, g: Column) -> Column:
-    """The ids of group g."""
-    first = F.coalesce(F.get(last, g - 1) + 1, F.lit(0))
-    return F.transform(F.sequence(first, F.get(last, g)), lambda i: F.get(ids, i))
+def _span(last: Column, g: Column) -> tuple[Column, Column]:
+    """Of group g the place of its first token, from 1, and their number."""
+    before = F.coalesce(F.get(last, g - 1), F.lit(-1))
+    return before + 2, F.get(last, g) - before
 
 
-def _tally(ids: Column) -> Column:
-    """Distinct ids with their numbers, (id, n)."""
+def groups(tokens: DataFrame) -> DataFrame:
+    """Adds `common`, the offsets at which both tokenizers end a token, and `groups`, an array of the groups written as `a1,a2|b1`, and `links`, the number of links."""
+    out = tokens.withColumn("common", F.array_intersect("a_ends", "b_ends"))
+    written = lambda ids: F.transform(ids, lambda i: i.cast("string"))
+    parts = F.struct(
+        _last(F.col("a_ends"), F.col("common")).alias("a"),
+        _last(F.col("b_ends"), F.col("common")).alias("b"),
+        written(F.col("a_ids")).alias("x"),
+        written(F.col("b_ids")).alias("y"),
+    )
 
-    def runs(s: Column) -> Column:
-        new = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
-        return _let(new, lambda at: F.transform(at, lambda p, k: F.struct(F.get(s, p).alias("id"), (F.coalesce(F.get(at, k + 1), F.size(s)) - p).cast("long").alias("n"))))
+    def of(p: Column) -> Column:
+        join = lambda ids, last, g: F.array_join(F.slice(ids, *_span(last, g)), ",")
+        size = lambda g: _span(p["a"], g)[1].cast("long") * _span(p["b"], g)[1]
+        return F.struct(
+            F.transform(p["a"], lambda _, g: F.concat(join(p["x"], p["a"], g), F.lit("|"), join(p["y"], p["b"], g))).alias("groups"),
+            F.aggregate(F.transform(p["a"], lambda _, g: size(g)), F.lit(0).cast("long"), lambda n, x: n + x).alias("n_links"),
+        )
 
-    return _let(F.sort_array(ids), runs)
+    return out.withColumn("of", _let(parts, of)).select(*tokens.columns, "common", "of.*")
 
 
-def _group_links(g: Column) -> Column:
-    """A group's links (a, b, n), n times each."""
-    plain = F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: F.struct(x.alias("a"), y.alias("b"), F.lit(1).cast("long").alias("n")))))
-    tallied = _let(
-        F.struct(_tally(g["a"]).alias("a"), _tally(g["b"]).alias("b")),
-        lambda t: F.flatten(F.transform(t["a"], lambda x: F.transform(t["b"], lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"), (x["n"] * y["n"]).alias("n"))))),
-    )
-    return F.when(_product(g) <= TALLY, plain).otherwise(tallied)
+def _tally(written: Column) -> Column:
+    """Groups with their numbers (pair, n), each once unless two of them share a hash.
 
+    Sorted by a hash with the group's place in its low bits, equal groups lie side by side.
+    """
+    places = F.lit((1 << 28) - 1).cast("long")
 
-def _product(g: Column) -> Column:
-    return F.size(g["a"]).cast("long") * F.size(g["b"])
+    def runs(g: Column, keys: Column) -> Column:
+        at = lambda i: F.get(g, F.get(keys, i).bitwiseAND(places).cast("int"))
+        new = F.filter(F.sequence(F.lit(0), F.size(keys) - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
+        return _let(new, lambda s: F.transform(s, lambda p, k: F.struct(at(p).alias("pair"), (F.coalesce(F.get(s, k + 1), F.size(keys)) - p).cast("long").alias("n"))))
 
+    none = F.array().cast("array<struct<pair:string,n:bigint>>")
+    keys = lambda g: F.sort_array(F.transform(g, lambda s, i: F.shiftleft(F.xxhash64(s), 28).bitwiseOR(i.cast("long"))))
+    return F.when(F.size(written) > 0, _let(keys(written), lambda k: runs(written, k))).otherwise(none)
 
-def _written(groups: Column) -> Column:
-    ids = lambda x: F.array_join(F.transform(x, lambda i: i.cast("string")), ",")
-    return F.array_join(F.transform(groups, lambda g: F.concat(ids(g["a"]), F.lit("|"), ids(g["b"]))), ";")
 
+def _ids(written: Column) -> Column:
+    """Both sides of a written group, as arrays of ids."""
+    return F.transform(F.split(written, r"\|"), lambda side: F.transform(F.split(side, ","), lambda x: x.cast("long")))
 
-def groups(tokens: DataFrame) -> DataFrame:
-    """Adds `common`, the offsets at which both tokenizers end a token, and `groups`, an array of (a, b), the ids of each group."""
-    out = tokens.withColumn("common", F.array_intersect("a_ends", "b_ends"))
-    lasts = F.struct(_last(F.col("a_ends"), F.col("common")).alias("a"), _last(F.col("b_ends"), F.col("common")).alias("b"))
-    cut = _let(lasts, lambda last: F.transform("common", lambda e, g: F.struct(_cut(F.col("a_ids"), last["a"], g).alias("a"), _cut(F.col("b_ids"), last["b"], g).alias("b"))))
-    return out.withColumn("groups", cut)
+
+def _key(a: Column, b: Column) -> Column:
+    return F.shiftleft(a, 32) + b
+
+
+def _pairs(written: Column) -> Column:
+    """The id pairs that a written group links, as numbers: the A id in the high half, the B id in the low one."""
+    distinct = F.transform(_ids(written), lambda x: F.array_distinct(x))
+    return _let(distinct, lambda s: F.flatten(F.transform(F.get(s, F.lit(0)), lambda a: F.transform(F.get(s, F.lit(1)), lambda b: _key(a, b)))))
+
+
+def _links(written: Column) -> Column:
+    """The id pairs of a written group with their numbers of links, (key, n)."""
+    counted = F.transform(_ids(written), lambda x: F.transform(F.array_distinct(x), lambda d: F.struct(d.alias("id"), F.size(F.filter(x, lambda y: y == d)).cast("long").alias("n"))))
+    return _let(counted, lambda s: F.flatten(F.transform(F.get(s, F.lit(0)), lambda a: F.transform(F.get(s, F.lit(1)), lambda b: F.struct(_key(a["id"], b["id"]).alias("key"), (a["n"] * b["n"]).alias("n"))))))
 
 
 def align(docs: DataFrame, a: str = TOKENIZER_A, b: str = TOKENIZER_B) -> tuple[DataFrame, DataFrame]:
-    """Per document its groups and links, and per id pair (a, b) its count and whether that is its A id's highest.
+    """Per document its groups, and per id pair its count and whether that is its A id's highest.
 
-    Both are staged tables: (uid, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, links), links an
-    array of (a, b, n), and (a, b, count, best).
+    Both are staged tables: (uid, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, tally), tally an
+    array of a written group and its number (pair, n), and (key, count, best), key as in _pairs.
     """
-    of = _let(F.col("groups"), lambda g: F.struct(
-        F.aggregate(g, F.lit(0).cast("long"), lambda n, x: n + _product(x)).alias("n_links"),
-        F.when(F.size(g) > 0, F.sha2(_written(g), 256)).otherwise("").alias("groups_sha256"),
-        F.flatten(F.transform(g, _group_links)).alias("links"),
-    ))
-    long = lambda c: F.size(c).cast("long")
-    made = groups(tokenize_both(docs, a, b)).select(F.monotonically_increasing_id().alias("uid"), "doc_id", long("a_ids").alias("n_a"), long("b_ids").alias("n_b"), long("common").alias("n_groups"), of.alias("of"))
-    made = stage(made.select("uid", "doc_id", "n_a", "n_b", "n_groups", "of.*"), "aligned")
-    key = F.transform("links", lambda x: F.shiftleft(x["a"].cast("long"), 32) + x["b"])
-    counts = made.select(F.explode(F.array_distinct(key)).alias("key")).groupBy("key").count()
-    counts = counts.select(F.shiftright("key", 32).cast("int").alias("a"), F.col("key").bitwiseAND(0xFFFFFFFF).cast("int").alias("b"), "count")
+    long = lambda c: F.size(c).cast("long").alias(f"n_{c[0]}")
+    of = lambda g: F.struct(F.when(F.size(g) > 0, F.sha2(F.array_join(g, ";"), 256)).otherwise("").alias("groups_sha256"), _tally(g).alias("tally"))
+    made = groups(tokenize_both(docs, a, b)).select(F.monotonically_increasing_id().alias("uid"), "doc_id", long("a_ids"), long("b_ids"), F.size("common").cast("long").alias("n_groups"), "n_links", _let(F.col("groups"), of).alias("of"))
+    made = stage(made.select("uid", "doc_id", "n_a", "n_b", "n_groups", "n_links", "of.*"), "aligned")
+    counts = made.select(F.explode(F.array_distinct(F.flatten(F.transform("tally", lambda t: _pairs(t["pair"]))))).alias("key")).groupBy("key").count()
     counts = stage(counts, "pairs")
-    highest = counts.groupBy(F.col("a").alias("_a")).agg(F.max("count").alias("_most"))
-    counts = counts.join(highest, F.col("a") == F.col("_a")).select("a", "b", "count", (F.col("count") == F.col("_most")).alias("best"))
+    highest = counts.groupBy(F.shiftright("key", 32).alias("_a")).agg(F.max("count").alias("_most"))
+    counts = counts.join(highest, F.shiftright("key", 32) == F.col("_a")).select("key", "count", (F.col("count") == F.col("_most")).alias("best"))
     return made, stage(counts, "counts")
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, share: str) -> DataFrame:
+    """rows with what table holds for their key, inner.
+
+    Keys with over 1/HEAVY of all of table's `share` are joined by broadcast: they are fewer than HEAVY.
+    """
+    least = table.agg((F.coalesce(F.sum(share), F.lit(0)) / HEAVY).alias("least")).first()["least"]
+    heavy, light = table.filter(F.col(share) > least), table.filter(F.col(share) <= least)
+    known = rows.join(F.broadcast(heavy), key, "left")
+    rest = known.filter(F.col(share).isNull()).select(rows.columns).join(light, key)
+    return known.filter(F.col(share).isNotNull()).unionByName(rest)
+
+
 def link_counts(aligned: DataFrame, counts: DataFrame) -> DataFrame:
-    """Per document the sums over its links: n_best and count_sum."""
-    heavy_from = F.coalesce(F.sum("count"), F.lit(0)) / HEAVY
-    least = counts.agg(heavy_from.alias("least")).first()["least"]
-    heavy = counts.filter(F.col("count") > least)  # fewer than HEAVY rows
-    light = counts.filter(F.col("count") <= least)
-    links = aligned.select("uid", F.explode("links").alias("link")).select("uid", "link.*")
-    known = links.join(F.broadcast(heavy), ["a", "b"], "left")
-    rest = known.filter(F.col("count").isNull()).select("uid", "a", "b", "n").join(light, ["a", "b"])
-    cols = ["uid", "n", "count", "best"]
-    every = known.filter(F.col("count").isNotNull()).select(cols).unionByName(rest.select(cols))
-    return every.groupBy("uid").agg(F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("count")).alias("count_sum"))
+    """Per document (uid) the sums over its links: n_best and count_sum. Each distinct group is summed up once."""
+    tally = aligned.select("uid", F.explode("tally").alias("t")).select("uid", "t.*")
+    distinct = stage(tally.groupBy("pair").agg(F.count("*").alias("held")), "groups")
+    links = _looked_up(distinct.select("pair", F.explode(_links(F.col("pair"))).alias("x")).select("pair", "x.*"), counts, "key", "count")
+    sums = links.groupBy("pair").agg(F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("of_best"), F.sum(F.col("n") * F.col("count")).alias("of_count"))
+    sums = stage(sums.join(distinct, "pair"), "sums")
+    every = _looked_up(tally, sums, "pair", "held")
+    return every.groupBy("uid").agg(F.sum(F.col("n") * F.col("of_best")).alias("n_best"), F.sum(F.col("n") * F.col("of_count")).alias("count_sum"))
 
 
 def aligned_documents(docs: DataFrame, a: str = TOKENIZER_A, b: str = TOKENIZER_B) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each row."""
     aligned, counts = align(docs, a, b)
     sums = link_counts(aligned, counts).withColumnRenamed("uid", "_uid")
-    out = aligned.drop("links").join(sums, F.col("uid") == F.col("_uid"), "left")
+    out = aligned.drop("tally").join(sums, F.col("uid") == F.col("_uid"), "left")
     sum_of = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", sum_of("n_best"), sum_of("count_sum"), "groups_sha256")
