@@ -29,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import cut, stage
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: A pattern, and what any text with a match that passes must hold.
@@ -48,6 +48,8 @@ MIN_BITS = 6.0
 DISCLOSURE = 0.8
 REVEALED = 0.95
 SUPPORT = 5
+#: One document in so many is counted first: a term that too many of them hold can't be above the thresholds.
+PART = 16
 #: Candidate terms that are broadcast to the count of documents; beyond, all terms are counted and joined.
 BROADCAST_TERMS = 100_000
 
@@ -145,11 +147,15 @@ def disclosing(docs: DataFrame, near: DataFrame, n: int, disclosure: float = DIS
     """The pairs (value, term) above the thresholds, with the share of the entity's information that the term gives."""
     pairs = near.groupBy("value", "held", "term").agg(F.countDistinct("uid").alias("both"), F.countDistinct("text_key").alias("texts"))
     pairs = stage(pairs.filter(F.col("texts") >= support).select("value", "held", "term", "both"), "pairs")
-    wanted = pairs.select("term").distinct()
-    if not wanted.limit(1).count():
+    if not pairs.limit(1).count():
         return pairs.select("value", "term", F.lit(0.0).alias("share"))
-    pairs = pairs.join(document_counts(docs, wanted), "term")
     whole = F.log2(F.lit(float(n)) / F.col("held"))
+    # a pair is above the thresholds if no more than `most` documents hold the term; a part of the documents shows which terms more hold
+    most = F.col("both") * float(n) / (F.col("held") * F.pow(F.lit(2.0), F.greatest(F.lit(min_bits), disclosure * whole))) * (1 + 1e-9)
+    wanted = cut(pairs.groupBy("term").agg(F.max(most).alias("most")))
+    part = document_counts(docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(PART)) == 0), wanted.select("term"))
+    rare = cut(wanted.join(part, "term", "left").filter(F.coalesce("holding", F.lit(0)) <= F.col("most")).select("term"))
+    pairs = pairs.join(document_counts(docs, rare), "term")
     bits = F.log2(F.col("both") * F.lit(float(n)) / (F.col("held") * F.col("holding")))
     return pairs.filter((bits >= min_bits) & (bits >= disclosure * whole)).select("value", "term", (bits / whole).alias("share"))
 
