@@ -364,11 +364,15 @@ f AS (SELECT p, sum(CASE WHEN is_add THEN 1 ELSE -1 END)::BIGINT AS cnt FROM s G
 _JOINED = "array_to_string(p, ',')"
 
 
-def _patterns(spark, d):
+def _baskets(spark, d):
     words = patterns.dictionary(table(spark, d, "part"), "p_type")
     parts = table(spark, d, "part").join(words, F.col("p_type") == F.col("word")).select("p_partkey", "id")
     items = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    return words, patterns.subsets(items.select("l_orderkey", (F.col("l_orderkey") % 5 != 0).alias("is_add"), "id"), "l_orderkey", "is_add", "id")
+    return words, items.select("l_orderkey", (F.col("l_orderkey") % 5 != 0).alias("is_add"), "id")
+
+
+def _frequent(spark, d):
+    return patterns.mine(_baskets(spark, d)[1], "l_orderkey", "is_add", "id", 20)
 
 
 def _named(df):
@@ -377,30 +381,29 @@ def _named(df):
 
 @query(f"WITH {_BASKETS} SELECT len(p)::BIGINT AS n_items, is_add, count(*) AS cnt, count(DISTINCT p) AS n_patterns FROM s GROUP BY ALL")
 def subset_patterns(spark, d):
-    _, p = _patterns(spark, d)
+    p = patterns.subsets(_baskets(spark, d)[1], "l_orderkey", "is_add", "id")
     return p.groupBy(F.size("pattern").cast("long").alias("n_items"), "is_add").agg(F.count("*").alias("cnt"), F.countDistinct("pattern").alias("n_patterns"))
 
 
 @query(f"WITH {_BASKETS} SELECT {_JOINED} AS pattern, cnt FROM f")
 def frequent_patterns(spark, d):
-    return _named(patterns.frequent(_patterns(spark, d)[1], 20))
+    return _named(_frequent(spark, d))
 
 
 @query(f"WITH {_BASKETS} SELECT {_JOINED} AS pattern, cnt FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE len(g.p) > len(f.p) AND list_has_all(g.p, f.p))")
 def maximal_patterns(spark, d):
-    return _named(patterns.maximal(patterns.frequent(_patterns(spark, d)[1], 20)))
+    return _named(patterns.maximal(_frequent(spark, d)))
 
 
 @query(f"WITH {_BASKETS} SELECT string_agg(p_type, ',' ORDER BY id) AS words, cnt FROM (SELECT p, cnt, unnest(p) AS id FROM f) JOIN w USING (id) GROUP BY p, cnt")
 def pattern_report(spark, d):
-    words, p = _patterns(spark, d)
-    return patterns.report(patterns.frequent(p, 20), words)
+    return patterns.report(_frequent(spark, d), patterns.dictionary(table(spark, d, "part"), "p_type"))
 
 
 @query(f"""WITH {_BASKETS} SELECT {_JOINED} AS pattern,
 abs(list_reduce(list_prepend(1::BIGINT, p::BIGINT[]), lambda h, e: (((h * 31 + e + 2147483648) % 4294967296 + 4294967296) % 4294967296) - 2147483648)) % 16 AS bucket FROM f""")
 def pattern_bucket(spark, d):
-    found = patterns.frequent(_patterns(spark, d)[1], 20)
+    found = _frequent(spark, d)
     return _named(found.select("pattern", text.pattern_bucket(F.col("pattern"), 16).alias("bucket")))
 
 

@@ -354,15 +354,6 @@ def stream_join(spark, d):
     return _run(spark, streaming.frame_join(left, right).select("frame", "rect"))
 
 
-@query("""WITH e AS (SELECT event_type || ':' || user_id AS pattern, event_id % 5 <> 0 AS is_add, epoch_us(ts) // 1000 AS millis FROM events),
-g AS (SELECT *, coalesce(millis - lag(millis) OVER w > 3600000, true)::INT AS anew FROM e WINDOW w AS (PARTITION BY pattern ORDER BY millis)),
-s AS (SELECT *, sum(anew) OVER (PARTITION BY pattern ORDER BY millis ROWS UNBOUNDED PRECEDING) AS life FROM g)
-SELECT pattern, millis, sum(CASE WHEN is_add THEN 1 ELSE -1 END) OVER (PARTITION BY pattern, life ORDER BY millis ROWS UNBOUNDED PRECEDING)::BIGINT AS cnt FROM s""")
-def idle_patterns(spark, d):
-    rows = _stream(spark, d, "events").select(F.concat("event_type", F.lit(":"), "user_id").alias("pattern"), (F.col("event_id") % 5 != 0).alias("is_add"), F.col("ts").cast("timestamp").alias("ts"))
-    return _run(spark, state.idle_patterns(rows, 3_600_000))
-
-
 @query("""SELECT 'drs.alloc:' || event_type || '->{"k":' || count(*) || '}' AS value FROM events GROUP BY event_type""")
 def report_lines(spark, d):
     rows = table(spark, d, "events").groupBy(F.col("event_type").alias("component")).agg(F.count("*").alias("k"))

@@ -34,12 +34,6 @@ def frame_join(frames: DataFrame, rects: DataFrame, lateness: str = "1 minute")
     return a.join(b, (F.col("a.frame") == F.col("b.frame")) & bound).drop(F.col("b.frame"))
 
 
-def idle_expiry(patterns: DataFrame, keep_ms: int) -> DataFrame:
-    """pattern, cnt of those seen within keep_ms of the newest record; for use in foreachBatch."""
-    newest = patterns.agg(F.max("ms").alias("_now"))
-    return patterns.groupBy("pattern").agg(F.sum(F.when(F.col("is_add"), 1).otherwise(-1)).alias("cnt"), F.max("ms").alias("_last")).crossJoin(newest).filter(F.col("_last") >= F.col("_now") - keep_ms).select("pattern", "cnt")
-
-
 def to_parquet(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     return stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).option("path", folder).trigger(availableNow=True).start()
 

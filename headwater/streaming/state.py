@@ -1,40 +1,13 @@
-"""Stateful stream operators, sinks and listeners."""
+"""Deduplication, the latest signal, sinks and listeners of streams."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-
-def idle_patterns(stream: DataFrame, keep_ms: int, lateness: str = "0 seconds") -> DataFrame:
-    """pattern, cnt, millis after each record; a pattern that isn't seen for keep_ms is forgotten and starts anew, without a retraction.
-
-    stream: pattern, is_add, ts. Time is event time: state goes when the watermark passes.
-    """
-
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        cnt, last = state.get if state.exists else (0, None)
-        rows = pd.concat(list(parts)).sort_values("millis")
-        out = []
-        for add, at in zip(rows["is_add"], rows["millis"], strict=True):
-            cnt = (0 if last is not None and at - last > keep_ms else cnt) + (1 if add else -1)
-            last = at
-            out.append((key[0], cnt, at))
-        state.update((int(cnt), int(last)))
-        state.setTimeoutTimestamp(max(int(last) + keep_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["pattern", "cnt", "millis"])
-
-    timed = stream.withColumn("millis", F.unix_millis("ts")).withWatermark("ts", lateness).select("pattern", "is_add", "millis", "ts")
-    return timed.groupBy("pattern").applyInPandasWithState(update, "pattern string, cnt long, millis long", "cnt long, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def distinct_updates(stream: DataFrame, keys: list[str], time: str, lateness: str = "1 minute") -> DataFrame:
@@ -43,15 +16,32 @@ def distinct_updates(stream: DataFrame, keys: list[str], time: str, lateness: st
 
 
 def latest_signal(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the last control signal as a table in `folder`, for joins with later batches; columns sig_type, at."""
+    """Keeps the newest control signal of all batches as a table for each batch; columns sig_type, at. Read it with current_signal()."""
 
     def write(batch: DataFrame, number: int) -> None:
-        if batch.limit(1).count():
-            batch.orderBy(F.desc("at")).limit(1).write.mode("overwrite").parquet(folder)
+        before = signal_before(batch.sparkSession, folder, number)
+        rows = batch.select("sig_type", "at")
+        rows = rows if before is None else rows.unionByName(before)
+        newest = rows.orderBy(F.desc("at"), F.desc("sig_type")).limit(1)
+        newest.write.mode("overwrite").parquet(f"{folder}/version={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def signal_before(spark: SparkSession, folder: str, number: int | None = None) -> DataFrame | None:
+    """The signal that the last finished batch (before `number`) left, or None; versions are never overwritten by later ones."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/version=*/_SUCCESS")
+    done = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    versions = [int(str(f.getPath().getParent().getName()).removeprefix("version=")) for f in done]
+    versions = [v for v in versions if number is None or v < number]
+    return spark.read.parquet(f"{folder}/version={max(versions)}").select("sig_type", "at") if versions else None
+
+
+def current_signal(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The newest signal so far, for joins of later batches with it; None before the first."""
+    return signal_before(spark, folder)
+
+
 def to_report_lines(batch: DataFrame, kind: str) -> DataFrame:
     """value: `kind:component->json` lines of rows with a component, as the scheduler reports allocations and tasks."""
     rest = F.struct(*[c for c in batch.columns if c != "component"])
@@ -68,14 +58,16 @@ def to_reports(stream: DataFrame, kind: str, folder: str, checkpoint: str) -> St
 
 
 def to_frames(stream: DataFrame, folder: str, checkpoint: str, patience: int = 4) -> StreamingQuery:
-    """Frames in ascending order, batch by batch: frame, at and the image columns; those that come too late are dropped."""
-    from ..operators import frames
+    """Frames of each video in ascending order over all batches; those that come too late are dropped.
+
+    stream: video, frame, at; a null frame ends a video. A batch is a folder of its own, sorted within.
+    """
+    from .stateful import in_order
 
     def write(batch: DataFrame, number: int) -> None:
-        kept = frames.reorder(batch.select("frame", "at"), patience).select("frame")
-        batch.join(kept, "frame", "left_semi").orderBy("frame").write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        batch.repartition("video").sortWithinPartitions("video", "frame").write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return in_order(stream, patience).writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def to_console(stream: DataFrame, mode: str = "append", rows: int = 20) -> StreamingQuery:

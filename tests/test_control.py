@@ -333,30 +333,14 @@ def written(spark, stream, folder, batches, schema):
     return f"{folder}/out"
 
 
-def test_idle_patterns_start_anew(spark, tmp_path):
-    at = lambda s: F.timestamp_seconds(F.col(s))
-    run = lambda df: state.idle_patterns(df.select("pattern", "is_add", at("s").alias("ts")), 10_000).writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    batches = [[("a", True, 100), ("a", True, 103), ("b", True, 101)], [("a", False, 105), ("b", True, 140)], [("a", True, 141), ("b", True, 143)]]
-    out = written(spark, run, str(tmp_path), batches, "pattern string, is_add boolean, s long")
-    got = sorted((r["millis"], r["pattern"], r["cnt"]) for r in spark.read.parquet(out).collect())
-    assert got == [(100_000, "a", 1), (101_000, "b", 1), (103_000, "a", 2), (105_000, "a", 1), (140_000, "b", 1), (141_000, "a", 1), (143_000, "b", 2)]
-
-
-def test_reports_and_frames_as_sinks(spark, tmp_path):
+def test_reports_as_a_sink(spark, tmp_path):
     run = lambda df: state.to_reports(df, "task", f"{tmp_path}/out", f"{tmp_path}/c")
     out = written(spark, run, str(tmp_path), [[("a", 1)], [("b", 2)]], "component string, k int")
     lines = sorted(r["value"] for r in spark.read.text(f"{out}/*").collect())
     assert lines == ['task:a->{"k":1}', 'task:b->{"k":2}'] and json.loads(lines[0].split("->")[1]) == {"k": 1}
-    run = lambda df: state.to_frames(df, f"{tmp_path}/f/out", f"{tmp_path}/f/c", 2)
-    rows = [[(3, 0), (1, 1), (2, 2), (0, 5), (5, 3), (4, 4)]]
-    out = written(spark, run, f"{tmp_path}/f", rows, "frame long, at long")
-    assert sorted(r["frame"] for r in spark.read.parquet(f"{out}/*").collect()) == [1, 3, 4, 5]
 
 
-def test_signals_and_repeated_updates(spark, tmp_path):
-    run = lambda df: state.latest_signal(df, f"{tmp_path}/out", f"{tmp_path}/c")
-    out = written(spark, run, str(tmp_path), [[("a", 1), ("b", 2)], [("c", 3)]], "sig_type string, at int")
-    assert [tuple(r) for r in spark.read.parquet(out).collect()] == [("c", 3)]
+def test_repeated_updates(spark, tmp_path):
     once = lambda df: state.distinct_updates(df.select("k", F.timestamp_seconds("s").alias("ts")), ["k"], "ts").writeStream.format("parquet").option("path", f"{tmp_path}/u/out").option("checkpointLocation", f"{tmp_path}/u/c").trigger(availableNow=True).start()
     out = written(spark, once, f"{tmp_path}/u", [[(1, 100), (1, 101)], [(1, 102), (2, 103)]], "k int, s long")
     assert sorted(r["k"] for r in spark.read.parquet(out).collect()) == [1, 2]

@@ -5,7 +5,7 @@ import os
 
 import duckdb
 import pytest
-from headwater import catalog, catalog_control  # noqa: F401  the second adds to the first
+from headwater import catalog, catalog_control, catalog_streams  # noqa: F401  the others add to the first
 
 SF = "/root/testdata/sf0.001"
 
