@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.ordering import numbered, tiles
-from .operators import frames, matching, metrics, outliers, patterns, queueing, text
+from .operators import frames, matching, metrics, outliers, patterns, queueing, ranges, text
 from .plans import packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -296,24 +296,19 @@ def _sides(spark, d):
     return [_features(spark, d).filter(F.col("label") % 2 == k) for k in (0, 1)]
 
 
-def _queries(spark, d):
-    """The stated query side: every tenth feature; the index has all."""
-    return _features(spark, d, "frame").filter(F.col("id") % 10 == 0)
-
-
-_COUNTS = f"SELECT a.label AS frame, b.label AS image, count(*) AS freq FROM embeddings a, embeddings b WHERE a.vec_id % 10 = 0 AND {_L2} < 1.3 GROUP BY ALL"
+_COUNTS = f"SELECT a.label AS frame, b.label AS image, count(*) AS freq FROM embeddings a, embeddings b WHERE {_L2} < 1.3 GROUP BY ALL"
 
 
 @query(_COUNTS)
 def match_threshold(spark, d):
-    return matching.match_counts(_queries(spark, d), _features(spark, d, "image"), 1.3)
+    return matching.near_counts(_features(spark, d, "frame"), _features(spark, d, "image"), 1.3)
 
 
-@query(f"""WITH c AS ({_COUNTS}), s AS (SELECT label AS frame, count(*) AS n FROM embeddings WHERE vec_id % 10 = 0 GROUP BY 1)
+@query(f"""WITH c AS ({_COUNTS}), s AS (SELECT label AS frame, count(*) AS n FROM embeddings GROUP BY 1)
 SELECT frame, string_agg(image::VARCHAR, ',' ORDER BY image) AS images FROM c JOIN s USING (frame) WHERE freq / n > 0.5 GROUP BY frame""")
 def match_images(spark, d):
-    q = _queries(spark, d)
-    return matching.matched_images(matching.match_counts(q, _features(spark, d, "image"), 1.3), q, 0.5)
+    q = _features(spark, d, "frame")
+    return matching.matched_images(matching.near_counts(q, _features(spark, d, "image"), 1.3), q, 0.5)
 
 
 def _nearest(q: int) -> str:
@@ -407,6 +402,26 @@ def pattern_bucket(spark, d):
     return _named(found.select("pattern", text.pattern_bucket(F.col("pattern"), 16).alias("bucket")))
 
 
+@query(f"""WITH {_BASKETS}, g AS (SELECT abs(list_reduce(list_prepend(1::BIGINT, p::BIGINT[]), lambda h, e: (((h * 31 + e + 2147483648) % 4294967296 + 4294967296) % 4294967296) - 2147483648)) % 16 AS bucket FROM f)
+SELECT bucket, bucket::INT AS task, count(*) AS cnt FROM g GROUP BY ALL""")
+def direct_grouping(spark, d):
+    """Patterns sent to the task that their bucket names."""
+    found = _frequent(spark, d).select("pattern", text.pattern_bucket(F.col("pattern"), 16).alias("bucket"))
+    sent = text.sent_to(found, "bucket", 16).withColumn("task", F.spark_partition_id())
+    return sent.groupBy("bucket", "task").agg(F.count("*").alias("cnt"))
+
+
+@query("""WITH a AS (SELECT p_partkey AS part, p_partkey * 10 AS lo, p_partkey * 10 + p_size - 1 AS hi FROM part), b AS (SELECT p_partkey AS tile, p_partkey * 64 AS f, p_partkey * 64 + 63 AS l FROM part)
+SELECT part, tile, least(hi, l) - greatest(lo, f) + 1 AS shared FROM a JOIN b ON lo <= l AND f <= hi""")
+def range_overlap(spark, d):
+    """Ranges of as many numbers as a part's size, against tiles of 64."""
+    key = F.col("p_partkey")
+    sized = table(spark, d, "part").select(key.alias("part"), (key * 10).alias("lo"), (key * 10 + F.col("p_size") - 1).alias("hi"), F.lit(0).alias("one"))
+    tiled = table(spark, d, "part").select(key.alias("tile"), (key * 64).alias("f"), (key * 64 + 63).alias("l"), F.lit(0).alias("one"))
+    both = ranges.overlapping(sized, tiled, ["one"], ("lo", "hi", "f", "l"))
+    return both.select("part", "tile", (F.least("hi", "l") - F.greatest("lo", "f") + 1).alias("shared"))
+
+
 # --- frames -----------------------------------------------------------------------
 
 _GRID = "SELECT o_orderkey AS frame, x.x::INT AS x, y.y::INT AS y, 160 AS w, 120 AS h, 49 AS patch_count FROM orders, range(0, 481, 80) AS x(x), range(0, 361, 60) AS y(y)"

@@ -12,10 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import _VECTORS, _frames, _objects, query, table
-from .functions.ordering import numbered, shared_dir
+from .catalog import _GAINS, _NODES, _VECTORS, _frames, _objects, query, table
+from .config import Scheduling
+from .functions.ordering import numbered, shared_dir, staged
 from .operators import outliers, patterns
+from .sources import queue
 from .streaming import stateful
+from .streaming.loop import Loop
 
 STEPS = 4
 
@@ -104,3 +107,67 @@ def idle_patterns(spark, d):
     end = bounds.select(F.lit("").alias("pattern"), F.lit(True).alias("is_add"), (F.col("last") + F.expr("INTERVAL 400 DAYS")).alias("ts"), F.lit(STEPS - 1).cast("long").alias("step"))
     out = replay(spark, rows.unionByName(end), lambda s: stateful.idle_patterns(s, 3_600_000, _LATENESS))
     return out.filter("pattern <> ''")
+
+
+# --- the optimisation loop ----------------------------------------------------------------
+
+_LOOP_SOURCE, _LOOP_TASKS, _LOOP_ALLOWED = "view", 12, 60
+_LOOP_TASK = "(user_id % 12)"
+_LOOP_LINES = f"""t AS (SELECT event_id % 3 AS step, event_type AS c, {_LOOP_TASK} AS task, count(value) AS n, round(sum(value), 2) AS total, count(*) AS recv, count(*) FILTER (WHERE event_id % 2 = 0) AS send FROM events GROUP BY ALL),
+d AS (SELECT step, ceil(1.25 * max(total))::BIGINT AS dur FROM t GROUP BY step),
+a AS (SELECT step, c, sum(n) AS n, sum(total) AS total, sum(recv) AS recv, sum(send) AS send, any_value(dur) AS dur FROM t JOIN d USING (step) GROUP BY step, c)"""
+
+
+def _loop_step(step: int, k: str) -> str:
+    """SQL of the best allocation that step finds, given the running one."""
+    nodes = f"""SELECT c AS comp, recv * 1000.0::DOUBLE / (dur * k) * k AS lam, 1000.0::DOUBLE * n / total AS mu,
+  recv * 1000.0::DOUBLE / (dur * k) * k / (SELECT send * 1000.0::DOUBLE / (dur * 2) * 2 / 2.0 FROM a WHERE step = {step} AND c = '{_LOOP_SOURCE}') AS ratio
+  FROM a JOIN {k} ON comp = c WHERE step = {step} AND c <> '{_LOOP_SOURCE}'"""
+    return f"""(WITH {_GAINS.replace(f"n AS ({_NODES})", f"n AS ({nodes})")},
+o AS (SELECT comp, count(*) AS extra FROM r, need WHERE place <= {_LOOP_ALLOWED} - 2 - need GROUP BY comp)
+SELECT m.comp, CASE WHEN need <= {_LOOP_ALLOWED} - 2 THEN low + coalesce(extra, 0) ELSE k END::BIGINT AS k FROM m JOIN {k} USING (comp) LEFT JOIN o USING (comp), need)"""
+
+
+@query(f"""WITH {_LOOP_LINES}, k0 AS (SELECT DISTINCT c AS comp, 3::BIGINT AS k FROM a WHERE c <> '{_LOOP_SOURCE}'),
+k1 AS {_loop_step(0, "k0")}, k2 AS {_loop_step(2, "k1")}
+SELECT 0::BIGINT AS step, comp, k0.k AS k_now, k1.k AS k_new FROM k0 JOIN k1 USING (comp) WHERE k0.k <> k1.k
+UNION ALL SELECT 2, comp, k1.k, k2.k FROM k1 JOIN k2 USING (comp) WHERE k1.k <> k2.k""")
+def control_loop(spark, d):
+    """Metric lines of three intervals: the first one's decision, a discarded interval, and the decision under the new allocation.
+
+    Executions are the events' values as milliseconds; an interval lasts a quarter longer than the busiest task was busy.
+    """
+    tasks = table(spark, d, "events").groupBy((F.col("event_id") % 3).alias("step"), F.col("event_type").alias("component"), (F.col("user_id") % _LOOP_TASKS).alias("task"))
+    tasks = tasks.agg(F.count("value").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.round(F.sum(F.col("value") * F.col("value")), 2).alias("sumsq"), F.count("*").alias("recv"), F.count_if(F.col("event_id") % 2 == 0).alias("send"))
+    lasts = tasks.groupBy("step").agg(F.ceil(1.25 * F.max("total")).cast("long").alias("dur"))
+    stat = F.concat_ws(",", F.col("n").cast("string"), F.format_string("%.2f", "total"), F.format_string("%.2f", "sumsq"))
+    queue = lambda c: F.struct(F.col(c).alias("totalCount"), F.col(c).alias("sampleCount"), F.lit(0).alias("totalQueueLen"))
+    source = F.col("component") == _LOOP_SOURCE
+    named = F.struct(F.when(source, F.create_map(F.lit("default"), stat)).alias("complete-latency"), F.when(~source, F.create_map(F.lit(f"{_LOOP_SOURCE}:default"), stat)).alias("execute"), queue("send").alias("send-queue"), queue("recv").alias("recv-queue"), F.col("dur").alias("duration"))
+    lines = tasks.join(lasts, "step").select("step", F.concat("component", F.lit(":"), F.col("task").cast("string"), F.lit("->"), F.to_json(named)).alias("line"))
+    k = F.when(F.col("event_type") == _LOOP_SOURCE, 2).otherwise(3).cast("long")
+    alloc = table(spark, d, "events").select("event_type").distinct().select(F.col("event_type").alias("comp"), k.alias("k"))
+    base = f"{shared_dir(spark)}/loop-{uuid.uuid4().hex}"
+    loop = Loop(base, alloc, [_LOOP_SOURCE], _LOOP_TASKS, Scheduling(qos_ms=800.0, allowed=_LOOP_ALLOWED))
+    lines = staged(lines)
+    for i in range(3):
+        lines.filter(F.col("step") == i).select("line").write.mode("append").parquet(f"{base}/in")
+        loop.run(spark.readStream.schema("line string").parquet(f"{base}/in")).awaitTermination()
+    return loop.moves(spark)
+
+
+# --- queue and lines ----------------------------------------------------------------------
+
+
+@query("SELECT user_id::VARCHAR AS key, count(*) AS cnt FROM events GROUP BY 1")
+def queue_records(spark, d):
+    """Events as lines of growing files, read in small ranges over three batches and written by the sink; users counted from what it has committed."""
+    base = f"{shared_dir(spark)}/queue-{uuid.uuid4().hex}"
+    lines = table(spark, d, "events").select((F.col("event_id") % 3).alias("step"), F.to_json(F.struct("event_id", "user_id", "event_type", "value")).alias("value"))
+    lines = staged(lines)
+    for i in range(3):
+        lines.filter(F.col("step") == i).select("value").write.mode("append").text(f"{base}/in")
+        out = queue.queue(spark, f"{base}/in", 1 << 16).select(F.get_json_object("text", "$.user_id").alias("key"), F.get_json_object("text", "$.event_id").alias("event"))
+        queue.to_lines(out, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    rows = queue.committed(spark, f"{base}/out")
+    return rows.groupBy(F.get_json_object("value", "$.key").alias("key")).agg(F.countDistinct(F.get_json_object("value", "$.event")).alias("cnt"))

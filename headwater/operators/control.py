@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..config import Registry, Scheduling
 from ..functions.ordering import staged
 from . import queueing
+from .ranges import within
 
 QUEUES = ("send", "recv")
 
@@ -28,10 +29,10 @@ def queue_rollup(tasks: DataFrame, executors: DataFrame, *keys: str) -> DataFram
     report of a queue that nothing arrived at doesn't count; the duration is that of an
     executor's first task.
     """
-    opened = executors.select("component", "executor", "start_task", F.explode(F.sequence("start_task", "end_task")).alias("task"))
+    held = within(tasks, "task", executors.select("component", "executor", "start_task", "end_task"), ["component"], ("start_task", "end_task"))
     some = lambda q, c: F.sum(F.when(F.col(f"{q}_total") > 0, F.col(f"{q}_{c}")).otherwise(0)).alias(f"{q}_{c}")
     duration = F.sum(F.when(F.col("task") == F.col("start_task"), F.col("duration")).otherwise(0)).alias("duration")
-    return tasks.join(opened, ["component", "task"]).groupBy(*keys, "component", "executor").agg(*[some(q, c) for q in QUEUES for c in ("total", "samples", "len")], duration)
+    return held.groupBy(*keys, "component", "executor").agg(*[some(q, c) for q in QUEUES for c in ("total", "samples", "len")], duration)
 
 
 def moments_rollup(rows: DataFrame, *keys: str) -> DataFrame:

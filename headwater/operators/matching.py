@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import numbered, staged
+from .ranges import overlapping
+
 
 def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
@@ -148,3 +151,70 @@ def first_match(tries: DataFrame) -> DataFrame:
     rank = F.struct(F.col("priority").isNotNull().alias("a"), (-F.coalesce("priority", F.lit(0))).alias("b"), F.col("template").alias("c"), F.col("rect").alias("d"))
     found = F.min_by(F.struct("template", "rect"), F.when(F.col("rect").isNotNull(), rank))
     return tries.groupBy("patch", "logo").agg(found.alias("_f")).select("patch", "logo", "_f.template", "_f.rect")
+
+
+# --- pivots ---------------------------------------------------------------------------------
+
+#: Vectors that all others are measured by.
+PIVOTS = 8
+#: Distances are ranged in so many steps of the threshold.
+STEPS = 16
+
+
+def pivots(index: DataFrame, n: int = PIVOTS) -> list[list[float]]:
+    """n vectors of the index, by a hash of the id."""
+    rows = index.select("id", "feat").orderBy(F.xxhash64("id"), "id").limit(n).collect()
+    return [[float(x) for x in r["feat"]] for r in rows]
+
+
+def _measured(rows: DataFrame, of: list[list[float]], block: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows in blocks of about `block` that lie near each other, and for each block its least and largest distance from each pivot."""
+    near = F.array(*[l2(F.col("feat"), F.array(*map(F.lit, p))) for p in of])
+    rows = rows.withColumn("_d", near)
+    cell = F.array_position("_d", F.array_min("_d"))
+    placed = numbered(rows.withColumn("_cell", cell), ["_cell", F.array_min("_d"), "id"], "_place").withColumn(name, F.floor(F.col("_place") / block).cast("long"))
+    ends = [f(F.get("_d", F.lit(i))).alias(f"{name}_{kind}{i}") for i in range(len(of)) for f, kind in ((F.min, "low"), (F.max, "high"))]
+    return placed.drop("_d", "_cell", "_place"), placed.groupBy(name).agg(*ends)
+
+
+def near_blocks(queries: DataFrame, index: DataFrame, threshold: float, block: int = BLOCK, pivot: list[list[float]] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both sides in blocks (_q, _i), and the pairs of blocks that may hold vectors closer than the threshold.
+
+    By the triangle inequality two vectors are no closer than their distances from a pivot differ, so
+    a pair of blocks is left out if their ranges of distances lie that far apart for any pivot: no match
+    is lost. The pairs come from a join of ranges by the first pivot; the other pivots filter them.
+    """
+    of = pivot or pivots(index)
+    if not of:
+        of = [[0.0]]
+    a, ends_a = _measured(queries, of, block, "_q")
+    b, ends_b = _measured(index, of, block, "_i")
+    step = threshold / STEPS
+    whole = lambda c, f: f(F.col(c) / step).cast("long")
+    ends_a = ends_a.withColumns({"_qf": whole("_q_low0", F.floor) - STEPS - 1, "_ql": whole("_q_high0", F.ceil) + STEPS + 1, "_one": F.lit(0)})
+    ends_b = ends_b.withColumns({"_if": whole("_i_low0", F.floor), "_il": whole("_i_high0", F.ceil), "_one": F.lit(0)})
+    pairs = overlapping(ends_a, ends_b, ["_one"], ("_qf", "_ql", "_if", "_il"))
+    slack = 1e-9 * (1 + threshold)  # for rounding of distances
+    for i in range(len(of)):
+        pairs = pairs.filter((F.col(f"_q_low{i}") - F.col(f"_i_high{i}") < threshold + slack) & (F.col(f"_i_low{i}") - F.col(f"_q_high{i}") < threshold + slack))
+    return a, b, pairs.select("_q", "_i")
+
+
+def near_counts(queries: DataFrame, index: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """What match_counts() gives, from the pairs of blocks that pivots can't rule out."""
+
+    def compare(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(x):
+            return pd.DataFrame({"frame": [], "image": [], "freq": []})
+        i, j = np.nonzero(distances(q["feat"], x["feat"]) < threshold)
+        near = pd.DataFrame({"frame": q["frame"].to_numpy()[i], "image": x["image"].to_numpy()[j]})
+        return near.groupby(["frame", "image"]).size().rename("freq").reset_index()
+
+    a, b, pairs = near_blocks(queries.select("id", "frame", "feat"), index.select("id", "image", "feat"), threshold, block)
+    pairs = staged(pairs)
+    kinds = f"frame {queries.schema['frame'].dataType.simpleString()}, image {index.schema['image'].dataType.simpleString()}, freq long"
+    left = a.join(pairs, "_q").select("_q", "_i", "frame", "feat")
+    right = b.join(pairs.select(F.col("_q").alias("_p"), F.col("_i").alias("_j")), F.col("_i") == F.col("_j")).select("_p", "_j", "image", "feat")
+    run = lambda x, y: compare(x.reset_index(drop=True), y.reset_index(drop=True))
+    found = left.groupBy("_q", "_i").cogroup(right.groupBy("_p", "_j")).applyInPandas(run, kinds)
+    return found.groupBy("frame", "image").agg(F.sum("freq").alias("freq"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import numbered
+from .ranges import within
 
 
 def moments(value: Column, prefix: str = "") -> list[Column]:
@@ -91,10 +92,10 @@ def executor_rollup(tasks: DataFrame, executors: DataFrame) -> DataFrame:
     """Task metrics by executor; the duration counts for an executor's first task alone.
 
     tasks: component, task, cnt, total, sumsq, duration; executors: component, executor,
-    start_task, end_task. Ranges are opened into tasks, so the join is an equality.
+    start_task, end_task.
     """
-    opened = executors.select("component", "executor", "start_task", F.explode(F.sequence("start_task", "end_task")).alias("task"))
-    return tasks.join(opened, ["component", "task"]).groupBy("component", "executor").agg(
+    held = within(tasks, "task", executors.select("component", "executor", "start_task", "end_task"), ["component"], ("start_task", "end_task"))
+    return held.groupBy("component", "executor").agg(
         F.sum("cnt").alias("cnt"), F.sum("total").alias("total"), F.sum("sumsq").alias("sumsq"),
         F.sum(F.when(F.col("task") == F.col("start_task"), F.col("duration")).otherwise(0)).alias("duration"),
     )

@@ -63,3 +63,8 @@ def pattern_bucket(ids: Column, n: int) -> Column:
     """The bucket of an array of ids by a 32-bit polynomial hash (31 h + id, from 1), wrapped in 64-bit numbers."""
     wrap = lambda x: F.pmod(x + 2147483648, F.lit(4294967296)) - 2147483648
     return F.abs(F.aggregate(ids, F.lit(1).cast("long"), lambda h, e: wrap(h * 31 + e))) % n
+
+
+def sent_to(df: DataFrame, bucket: str, tasks: int) -> DataFrame:
+    """Direct grouping: each row lies in the partition of its bucket's number, modulo the tasks; a null bucket goes to the first."""
+    return df.repartitionById(tasks, F.coalesce(F.pmod(F.col(bucket), F.lit(tasks)), F.lit(0)).cast("int"))

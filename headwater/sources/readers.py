@@ -1,4 +1,4 @@
-"""Sources: queues and folders as streams, frames, signals, paged scans, chunked bytes, bounded batches and feature indexes."""
+"""Sources: folders, frames, signals, paged scans, chunked bytes, bounded batches and feature indexes."""
 
 from __future__ import annotations
 
@@ -6,60 +6,6 @@ from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
-from pyspark.sql.types import StructType
-
-
-class _QueueReader(SimpleDataSourceStreamReader):
-    def __init__(self, folder: str, most: int):
-        self.folder, self.most = folder, most
-
-    def _lines(self) -> list[str]:
-        import os
-
-        out: list[str] = []
-        for name in sorted(os.listdir(self.folder)):
-            with open(os.path.join(self.folder, name), encoding="utf-8") as f:
-                out += f.read().splitlines()
-        return out
-
-    def initialOffset(self) -> dict:
-        return {"at": 0}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        own = self._lines()[start["at"] : start["at"] + self.most]
-        return iter([(x,) for x in own]), {"at": start["at"] + len(own)}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([(x,) for x in self._lines()[start["at"] : end["at"]]])
-
-    def commit(self, end: dict) -> None:
-        pass
-
-
-class QueueSource(DataSource):
-    """A queue of text records as a stream of `text`, at most `most` a batch, each read once and in order.
-
-    The queue is a folder of files of lines that a producer only adds to; a client of a
-    message broker takes the place of the reader. The offset is the place in the queue, so
-    records are replayed after a failure and none is lost. For streams that one driver can
-    read; larger ones are folders for read_folder().
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "headwater_queue"
-
-    def schema(self) -> str:
-        return "text string"
-
-    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
-        return _QueueReader(self.options["path"], int(self.options.get("most", "1000")))
-
-
-def queue(spark: SparkSession, folder: str, most: int = 1000) -> DataFrame:
-    spark.dataSource.register(QueueSource)
-    return spark.readStream.format("headwater_queue").option("path", folder).option("most", most).load()
 
 
 def images(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -182,4 +128,4 @@ def service_times(df: DataFrame, key: Column, mean_ms: float, salt: int, most: f
     return df.withColumn("service_ms", F.least(-F.log(1 - bits / 4294967296.0) * mean_ms, F.lit(mean_ms * most)))
 
 
-__all__ = ["QueueSource", "batches", "chunked", "feature_lines", "first_rows", "images", "joined_chunks", "one_per_batch", "queue", "raw_frames", "repeated", "scan", "service_times", "signals", "until"]
+__all__ = ["batches", "chunked", "feature_lines", "first_rows", "images", "joined_chunks", "one_per_batch", "raw_frames", "repeated", "scan", "service_times", "signals", "until"]

@@ -279,22 +279,6 @@ def test_features_by_a_given_function(spark):
 # --- sources -----------------------------------------------------------------------------------------
 
 
-def test_queue_is_read_once_in_order(spark, tmp_path):
-    (tmp_path / "q").mkdir()
-    (tmp_path / "q" / "a").write_text("one\ntwo\nthree\n")
-    seen = []
-
-    def run():
-        query = readers.queue(spark, f"{tmp_path}/q", 2).writeStream.foreachBatch(lambda df, n: seen.append([r["text"] for r in df.collect()])).option("checkpointLocation", f"{tmp_path}/c").start()
-        query.processAllAvailable()
-        query.stop()
-
-    run()
-    (tmp_path / "q" / "b").write_text("four\n")
-    run()
-    assert [x for own in seen for x in own] == ["one", "two", "three", "four"] and max(map(len, seen)) <= 2
-
-
 def test_image_files_and_raw_frames(spark, tmp_path):
     for i in range(3):
         (tmp_path / f"f{i}.bin").write_bytes(bytes([i, i]))
