@@ -214,21 +214,45 @@ def mix(x: np.ndarray) -> np.ndarray:
 #: A prime: two different texts of n bytes have one hash for n of this many bases at most.
 PRIME = (1 << 61) - 1
 _P, _P_BITS = np.uint64(PRIME), np.uint64(61)
-_30, _31 = np.uint64(30), np.uint64(31)
-_LOW30, _LOW31 = np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+_29, _30, _31, _32 = (np.uint64(x) for x in (29, 30, 31, 32))
+_LOW29, _LOW30, _LOW31, _LOW32 = (np.uint64((1 << x) - 1) for x in (29, 30, 31, 32))
 
 
-def _folded(x: np.ndarray) -> np.ndarray:
-    """x mod PRIME."""
-    x = (x & _P) + (x >> _P_BITS)
-    return np.where(x >= _P, x - _P, x)
+#: Numbers worked on at a time: temporary arrays of that size stay in a core's cache.
+AT_ONCE = 1 << 13
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    middle = a1 * b0
+    middle += a0 * b1
+    a1 *= b1
+    a1 += a1
+    a0 *= b0
+    a1 += a0
+    a1 += middle >> _30
+    middle &= _LOW30
+    middle <<= _31
+    a1 += middle
+    return _reduced(a1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x mod PRIME, in place."""
+    high = x >> _P_BITS
+    x &= _P
+    x += high
+    x -= (x >= _P) * _P
+    return x
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a * b mod PRIME, for numbers below it."""
-    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
-    middle = a1 * b0 + a0 * b1
-    return _folded(a1 * b1 * np.uint64(2) + (middle >> _30) + ((middle & _LOW30) << _31) + a0 * b0)
+    out = np.empty(len(a), np.uint64)
+    b = np.broadcast_to(b, a.shape)
+    for i in range(0, len(a), AT_ONCE):
+        out[i : i + AT_ONCE] = _product(a[i : i + AT_ONCE], b[i : i + AT_ONCE])
+    return out
 
 
 class Roller:
@@ -240,9 +264,9 @@ class Roller:
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
-        self.code = rng.integers(1, PRIME, 256, dtype=np.uint64)
+        self.code = rng.permutation(np.arange(1, 1 << 16, dtype=np.uint64))[:256]  # of 16 bits, so that AT_ONCE products by half a power add up in a word
         self.base = int(rng.integers(1 << 40, PRIME))
-        self.up = self.down = np.ones(1, np.uint64)
+        self.up = self.down = self.high = self.low = np.ones(1, np.uint64)
 
     def grow(self, n: int) -> None:
         if len(self.up) < n:
@@ -253,26 +277,86 @@ class Roller:
                     powers[made : 2 * made] = product(powers[:made], np.uint64(pow(b, made, PRIME)))
                     made *= 2
                 setattr(self, name, powers)
+            self.high, self.low = self.down >> _32, self.down & _LOW32
 
     def prefix(self, raw: np.ndarray) -> np.ndarray:
-        return self.sums(self.code[raw])
+        n = len(raw)
+        self.grow(n + 1)
+        out = np.zeros(n + 1, np.uint64)
+        for i in range(0, n, AT_ONCE):
+            code = self.code[raw[i : i + AT_ONCE]]
+            high = np.cumsum(code * self.high[i : i + len(code)], dtype=np.uint64)
+            code *= self.low[i : i + len(code)]
+            low = np.cumsum(code, dtype=np.uint64)
+            low += high >> _29  # high * 2**32, as 2**61 is 1
+            high &= _LOW29
+            high <<= _32
+            low += high
+            low += out[i]  # what all before add up to
+            out[i + 1 : i + 1 + len(code)] = _reduced(low)
+        return out
 
     def sums(self, codes: np.ndarray) -> np.ndarray:
         """The prefix sums of codes below PRIME."""
         n = len(codes)
         self.grow(n + 1)
-        terms, out = product(codes, self.down[:n]), np.zeros(n + 1, np.uint64)
-        high, low = np.cumsum(terms >> _31, dtype=np.uint64), np.cumsum(terms & _LOW31, dtype=np.uint64)
-        out[1:] = _folded((high >> _30) + ((high & _LOW30) << _31) + low)
+        out = np.zeros(n + 1, np.uint64)
+        for i in range(0, n, AT_ONCE):
+            terms = _product(codes[i : i + AT_ONCE], self.down[i : i + AT_ONCE][: len(codes[i : i + AT_ONCE])])
+            high = np.cumsum(terms >> _31, dtype=np.uint64)
+            terms &= _LOW31
+            low = np.cumsum(terms, dtype=np.uint64)
+            low += high >> _30
+            high &= _LOW30
+            high <<= _31
+            low += high
+            low += out[i]
+            out[i + 1 : i + 1 + len(terms)] = _reduced(low)
+        return out
+
+    def spans(self, prefix: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.empty(len(i), np.uint64)
+        for k in range(0, len(i), AT_ONCE):
+            a, b = i[k : k + AT_ONCE], j[k : k + AT_ONCE]
+            x = prefix[b]
+            x += _P - prefix[a]
+            out[k : k + AT_ONCE] = mix(_product(_reduced(x), self.up[a]))
+        return out
+
+
+class Trigger:
+    """The same modulo 2**64: cheaper, but there are texts that it confuses whatever its base.
+
+    For choosing places by content, where equal hashes of different spans do no harm, and beside a Roller.
+    """
+
+    def __init__(self, seed: int):
+        rng = np.random.default_rng(seed)
+        self.code = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        base = int(rng.integers(1 << 40, 1 << 62)) * 8 + 5
+        self.base, self.up, self.down = base, np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def grow(self, n: int) -> None:
+        if len(self.up) < n:
+            n = 1 << max(16, (n - 1).bit_length())
+            for name, b in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
+                powers = np.full(n, b & (1 << 64) - 1, np.uint64)
+                powers[0] = 1
+                setattr(self, name, np.cumprod(powers, dtype=np.uint64))
+
+    def prefix(self, raw: np.ndarray) -> np.ndarray:
+        self.grow(len(raw) + 1)
+        out = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.code[raw] * self.down[: len(raw)], out=out[1:])
         return out
 
     def spans(self, prefix: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return mix(product(_folded(prefix[j] + (_P - prefix[i])), self.up[i]))
+        return mix((prefix[j] - prefix[i]) * self.up[i])
 
-    def rolling(self, prefix: np.ndarray, width: int) -> np.ndarray:
+    def rolling(self, raw: np.ndarray, width: int) -> np.ndarray:
         """The hashes of all spans of a width."""
-        n = len(prefix) - width
-        return mix(product(_folded(prefix[width:] + (_P - prefix[:n])), self.up[:n]))
+        prefix = self.prefix(raw)
+        return (prefix[width:] - prefix[:-width]) * self.up[: len(prefix) - width]
 
 
 _IS_SPACE = np.zeros(256, bool)

@@ -50,7 +50,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Roller, Slice, drop_stage, made_schema, mix, release, slices, stage, word_spans
+from .common import Roller, Slice, Trigger, drop_stage, made_schema, mix, release, slices, stage, word_spans
 
 LENGTH = 400
 #: Words of a passage.
@@ -65,13 +65,16 @@ PIECE = 1 << 20
 #: Bytes of a phrase that it is sorted by before its hashes.
 HEAD = 8
 
-_CORE, _REACH = Roller(61), Roller(62)
+#: Two hashes of a span; different texts that agree in the first are as rare as the prime of its modulus makes them.
+_CORE, _REACH = Roller(61), Trigger(63)
+#: Choose the phrases, and the denser phrases of some windows.
+_COARSE, _FINE = Trigger(61), Trigger(62)
 _EDGE = 1 << 62
 #: In place of a rank: a run of windows known to repeat.
 SETTLED = -2
 
 
-def span_hashes(roller: Roller, raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+def span_hashes(roller: Roller | Trigger, raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Hashes of the spans [first, last) of raw, sorted by their beginnings, over pieces of it."""
     out, i = np.zeros(len(first), np.uint64), 0
     while i < len(first):
@@ -84,17 +87,16 @@ def span_hashes(roller: Roller, raw: np.ndarray, first: np.ndarray, last: np.nda
     return out
 
 
-def find_triggers(roller: Roller, raw: np.ndarray, at: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray]:
+def find_triggers(trigger: Trigger, raw: np.ndarray, at: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of all triggers and the rows they lie in."""
     found = [np.zeros(0, np.int64)]
     for low in range(0, max(0, len(raw) - TRIGGER + 1), PIECE):
-        prefix = roller.prefix(raw[low : low + PIECE + TRIGGER - 1])
-        h = roller.rolling(prefix, TRIGGER)
+        h = trigger.rolling(raw[low : low + PIECE + TRIGGER - 1], TRIGGER)
         found.append(np.flatnonzero((h >> np.uint64(32)) < np.uint64((1 << 32) // period)) + low)
-    trigger = np.concatenate(found)
-    row = np.searchsorted(at, trigger, "right") - 1
-    inside = trigger + TRIGGER <= at[row + 1]
-    return trigger[inside], row[inside]
+    places = np.concatenate(found)
+    row = np.searchsorted(at, places, "right") - 1
+    inside = places + TRIGGER <= at[row + 1]
+    return places[inside], row[inside]
 
 
 class Parse:
@@ -107,7 +109,7 @@ class Parse:
 
     def __init__(self, raw: np.ndarray, at: np.ndarray, period: int = PERIOD):
         self.raw, self.at = raw, at
-        self.trigger, self.row = find_triggers(_CORE, raw, at, period)
+        self.trigger, self.row = find_triggers(_COARSE, raw, at, period)
         rows = len(at) - 1
         self.base = np.append(0, np.cumsum(np.bincount(self.row, minlength=rows) + 1))  # first phrase of each row
         self.first = np.empty(self.base[-1], np.int64)
@@ -283,7 +285,7 @@ class Dense:
 
     def __call__(self, which: np.ndarray) -> tuple[np.ndarray, ...]:
         """(row, first window, windows, f, g) of the parts of some classes, by first and last trigger inside."""
-        more, _ = find_triggers(_REACH, self.p.raw, self.p.at, DENSE)
+        more, _ = find_triggers(_FINE, self.p.raw, self.p.at, DENSE)
         self.trigger = np.union1d(self.p.trigger, more)
         n = self.n[which]
         row = np.repeat(self.row[which], n)
