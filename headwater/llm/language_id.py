@@ -59,11 +59,19 @@ _FOLD: np.ndarray | None = None
 
 
 def _fold() -> np.ndarray:
-    """Code point to 16-bit symbol: letters stay (those beyond the first plane are folded), all else is a space."""
+    """Code point to 16-bit symbol: letters of the first plane stay, all but letters is a space.
+
+    Letters beyond the first plane share the numbers that no letter of it has, none of them the
+    space, in their own order: those of a script, and tens of thousands after each other, differ.
+    """
     global _FOLD
     if _FOLD is None:
-        table = np.fromiter((c & 0xFFFF if chr(c).isalpha() else 32 for c in range(sys.maxunicode + 1)), np.uint16, sys.maxunicode + 1)
-        _FOLD = table
+        letter = np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+        point = np.arange(sys.maxunicode + 1)
+        free = np.flatnonzero(~letter[: 1 << 16])
+        free = free[free != 32]
+        symbol = np.where(point < 1 << 16, point, free[point % len(free)])
+        _FOLD = np.where(letter, symbol, 32).astype(np.uint16)
     return _FOLD
 
 

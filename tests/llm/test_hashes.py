@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
-from headwater.llm import minhash, suffix_dedup, toxicity
+from headwater.llm import language_id, minhash, suffix_dedup, toxicity
 from headwater.llm.common import PRIME, Roller, product
 
 SCHEMA = "doc_id long, text string"
@@ -68,3 +68,20 @@ def test_repeats_of_such_words(spark):
             if sum(1 for e, x in others if e != d and w in x) or raw.find(w) != i or raw.find(w, i + 1) >= 0:
                 gone[i : i + 400] = True
         assert got[d] == gone.sum(), d
+
+
+def test_letters_beyond_the_first_plane_are_letters(spark):
+    fold = language_id._fold()
+    letters = [c for c in range(0x10000, 0x110000) if chr(c).isalpha()]
+    assert fold[0x20] == 32 and all(fold[c] == c for c in (0x41, 0xE9, 0x65E5))
+    assert not np.isin(fold[letters], [32, *[c for c in range(0x10000) if chr(c).isalpha()]]).any()
+    gothic = range(0x10330, 0x1034A)
+    assert len({int(fold[c]) for c in gothic}) == len(gothic)
+    rng = np.random.default_rng(4)
+    word = lambda low, n: "".join(chr(c) for c in rng.integers(low, low + n, rng.integers(2, 9)))
+    text = lambda low, n: " ".join(word(low, n) for _ in range(40))
+    rows = [(lang, text(low, n)) for lang, low, n in (("got", 0x10330, 26), ("han", 0x20020, 300), ("en", 0x61, 26)) for _ in range(30)]
+    model = language_id.train(spark.createDataFrame(rows, "lang string, text string"))
+    asked = [(1, text(0x10330, 26)), (2, "\U00020020\U00030020"), (3, text(0x20020, 300)), (4, text(0x61, 26)), (5, "1 2")]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert got[1] == "got" and got[2] != "und" and got[3] == "han" and got[4] == "en" and got[5] == "und"
