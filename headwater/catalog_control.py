@@ -11,8 +11,8 @@ from .config import Scheduling
 from .functions.ordering import numbered, shared_dir
 from .operators import control, frames, matching, metrics, patterns, queueing, text, vision
 from .sources import readers
+from .streaming import loop, state
 from .streaming import queries as streaming
-from .streaming import state
 
 # --- measurements -----------------------------------------------------------------
 
@@ -171,10 +171,25 @@ def rebalance_once(spark, d):
     return control.rebalance(_results(spark, d), _alloc(spark, d, ["view"]), ["view"], _SETTINGS, decision=control.once({"signup": 5}), elapsed=301.0).select("comp", "k_now", "k_new")
 
 
-@query("SELECT greatest(2, ceil(sum(k) / 8))::BIGINT * 8 AS budget FROM (SELECT DISTINCT event_type, 3 AS k FROM events)")
+@query("SELECT greatest(2, ceil(sum(k) / 8))::BIGINT * 8 AS budget FROM (SELECT user_id, 1 + count(*) % 5 AS k FROM events GROUP BY user_id)")
 def executor_budget(spark, d):
-    n = control.executor_budget(_alloc(spark, d, []), Scheduling(), 2)
-    return spark.range(1).select(F.lit(n).cast("long").alias("budget"))
+    """Users as components, of one to five executors."""
+    alloc = table(spark, d, "events").groupBy(F.col("user_id").alias("comp")).agg((1 + F.count("*") % 5).alias("k"))
+    return control.executor_budget(alloc, Scheduling(), 2)
+
+
+@query("""WITH e AS (SELECT event_type AS component, user_id % 12 AS task, (event_id % 3)::VARCHAR AS source, (event_id % 2)::VARCHAR AS stream, count(value) FILTER (WHERE event_id % 7 <> 0) AS n, round(coalesce(sum(value) FILTER (WHERE event_id % 7 <> 0), 0), 2) AS total FROM events GROUP BY ALL)
+SELECT component, source, stream, sum(n)::BIGINT AS cnt, round(sum(total), 2) AS total, count(*) AS tasks FROM e WHERE n > 0 GROUP BY ALL""")
+def execute_streams(spark, d):
+    """Executions by the source and the stream that they came from, out of metric lines; entries without a count are left out."""
+    used = F.col("event_id") % 7 != 0
+    rows = table(spark, d, "events").groupBy(F.col("event_type").alias("component"), (F.col("user_id") % 12).alias("task"), (F.col("event_id") % 3).alias("source"), (F.col("event_id") % 2).alias("stream"))
+    rows = rows.agg(F.count(F.when(used, F.col("value"))).alias("n"), F.coalesce(F.sum(F.when(used, F.col("value"))), F.lit(0.0)).alias("total"))
+    entry = F.struct(F.concat_ws(":", F.col("source").cast("string"), F.col("stream").cast("string")).alias("key"), F.concat(F.col("n").cast("string"), F.format_string(",%.2f,0", "total")).alias("value"))
+    tasks = rows.groupBy("component", "task").agg(F.map_from_entries(F.collect_list(entry)).alias("execute"))
+    lines = tasks.select(F.concat("component", F.lit(":"), F.col("task").cast("string"), F.lit("->"), F.to_json(F.struct("execute"))).alias("line"))
+    out = loop.execute_moments(lines).groupBy("component", "source", "stream").agg(F.sum("cnt").alias("cnt"), F.round(F.sum("total"), 2).alias("total"), F.count("*").alias("tasks"))
+    return out
 
 
 # --- images -----------------------------------------------------------------------------

@@ -23,10 +23,10 @@ from .streaming.loop import Loop
 STEPS = 4
 
 
-def replay(spark: SparkSession, rows: DataFrame, stream: Callable[[DataFrame], DataFrame], steps: int = STEPS) -> DataFrame:
-    """All that a stream gives over the steps (column `step`, from 0) of a table, each one batch of a query that starts from the last one's checkpoint."""
+def replay(spark: SparkSession, rows: DataFrame, stream: Callable[[DataFrame], DataFrame], steps: int = STEPS, base: str | None = None) -> DataFrame:
+    """All that a stream gives over the steps (column `step`, from 0) of a table, each one batch of a query that starts from the last one's checkpoint (in `base`)."""
     stateful.use_rocksdb(spark)
-    base = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
+    base = base or f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
     rows.withColumn("_step", F.col("step")).write.partitionBy("_step").parquet(f"{base}/steps")
     schema = rows.schema
     found = None
@@ -51,11 +51,24 @@ SELECT step, p, true AS appeared FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHER
 UNION ALL SELECT step + 1, p, false FROM m WHERE step < 3 AND NOT EXISTS (SELECT 1 FROM m o WHERE o.step = m.step + 1 AND o.p = m.p))""")
 def stream_maximal(spark, d):
     """Orders as baskets of their suppliers' regions, every fifth one taken back."""
+    out = replay(spark, _signed(spark, d), lambda s: stateful.maximal_changes(s, 400))
+    return out.withColumn("pattern", F.array_join(F.transform("pattern", lambda x: x.cast("string")), ","))
+
+
+def _signed(spark, d):
     places = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_regionkey").alias("region"))
     items = table(spark, d, "lineitem").join(places, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", (F.col("l_orderkey") % 4).alias("step"), (F.col("l_orderkey") % 5 != 0).alias("is_add"), "region")
-    signed = patterns.subsets(items, "l_orderkey", "is_add", "region", keep=["step"])
-    out = replay(spark, signed, lambda s: stateful.maximal_changes(s, 400))
-    return out.withColumn("pattern", F.array_join(F.transform("pattern", lambda x: x.cast("string")), ","))
+    return patterns.subsets(items, "l_orderkey", "is_add", "region", keep=["step"])
+
+
+@query(f"""WITH {_STEP_BASKETS.split(chr(10) + "f AS")[0].rstrip(",")}
+SELECT array_to_string(p, ',') AS pattern, sum(CASE WHEN is_add THEN 1 ELSE -1 END)::BIGINT AS n FROM s WHERE step < 2 GROUP BY p HAVING sum(CASE WHEN is_add THEN 1 ELSE -1 END) <> 0""")
+def state_counts(spark, d):
+    """The counts that the state of a stream of patterns holds after two steps, read from its checkpoint."""
+    base = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
+    replay(spark, _signed(spark, d), lambda s: stateful.crossings(s, 400), steps=2, base=base)
+    counts = stateful.state_rows(spark, f"{base}/checkpoint", "count")
+    return counts.select(F.array_join(F.transform("pattern", lambda x: x.cast("string")), ",").alias("pattern"), "n")
 
 
 _AT = "((vec_id // 400) * 100 + vec_id % 100)::BIGINT AS id, ((vec_id % 400) // 100)::BIGINT AS step"
@@ -109,6 +122,26 @@ def idle_patterns(spark, d):
     return out.filter("pattern <> ''")
 
 
+_ARRIVED = "SELECT l_orderkey AS frame, l_linenumber AS patch, l_suppkey % 5 AS logo, l_partkey AS parent, l_shipdate AS seen FROM lineitem"
+
+
+@query(f"""SELECT 'patch' AS kind, frame, patch::BIGINT AS patch, o_orderpriority AS image, NULL::BIGINT AS logo, NULL::BIGINT AS parent FROM ({_ARRIVED}) JOIN orders ON frame = o_orderkey WHERE o_orderkey % 10 <> 0
+UNION ALL SELECT 'update', frame, (patch % 3)::BIGINT, any_value(o_orderpriority), arg_min(logo, (seen, logo, parent)), arg_min(parent, (seen, logo, parent)) FROM ({_ARRIVED}) JOIN orders ON frame = o_orderkey WHERE o_orderkey % 10 <> 0 GROUP BY frame, patch % 3""")
+def stream_three_way(spark, d):
+    """Orders as frames (one in ten lost, each sent twice), their lines as patches and updates, in three steps that mix all; a row of the far future ends them."""
+    none = lambda kind: F.lit(None).cast(kind)
+    at = F.lit(1_700_000_000).cast("timestamp")
+    orders = table(spark, d, "orders").filter(F.col("o_orderkey") % 10 != 0)
+    frame = orders.select(F.lit("frame").alias("kind"), F.col("o_orderkey").alias("frame"), none("long").alias("patch"), F.col("o_orderpriority").alias("image"), none("long").alias("at"), none("long").alias("logo"), none("long").alias("parent"), at.alias("ts"))
+    lines = table(spark, d, "lineitem")
+    line = lambda kind, patch: lines.select(F.lit(kind).alias("kind"), F.col("l_orderkey").alias("frame"), patch.cast("long").alias("patch"), none("string").alias("image"), F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("at"), (F.col("l_suppkey") % 5).alias("logo"), F.col("l_partkey").alias("parent"), at.alias("ts"))
+    number = F.col("l_linenumber")
+    rows = frame.withColumn("step", F.col("frame") % 3).unionByName(frame.withColumn("step", (F.col("frame") + 1) % 3))
+    rows = rows.unionByName(line("patch", number).withColumn("step", (F.col("frame") + F.col("patch")) % 3)).unionByName(line("update", number % 3).withColumn("step", F.col("parent") % 3))
+    end = spark.range(1).select(F.lit("frame").alias("kind"), F.lit(-1).cast("long").alias("frame"), none("long").alias("patch"), F.lit("").alias("image"), none("long").alias("at"), none("long").alias("logo"), none("long").alias("parent"), F.lit(1_800_000_000).cast("timestamp").alias("ts"), F.lit(2).cast("long").alias("step"))
+    return replay(spark, rows.unionByName(end), lambda s: stateful.three_way(s, 3_600_000, "1 hour"), steps=3)
+
+
 # --- the optimisation loop ----------------------------------------------------------------
 
 _LOOP_SOURCE, _LOOP_TASKS, _LOOP_ALLOWED = "view", 12, 60

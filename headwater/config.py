@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
@@ -15,6 +16,13 @@ SEND_QUEUE, RECV_QUEUE, EMIT, SERIALIZED = "send-queue", "recv-queue", "emit", "
 OLD_NAMES = {"sendqueue": SEND_QUEUE, "receive": RECV_QUEUE}
 
 
+def _dotted(values: Mapping[str, Any], before: str = "") -> dict[str, Any]:
+    out: dict[str, Any] = {}
+    for k, v in values.items():
+        out |= _dotted(v, f"{before}{k}.") if isinstance(v, Mapping) else {f"{before}{k}": v}
+    return out
+
+
 class Settings(Mapping[str, Any]):
     """A flat mapping with typed getters: a value of another kind, or none, gives the default; need_...() raise instead."""
 
@@ -53,6 +61,21 @@ class Settings(Mapping[str, Any]):
     def need_integer(self, key: str) -> int:
         return int(self.need_number(key))
 
+    @classmethod
+    def load(cls, path: str) -> Settings:
+        """Settings of a JSON file, or of a YAML file if PyYAML is there; nested mappings become dotted keys."""
+        with open(path, encoding="utf-8") as f:
+            content = f.read()
+        if path.endswith(".json"):
+            values = json.loads(content)
+        else:
+            import yaml
+
+            values = yaml.safe_load(content)
+        if not isinstance(values or {}, Mapping):
+            raise ValueError(f"{path} holds no mapping")
+        return cls(_dotted(values or {}))
+
     def need_number(self, key: str) -> float:
         value = self._number(key)
         if value is None:

@@ -138,31 +138,32 @@ def service_nodes(merged: DataFrame, alloc: DataFrame, sources: list[str], sourc
 class Calculator(Protocol):
     """comp, k_now, k_min, k_opt, status, est_ms, ratio from an interval's results and the current allocation; empty until there is enough history."""
 
-    def __call__(self, results: DataFrame, alloc: DataFrame, sources: list[str], most: int, settings: Scheduling) -> DataFrame: ...
+    def __call__(self, results: DataFrame, alloc: DataFrame, sources: list[str], most: int | DataFrame, settings: Scheduling) -> DataFrame: ...
 
 
 CALCULATORS = Registry("calculator")
 
 
-def _calculate(results: DataFrame, alloc: DataFrame, sources: list[str], most: int, settings: Scheduling, chain: bool) -> DataFrame:
+def _calculate(results: DataFrame, alloc: DataFrame, sources: list[str], most: int | DataFrame, settings: Scheduling, chain: bool) -> DataFrame:
     # a row for each component, which the model's plan uses many times over
     merged = staged(last_intervals(results, settings.history, settings.ignore))
     alloc = staged(alloc)
     source = source_node(merged, alloc, sources, settings.sample_rate, settings.send_factor, mean_of_all=chain)
     nodes = service_nodes(merged, alloc, sources, source, chain)
     held = alloc.agg(F.coalesce(F.sum(F.when(F.col("comp").isin(sources), F.col("k"))), F.lit(0)).alias("held"))
-    limit = held.select((F.lit(most) - F.col("held")).cast("long").alias("most"))
+    allowed = most.toDF("_most") if isinstance(most, DataFrame) else held.select(F.lit(most).alias("_most"))
+    limit = held.crossJoin(allowed).select((F.col("_most") - F.col("held")).cast("long").alias("most"))
     return queueing.check_optimised(nodes, alloc.filter(~F.col("comp").isin(sources)), source.select("real_ms"), settings.qos_ms, limit)
 
 
 @CALCULATORS.add("general")
-def general(results: DataFrame, alloc: DataFrame, sources: list[str], most: int, settings: Scheduling) -> DataFrame:
+def general(results: DataFrame, alloc: DataFrame, sources: list[str], most: int | DataFrame, settings: Scheduling) -> DataFrame:
     """Nodes weigh by their arrivals for each record that leaves the first source."""
     return _calculate(results, alloc, sources, most, settings, chain=False)
 
 
 @CALCULATORS.add("chain")
-def chain(results: DataFrame, alloc: DataFrame, sources: list[str], most: int, settings: Scheduling) -> DataFrame:
+def chain(results: DataFrame, alloc: DataFrame, sources: list[str], most: int | DataFrame, settings: Scheduling) -> DataFrame:
     """Every record visits every node once; the latency is the mean over all sources."""
     return _calculate(results, alloc, sources, most, settings, chain=True)
 
@@ -223,12 +224,11 @@ def rebalance(results: DataFrame, alloc: DataFrame, sources: list[str], settings
     return queueing.moves(alloc if wanted is None else wanted, alloc.select("comp", F.col("k").cast("long").alias("k")))
 
 
-def executor_budget(alloc: DataFrame, settings: Scheduling, workers: int) -> int:
-    """Executors allowed: a setting, or what the larger of the asked and the current number of workers holds."""
-    if settings.allowed != -1:
-        return settings.allowed
-    now = alloc.agg(F.sum("k")).first()[0] or 0
-    return max(workers, -(-now // settings.per_worker)) * settings.per_worker
+def executor_budget(alloc: DataFrame, settings: Scheduling, workers: int) -> DataFrame:
+    """One row, budget: the executors allowed, a setting or what the larger of the asked and the current number of workers holds."""
+    held = F.ceil(F.coalesce(F.sum("k"), F.lit(0)) / settings.per_worker)
+    budget = F.greatest(held, F.lit(workers)) * settings.per_worker
+    return alloc.agg((budget if settings.allowed == -1 else F.lit(settings.allowed)).cast("long").alias("budget"))
 
 
 def workers_by_half(alloc: DataFrame, per_worker: int) -> DataFrame:

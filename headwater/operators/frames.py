@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import running
@@ -72,3 +72,11 @@ def three_way(frames: DataFrame, patches: DataFrame, updates: DataFrame) -> tupl
     rest = [c for c in updates.columns if c not in ("host_frame", "host_patch", "at")]
     first = updates.groupBy("host_frame", "host_patch").agg(F.min_by(F.struct("at", *rest), F.struct("at", *rest)).alias("_u")).select("host_frame", "host_patch", "_u.*")
     return patches.join(image, "frame"), first.join(image.withColumnRenamed("frame", "host_frame"), "host_frame")
+
+
+def crop(mat: Column, x: Column, y: Column, width: Column, height: Column) -> Column:
+    """The part of an image, struct<rows, cols, type, data> of one byte a pixel, that lies in a rectangle; null if the rectangle isn't wholly inside."""
+    row = lambda r: F.hex(F.substring(mat["data"], r * mat["cols"] + x + 1, width))
+    data = F.unhex(F.array_join(F.transform(F.sequence(y, y + height - 1), row), ""))
+    inside = (x >= 0) & (y >= 0) & (width > 0) & (height > 0) & (x + width <= mat["cols"]) & (y + height <= mat["rows"])
+    return F.when(inside, F.struct(height.cast("int").alias("rows"), width.cast("int").alias("cols"), mat["type"].alias("type"), data.alias("data")))

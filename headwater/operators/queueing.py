@@ -43,14 +43,16 @@ def network_latency(nodes: DataFrame, alloc: DataFrame, chain: bool = False) ->
     return both.agg(stable.alias("stable"), F.when(stable, F.sum(F.col("t") * F.col("ratio"))).alias("latency"))
 
 
-def ranked_gains(nodes: DataFrame, spare: int, chain: bool = False) -> DataFrame:
+def ranked_gains(nodes: DataFrame, spare, chain: bool = False) -> DataFrame:
     """comp, k, gain, place: the marginal gain of each server beyond the minimum, best first.
 
-    At most `spare` servers of each node matter, so the table has nodes * spare rows.
+    At most `spare` servers of each node matter (a number, or a table of one row), so the table
+    has nodes * spare rows.
     """
     low = minimum(F.col("lam"), F.col("mu"))
     ratio = F.lit(1.0) if chain else F.col("ratio")
-    steps = nodes.select("*", F.explode(F.sequence(low, low + spare)).alias("k"), low.alias("k_min"))
+    wide = nodes.crossJoin(F.broadcast(_scalar(nodes, spare, "_spare")))
+    steps = wide.select(*nodes.columns, F.explode(F.sequence(low, low + F.greatest(F.coalesce("_spare", F.lit(0)), F.lit(0)))).alias("k"), low.alias("k_min"))
     steps = steps.withColumn("t", sojourn(F.col("lam"), F.col("mu"), F.col("k")) * ratio)
     before = F.lag("t").over(Window.partitionBy("comp").orderBy("k"))
     gains = steps.withColumn("gain", before - F.col("t")).filter("k > k_min")
@@ -60,13 +62,13 @@ def ranked_gains(nodes: DataFrame, spare: int, chain: bool = False) -> DataFrame
 def suggest(nodes: DataFrame, total, chain: bool = False, reach: int | None = None, gains: DataFrame | None = None) -> DataFrame:
     """comp, k: the best allocation of `total` servers; k is null where even the minimum doesn't fit.
 
-    `total` may be a table of one row; then `reach` is how many servers beyond its minimum a
-    node can get. gains: those of ranked_gains(), if they are at hand.
+    `total` may be a table of one row. `reach`: how many servers beyond its minimum a node can
+    get, `total` by default. gains: those of ranked_gains(), if they are at hand.
     """
     low = minimum(F.col("lam"), F.col("mu"))
     needed = nodes.agg(F.sum(low).alias("need")).crossJoin(_scalar(nodes, total, "total"))
     spare = F.col("total") - F.col("need")
-    gains = ranked_gains(nodes, reach or total, chain) if gains is None else gains
+    gains = ranked_gains(nodes, total if reach is None else reach, chain) if gains is None else gains
     extra = gains.crossJoin(needed).filter(F.col("place") <= spare).groupBy("comp").agg(F.count("*").alias("extra"))
     return nodes.select("comp", low.alias("low")).join(extra, "comp", "left").crossJoin(needed).select("comp", F.when(spare >= 0, F.col("low") + F.coalesce("extra", F.lit(0))).cast("long").alias("k"))
 
@@ -82,14 +84,14 @@ def least_for(nodes: DataFrame, target: float, most, factor=1.0, chain: bool = F
     The latency after n gains is that of the minimum less their running sum. With `most`
     servers in all too few, or the sum of service times above the target, it is INFEASIBLE
     and k is null. `most` (None: no limit) and `factor` may be tables of one row. `reach`
-    servers of each node beyond its minimum are tried, by default `most`; without a limit on
-    `most` the answer is exact unless it needs more than `reach` of one node.
+    servers of each node beyond its minimum are tried, by default `most`. Without either, 200 are,
+    and the answer is exact unless it needs more of one node.
     """
     low = minimum(F.col("lam"), F.col("mu"))
     ratio = F.lit(1.0) if chain else F.col("ratio")
     given = _scalar(nodes, factor, "factor").crossJoin(_scalar(nodes, (1 << 62) if most is None else most, "most"))
     base = nodes.agg(F.sum(low).alias("need"), F.sum(sojourn(F.col("lam"), F.col("mu"), low) * ratio).alias("start"), F.sum(ratio / F.col("mu")).alias("bound")).crossJoin(given)
-    gains = ranked_gains(nodes, reach or (most if isinstance(most, int) else 200), chain) if gains is None else gains
+    gains = ranked_gains(nodes, reach if reach is not None else 200 if most is None else most, chain) if gains is None else gains
     running = gains.select("comp", "place", F.sum("gain").over(Window.orderBy("place")).alias("saved"))
     tried = running.select("place", "saved").unionByName(nodes.sparkSession.createDataFrame([(0, 0.0)], "place int, saved double")).crossJoin(base)
     enough = (F.col("start") - F.col("saved")) * F.col("factor") <= target
@@ -99,7 +101,7 @@ def least_for(nodes: DataFrame, target: float, most, factor=1.0, chain: bool = F
     return out.select("comp", F.when(F.col("n").isNotNull(), F.col("low") + F.coalesce("extra", F.lit(0))).cast("long").alias("k"), F.when(F.col("n").isNotNull(), "FEASIBLE").otherwise("INFEASIBLE").alias("status"))
 
 
-def check_optimised(nodes: DataFrame, alloc: DataFrame, real_ms, target_ms: float, most, reach: int = 200) -> DataFrame:
+def check_optimised(nodes: DataFrame, alloc: DataFrame, real_ms, target_ms: float, most) -> DataFrame:
     """comp, k_now, k_min, k_opt, status, est_ms, ratio: the state of a network against its target.
 
     The model is scaled by how far it underestimates the real latency; the least allocation
@@ -107,11 +109,11 @@ def check_optimised(nodes: DataFrame, alloc: DataFrame, real_ms, target_ms: floa
     ranked gains, a few rows for each component, are written once, as both allocations use them.
     """
     nodes = staged(nodes)
-    gains = staged(ranked_gains(nodes, 2 * most if isinstance(most, int) else reach))
+    limit = _scalar(nodes, most, "most")
+    gains = staged(ranked_gains(nodes, limit.select(F.col("most") * 2)))
     est = network_latency(nodes, alloc).select((F.col("latency") * 1000).alias("est_ms"))
     scaled = est.crossJoin(_scalar(nodes, real_ms, "real_ms"))
     scaled = scaled.select("est_ms", F.greatest(F.lit(1.0), F.coalesce(F.try_divide("real_ms", "est_ms"), F.lit(1.0))).alias("ratio"))
-    limit = _scalar(nodes, most, "most")
     least = least_for(nodes, target_ms / 1000, limit.select(F.col("most") * 2), scaled.select("ratio"), gains=gains)
     best = suggest(nodes, limit, gains=gains).withColumnRenamed("k", "k_opt")
     out = alloc.withColumnRenamed("k", "k_now").join(least.withColumnRenamed("k", "k_min"), "comp").join(best, "comp").crossJoin(scaled)

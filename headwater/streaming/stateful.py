@@ -60,6 +60,9 @@ class _Crossings(_Processor):
         if (before >= self.threshold) != (after >= self.threshold):
             yield Row(pattern=key[0], change=1 if after >= self.threshold else -1, step=step)
 
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues: TimerValues) -> None:
+        self.count.update((initialState["n"],))
+
 
 class _Flags(_Processor):
     """Whether a pattern is frequent and how many of its proper supersets are; gives the flag of maximality when it changes."""
@@ -85,6 +88,31 @@ class _Flags(_Processor):
             yield Row(step=step, pattern=key[0], appeared=after)
 
 
+def crossings(patterns: DataFrame, threshold: int, initial: DataFrame | None = None) -> DataFrame:
+    """pattern, change (1 or -1), step: patterns whose count a batch takes over the threshold or back.
+
+    initial: pattern, n, the counts to begin with, such as state_rows() reads from another query's
+    checkpoint: the way to go on with other numbers of partitions.
+    """
+    deltas = patterns.select("pattern", F.when(F.col("is_add"), 1).otherwise(-1).cast("long").alias("delta"), "step")
+    seed = None if initial is None else initial.select("pattern", F.col("n").cast("long").alias("n")).groupBy("pattern")
+    return deltas.groupBy("pattern").transformWithState(_Crossings(threshold), f"{_field(patterns, 'pattern')}, change int, step long", "Append", "None", seed)
+
+
+def state_rows(spark: SparkSession, checkpoint: str, variable: str, operator: int = 0) -> DataFrame:
+    """What a query's last checkpoint holds of a stateful processor's variable: key and value as columns, and partition_id, the task that keeps them."""
+    rows = spark.read.format("statestore").option("operatorId", operator).option("stateVarName", variable).load(checkpoint)
+    value = "value" if "value" in rows.columns else "user_map_value"
+    more = [] if value == "value" else ["user_map_key.*"]
+    return rows.select("key.*", *more, f"{value}.*", "partition_id")
+
+
+def state_sizes(rows: DataFrame) -> DataFrame:
+    """task, entries and bytes (of the rows as JSON) of a state: the sizes that a plan of moves weighs."""
+    size = F.length(F.to_json(F.struct(*[f"`{c}`" for c in rows.columns if c != "partition_id"])))
+    return rows.groupBy(F.col("partition_id").alias("task")).agg(F.count("*").alias("entries"), F.sum(size).cast("long").alias("bytes"))
+
+
 def maximal_changes(patterns: DataFrame, threshold: int) -> DataFrame:
     """step, pattern, appeared: the change log of maximal frequent patterns of a stream, batch by batch.
 
@@ -92,8 +120,7 @@ def maximal_changes(patterns: DataFrame, threshold: int) -> DataFrame:
     threshold tells all that it has as proper subsets, few as frequent patterns are short; signed counts may
     rise as patterns grow, so its neighbours alone wouldn't do. What is seen after a batch is the difference of the maximal patterns before and after it.
     """
-    deltas = patterns.select("pattern", F.when(F.col("is_add"), 1).otherwise(-1).cast("long").alias("delta"), "step")
-    crossed = deltas.groupBy("pattern").transformWithState(_Crossings(threshold), f"{_field(patterns, 'pattern')}, change int, step long", "Append", "None")
+    crossed = crossings(patterns, threshold)
     own = F.struct(F.col("pattern"), F.lit(True).alias("own"))
     masks = F.sequence(F.lit(1), F.pow(F.lit(2.0), F.size("pattern")).cast("long") - 1)
     parts = F.transform(masks, lambda m: F.struct(F.filter("pattern", lambda x, i: F.getbit(m, i) == 1).alias("pattern"), F.lit(False).alias("own")))
@@ -328,3 +355,71 @@ def idle_patterns(stream: DataFrame, keep_ms: int, lateness: str) -> DataFrame:
     rows = stream.withColumn("millis", F.unix_millis("ts")).withWatermark("ts", lateness)
     rows = rows.select("pattern", F.when(F.col("is_add"), 1).otherwise(-1).alias("delta"), "millis", "ts")
     return rows.groupBy("pattern").transformWithState(_Idle(keep_ms), f"{_field(stream, 'pattern')}, cnt long, millis long", "Append", "EventTime")
+
+
+# --- three-way join -----------------------------------------------------------------------
+
+
+class _Frames(_Processor):
+    """The image, patches and first updates of a frame, until its time is over."""
+
+    def __init__(self, lateness_ms: int):
+        self.lateness_ms = lateness_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.image = handle.getValueState("image", "image string")
+        self.patches = handle.getMapState("patches", "patch long", "n long")
+        self.updates = handle.getMapState("updates", "patch long", "at long, logo long, parent long")
+        self.until = handle.getValueState("until", "at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        image = self.image.get()[0] if self.image.exists() else None
+        patches, updates, last = defaultdict(int), {}, 0
+        for r in rows:
+            last = max(last, r["millis"])
+            if r["kind"] == "frame":
+                image = r["image"] if image is None else min(image, r["image"])
+            elif r["kind"] == "patch":
+                patches[r["patch"]] += 1
+            else:
+                own = (r["at"], r["logo"], r["parent"])
+                updates[r["patch"]] = min(updates.get(r["patch"], own), own)
+        if image is not None:
+            self.image.update((image,))
+        for p, n in patches.items():
+            self.patches.updateValue((p,), (n + (self.patches.getValue((p,))[0] if self.patches.containsKey((p,)) else 0),))
+        for p, own in updates.items():
+            old = tuple(self.updates.getValue((p,))) if self.updates.containsKey((p,)) else own
+            self.updates.updateValue((p,), min(old, own))
+        until = max(last + self.lateness_ms, timerValues.getCurrentWatermarkInMs() + 1)
+        old = self.until.get()[0] if self.until.exists() else None
+        if old is None or until > old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(until)
+            self.until.update((until,))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        if self.image.exists():
+            image = self.image.get()[0]
+            for (patch,), (n,) in self.patches.iterator():
+                for _ in range(n):
+                    yield Row(kind="patch", frame=key[0], patch=patch, image=image, logo=None, parent=None)
+            for (patch,), (_, logo, parent) in self.updates.iterator():
+                yield Row(kind="update", frame=key[0], patch=patch, image=image, logo=logo, parent=parent)
+        for state in (self.image, self.patches, self.updates, self.until):
+            state.clear()
+
+
+def three_way(rows: DataFrame, lateness_ms: int, watermark: str) -> DataFrame:
+    """kind (patch or update), frame, patch, image, logo, parent: patches and first updates with their frame's image, in whatever order the three came.
+
+    rows: kind (frame, patch, update), frame, patch, image, at, logo, parent, ts; the columns that a kind has no use for are null.
+    A frame is complete, and forgotten, lateness_ms after its last row's ts; of repeated frames the least image
+    counts, of the updates of a host patch the first by (at, logo, parent). What has no frame by then is left out.
+    """
+    timed = rows.withColumn("millis", F.unix_millis("ts")).withWatermark("ts", watermark)
+    out = "kind string, frame long, patch long, image string, logo long, parent long"
+    return timed.groupBy("frame").transformWithState(_Frames(lateness_ms), out, "Append", "EventTime")

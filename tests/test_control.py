@@ -148,7 +148,9 @@ def test_decisions(spark, loop):
     assert all(abs(drifted[c] - now[c]) <= 1 and drifted[c] >= 1 for c in now)
     # too little history: no change
     assert {r["comp"] for r in control.rebalance(results, alloc, ["src"], Scheduling(history=9, allowed=9)).collect()} == set()
-    assert control.executor_budget(alloc, Scheduling(), 1) == 8 and control.executor_budget(alloc, Scheduling(per_worker=2), 1) == 6 and control.executor_budget(alloc, Scheduling(allowed=5), 9) == 5
+    budget = lambda **s: control.executor_budget(alloc, Scheduling(**s), 9 if s.get("allowed") else 1).first()["budget"]
+    assert (budget(), budget(per_worker=2), budget(allowed=5)) == (8, 6, 5)
+    assert control.executor_budget(alloc.filter("k < 0"), Scheduling(), 2).first()["budget"] == 16
     half = lambda n: control.workers_by_half(spark.createDataFrame([("a", n)], "comp string, k long"), 8).first()["workers"]
     assert [half(n) for n in (8, 12, 13, 16)] == [1, 1, 2, 2]
 

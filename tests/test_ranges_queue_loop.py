@@ -157,3 +157,36 @@ def test_a_batch_that_runs_again_writes_the_same(spark, tmp_path):
     once = sorted(map(tuple, loop.moves(spark).collect()))
     loop.step(lines, 0)
     assert sorted(map(tuple, loop.moves(spark).collect())) == once and once
+
+
+# --- settings and crops -------------------------------------------------------------------
+
+
+def test_settings_from_files(tmp_path):
+    from headwater.config import Settings
+
+    (tmp_path / "a.json").write_text('{"qos": {"ms": 700}, "history.size": 3, "name": "x"}')
+    settings = Settings.load(f"{tmp_path}/a.json")
+    assert Scheduling.of(settings).qos_ms == 700 and Scheduling.of(settings).history == 3 and settings.need_text("name") == "x"
+    pytest.importorskip("yaml")
+    (tmp_path / "a.yaml").write_text("qos:\n  ms: 1500\nexecutors.allowed: 9\n")
+    assert Scheduling.of(Settings.load(f"{tmp_path}/a.yaml")).qos_ms == 1500 and Scheduling.of(Settings.load(f"{tmp_path}/a.yaml")).allowed == 9
+    (tmp_path / "b.yaml").write_text("")
+    assert not len(Settings.load(f"{tmp_path}/b.yaml"))
+    (tmp_path / "c.json").write_text("[1]")
+    with pytest.raises(ValueError):
+        Settings.load(f"{tmp_path}/c.json")
+
+
+def test_crop_as_a_column(spark):
+    from headwater.operators import frames
+
+    image = bytes(range(30))
+    rects = [(0, 0, 6, 5), (1, 2, 3, 2), (5, 4, 1, 1), (5, 4, 2, 1), (-1, 0, 2, 2), (0, 0, 0, 1)]
+    df = spark.createDataFrame([((5, 6, 0, bytearray(image)), *r) for r in rects], "mat struct<rows:int,cols:int,type:int,data:binary>, x int, y int, w int, h int")
+    got = [r[0] for r in df.select(frames.crop(F.col("mat"), F.col("x"), F.col("y"), F.col("w"), F.col("h"))).collect()]
+    for (x, y, w, h), g in zip(rects, got, strict=True):
+        if w < 1 or x < 0 or x + w > 6:
+            assert g is None
+        else:
+            assert bytes(g["data"]) == b"".join(image[r * 6 + x : r * 6 + x + w] for r in range(y, y + h)) and (g["rows"], g["cols"]) == (h, w)

@@ -163,3 +163,50 @@ def test_a_larger_pattern_may_be_frequent_alone(spark):
 
 def test_an_empty_table_of_baskets(spark):
     assert not patterns.mine(spark.createDataFrame([], "k int, is_add boolean, item int"), "k", "is_add", "item", 2).count()
+
+
+# --- state of a query, and the three-way join ---------------------------------------------
+
+
+def test_counts_go_on_from_another_query_s_state(spark, tmp_path):
+    """Counts read from a checkpoint seed a query with another number of partitions; the sizes are those of its tasks."""
+    schema = "pattern array<int>, is_add boolean, step long"
+    rng = random.Random(5)
+    batches = [[([rng.randint(0, 9)], rng.random() < 0.8, step) for _ in range(60)] for step in range(4)]
+    whole, _ = replayed(spark, f"{tmp_path}/whole", batches, schema, lambda s: stateful.crossings(s, 8))
+    first, _ = replayed(spark, f"{tmp_path}/first", batches[:2], schema, lambda s: stateful.crossings(s, 8))
+    counts = stateful.state_rows(spark, f"{tmp_path}/first/c", "count")
+    want = {}
+    for pattern, add, _ in batches[0] + batches[1]:
+        want[pattern[0]] = want.get(pattern[0], 0) + (1 if add else -1)
+    assert {r["pattern"][0]: r["n"] for r in counts.collect()} == {k: n for k, n in want.items() if n}
+    sizes = {r["task"]: (r["entries"], r["bytes"]) for r in stateful.state_sizes(counts).collect()}
+    assert sum(n for n, _ in sizes.values()) == counts.count() and all(b > 0 for _, b in sizes.values())
+    counts.write.parquet(f"{tmp_path}/seed")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        seed = spark.read.parquet(f"{tmp_path}/seed")
+        rest, _ = replayed(spark, f"{tmp_path}/rest", batches[2:], schema, lambda s: stateful.crossings(s, 8, seed))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    plain = lambda rows: sorted((tuple(p), c, s) for p, c, s in rows)
+    assert plain(first) + plain(rest) == plain([r for r in whole if r[2] < 2]) + plain([r for r in whole if r[2] >= 2])
+
+
+def test_three_streams_in_any_order(spark, tmp_path):
+    from headwater.operators import frames
+
+    rng = random.Random(6)
+    images = [(f, f"i{f}") for f in range(20)] + [(3, "i0"), (4, "i4")]
+    patches = [(rng.randint(0, 24), rng.randint(0, 3)) for _ in range(80)]
+    updates = [(rng.randint(0, 24), rng.randint(0, 3), rng.randint(0, 50), rng.randint(0, 5), rng.randint(0, 9)) for _ in range(80)]
+    a, b = frames.three_way(spark.createDataFrame(images, "frame long, image string"), spark.createDataFrame(patches, "frame long, patch long"), spark.createDataFrame(updates, "host_frame long, host_patch long, at long, logo long, parent long"))
+    want = [("patch", r["frame"], r["patch"], r["image"], None, None) for r in a.collect()] + [("update", r["host_frame"], r["host_patch"], r["image"], r["logo"], r["parent"]) for r in b.collect()]
+    rows = [("frame", f, None, i, None, None, None) for f, i in images] + [("patch", f, p, None, None, None, None) for f, p in patches] + [("update", f, p, None, at, lo, pa) for f, p, at, lo, pa in updates]
+    rows = [(*r, 1000 + rng.randint(0, 50)) for r in rows]
+    rng.shuffle(rows)
+    batches = [rows[:60], rows[60:120], rows[120:], [("frame", -1, None, "", None, None, None, 10**7)]]
+    schema = "kind string, frame long, patch long, image string, at long, logo long, parent long, s long"
+    got, _ = replayed(spark, str(tmp_path), batches, schema, lambda s: stateful.three_way(s.withColumn("ts", F.timestamp_seconds("s")).drop("s"), 100_000, "1 minute"))
+    assert sorted(got, key=str) == sorted(want, key=str)
