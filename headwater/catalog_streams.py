@@ -204,3 +204,14 @@ def queue_records(spark, d):
         queue.to_lines(out, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     rows = queue.committed(spark, f"{base}/out")
     return rows.groupBy(F.get_json_object("value", "$.key").alias("key")).agg(F.countDistinct(F.get_json_object("value", "$.event")).alias("cnt"))
+
+
+@query()
+def stream_templates(spark, d):
+    """Lines as events of their suppliers' pools of four templates: a third add, a third hit, a third search. Its order is a replay, beyond SQL; tests compare with one."""
+    at = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    kind = F.element_at(F.array(F.lit("add"), F.lit("hit"), F.lit("scan")), (at % 3 + 1).cast("int"))
+    events = table(spark, d, "lineitem").select((F.col("l_suppkey") % 10).alias("logo"), at.alias("at"), kind.alias("kind"), (F.col("l_partkey") % 20).alias("template"), F.col("l_quantity").cast("long").alias("value"))
+    last = events.agg(F.max("at").alias("_last"))
+    events = events.crossJoin(F.broadcast(last)).withColumn("step", F.least(F.floor(F.col("at") * STEPS / F.col("_last")), F.lit(STEPS - 1)).cast("long")).drop("_last")
+    return replay(spark, events, lambda s: stateful.template_pool(s, 4))

@@ -423,3 +423,57 @@ def three_way(rows: DataFrame, lateness_ms: int, watermark: str) -> DataFrame:
     timed = rows.withColumn("millis", F.unix_millis("ts")).withWatermark("ts", watermark)
     out = "kind string, frame long, patch long, image string, logo long, parent long"
     return timed.groupBy("frame").transformWithState(_Frames(lateness_ms), out, "Append", "EventTime")
+
+
+# --- template pool ------------------------------------------------------------------------
+
+
+class _Pool(_Processor):
+    """The templates of a logo with their priorities, in the order in which they are tried."""
+
+    def __init__(self, most: int):
+        self.most = most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.pool = handle.getListState("pool", "template long, priority long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        pool = [list(r) for r in self.pool.get()] if self.pool.exists() else []
+        for at, kind, template, value in sorted((r["at"], r["kind"], r["template"], r["value"]) for r in rows):
+            done = False
+            if kind == "add" and len(pool) <= self.most:
+                pool.append([template, 0])
+                done = True
+            elif kind == "hit":
+                for entry in pool:
+                    if entry[0] == template:
+                        entry[1] += value
+                        done = True
+                        break
+            elif kind == "scan":
+                pool.sort(key=lambda e: -e[1])  # stable: equal priorities stay in the order of their arrival
+                if len(pool) > self.most:
+                    gone = pool.pop()
+                    yield Row(logo=key[0], at=at, kind="evicted", template=gone[0], priority=gone[1], done=True)
+                for entry in pool:
+                    yield Row(logo=key[0], at=at, kind="tried", template=entry[0], priority=entry[1], done=True)
+                continue
+            yield Row(logo=key[0], at=at, kind=kind, template=template, priority=None, done=done)
+        if pool:
+            self.pool.put([tuple(e) for e in pool])
+        elif self.pool.exists():
+            self.pool.clear()
+
+
+def template_pool(events: DataFrame, most: int) -> DataFrame:
+    """logo, at, kind, template, priority, done: what becomes of the templates of each logo, in the order of arrival (at).
+
+    events: logo, at, kind, template, value. `add` puts a template at the end of the pool, unless that holds more than
+    `most`; `hit` raises a template's priority by value, done tells whether it is there; `scan` is a
+    search through the pool: it is sorted by falling priority, the last is evicted (kind evicted) if there are
+    more than `most`, and the rest are given in the order in which they are tried (kind tried). Events
+    of a batch are taken by (at, kind, template); a null template or value is 0. A logo's pool, `most` and one more, is its state.
+    """
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    rows = events.select("logo", number("at"), F.coalesce("kind", F.lit("")).alias("kind"), number("template"), number("value"))
+    return rows.groupBy("logo").transformWithState(_Pool(most), f"{_field(events, 'logo')}, at long, kind string, template long, priority long, done boolean", "Append", "None")

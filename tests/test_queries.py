@@ -32,4 +32,5 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_all_queries_have_sql():
-    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"stream_templates"}  # a replay: see test_streams.py
+    assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)

@@ -210,3 +210,45 @@ def test_three_streams_in_any_order(spark, tmp_path):
     schema = "kind string, frame long, patch long, image string, at long, logo long, parent long, s long"
     got, _ = replayed(spark, str(tmp_path), batches, schema, lambda s: stateful.three_way(s.withColumn("ts", F.timestamp_seconds("s")).drop("s"), 100_000, "1 minute"))
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def replay_pool(events, most):
+    """A sequential replay of the pools."""
+    pools, out = {}, []
+    for logo, at, kind, template, value in sorted(events, key=lambda e: e[1:4]):
+        pool = pools.setdefault(logo, [])
+        if kind == "scan":
+            pool.sort(key=lambda e: e[1], reverse=True)
+            if len(pool) > most:
+                out.append((logo, at, "evicted", *pool.pop(), True))
+            out += [(logo, at, "tried", *e, True) for e in pool]
+            continue
+        found = False
+        if kind == "add":
+            found = len(pool) <= most
+            if found:
+                pool.append([template, 0])
+        else:
+            for e in pool:
+                if e[0] == template and not found:
+                    e[1], found = e[1] + value, True
+        out.append((logo, at, kind, template, None, found))
+    return sorted(out, key=str)
+
+
+def test_template_pools_follow_a_replay(spark, tmp_path):
+    rng = random.Random(7)
+    events = [(f"logo{rng.randint(0, 2)}", at, rng.choice(["add", "hit", "hit", "scan"]), rng.randint(0, 9), rng.randint(0, 5)) for at in range(300)]
+    got, _ = replayed(spark, str(tmp_path), [events[:100], events[100:110], events[110:]], "logo string, at long, kind string, template long, value long", lambda s: stateful.template_pool(s, 3))
+    assert sorted(got, key=str) == replay_pool(events, 3)
+    assert any(g[2] == "evicted" for g in got)
+
+
+def test_the_query_of_template_pools_follows_a_replay(spark):
+    from headwater import catalog, catalog_streams  # noqa: F401
+
+    sf = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity").collect()
+    events = [(r[2] % 10, (at := r[0] * 8 + r[1]), ("add", "hit", "scan")[at % 3], r[3] % 20, int(r[4])) for r in lines]
+    got = catalog.QUERIES["stream_templates"](spark, sf).select("logo", "at", "kind", "template", "priority", "done").collect()
+    assert sorted(map(tuple, got), key=str) == replay_pool(events, 4)
