@@ -60,6 +60,8 @@ TRIGGER = 16
 PERIOD = 64
 #: The same for windows that hold one trigger at most.
 DENSE = 24
+#: One text in so many is looked at for the bounds of ranges of classes.
+PART = 16
 #: Bytes hashed at a time.
 PIECE = 1 << 20
 #: Bytes of a phrase that it is sorted by before its hashes.
@@ -517,6 +519,49 @@ def _ordered(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartitionByRange(ranges, *keys, "uid", *[c for c in df.columns if c in ("k", "spot")]).sortWithinPartitions(*keys)
 
 
+def lexicographic(bounds: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    """For each row the number of bounds (sorted rows of as many columns) that don't come after it."""
+    out = np.zeros(len(columns[0]), np.int64)
+    todo = [(np.arange(len(out)), 0, len(bounds), 0)]
+    while todo:
+        rows, low, high, c = todo.pop()
+        if c == len(columns):
+            out[rows] = high
+            continue
+        own, of = columns[c][rows], bounds[low:high, c]
+        a, b = np.searchsorted(of, own, "left"), np.searchsorted(of, own, "right")
+        out[rows] = low + a
+        for first in np.unique(a[b > a]).tolist():  # bounds that agree so far
+            some = (a == first) & (b > a)
+            todo.append((rows[some], low + first, low + int(b[some][0]), c + 1))
+    return out
+
+
+def _with_range(run, bounds: np.ndarray):
+    """Adds to the batches of run the range that each row belongs to."""
+
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            place = lexicographic(bounds, [c.to_numpy() for c in batch.columns])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place.astype(np.int32))], [*batch.schema.names, "range"])
+
+    return ranged
+
+
+def _in_ranges(texts: DataFrame, run, schema: str, keys: list[str]) -> DataFrame:
+    """The rows that run makes of texts, sorted over ranges of all their columns.
+
+    Spark's own ranges would run it twice, once to sample it. Here the bounds come from what one text in PART gives;
+    one row for each range goes to the driver, as many as there are shuffle partitions.
+    """
+    ranges = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = texts.filter(F.pmod(F.xxhash64("uid"), F.lit(PART)) == 0).mapInArrow(run, schema)
+    least = part.repartitionByRange(ranges, *part.columns).groupBy(F.spark_partition_id().alias("_p")).agg(F.min(F.struct(*part.columns)).alias("b"))
+    bounds = np.array(sorted(tuple(r["b"]) for r in least.collect())[1:], np.int64).reshape(-1, len(part.columns))
+    placed = texts.mapInArrow(_with_range(run, bounds), f"{schema}, range int").repartitionById(ranges, "range")
+    return placed.sortWithinPartitions(*keys).drop("range")
+
+
 def _ranked(numbered: DataFrame, length: int, words: int) -> DataFrame:
     """(_ranks, ranks): the ranks of each text's phrases that have equals."""
     keys = numbered.select("uid", "text").mapInArrow(_dictionary(min(length, 2 * words - 1)), "key binary, uid long, k int")
@@ -527,8 +572,8 @@ def _ranked(numbered: DataFrame, length: int, words: int) -> DataFrame:
 def _judged_runs(numbered: DataFrame, ranks: DataFrame, length: int, words: int) -> DataFrame:
     """(_runs, certain, unsure): each text's classes that repeat whole, and those to compare."""
     texts = numbered.select("uid", "text").join(ranks, F.col("uid") == F.col("_ranks"), "left")
-    classes = texts.select("uid", "text", "ranks").mapInArrow(_classes(length, words), "head long, rest long, left long, right long, uid long, spot long")
-    judged = _ordered(classes, "head", "rest", "left", "right").mapInArrow(_judged, "uid long, spot long, whole boolean, compare boolean")
+    classes = _in_ranges(texts.select("uid", "text", "ranks"), _classes(length, words), "head long, rest long, left long, right long, uid long, spot long", ["head", "rest", "left", "right"])
+    judged = classes.mapInArrow(_judged, "uid long, spot long, whole boolean, compare boolean")
     pick = lambda which: F.transform(F.filter("runs", lambda r: r[which]), lambda r: r["spot"])
     return stage(_by_text(judged, F.struct("spot", "whole", "compare"), "runs").select("_runs", pick("whole").alias("certain"), pick("compare").alias("unsure")), "runs")
 

@@ -511,8 +511,19 @@ def test_suffix_dedup_matches_brute_force(docs, rows, empty, length, words):
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in full.select("kept", "kept_sha256").collect())
 
 
-def test_suffix_dedup_over_many_ranges(spark):
+def test_ranges_by_bounds_of_many_columns():
+    rng = np.random.default_rng(1)
+    bounds = np.array(sorted({tuple(r) for r in rng.integers(0, 3, (20, 3)).tolist()}), np.int64)
+    rows = rng.integers(-1, 4, (500, 3))
+    got = suffix_dedup.lexicographic(bounds, list(rows.T))
+    assert got.tolist() == [sum(tuple(b) <= tuple(r) for b in bounds.tolist()) for r in rows.tolist()]
+    assert not suffix_dedup.lexicographic(bounds[:0], list(rows.T)).any()
+
+
+@pytest.mark.parametrize("part", [1, 16])
+def test_suffix_dedup_over_many_ranges(spark, monkeypatch, part):
     """One passage in most texts, many short texts, long runs of one byte; many partitions, so that groups cross their edges."""
+    monkeypatch.setattr(suffix_dedup, "PART", part)
     rng = random.Random(41)
     vocab = vocabulary(rng, 200)
     passage = " ".join(rng.choices(vocab, k=90))
