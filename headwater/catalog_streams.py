@@ -158,7 +158,7 @@ def _loop_step(step: int, k: str) -> str:
   FROM a JOIN {k} ON comp = c WHERE step = {step} AND c <> '{_LOOP_SOURCE}'"""
     return f"""(WITH {_GAINS.replace(f"n AS ({_NODES})", f"n AS ({nodes})")},
 o AS (SELECT comp, count(*) AS extra FROM r, need WHERE place <= {_LOOP_ALLOWED} - 2 - need GROUP BY comp)
-SELECT m.comp, CASE WHEN need <= {_LOOP_ALLOWED} - 2 THEN low + coalesce(extra, 0) ELSE k END::BIGINT AS k FROM m JOIN {k} USING (comp) LEFT JOIN o USING (comp), need)"""
+SELECT m.comp, least(CASE WHEN need <= {_LOOP_ALLOWED} - 2 THEN low + coalesce(extra, 0) ELSE k END, {_LOOP_TASKS})::BIGINT AS k FROM m JOIN {k} USING (comp) LEFT JOIN o USING (comp), need)"""
 
 
 @query(f"""WITH {_LOOP_LINES}, k0 AS (SELECT DISTINCT c AS comp, 3::BIGINT AS k FROM a WHERE c <> '{_LOOP_SOURCE}'),

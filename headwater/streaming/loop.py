@@ -67,7 +67,7 @@ class Loop:
     If the running allocation isn't the one that the loop knows of, the interval was measured across a change:
     it is discarded with all history, and the running allocation is known from then on. Else the interval joins
     the history and, once that is long enough, the model runs; what it wants is the running
-    allocation of the next interval.
+    allocation of the next interval. A component has no more executors than its `tasks`.
     """
 
     def __init__(self, folder: str, alloc: DataFrame, sources: list[str], tasks: int, settings: Scheduling, calculator: str = "general", decision: str = "optimum", workers: int = 1):
@@ -93,7 +93,9 @@ class Loop:
             history = None
             merged = self.read(spark, "history", after, _RESULTS)
             moves = control.rebalance(merged, running, self.sources, self.settings, **self.how)
-            moves = staged(moves.filter("k_new IS NOT NULL").select(F.lit(number).cast("long").alias("step"), "comp", "k_now", "k_new"))
+            fits = F.least(F.col("k_new"), F.lit(self.tasks)).cast("long").alias("k_new")
+            moves = moves.filter("k_new IS NOT NULL").select(F.lit(number).cast("long").alias("step"), "comp", "k_now", fits)
+            moves = staged(moves.filter("k_now <> k_new"))
             wanted = running.join(moves, "comp", "left").select("comp", F.coalesce("k_new", "k").alias("k"))
         if history is not None:
             history.write.mode("overwrite").parquet(f"{self.folder}/history/version={after}")

@@ -135,7 +135,7 @@ def test_loop_from_lines_to_moves(spark, tmp_path):
         # arrivals a second of a component: all its tasks' records over its executors' seconds, times executors
         nodes = spark.createDataFrame([(c, 4.0 * busy / k[c] * k[c], 1000.0 / ms, 4.0 * busy / k[c] * k[c] / (400.0 / 1 / 2)) for c, ms in (("a", 10.0), ("b", 20.0))], "comp string, lam double, mu double, ratio double")
         best = {r["comp"]: r["k"] for r in queueing.suggest(nodes, 12 - 1).collect()}
-        best = {c: best[c] if best[c] is not None else k[c] for c in k}
+        best = {c: min(best[c] if best[c] is not None else k[c], 4) for c in k}  # no more than tasks
         want[i] = {c: (k[c], best[c]) for c in k if best[c] != k[c]}
         if want[i]:
             k, want["skip"] = best, {i + 1}
