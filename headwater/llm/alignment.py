@@ -1,15 +1,11 @@
 """Alignment of two tokenizers' tokens by the bytes they cover.
 
-1. Tokenising is the only Python: every text, with a space before it, is encoded by
-   a byte-level BPE (A) and a piece BPE (B), word by word with a cache; a row keeps
-   the ids and the byte offsets at which the tokens end.
-2. The rest is higher-order functions: array_intersect of the end arrays gives the
-   offsets at which both end. Opened over bytes by array_repeat, an end array tells the token
-   that ends at an offset, so both id arrays are cut into groups in time linear in
-   the text, and aggregate counts the links. A row's groups are tallied by a sort of their hashes.
-3. An id pair's count is one aggregation over the distinct pairs of each row, which
-   transform makes from its distinct groups.
-4. Counts go back to the distinct groups of the corpus, then the groups' sums to the rows.
+1. A text, with a space before it, is cut at single spaces between other characters. No token of
+   a byte-level BPE (A) or a piece BPE (B) goes on over such a space, so the segments between are encoded
+   apart, each once as long as a worker keeps it, and cut into groups at the byte offsets at which tokens of both end;
+   a text's groups are those of its segments in order. A row keeps their digest, its distinct groups with their numbers, and its distinct id pairs.
+2. An id pair's count is one aggregation over the distinct pairs of each row.
+3. Counts go back to the distinct groups of the corpus, then the groups' sums to the rows.
    In both joins the keys that hold over 1/HEAVY of all go by broadcast; they are
    fewer than HEAVY whatever the corpus, and no other key has a larger share than that.
 
@@ -22,6 +18,7 @@ from __future__ import annotations
 
 import array
 import base64
+import hashlib
 import itertools
 import json
 import re
@@ -38,11 +35,12 @@ TOKENIZER_A = "byte_bpe_50k"
 TOKENIZER_B = "piece_bpe_32k"
 #: Keys with over this part of all that a table counts are joined by broadcast.
 HEAVY = 8192
-#: Texts that are encoded together, and words that a worker keeps.
+#: Texts that are encoded together, and segments and characters that a worker keeps.
 ROWS = 256
-CACHE = 200_000
+CACHE = 100_000
+CHARS = 8_000_000
 
-TOKENS = "a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
+ALIGNED = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, tally array<struct<pair: string, n: bigint>>, pairs array<bigint>"
 
 
 def _byte_letters() -> dict[str, int]:
@@ -73,18 +71,20 @@ class BytePairs:
     def whole(self, text: str) -> bytes:
         return np.array(self.encode(f" {text}"), np.uint32).tobytes()
 
-    def words(self, words: list[str]) -> list[bytes]:
-        """Encodes all words in one text: each begins a token at its space, so they can be told apart by their bytes."""
-        ids = np.array(self.encode("".join([f" {w}" for w in words])), np.uint32)
-        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) + 1 for w in words])) + 1
+    def segments(self, segments: list[str]) -> list[bytes]:
+        """Encodes those without white space at an end in one text: each begins a token at its space, so they can be told apart by their bytes."""
+        joined = [s for s in segments if s.strip() == s]
+        ids = np.array(self.encode("".join([f" {s}" for s in joined])), np.uint32)
+        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(s.encode()) + 1 for s in joined])) + 1
         raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-        return [raw[i:j] for i, j in itertools.pairwise(at)]
+        own = iter([raw[i:j] for i, j in itertools.pairwise(at)])
+        return [next(own) if s.strip() == s else self.whole(s) for s in segments]
 
 
 class Pieces:
     """A piece BPE, which puts a space before each text.
 
-    If no piece of the model goes on over a space after another character, a text can be encoded in words.
+    If no piece of the model goes on over a space after another character, a text can be encoded in segments.
     """
 
     def __init__(self, name: str):
@@ -97,67 +97,101 @@ class Pieces:
         self.sizes = np.array([len(b) for b in self.bytes], np.int32)
         self.apart = not any(re.search("[^▁]▁", p) for p in pieces)
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, num_threads=1), np.uint32).tobytes()
-
-    def words(self, words: list[str]) -> list[bytes]:
-        return [array.array("I", x).tobytes() for x in self.model.encode(words, num_threads=1)]
+    def segments(self, segments: list[str]) -> list[bytes]:
+        return [array.array("I", x).tobytes() for x in self.model.encode(segments, num_threads=1)]
 
 
 class Both:
-    """Ids of both tokenizers for texts, as little-endian unsigned 32-bit bytes; words are kept in a cache, which starts anew when full."""
+    """Groups of texts by two tokenizers; segments and their groups are kept until they are too many."""
 
-    #: A space with white space, or nothing, on both sides: words can't be encoded apart there.
-    bound = re.compile(r"(?:^|\s) (?:\s|\Z)|^\s|\s\Z")
+    #: A single space between other characters: no token of either goes on over it.
+    bound = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, a: str, b: str):
         self.own = BytePairs(a), Pieces(b)
-        self.kept: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
-
-    def __call__(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
-        apart = [t.split(" ") if t and self.own[1].apart and not self.bound.search(t) else [] for t in texts]
-        if len(self.kept[0]) > CACHE:
-            for kept in self.kept:
-                kept.clear()
-        new = [w for w in dict.fromkeys(itertools.chain(*apart)) if w not in self.kept[0]]
-        for encoder, kept in zip(self.own, self.kept, strict=True):
-            kept.update(zip(new, encoder.words(new), strict=True)) if new else None
-        for text, words in zip(texts, apart, strict=True):
-            if words:
-                yield tuple(b"".join(map(kept.__getitem__, words)) for kept in self.kept)
-            else:
-                yield tuple(encoder.whole(text) if text else b"" for encoder in self.own)
+        self.forget()
+
+    def forget(self) -> None:
+        #: of a segment its groups as text, the bytes of its four numbers, and those of its groups' places; None if its tokens' bytes are not its own
+        self.kept: dict[str, tuple[str, bytes, bytes] | None] = {}
+        self.chars, self.places, self.pairs = 0, {}, []
+
+    def of(self, texts: list[str | None]) -> Iterator[list[tuple[str, bytes, bytes]]]:
+        """The segments of each text; none if it has no tokens."""
+        cut = self.bound.split if self.own[1].apart else lambda t: [t]
+        apart = [cut(t) if t else [] for t in texts]
+        if len(self.kept) > CACHE or self.chars > CHARS:
+            self.forget()
+        self.add([s for s in dict.fromkeys(itertools.chain(*apart)) if s not in self.kept])
+        for segments in apart:
+            found = [self.kept[s] for s in segments]
+            yield [] if None in found else found
+
+    def add(self, segments: list[str]) -> None:
+        coded = [[np.frombuffer(x, np.uint32) for x in e.segments(segments)] for e in self.own] if segments else ([], [])
+        whole = []
+        for s, *ids in zip(segments, *coded, strict=True):
+            self.kept[s], self.chars = None, self.chars + len(s)
+            if all(b"".join(map(e.bytes.__getitem__, x.tolist())) == f" {s}".encode() for e, x in zip(self.own, ids, strict=True)):
+                whole.append((s, *ids))
+        if not whole:
+            return
+        # both sides have the same bytes, so one after the other they still end together
+        ids = [np.concatenate([x[k] for x in whole]) for k in (1, 2)]
+        ends = [np.cumsum(e.sizes[x], dtype=np.int64) for e, x in zip(self.own, ids, strict=True)]
+        common = np.intersect1d(*ends, assume_unique=True)
+        last = [np.searchsorted(e, common) + 1 for e in ends]
+        sizes = [np.diff(x, prepend=0) for x in last]
+        ids, last = [x.tolist() for x in ids], [[0, *x.tolist()] for x in last]
+        groups = [tuple(x[at[g] : at[g + 1]] for x, at in zip(ids, last, strict=True)) for g in range(len(common))]
+        names = [f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups]
+        for name, (x, y) in zip(names, groups, strict=True):
+            if name not in self.places:
+                self.places[name] = len(self.pairs)
+                self.pairs.append(np.array([(i << 32) + j for i in set(x) for j in set(y)], np.int64))
+        places = np.array([self.places[n] for n in names], np.int32)
+        upto = np.searchsorted(common, ends[0][np.cumsum([len(x[1]) for x in whole]) - 1]) + 1
+        links = np.concatenate([[0], np.cumsum(sizes[0] * sizes[1])])
+        for (s, x, y), (i, j) in zip(whole, itertools.pairwise([0, *upto.tolist()]), strict=True):
+            numbers = np.array([len(x), len(y), j - i, links[j] - links[i]], np.int64)
+            self.kept[s] = ";".join(names[i:j]), numbers.tobytes(), places[i:j].tobytes()
 
 
 _BOTH: dict[tuple[str, str], Both] = {}
 
 
-def _tokens(a: str, b: str):
+def _aligned(a: str, b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = _BOTH.get((a, b)) or _BOTH.setdefault((a, b), Both(a, b))
-        none = np.zeros(0, np.int32)
         for batch in batches:
             for first in range(0, batch.num_rows, ROWS):
                 part = batch.slice(first, ROWS)
-                texts = part.column(1).to_pylist()
-                columns: list[list[np.ndarray]] = [[], [], [], []]
-                for text, coded in zip(texts, both(texts), strict=True):
-                    raw, found = f" {text}".encode(), []
-                    for encoder, ids in zip(both.own, coded, strict=True):
-                        ids = np.frombuffer(ids, np.uint32)
-                        if len(ids) and b"".join(map(encoder.bytes.__getitem__, ids.tolist())) == raw:
-                            found += [ids.view(np.int32), np.cumsum(encoder.sizes[ids], dtype=np.int32)]
-                    for column, x in zip(columns, found if len(found) == 4 else [none] * 4, strict=True):
-                        column.append(x)
-                arrays = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.array(np.concatenate([none, *c]))) for c in columns]
-                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
+                numbers, digests, groups, counts, pairs = [], [], [], [], []
+                for own in both.of(part.column(1).to_pylist()):
+                    numbers.append(np.frombuffer(b"".join([x[1] for x in own]), np.int64).reshape(-1, 4).sum(axis=0))
+                    digests.append(hashlib.sha256(";".join([x[0] for x in own]).encode()).hexdigest() if own else "")
+                    places, n = np.unique(np.frombuffer(b"".join([x[2] for x in own]), np.int32), return_counts=True)
+                    groups.append(places)
+                    counts.append(n)
+                    pairs.append(np.unique(np.concatenate([np.zeros(0, np.int64), *[both.pairs[p] for p in places.tolist()]])))
+                names = list(both.places)
+                ends = lambda lists: pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
+                flat = pa.array([names[p] for p in np.concatenate(groups).tolist()], pa.string())
+                tally = pa.StructArray.from_arrays([flat, pa.array(np.concatenate(counts), pa.int64())], ["pair", "n"])
+                arrays = [
+                    *map(pa.array, np.stack(numbers, axis=1)),
+                    pa.array(digests, pa.string()),
+                    pa.ListArray.from_arrays(ends(groups), tally),
+                    pa.ListArray.from_arrays(ends(pairs), pa.array(np.concatenate(pairs))),
+                ]
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "tally", "pairs"])
 
     return run
 
 
-def tokenize_both(docs: DataFrame, a: str = TOKENIZER_A, b: str = TOKENIZER_B) -> DataFrame:
-    """doc_id, the ids of both tokenizers and the byte offsets at which their tokens end, in the text with a space before it."""
-    return docs.select("doc_id", "text").mapInArrow(_tokens(a, b), made_schema(docs, ["doc_id"], TOKENS))
+def aligned_groups(docs: DataFrame, a: str = TOKENIZER_A, b: str = TOKENIZER_B) -> DataFrame:
+    """doc_id, the numbers of tokens, groups and links, the digest of the groups, and the distinct groups (`a1,a2|b1`) with their numbers and the distinct id pairs they link."""
+    return docs.select("doc_id", "text").mapInArrow(_aligned(a, b), made_schema(docs, ["doc_id"], ALIGNED))
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -165,76 +199,16 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _by_byte(ends: Column) -> Column:
-    """For each byte, the place of the token that covers it."""
-    return F.flatten(F.transform(ends, lambda e, i: F.array_repeat(i, e - F.coalesce(F.get(ends, i - 1), F.lit(0)))))
-
-
-def _last(ends: Column, common: Column) -> Column:
-    """The place of the token that ends at each common offset."""
-    return _let(_by_byte(ends), lambda of: F.transform(common, lambda e: F.get(of, e - 1)))
-
-
-def _span(last: Column, g: Column) -> tuple[Column, Column]:
-    """Of group g the place of its first token, from 1, and their number."""
-    before = F.coalesce(F.get(last, g - 1), F.lit(-1))
-    return before + 2, F.get(last, g) - before
-
-
-def groups(tokens: DataFrame) -> DataFrame:
-    """Adds `common`, the offsets at which both tokenizers end a token, and `groups`, an array of the groups written as `a1,a2|b1`, and `links`, the number of links."""
-    out = tokens.withColumn("common", F.array_intersect("a_ends", "b_ends"))
-    written = lambda ids: F.transform(ids, lambda i: i.cast("string"))
-    parts = F.struct(
-        _last(F.col("a_ends"), F.col("common")).alias("a"),
-        _last(F.col("b_ends"), F.col("common")).alias("b"),
-        written(F.col("a_ids")).alias("x"),
-        written(F.col("b_ids")).alias("y"),
-    )
-
-    def of(p: Column) -> Column:
-        join = lambda ids, last, g: F.array_join(F.slice(ids, *_span(last, g)), ",")
-        size = lambda g: _span(p["a"], g)[1].cast("long") * _span(p["b"], g)[1]
-        return F.struct(
-            F.transform(p["a"], lambda _, g: F.concat(join(p["x"], p["a"], g), F.lit("|"), join(p["y"], p["b"], g))).alias("groups"),
-            F.aggregate(F.transform(p["a"], lambda _, g: size(g)), F.lit(0).cast("long"), lambda n, x: n + x).alias("n_links"),
-        )
-
-    return out.withColumn("of", _let(parts, of)).select(*tokens.columns, "common", "of.*")
-
-
-def _tally(written: Column) -> Column:
-    """Groups with their numbers (pair, n), each once unless two of them share a hash.
-
-    Sorted by a hash with the group's place in its low bits, equal groups lie side by side.
-    """
-    places = F.lit((1 << 28) - 1).cast("long")
-
-    def runs(g: Column, keys: Column) -> Column:
-        at = lambda i: F.get(g, F.get(keys, i).bitwiseAND(places).cast("int"))
-        new = F.filter(F.sequence(F.lit(0), F.size(keys) - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
-        return _let(new, lambda s: F.transform(s, lambda p, k: F.struct(at(p).alias("pair"), (F.coalesce(F.get(s, k + 1), F.size(keys)) - p).cast("long").alias("n"))))
-
-    none = F.array().cast("array<struct<pair:string,n:bigint>>")
-    keys = lambda g: F.sort_array(F.transform(g, lambda s, i: F.shiftleft(F.xxhash64(s), 28).bitwiseOR(i.cast("long"))))
-    return F.when(F.size(written) > 0, _let(keys(written), lambda k: runs(written, k))).otherwise(none)
-
-
 def _ids(written: Column) -> Column:
     """Both sides of a written group, as arrays of ids."""
     return F.transform(F.split(written, r"\|"), lambda side: F.transform(F.split(side, ","), lambda x: x.cast("long")))
 
 
 def _key(a: Column, b: Column) -> Column:
+    """An id pair as a number: the A id in the high half, the B id in the low one."""
     return F.shiftleft(a, 32) + b
 
 
-def _pairs(written: Column) -> Column:
-    """The id pairs that a written group links, as numbers: the A id in the high half, the B id in the low one."""
-    distinct = F.transform(_ids(written), lambda x: F.array_distinct(x))
-    return _let(distinct, lambda s: F.flatten(F.transform(F.get(s, F.lit(0)), lambda a: F.transform(F.get(s, F.lit(1)), lambda b: _key(a, b)))))
-
-
 def _links(written: Column) -> Column:
     """The id pairs of a written group with their numbers of links, (key, n)."""
     counted = F.transform(_ids(written), lambda x: F.transform(F.array_distinct(x), lambda d: F.struct(d.alias("id"), F.size(F.filter(x, lambda y: y == d)).cast("long").alias("n"))))
@@ -244,14 +218,11 @@ def _links(written: Column) -> Column:
 def align(docs: DataFrame, a: str = TOKENIZER_A, b: str = TOKENIZER_B) -> tuple[DataFrame, DataFrame]:
     """Per document its groups, and per id pair its count and whether that is its A id's highest.
 
-    Both are staged tables: (uid, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, tally), tally an
-    array of a written group and its number (pair, n), and (key, count, best), key as in _pairs.
+    Both are staged tables: (uid, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, tally, pairs), tally an
+    array of a written group and its number (pair, n), and (key, count, best), key as in _key.
     """
-    long = lambda c: F.size(c).cast("long").alias(f"n_{c[0]}")
-    of = lambda g: F.struct(F.when(F.size(g) > 0, F.sha2(F.array_join(g, ";"), 256)).otherwise("").alias("groups_sha256"), _tally(g).alias("tally"))
-    made = groups(tokenize_both(docs, a, b)).select(F.monotonically_increasing_id().alias("uid"), "doc_id", long("a_ids"), long("b_ids"), F.size("common").cast("long").alias("n_groups"), "n_links", _let(F.col("groups"), of).alias("of"))
-    made = stage(made.select("uid", "doc_id", "n_a", "n_b", "n_groups", "n_links", "of.*"), "aligned")
-    counts = made.select(F.explode(F.array_distinct(F.flatten(F.transform("tally", lambda t: _pairs(t["pair"]))))).alias("key")).groupBy("key").count()
+    made = stage(aligned_groups(docs, a, b).withColumn("uid", F.monotonically_increasing_id()), "aligned")
+    counts = made.select(F.explode("pairs").alias("key")).groupBy("key").count()
     counts = stage(counts, "pairs")
     highest = counts.groupBy(F.shiftright("key", 32).alias("_a")).agg(F.max("count").alias("_most"))
     counts = counts.join(highest, F.shiftright("key", 32) == F.col("_a")).select("key", "count", (F.col("count") == F.col("_most")).alias("best"))
@@ -285,6 +256,6 @@ def aligned_documents(docs: DataFrame, a: str = TOKENIZER_A, b: str = TOKENIZER_
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each row."""
     aligned, counts = align(docs, a, b)
     sums = link_counts(aligned, counts).withColumnRenamed("uid", "_uid")
-    out = aligned.drop("tally").join(sums, F.col("uid") == F.col("_uid"), "left")
+    out = aligned.drop("tally", "pairs").join(sums, F.col("uid") == F.col("_uid"), "left")
     sum_of = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", sum_of("n_best"), sum_of("count_sum"), "groups_sha256")

@@ -240,5 +240,21 @@ def test_alignment(spark, monkeypatch):
     assert sorted(map(tuple, alignment.aligned_documents(frame(spark, rows)).collect()), key=str) == aligned(rows)
 
 
+def test_alignment_at_runs_of_white_space(spark):
+    """Two spaces, and segments that white space begins or ends, beside each other in one batch."""
+    rows = list(enumerate(["a  b", "x\n y", "z \ny", "the end.  The next", "a\u3000 b", "b ", " b", "c\x1c d", "a   b c", "d\x85 e  f"]))
+    assert sorted(map(tuple, alignment.aligned_documents(frame(spark, rows)).collect()), key=str) == aligned(rows)
+
+
+def test_segments_are_encoded_as_in_the_whole_text():
+    both, rng = alignment.Both(alignment.TOKENIZER_A, alignment.TOKENIZER_B), random.Random(1)
+    parts = ["a", "b", "the", " ", " ", "  ", "\n", "\t", ".", "'s", "é", "\u3000", "\xa0", "\x1c", "日本", "1", "\u2028", "x"]
+    for _ in range(200):
+        texts = ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(8)]
+        for text, own in zip(texts, both.of(texts), strict=True):
+            x, y = ([i for group in ";".join(s[0] for s in own).split(";") for i in group.split("|")[k].split(",")] for k in (0, 1))
+            assert x == [str(i) for i in both.own[0].encode(f" {text}")] and y == [str(i) for i in both.own[1].model.encode(text)]
+
+
 def test_alignment_of_an_empty_table(spark):
     assert not alignment.aligned_documents(frame(spark, [])).count()
