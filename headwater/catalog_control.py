@@ -297,7 +297,7 @@ def chunk_round_trip(spark, d):
 
 @query("SELECT vec_id AS id, list_sum([x FOR x IN list_transform(embedding, lambda v: round(v * 100)::INT)])::BIGINT AS total, label AS image FROM embeddings")
 def feature_index(spark, d):
-    numbers = F.array_join(F.transform("embedding", lambda v: F.round(v.cast("double") * 100).cast("int").cast("string")), ",")
+    numbers = F.array_join(F.transform("embedding", lambda v: F.round(v * F.lit(100).cast("float")).cast("int").cast("string")), ",")
     lines = table(spark, d, "embeddings").select(F.col("vec_id").alias("n"), F.concat(numbers, F.lit(" "), F.col("label").cast("string")).alias("line"))
     found = readers.feature_lines(lines.unionByName(lines.select(F.lit(-1).cast("long").alias("n"), F.lit("1,2 x").alias("line"))), 64)
     return found.select("id", F.aggregate("feat", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.col("images")[0].alias("image"))

@@ -130,3 +130,69 @@ def test_sources(spark):
     assert [(r["id"], r["vector"], r["time"]) for r in objects] == [(2, [1.5, -2.0], 100)]
     replay = generators.timed_replay(spark.createDataFrame([("3@hi",)], "line string"), 2.0).first()
     assert (replay["at_ms"], replay["text"]) == (1500.0, "hi")
+
+
+def test_feature_index_rounds_as_single_precision(spark, tmp_path):
+    from headwater import catalog, catalog_control  # noqa: F401
+
+    vectors = [(1, [0.005, 0.015, -0.005, *[0.0] * 61], 7)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.QUERIES["feature_index"](spark, str(tmp_path)).collect()
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert [(r["id"], r["total"], r["image"]) for r in got] == con.sql(catalog.ORACLE_SQL["feature_index"]).fetchall()
+
+
+def test_box_without_width_begins_at_the_first_point():
+    import numpy as np
+    from headwater.operators import vision
+
+    assert vision.smallest_box(np.array([[0.0, 0.0], [0.0, 5.0], [0.0, 6.0]]), 0.6) == (0.0, 0.0, 0.0, 5.0)
+    assert vision.smallest_box(np.array([[0.0, 0.0], [3.0, 2.0], [5.0, 2.0], [6.0, 2.0]]), 0.5) == (0.0, 2.0, 5.0, 0.0)
+
+
+def test_box_of_many_points_in_time():
+    import time
+
+    import numpy as np
+    from headwater.operators import vision
+
+    points = np.column_stack([np.random.default_rng(1).uniform(-999, 9999, 20_000).round(2), np.arange(20_000) * 37 % 101]).astype(float)
+    start = time.monotonic()
+    x, y, width, height = vision.smallest_box(points, 0.8)
+    inside = (points[:, 0] >= x) & (points[:, 0] <= x + width) & (points[:, 1] >= y) & (points[:, 1] <= y + height)
+    assert time.monotonic() - start < 20 and inside.sum() >= 16_000
+
+
+def test_layouts_of_many_tasks_in_time():
+    import random
+    import time
+
+    from headwater.plans import packing
+
+    rng, start = random.Random(2), time.monotonic()
+    loads, sizes = [float(rng.randint(500, 700)) for _ in range(20_000)], [float(rng.randint(1, 9)) for _ in range(20_000)]
+    pack = packing.balanced(loads, 3)
+    assert max(abs(sum(loads[a:b]) - sum(loads) / 3) for a, b in packing.ranges(pack)) <= 700
+    kept, gain = packing.least_move([(packing.even(20_000, 2), 1.0)], loads, sizes, 3, 1.5)
+    assert round(sum(sizes) - packing.moved(packing.even(20_000, 2), kept, sizes), 6) == round(gain, 6)
+    assert time.monotonic() - start < 20
+
+
+def test_layouts_equal_all_splits():
+    import random
+
+    from headwater.plans import packing
+
+    rng = random.Random(3)
+    for _ in range(200):
+        n = rng.randint(1, 10)
+        parts, loads, sizes = rng.randint(1, min(n, 4)), [float(rng.choice([0, 1, 2, 7])) for _ in range(n)], [float(rng.randint(0, 9)) for _ in range(n)]
+        cost = lambda p, loads=loads: sum((sum(loads[a:b]) - sum(loads) / len(p)) ** 2 for a, b in packing.ranges(p))
+        assert abs(cost(packing.balanced(loads, parts)) - min(map(cost, packing.packs(loads, parts, 1e9)))) < 1e-9
+        old = packing.even(n, rng.randint(1, n))
+        fits = packing.packs([min(x, packing.load_cap(loads, parts, 1.5)) for x in loads], parts, packing.load_cap(loads, parts, 1.5) + 1e-9)
+        pack, gain = packing.least_move([(old, 1.0)], loads, sizes, parts, 1.5)
+        assert (pack is None) == (not fits) and (not fits or gain <= sum(sizes) - min(packing.moved(old, p, sizes) for p in fits) + 1e-9)
