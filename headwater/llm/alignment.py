@@ -37,8 +37,10 @@ TOKENIZER_B = "piece_bpe_32k"
 HEAVY = 8192
 #: Texts that are encoded together, and segments and characters that a worker keeps.
 ROWS = 256
-CACHE = 100_000
+CACHE = 150_000
 CHARS = 8_000_000
+#: Tokens of a side beyond which a group's id pairs are made distinct at once.
+LONG = 8
 
 ALIGNED = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, tally array<struct<pair: string, n: bigint>>, pairs array<bigint>"
 
@@ -68,17 +70,20 @@ class BytePairs:
         self.sizes = np.array([len(b) for b in self.bytes], np.int32)
         self.encode = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.encode(f" {text}"), np.uint32).tobytes()
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.encode(f" {text}"), np.uint32)
 
-    def segments(self, segments: list[str]) -> list[bytes]:
-        """Encodes those without white space at an end in one text: each begins a token at its space, so they can be told apart by their bytes."""
+    def segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all and the number of each one's: those without white space at an end are encoded in one text, as each begins a token at its space."""
+        bare = np.array([s.strip() == s for s in segments])
         joined = [s for s in segments if s.strip() == s]
         ids = np.array(self.encode("".join([f" {s}" for s in joined])), np.uint32)
         ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(s.encode()) + 1 for s in joined])) + 1
-        raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-        own = iter([raw[i:j] for i, j in itertools.pairwise(at)])
-        return [next(own) if s.strip() == s else self.whole(s) for s in segments]
+        if bare.all():
+            return ids, np.diff(ends, prepend=0)
+        own = iter(np.split(ids, ends[:-1]))
+        parts = [next(own) if x else self.whole(s) for s, x in zip(segments, bare, strict=True)]
+        return np.concatenate(parts), np.array(list(map(len, parts)))
 
 
 class Pieces:
@@ -97,8 +102,10 @@ class Pieces:
         self.sizes = np.array([len(b) for b in self.bytes], np.int32)
         self.apart = not any(re.search("[^▁]▁", p) for p in pieces)
 
-    def segments(self, segments: list[str]) -> list[bytes]:
-        return [array.array("I", x).tobytes() for x in self.model.encode(segments, num_threads=1)]
+    def segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all and the number of each one's."""
+        found = self.model.encode(segments, num_threads=1)
+        return np.array(list(itertools.chain.from_iterable(found)), np.uint32), np.array(list(map(len, found)))
 
 
 class Both:
@@ -109,14 +116,16 @@ class Both:
 
     def __init__(self, a: str, b: str):
         self.own = BytePairs(a), Pieces(b)
+        self.digits = [str(i) for i in range(max(len(e.bytes) for e in self.own))]
         self.forget()
 
     def forget(self) -> None:
-        #: of a segment its groups as text, the bytes of its four numbers, and those of its groups' places; None if its tokens' bytes are not its own
-        self.kept: dict[str, tuple[str, bytes, bytes] | None] = {}
-        self.chars, self.places, self.pairs = 0, {}, []
+        #: of a segment its groups as text and the bytes of their places; None if its tokens' bytes are not its own
+        self.kept: dict[str, tuple[str, bytes] | None] = {}
+        #: of a group its place, and by that the bytes of its id pairs and of its numbers of tokens
+        self.chars, self.places, self.pairs, self.sizes = 0, {}, [], []
 
-    def of(self, texts: list[str | None]) -> Iterator[list[tuple[str, bytes, bytes]]]:
+    def of(self, texts: list[str | None]) -> Iterator[list[tuple[str, bytes]]]:
         """The segments of each text; none if it has no tokens."""
         cut = self.bound.split if self.own[1].apart else lambda t: [t]
         apart = [cut(t) if t else [] for t in texts]
@@ -128,33 +137,53 @@ class Both:
             yield [] if None in found else found
 
     def add(self, segments: list[str]) -> None:
-        coded = [[np.frombuffer(x, np.uint32) for x in e.segments(segments)] for e in self.own] if segments else ([], [])
-        whole = []
-        for s, *ids in zip(segments, *coded, strict=True):
-            self.kept[s], self.chars = None, self.chars + len(s)
-            if all(b"".join(map(e.bytes.__getitem__, x.tolist())) == f" {s}".encode() for e, x in zip(self.own, ids, strict=True)):
-                whole.append((s, *ids))
-        if not whole:
+        if not segments:
+            return
+        self.chars += sum(map(len, segments))
+        coded = [e.segments(segments) for e in self.own]
+        raw = [f" {s}".encode() for s in segments]
+        right = np.logical_and(*[self._right(e, *c, raw) for e, c in zip(self.own, coded, strict=True)])
+        self.kept.update(dict.fromkeys(itertools.compress(segments, (~right).tolist())))
+        if not right.any():
             return
         # both sides have the same bytes, so one after the other they still end together
-        ids = [np.concatenate([x[k] for x in whole]) for k in (1, 2)]
+        ids = [x[np.repeat(right, n)] for x, n in coded]
         ends = [np.cumsum(e.sizes[x], dtype=np.int64) for e, x in zip(self.own, ids, strict=True)]
         common = np.intersect1d(*ends, assume_unique=True)
         last = [np.searchsorted(e, common) + 1 for e in ends]
-        sizes = [np.diff(x, prepend=0) for x in last]
-        ids, last = [x.tolist() for x in ids], [[0, *x.tolist()] for x in last]
-        groups = [tuple(x[at[g] : at[g + 1]] for x, at in zip(ids, last, strict=True)) for g in range(len(common))]
-        names = [f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups]
-        for name, (x, y) in zip(names, groups, strict=True):
+        first = [np.concatenate([[0], x[:-1]]) for x in last]
+        sizes = np.stack([y - x for x, y in zip(first, last, strict=True)], axis=1)
+        n = np.where(sizes.max(axis=1) > LONG, 0, sizes.prod(axis=1))
+        of, upto = np.repeat(np.arange(len(n)), n), np.cumsum(n)
+        at = np.arange(len(of)) - (upto - n)[of]
+        keys = (ids[0][first[0][of] + at // sizes[of, 1]].astype(np.int64) << 32) + ids[1][first[1][of] + at % sizes[of, 1]]
+        keys, sizes = keys.tobytes(), sizes.tobytes()
+        x, y = ([self.digits[i] for i in side.tolist()] for side in ids)
+        names, spans = [], zip(*[z.tolist() for z in (first[0], last[0], first[1], last[1])], strict=True)
+        start = 0
+        for g, ((i, j, k, m), end) in enumerate(zip(spans, (8 * upto).tolist(), strict=True)):
+            name = f"{x[i] if j - i == 1 else ','.join(x[i:j])}|{y[k] if m - k == 1 else ','.join(y[k:m])}"
+            names.append(name)
             if name not in self.places:
                 self.places[name] = len(self.pairs)
-                self.pairs.append(np.array([(i << 32) + j for i in set(x) for j in set(y)], np.int64))
-        places = np.array([self.places[n] for n in names], np.int32)
-        upto = np.searchsorted(common, ends[0][np.cumsum([len(x[1]) for x in whole]) - 1]) + 1
-        links = np.concatenate([[0], np.cumsum(sizes[0] * sizes[1])])
-        for (s, x, y), (i, j) in zip(whole, itertools.pairwise([0, *upto.tolist()]), strict=True):
-            numbers = np.array([len(x), len(y), j - i, links[j] - links[i]], np.int64)
-            self.kept[s] = ";".join(names[i:j]), numbers.tobytes(), places[i:j].tobytes()
+                many = np.array([(int(a) << 32) + int(b) for a in set(x[i:j]) for b in set(y[k:m])], np.int64).tobytes() if start == end else keys[start:end]
+                self.pairs.append(many)
+                self.sizes.append(sizes[16 * g : 16 * g + 16])
+            start = end
+        places = np.array([self.places[n] for n in names], np.int32).tobytes()
+        upto = np.searchsorted(common, ends[0][np.cumsum(coded[0][1][right]) - 1]) + 1
+        i = 0
+        for s, j in zip(itertools.compress(segments, right.tolist()), upto.tolist(), strict=True):
+            self.kept[s] = names[i] if j - i == 1 else ";".join(names[i:j]), places[4 * i : 4 * j]
+            i = j
+
+    def _right(self, encoder: BytePairs | Pieces, ids: np.ndarray, n: np.ndarray, raw: list[bytes]) -> np.ndarray:
+        """Whether each segment's tokens have its bytes."""
+        found = b"".join(map(encoder.bytes.__getitem__, ids.tolist()))
+        ends = np.concatenate([[0], np.cumsum(encoder.sizes[ids], dtype=np.int64)])[np.cumsum(n)]
+        if found == b"".join(raw) and np.array_equal(ends, np.cumsum(list(map(len, raw)))):
+            return np.ones(len(raw), bool)
+        return np.array([found[i:j] == x for (i, j), x in zip(itertools.pairwise([0, *ends.tolist()]), raw, strict=True)])
 
 
 _BOTH: dict[tuple[str, str], Both] = {}
@@ -168,18 +197,20 @@ def _aligned(a: str, b: str):
                 part = batch.slice(first, ROWS)
                 numbers, digests, groups, counts, pairs = [], [], [], [], []
                 for own in both.of(part.column(1).to_pylist()):
-                    numbers.append(np.frombuffer(b"".join([x[1] for x in own]), np.int64).reshape(-1, 4).sum(axis=0))
                     digests.append(hashlib.sha256(";".join([x[0] for x in own]).encode()).hexdigest() if own else "")
-                    places, n = np.unique(np.frombuffer(b"".join([x[2] for x in own]), np.int32), return_counts=True)
+                    places, n = np.unique(np.frombuffer(b"".join([x[1] for x in own]), np.int32), return_counts=True)
+                    held = places.tolist()
+                    x, y = np.frombuffer(b"".join([both.sizes[p] for p in held]), np.int64).reshape(-1, 2).T
+                    numbers.append((n @ x, n @ y, n.sum(), n @ (x * y)))
                     groups.append(places)
                     counts.append(n)
-                    pairs.append(np.unique(np.concatenate([np.zeros(0, np.int64), *[both.pairs[p] for p in places.tolist()]])))
+                    pairs.append(np.unique(np.frombuffer(b"".join([both.pairs[p] for p in held]), np.int64)))
                 names = list(both.places)
                 ends = lambda lists: pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
                 flat = pa.array([names[p] for p in np.concatenate(groups).tolist()], pa.string())
                 tally = pa.StructArray.from_arrays([flat, pa.array(np.concatenate(counts), pa.int64())], ["pair", "n"])
                 arrays = [
-                    *map(pa.array, np.stack(numbers, axis=1)),
+                    *map(pa.array, np.array(numbers, np.int64).T),
                     pa.array(digests, pa.string()),
                     pa.ListArray.from_arrays(ends(groups), tally),
                     pa.ListArray.from_arrays(ends(pairs), pa.array(np.concatenate(pairs))),
