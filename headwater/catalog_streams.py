@@ -28,14 +28,18 @@ def replay(spark: SparkSession, rows: DataFrame, stream: Callable[[DataFrame], D
     stateful.use_rocksdb(spark)
     base = base or f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
     rows.withColumn("_step", F.col("step")).write.partitionBy("_step").parquet(f"{base}/steps")
-    schema = rows.schema
-    found = None
+    found, batches = None, []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        batches.append(number)
+
     for i in range(steps):
-        step = spark.read.parquet(f"{base}/steps").filter(F.col("_step") == i).select(rows.columns)
-        step.write.mode("append").parquet(f"{base}/in")
-        found = stream(spark.readStream.schema(schema).parquet(f"{base}/in"))
-        write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        seen = ",".join(str(s) for s in range(i + 1))  # the folders of the steps so far
+        found = stream(spark.readStream.schema(rows.schema).parquet(f"{base}/steps/_step={{{seen}}}"))
         found.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    if not batches:
+        return spark.createDataFrame([], found.schema)
     return spark.read.schema(found.schema).parquet(f"{base}/out").select(found.columns)
 
 
