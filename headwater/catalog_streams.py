@@ -23,8 +23,8 @@ from .streaming.loop import Loop
 STEPS = 4
 
 
-def replay(spark: SparkSession, rows: DataFrame, stream: Callable[[DataFrame], DataFrame], steps: int = STEPS, base: str | None = None) -> DataFrame:
-    """All that a stream gives over the steps (column `step`, from 0) of a table, each one batch of a query that starts from the last one's checkpoint (in `base`)."""
+def replay(spark: SparkSession, rows: DataFrame, stream: Callable[[DataFrame], DataFrame], steps: int = STEPS, base: str | None = None, tasks: int | None = None) -> DataFrame:
+    """All that a stream gives over the steps (column `step`, from 0) of a table, each one batch of a query that starts from the last one's checkpoint (in `base`), with at most `tasks` parts of the state."""
     stateful.use_rocksdb(spark)
     base = base or f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
     rows.withColumn("_step", F.col("step")).write.partitionBy("_step").parquet(f"{base}/steps")
@@ -34,10 +34,16 @@ def replay(spark: SparkSession, rows: DataFrame, stream: Callable[[DataFrame], D
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
         batches.append(number)
 
-    for i in range(steps):
-        seen = ",".join(str(s) for s in range(i + 1))  # the folders of the steps so far
-        found = stream(spark.readStream.schema(rows.schema).parquet(f"{base}/steps/_step={{{seen}}}"))
-        found.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    name = "spark.sql.shuffle.partitions"
+    partitions = spark.conf.get(name)
+    try:
+        spark.conf.set(name, str(min(int(partitions), tasks or int(partitions))))
+        for i in range(steps):
+            seen = ",".join(str(s) for s in range(i + 1))  # the folders of the steps so far
+            found = stream(spark.readStream.schema(rows.schema).parquet(f"{base}/steps/_step={{{seen}}}"))
+            found.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, partitions)
     if not batches:
         return spark.createDataFrame([], found.schema)
     return spark.read.schema(found.schema).parquet(f"{base}/out").select(found.columns)
@@ -143,7 +149,7 @@ def stream_three_way(spark, d):
     rows = frame.withColumn("step", F.col("frame") % 3).unionByName(frame.withColumn("step", (F.col("frame") + 1) % 3))
     rows = rows.unionByName(line("patch", number).withColumn("step", (F.col("frame") + F.col("patch")) % 3)).unionByName(line("update", number % 3).withColumn("step", F.col("parent") % 3))
     end = spark.range(1).select(F.lit("frame").alias("kind"), F.lit(-1).cast("long").alias("frame"), none("long").alias("patch"), F.lit("").alias("image"), none("long").alias("at"), none("long").alias("logo"), none("long").alias("parent"), F.lit(1_800_000_000).cast("timestamp").alias("ts"), F.lit(2).cast("long").alias("step"))
-    return replay(spark, rows.unionByName(end), lambda s: stateful.three_way(s, 3_600_000, "1 hour"), steps=3)
+    return replay(spark, rows.unionByName(end), lambda s: stateful.three_way(s, 3_600_000, "1 hour"), steps=3, tasks=4 * spark.sparkContext.defaultParallelism)
 
 
 # --- the optimisation loop ----------------------------------------------------------------
